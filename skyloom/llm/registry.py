@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from skyloom.llm import mixing
+from skyloom.llm import mixing, quality
 
-QUERIES = {"op10_mixing": mixing.op10_mixing}
+QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op10_mixing": mixing.op10_mixing,
+}
 
 ORACLES: dict[str, str] = {}
