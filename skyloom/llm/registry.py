@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from skyloom.llm import mixing, quality
+from skyloom.llm import mixing, neardup, quality
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op6_neardup": neardup.op6_neardup,
     "op10_mixing": mixing.op10_mixing,
 }
 
