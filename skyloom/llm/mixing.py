@@ -72,11 +72,11 @@ def uniform(seed: int) -> Column:
 
 def with_rank(sized: DataFrame) -> DataFrame:
     """Adds rank: random odds over inclusion odds, mapped to (0, 1); null where nothing is left to sample."""
-    share = F.col("target") / F.col("source_size") - F.col("whole")
+    share = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)) - F.col("whole")
     tilt = F.col("size") / (F.col("size") + F.col("mean_size")) - F.col("mean_tilt")
     chance = share + share * (1 - share) * tilt
     u = uniform(SEED)
-    odds = (u / (1 - u)) * (1 - chance) / chance
+    odds = F.try_divide((u / (1 - u)) * (1 - chance), chance)
     return sized.withColumn("rank", F.when((F.col("size") > 0) & (share > 0) & (chance > 0), odds / (1 + odds)))
 
 
@@ -89,7 +89,7 @@ def plan(sized: DataFrame) -> tuple[DataFrame, int]:
     sources = sources.withColumns(
         {
             "mean_size": F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0)),
-            "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"),
+            "whole": F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long"),
         }
     )
     tilted = join_small(sized, sources.select("source", "mean_size"), ["source"], n)
