@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from skyloom.llm import mixing, neardup, quality
+from skyloom.llm import mixing, neardup, quality, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op6_neardup": neardup.op6_neardup,
+    "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": warc.SQL,
+}
