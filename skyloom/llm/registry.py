@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skyloom.llm import mixing, neardup, quality, warc
+from skyloom.llm import media, mixing, neardup, quality, warc
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op6_neardup": neardup.op6_neardup,
+    "op7_media": media.op7_media,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
