@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skyloom.llm import media, mixing, neardup, quality, warc
+from skyloom.llm import html, media, mixing, neardup, quality, warc
 
 QUERIES = {
+    "op1_html": html.op1_html,
     "op2_quality": quality.op2_quality,
     "op6_neardup": neardup.op6_neardup,
     "op7_media": media.op7_media,
