@@ -147,7 +147,7 @@ def quality_documents(docs: DataFrame) -> DataFrame:
     kept = keyed.join(verdict, (F.col("__row.doc_id") == F.col("doc_id")) & (F.col("__text_id") == F.col("text_id")))
     text = F.when(F.col("removed_lines").isNull(), F.col("__row.text")).otherwise(F.pandas_udf(without_lines, T.StringType())(F.when(F.col("removed_lines").isNotNull(), F.col("__row.text")), F.col("removed_lines")))
     cleaned = kept.withColumn("__text", text)
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    new = {"text": F.col("__text"), "n_chars": F.when(F.col("removed_lines").isNull(), F.col("__row.n_chars")).otherwise(F.length("__text").cast("long"))} if "n_chars" in names else {"text": F.col("__text")}
     return cleaned.select(*[(new[c] if c in new else F.col("__row").getField(c)).alias(c) for c in names])
 
 
