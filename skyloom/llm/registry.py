@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from skyloom.llm import html, media, mixing, neardup, pii, quality, warc
+from skyloom.llm import html, media, mixing, neardup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
     "op2_quality": quality.op2_quality,
     "op4_pii": pii.op4_pii,
+    "op5_packing": packing.op5_packing,
     "op6_neardup": neardup.op6_neardup,
     "op7_media": media.op7_media,
     "op9_warc": warc.op9_warc,
