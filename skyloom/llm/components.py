@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import stash
 
 
+#: Graphs of at most so many edges (16 bytes each) are left to one task; larger ones are spread.
+ONE_TASK_EDGES = 50_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union by least node, with path halving."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 def _nearest(edges: DataFrame) -> DataFrame:
     """(u, m): the least of each node and its neighbours. Partial sums come first, so hubs do no harm."""
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (u, v): the least node reachable.
+    """(node, component) for every node of ``edges`` (u, v, both long): the least node reachable.
 
-    Alternating large-star and small-star steps, each one aggregation and one join, until nothing changes. The result is
+    A graph of few edges, by count, is one task's work. Beyond that: alternating large-star and small-star steps, each one aggregation and one join, until nothing changes. The result is
     written to the shared folder. An empty table gives an empty one.
     """
-    kind = edges.schema["u"].dataType
     edges = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    if edges.count() <= ONE_TASK_EDGES:
+        return stash(edges.coalesce(1).mapInArrow(_joined, "node long, component long"), "components")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,4 +58,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = (row["n"], row["h"])
     own = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").cast(kind).alias("node"), F.col("v").alias("component")).unionByName(own).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own).distinct()

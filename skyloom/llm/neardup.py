@@ -5,11 +5,11 @@ whole sequence as one. A first permutation (a bijective mix) deals the hashes to
 circle; a second one, shifted by k places, gives coordinate k of the signature. Bands of four
 coordinates name buckets; 25 bands miss a pair of similarity 0.75 with a probability under 1e-4.
 
-Documents of equal sets are one class from the start. Within a bucket, members are not paired with each other: pivots are
-compared with those members that are not yet in their component. The first pivot is the member with most
-bucket neighbours; each further round quadruples the share of members that are pivots, until all have been. So
-a large group costs about a comparison a member, and no pair of different components is left out. Pairs are
-confirmed on full sets: 100 * common >= 75 * all. Links of a round are contracted to components before the next.
+Documents of equal sets are one class from the start. In each bucket, the member with most bucket neighbours is
+compared with all others, which joins most groups of copies at a comparison a member. Buckets whose members are then still in
+different components are compared in blocks of bounded size: a task counts the common shingles of all pairs of two blocks
+as a product of incidence matrices and returns at most a forest of links. So no pair of a bucket
+is left out, and none is ever a row. Links hold where 100 * common >= 75 * all, on full sets.
 
 Null, empty or blank text: an empty set, linked with nothing. Null doc_id: never linked, null
 component, kept. Repeated rows are copies of each other and get equal rows. Empty table: no rows.
@@ -37,7 +37,8 @@ CIRCLE_BITS = 20
 LEAST_AGREEING = 50
 #: Ids that a broadcast may hold (8 bytes each); beyond it, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-GROWTH = 4
+#: Shingle bytes of a block of a large bucket's members.
+BLOCK_BYTES = 1 << 20
 
 SKETCHES = "doc_id long, text_id long, n_shingles long, fp binary, bands array<long>, sketch binary"
 
@@ -146,10 +147,74 @@ def links(pairs: DataFrame, sketch: DataFrame, items: DataFrame) -> DataFrame:
     """The pairs (a, b) that full sets confirm."""
     sa = sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     sb = sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    near = stash(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long"), "neardup-near")
+    near = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
     ia = items.select(F.col("node").alias("a"), F.col("items").alias("ia"))
     ib = items.select(F.col("node").alias("b"), F.col("items").alias("ib"))
-    return stash(near.join(ib, "b").join(ia, "a").select("a", "b", "ia", "ib").mapInArrow(_confirmed, "a long, b long"), "neardup-links")
+    return near.join(ib, "b").join(ia, "a").select("a", "b", "ia", "ib").mapInArrow(_confirmed, "a long, b long")
+
+
+def compared(key, table):
+    """Links between the members of two blocks (or within one) that lie in different components, as a forest.
+
+    Common shingles of all pairs are counted at once, as a product of incidence matrices over the shingles that occur on both sides.
+    """
+    side = table.column("side").to_numpy()
+    sets = [np.frombuffer(x, U64) for x in table.column("items").to_pylist()]
+    nodes, labels = table.column("node").to_numpy(), table.column("component").to_numpy()
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    common = np.intersect1d(np.unique(np.concatenate([sets[i] for i in left])), np.unique(np.concatenate([sets[i] for i in right])), assume_unique=True)
+    counts = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, len(common), 4096):
+        part = common[k : k + 4096]
+        a, b = incidence([sets[i] for i in left], part), incidence([sets[i] for i in right], part)
+        counts += a @ b.T
+    size = np.array([len(x) for x in sets], np.float64)
+    both = counts.astype(np.float64)
+    alike_ = 100 * both >= PERCENT * (size[left][:, None] + size[right][None, :] - both)
+    alike_ &= labels[left][:, None] != labels[right][None, :]
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(alike_), strict=True):
+        a, b = root(labels[left[i]]), root(labels[right[j]])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(labels[left[i]]), int(labels[right[j]])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def incidence(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+    """A row a set, a column a shingle of the sorted ``part``: 1 where the set holds it."""
+    out = np.zeros((len(sets), len(part)), np.float32)
+    for row, items in zip(out, sets, strict=True):
+        within = items[np.searchsorted(items, part[0]) : np.searchsorted(items, part[-1], side="right")]
+        at = np.searchsorted(part, within)
+        row[at[part[at] == within]] = 1
+    return out
+
+
+def block_links(members: DataFrame, label: DataFrame, items: DataFrame) -> DataFrame:
+    """Links (a, b) between components, from buckets whose members are not all in one component."""
+    live = members.join(label, "node")
+    mixed = live.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    live = stash(live.join(mixed, "bucket").select("bucket", "node", "component", "size", "n_shingles"), "neardup-live")
+    # A node's blocks are those of its largest bucket, so that the buckets of one group of copies share blocks.
+    home = live.groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("h"), F.first("component").alias("component"), F.first("n_shingles").alias("n")).select("node", "component", "n", F.col("h.bucket").alias("home"))
+    share = home.groupBy("home").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).alias("parts"))
+    placed = stash(home.join(share, "home").select("node", "component", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "neardup-blocks")
+    held = live.select("bucket", "node").join(placed, "node").groupBy("bucket", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    one, two = (held.select("bucket", F.col("block").alias(f"b{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k in (0, 1))
+    apart = "b0 <= b1 and not (lo0 = hi0 and lo1 = hi1 and lo0 = lo1)"
+    pairs = one.join(two, "bucket").where(apart).select("b0", "b1").distinct()
+    sides = pairs.select("b0", "b1", F.col("b0").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where("b0 <> b1").select("b0", "b1", F.col("b1").alias("block"), F.lit(1).alias("side")))
+    full = placed.join(items, "node")
+    return sides.join(full, "block").select("b0", "b1", "side", "node", "component", "items").groupBy("b0", "b1").applyInArrow(compared, "a long, b long")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -158,9 +223,9 @@ def linked(docs: DataFrame) -> DataFrame:
     known = found.where("doc_id is not null and fp is not null")
     classes = stash(known.groupBy("fp").agg(F.min(F.struct("doc_id", "text_id")).alias("first")).select("fp", F.col("first.doc_id").alias("node"), F.col("first.text_id").alias("node_text")), "neardup-classes")
     # A doc_id with two texts stands for the class of its first text only; others of that class go by their next document.
-    first = known.join(classes, (known.doc_id == classes.node) & (known.text_id == classes.node_text)).select("node", "node_text", "bands", "sketch").dropDuplicates(["node"])
+    first = known.join(classes, (known.doc_id == classes.node) & (known.text_id == classes.node_text)).select("node", "node_text", "bands", "sketch", "n_shingles").dropDuplicates(["node"])
     sketch = stash(first, "neardup-first")
-    rows = sketch.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    rows = sketch.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).select("node", "n_shingles", F.xxhash64("band", "key").alias("bucket"))
     size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stash(rows.join(size, "bucket"), "neardup-members")
     neighbours = members.groupBy("node").agg(F.sum("size").alias("weight"))
@@ -168,36 +233,14 @@ def linked(docs: DataFrame) -> DataFrame:
     ids = stash(sketch.join(neighbours, "node", "left_semi").select("node", "node_text"), "neardup-ids")
     n = ids.count()
     items = sets_of(docs, ids, n)
-    central = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot"))
-    label, tested, share = None, None, 1
-    while n:
-        if label is None:
-            pairs = members.join(central, "bucket").where("node <> pivot")
-        else:
-            live = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = live.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-            live = stash(live.join(mixed, "bucket"), "neardup-live")
-            most = live.agg(F.max("size")).first()[0]
-            if most is None or share >= GROWTH * most:
-                break
-            chance = F.shiftrightunsigned(F.xxhash64("node", "bucket"), 11) / float(1 << 53) * F.col("size")
-            heads = live.where((chance < share) & (chance >= (share // GROWTH if share > GROWTH else 0))).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-            pairs = live.join(heads, "bucket").where("component <> pivot_component")
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stash(pairs, "neardup-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        share *= GROWTH
-        found_links = links(pairs, sketch.join(neighbours, "node", "left_semi"), items)
-        if label is not None:
-            at = [label.select(F.col("node").alias(k), F.col("component").alias(f"{k}_at")) for k in ("a", "b")]
-            found_links = found_links.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("a_at", "a").alias("a"), F.coalesce("b_at", "b").alias("b"))
-        new = components(found_links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if label is not None:
-            moved = label.withColumnRenamed("component", "old").join(new.withColumnRenamed("node", "old"), "old", "left").select("node", F.coalesce("component", "old").alias("component"))
-            new = moved.unionByName(new.join(label.select("node"), "node", "left_anti"))
-        label = stash(new, "neardup-label")
+    label = None
+    if n:
+        central = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot"))
+        pairs = members.join(central, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        stars = components(links(pairs, sketch, items).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        label = stash(ids.select("node").join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "neardup-stars")
+        more = components(block_links(members, label, items).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        label = label.join(more.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left").select("node", F.coalesce("final", "component").alias("component"))
     if label is not None:
         classes = classes.join(label, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     else:

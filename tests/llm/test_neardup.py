@@ -72,3 +72,12 @@ def test_edges(spark):
     assert sorted(out, key=str) == [(1, 1), (1, 1), (2, 1), (None, None)]
     assert sorted((r["doc_id"] for r in neardup.distinct_documents(docs).collect()), key=str) == [1, None]
     assert neardup.linked(docs.limit(0)).count() == 0
+
+
+def test_large_graphs_are_spread(spark, monkeypatch):
+    from skyloom.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", 0)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
+    out = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {(r["node"], r["component"]) for r in out} == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 160)}
