@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skyloom.llm import html, media, mixing, neardup, packing, pii, quality, warc
+from skyloom.llm import html, lm, media, mixing, neardup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
     "op2_quality": quality.op2_quality,
+    "op3_lm": lm.op3_lm,
     "op4_pii": pii.op4_pii,
     "op5_packing": packing.op5_packing,
     "op6_neardup": neardup.op6_neardup,
