@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyloom.llm import html, lm, media, mixing, neardup, packing, pii, quality, warc
+from skyloom.llm import html, lm, media, mixing, neardup, packing, pii, quality, repeats, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_neardup": neardup.op6_neardup,
     "op7_media": media.op7_media,
+    "op8_repeats": repeats.op8_repeats,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
