@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.vectors import cross, dot, minus, norm, scaled, unit_bound, vec
@@ -146,34 +146,54 @@ def ground_velocity(v: Column, theta: Column, sat_ecef: Column) -> Column:
     return minus(teme_to_ecef(v, theta), vec(-OMEGA * sat_ecef["y"], OMEGA * sat_ecef["x"], F.lit(0.0)))
 
 
-def acquisition_geometry(r: Column, v: Column, theta: Column, site: Column, lat: Column, lon: Column, off: Column, sun_el: Column, sun_az: Column, gsd: Column) -> Column:
-    """View and sun angles of an acquisition, unrounded."""
-    sat = teme_to_ecef(r, theta)
-    look = minus(sat, site)
-    up = geodetic_up(lat, lon)
-    lam = F.radians(lon)
-    east = vec(-F.sin(lam), F.cos(lam), F.lit(0.0))
-    north = cross(up, east)
-    zenith = F.degrees(F.acos(unit_bound(dot(look, up) / norm(look))))
-    azimuth = F.pmod(F.degrees(F.atan2(dot(look, east), dot(look, north))), F.lit(360.0))
-    ground_v = ground_velocity(v, theta, sat)
-    sub_lon = F.atan2(sat["y"], sat["x"])
-    sub_east = vec(-F.sin(sub_lon), F.cos(sub_lon), F.lit(0.0))
-    heading = F.pmod(F.degrees(F.atan2(dot(ground_v, sub_east), dot(ground_v, cross(scaled(sat, 1 / norm(sat)), sub_east)))), F.lit(360.0))
-    gap = azimuth - sun_az
-    sun_zenith = 90.0 - sun_el
-    glint = specular_deg(zenith, sun_zenith, gap, -1)
+def local_axes(df: DataFrame) -> DataFrame:
+    """Adds columns up, east, north (ECEF) at lat, lon. Each step is a column of its own, so that expressions stay short."""
+    lam = F.radians("lon")
+    df = df.withColumns({"up": geodetic_up(F.col("lat"), F.col("lon")), "east": vec(-F.sin(lam), F.cos(lam), F.lit(0.0))})
+    return df.withColumn("north", cross(F.col("up"), F.col("east")))
+
+
+def with_geometry(df: DataFrame, gsd_m: float) -> DataFrame:
+    """Adds struct ``geometry``, unrounded, to rows with sat, site, up, east, north, moving (ECEF), v, eta and sun."""
+    sat_lon = F.atan2(F.col("sat.y"), F.col("sat.x"))
+    df = df.withColumns({"look": minus(F.col("sat"), F.col("site")), "sub_up": scaled(F.col("sat"), 1 / norm(F.col("sat"))), "sub_east": vec(-F.sin(sat_lon), F.cos(sat_lon), F.lit(0.0))})
+    look = F.col("look")
+    df = df.withColumns(
+        {
+            "sub_north": cross(F.col("sub_up"), F.col("sub_east")),
+            "view_zenith": F.degrees(F.acos(unit_bound(dot(look, F.col("up")) / norm(look)))),
+            "view_azimuth": F.pmod(F.degrees(F.atan2(dot(look, F.col("east")), dot(look, F.col("north")))), F.lit(360.0)),
+            "sun_zenith": 90.0 - F.col("sun.elevation"),
+        }
+    )
+    gap = F.col("view_azimuth") - F.col("sun.azimuth")
+    df = df.withColumns({"glint": specular_deg(F.col("view_zenith"), F.col("sun_zenith"), gap, -1), "phase": specular_deg(F.col("view_zenith"), F.col("sun_zenith"), gap, 1)})
     fields = {
-        "view_zenith_deg": zenith,
-        "phase_deg": specular_deg(zenith, sun_zenith, gap, 1),
-        "sun_glint_deg": glint,
-        "glint_risk": glint_risk(glint),
-        "effective_gsd_m": effective_gsd(gsd, off, zenith),
-        "sun_azimuth_deg": sun_az,
-        "view_azimuth_deg": azimuth,
-        "airmass_view": airmass(zenith),
-        "airmass_sun": airmass(sun_zenith),
-        "ground_track_heading_deg": heading,
-        "node": F.when(v["z"] >= 0, "ascending").otherwise("descending"),
+        "view_zenith_deg": F.col("view_zenith"),
+        "phase_deg": F.col("phase"),
+        "sun_glint_deg": F.col("glint"),
+        "glint_risk": glint_risk(F.col("glint")),
+        "effective_gsd_m": effective_gsd(F.lit(gsd_m), F.col("eta"), F.col("view_zenith")),
+        "sun_azimuth_deg": F.col("sun.azimuth"),
+        "view_azimuth_deg": F.col("view_azimuth"),
+        "airmass_view": airmass(F.col("view_zenith")),
+        "airmass_sun": airmass(F.col("sun_zenith")),
+        "ground_track_heading_deg": F.pmod(F.degrees(F.atan2(dot(F.col("moving"), F.col("sub_east")), dot(F.col("moving"), F.col("sub_north")))), F.lit(360.0)),
+        "node": F.when(F.col("v.z") >= 0, "ascending").otherwise("descending"),
     }
-    return F.struct(*[c.alias(k) for k, c in fields.items()])
+    return df.withColumn("geometry", F.struct(*[c.alias(k) for k, c in fields.items()])).drop("look", "sub_up", "sub_east", "sub_north", "view_zenith", "view_azimuth", "sun_zenith", "glint", "phase")
+
+
+def with_footprint(df: DataFrame, swath_km: float, agile: bool, half_deg: float) -> DataFrame:
+    """Adds ``footprint``: corners <lon, lat> of the imaged strip, centred on the area if agile, else slid onto the ground track; null past the limb."""
+    df = df.withColumns({"rise": dot(F.col("moving"), F.col("up")), "sub": ecef_to_geodetic(F.col("sat"))})
+    df = df.withColumns({"flat": minus(F.col("moving"), scaled(F.col("up"), F.col("rise"))), "below": geodetic_to_ecef(F.col("sub.lat"), F.col("sub.lon"), F.lit(0.0))})
+    df = df.withColumn("track", scaled(F.col("flat"), 1 / norm(F.col("flat")))).withColumn("side", cross(F.col("up"), F.col("track")))
+    across = F.lit(swath_km / 2) if agile else ground_half_swath_km(norm(minus(F.col("sat"), F.col("below"))), F.lit(half_deg))
+    slide = F.lit(0.0) if agile else dot(minus(F.col("site"), F.col("below")), F.col("side"))
+    df = df.withColumns({"half_along": F.greatest(bbox_km(F.col("ring_ecef")), F.lit(6.0)) / 2, "half_across": across, "slide": slide})
+    signs = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in ((-1, -1), (-1, 1), (1, 1), (1, -1))])
+    point = lambda s: vec(*[F.col(f"site.{k}") + s["a"] * F.col("half_along") * F.col(f"track.{k}") + (s["b"] * F.col("half_across") - F.col("slide")) * F.col(f"side.{k}") for k in "xyz"])
+    df = df.withColumn("points", F.transform(signs, point)).withColumn("places", F.transform("points", ecef_to_geodetic))
+    corners = F.transform("places", lambda g: F.struct(g["lon"].alias("lon"), g["lat"].alias("lat")))
+    return df.withColumn("footprint", F.when(F.col("half_across").isNotNull(), corners)).drop("rise", "sub", "flat", "below", "track", "side", "half_along", "half_across", "slide", "points", "places")

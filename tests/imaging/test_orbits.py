@@ -1,0 +1,87 @@
+"""Propagation against published vectors, and predictions against their own invariants."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skyloom.catalog import PROFILES
+from skyloom.functions import sgp4
+from skyloom.operators import coverage, passes
+
+SAT5 = ("1 00005U 58002B   00179.78495062  .00000023  00000-0  28098-4 0  4753", "2 00005  34.2682 348.7242 1859667 331.7664  19.3264 10.82419157413667")
+
+
+def element_set(norad: int, raan: float, anomaly: float, incl: float = 97.44, motion: float = 15.2, epoch: str = "26181.00000000") -> tuple[str, str]:
+    return (f"1 {norad:05d}U 24001A   {epoch}  .00000000  00000-0  20000-4 0  9990", f"2 {norad:05d} {incl:8.4f} {raan:8.4f} 0008000  90.0000 {anomaly:8.4f} {motion:11.8f}00000")
+
+
+def test_published_vector():
+    err, r, v = sgp4.Orbit(*SAT5).after(np.array([0.0, 360.0]))
+    assert not err.any()
+    assert np.allclose(r[0], [7022.46529266, -1400.08296755, 0.03995155], atol=1e-6)
+    assert np.allclose(v[0], [1.893841015, 6.405893759, 4.534807250], atol=1e-8)
+    assert np.allclose(r[1], [-7154.03120202, -3783.17682504, -3536.19412294], atol=1e-5)
+
+
+def test_energy_and_refusal():
+    path = sgp4.Orbit(*element_set(99001, 40, 72))
+    _, r, v = path.after(np.linspace(0, 1440, 500))
+    d = np.linalg.norm(r, axis=1)
+    bulge = sgp4.MU * sgp4.J2 * sgp4.RE**2 / d**3 * (3 * (r[:, 2] / d) ** 2 - 1) / 2
+    energy = (v * v).sum(axis=1) / 2 - sgp4.MU / d + bulge
+    assert np.ptp(energy) / abs(energy.mean()) < 2e-4
+    assert sgp4.Orbit(*element_set(1, 0, 0, motion=2.0)).after(np.zeros(2)).__getitem__(0).tolist() == [7, 7]
+
+
+@pytest.fixture(scope="module")
+def predicted(spark):
+    rows = [(f"SYN{i}", *element_set(99000 + i, 40.0 * i, 72.0 * i), i != 4) for i in range(5)]
+    elements = spark.createDataFrame(rows, "satellite string, line1 string, line2 string, operational boolean")
+    ring = lambda lat, lon, h: [(lon - h, lat - h), (lon + h, lat - h), (lon + h, lat + h), (lon - h, lat + h)]
+    areas = [(f"a{k}", f"A{k}", ring(lat, lon, 0.045), lon, lat, 0.1) for k, (lat, lon) in enumerate([(-20.0, 150.0), (52.0, 13.0), (-16.95, 179.99)])]
+    aois = spark.createDataFrame(areas, "aoi_id string, name string, ring array<struct<lon:double,lat:double>>, lon double, lat double, alt_km double")
+    start = sgp4.Orbit(*rows[0][1:3]).epoch_us + 86_400_000_000
+    return aois, elements, start, passes.predict(aois, elements, PROFILES["dragonette"], start, 3.0).cache()
+
+
+def test_passes_keep_their_invariants(predicted):
+    aois, elements, start, out = predicted
+    rows = out.collect()
+    assert rows and {r["bucket"] for r in rows} <= {"passes", "marginal", "nonoperational"}
+    sites = {r["aoi_id"]: r for r in aois.collect()}
+    lines = {r["satellite"]: (r["line1"], r["line2"]) for r in elements.collect()}
+    for r in rows:
+        off = abs(r["off_nadir_deg"])
+        assert start <= r["tca_us"] <= start + 3 * 86_400_000_000 and off <= 30 and r["sun_elev_deg"] >= 15
+        assert r["max_off_nadir_aoi_deg"] >= off - 1e-6 and r["geometry"]["view_zenith_deg"] >= off
+        assert (r["bucket"] == "nonoperational") == (r["satellite"] == "SYN4")
+        assert r["coverage_pct"] == 1.0 and len(r["footprint_lonlat"]) == 4 and 0 < r["timing_sigma_s"] < 2
+        a = sites[r["aoi_id"]]
+        n = 6378.137 / math.sqrt(1 - 6.69437999014e-3 * math.sin(math.radians(a["lat"])) ** 2)
+        site = np.array([(n + 0.1) * math.cos(math.radians(a["lat"])) * math.cos(math.radians(a["lon"])), (n + 0.1) * math.cos(math.radians(a["lat"])) * math.sin(math.radians(a["lon"])), (n * (1 - 6.69437999014e-3) + 0.1) * math.sin(math.radians(a["lat"]))])
+        us = r["tca_us"] + np.array([-1_000_000, 0, 1_000_000])
+        err, pos, _ = sgp4.Orbit(*lines[r["satellite"]]).at(us)
+        eta = passes.off_nadir(pos, passes.gmst(us), err, site)
+        assert eta[1] <= eta[0] + 1e-6 and eta[1] <= eta[2] + 1e-6 and abs(eta[1] - off) < 1e-9
+
+
+def test_nonoperational_and_warnings(predicted):
+    aois, elements, start, out = predicted
+    less = passes.predict(aois, elements, PROFILES["dragonette"], start, 1.0, include_nonoperational=False)
+    assert less.where("satellite = 'SYN4'").count() == 0
+    found = passes.candidates(aois, elements, start + 4 * 86_400_000_000, 0.1)
+    texts = [r["text"] for r in passes.warnings(found, elements, start + 4 * 86_400_000_000).orderBy("ord").collect()]
+    assert "5.0 days old" in texts[0] and len(texts) == 2
+    assert passes.predict(aois.limit(0), elements, PROFILES["landsat"], start, 1.0).count() == 0
+
+
+def test_push_broom_coverage_shrinks_across_track():
+    ring = [{"lon": x, "lat": y} for x, y in ((0, 0), (0.1, 0), (0.1, 0.1), (0, 0.1))]
+    strip = lambda a, b: [{"lon": x, "lat": y} for x, y in ((a, -1), (b, -1), (b, 1), (a, 1))]
+    assert [coverage.covered(strip(-1, b), ring) for b in (-0.1, 0.025, 0.05, 0.2)] == [0.0, 0.25, 0.5, 1.0]
+    assert coverage.covered(strip(-1, 1)[::-1], ring) == 1.0 and coverage.covered(None, ring) is None
+    assert coverage.covered(strip(-1, 1), [ring[0], ring[2], ring[1], ring[3]]) is None
+    sea = [{"lon": x, "lat": y} for x, y in ((179.95, 0), (-179.95, 0), (-179.95, 0.1), (179.95, 0.1))]
+    assert coverage.covered([{"lon": x, "lat": y} for x, y in ((179.9, -1), (180, -1), (180, 1), (179.9, 1))], sea) == 0.5
