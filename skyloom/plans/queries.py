@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom import catalog
@@ -505,3 +506,47 @@ def json_contract(spark, d):
     lists = p.select("run_id", "bucket", pass_json(p).alias("j")).groupBy("run_id", "bucket").agg(F.array_sort(F.collect_list("j")).alias("j"))
     back = lists.select("run_id", "bucket", F.explode("j").alias("j")).select("run_id", "bucket", F.get_json_object("j", "$.tca_utc").alias("t"), F.get_json_object("j", "$.tca_us").cast("long").alias("us"))
     return back.groupBy("run_id", "bucket").agg(F.count("t").alias("n"), F.min("us").alias("first_us"))
+
+
+# --- orbits: no SQL form; tests hold them against published vectors and invariants
+
+def _constellation(spark):
+    """Element sets of a made-up constellation: sun-synchronous, nodes 40 and anomalies 72 degrees apart."""
+    rows = []
+    for i, (name, norad, operational) in enumerate(catalog.PROFILES["dragonette"].satellites):
+        one = f"1 {norad:05d}U 24001A   24001.00000000  .00000000  00000-0  20000-4 0  9990"
+        two = f"2 {norad:05d}  97.4400 {40.0 * i:8.4f} 0008000  90.0000 {72.0 * i:8.4f} 15.2000000000000"
+        rows.append((name, one, two, operational))
+    return spark.createDataFrame(rows, "satellite string, line1 string, line2 string, operational boolean")
+
+
+def _areas(spark, d):
+    return V.ring(spark, d).where("site % 9 <> 0").select(F.col("site").cast("string").alias("aoi_id"), F.concat(F.lit("Site "), F.col("site")).alias("name"), "ring", "lon", "lat", "alt_km")
+
+
+_START_US = 1_704_153_600_000_000
+
+
+@query()
+def predict_passes(spark, d):
+    from skyloom.operators import passes
+
+    return passes.predict(_areas(spark, d), _constellation(spark), catalog.PROFILES["dragonette"], _START_US, 2.0)
+
+
+@query()
+def swath_coverage(spark, d):
+    from skyloom.operators import passes
+
+    p = passes.predict(_areas(spark, d), _constellation(spark), catalog.PROFILES["landsat"], _START_US, 2.0)
+    return p.groupBy("aoi_id").agg(F.count(F.lit(1)).alias("passes"), F.max("coverage_pct").alias("best_coverage"), F.count_if(F.col("coverage_pct") < 1).alias("partial"))
+
+
+@query()
+def scene_validation(spark, d):
+    from skyloom.operators import validation
+
+    sats = [s for p in ("landsat", "sentinel2") for s, _, _ in catalog.PROFILES[p].satellites]
+    sets = _constellation(spark).withColumn("n", F.row_number().over(W.orderBy("satellite")) - 1).withColumn("satellite", F.get(F.array(*[F.lit(s) for s in sats]), F.col("n")))
+    s = V.scene(spark, d).join(V.site(spark, d), F.col("scene") % 90 == F.col("site"))
+    return skill.residuals(validation.scene_matches(s, sets, max_age_days=40.0))
