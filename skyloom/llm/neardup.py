@@ -37,8 +37,9 @@ CIRCLE_BITS = 20
 LEAST_AGREEING = 50
 #: Ids that a broadcast may hold (8 bytes each); beyond it, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Shingle bytes of a block of a large bucket's members.
+#: About the shingle bytes and the members of a block of a large bucket.
 BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 512
 
 SKETCHES = "doc_id long, text_id long, n_shingles long, fp binary, bands array<long>, sketch binary"
 
@@ -206,7 +207,8 @@ def block_links(members: DataFrame, label: DataFrame, items: DataFrame) -> DataF
     live = stash(live.join(mixed, "bucket").select("bucket", "node", "component", "size", "n_shingles"), "neardup-live")
     # A node's blocks are those of its largest bucket, so that the buckets of one group of copies share blocks.
     home = live.groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("h"), F.first("component").alias("component"), F.first("n_shingles").alias("n")).select("node", "component", "n", F.col("h.bucket").alias("home"))
-    share = home.groupBy("home").agg(F.ceil(F.sum("n") * 8 / BLOCK_BYTES).alias("parts"))
+    parts = F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS))
+    share = home.groupBy("home").agg(parts.alias("parts"))
     placed = stash(home.join(share, "home").select("node", "component", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "neardup-blocks")
     held = live.select("bucket", "node").join(placed, "node").groupBy("bucket", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     one, two = (held.select("bucket", F.col("block").alias(f"b{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k in (0, 1))
