@@ -47,11 +47,8 @@ def encoder(vocabulary: str):
     """ids(text) for a byte-level BPE in a tokenizers file: the same vocabulary as ranks where that file lies beside it, which is faster."""
     import os
 
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(vocabulary)
-    slow.encode_special_tokens = True
-    plain = lambda text: slow.encode(text, add_special_tokens=False).ids
+    slow = cache(lambda: _slow(vocabulary))
+    plain = lambda text: slow().encode(text, add_special_tokens=False).ids
     ranked = vocabulary.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranked):
         return plain
@@ -65,6 +62,14 @@ def encoder(vocabulary: str):
     return lambda text: plain(text) if len(text) >= LONG_RUN and long_run.search(text) else fast.encode_ordinary(text)
 
 
+def _slow(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(vocabulary)
+    made.encode_special_tokens = True
+    return made
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
