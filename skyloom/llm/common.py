@@ -102,7 +102,7 @@ class _Powers:
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 17)
             ones = np.full(n, cls.base, U64)
             ones[0] = 1
             cls.up = np.multiply.accumulate(ones)

@@ -18,7 +18,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -210,8 +209,8 @@ def redacted(text: str, spans: str) -> str:
     return "".join(parts) + text[at:]
 
 
-def _redact(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([redacted(t, s) if t is not None and s else None for t, s in zip(text, spans, strict=True)], dtype=object)
+def _redact(text: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([redacted(t, s) if t is not None and s else None for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
@@ -221,7 +220,7 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.xxhash64("text").alias("__text_id"))
     match = F.col("__row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("__text_id") == F.col("text_id"))
     both = keyed.join(spans, match, "left")
-    clean = F.pandas_udf(_redact, T.StringType())(F.when(F.col("spans").isNotNull(), F.col("__row.text")), F.col("spans"))
+    clean = F.arrow_udf(_redact, T.StringType())(F.when(F.col("spans").isNotNull(), F.col("__row.text")), F.col("spans"))
     both = both.withColumn("__text", F.when(F.col("spans").isNull(), F.col("__row.text")).otherwise(clean))
     new = {"text": F.col("__text"), "n_chars": F.when(F.col("spans").isNull(), F.col("__row.n_chars")).otherwise(F.length("__text").cast("long"))} if "n_chars" in names else {"text": F.col("__text")}
     return both.select(*[(new[c] if c in new else F.col("__row").getField(c)).alias(c) for c in names])

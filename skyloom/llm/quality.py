@@ -16,7 +16,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -127,16 +126,16 @@ def judged(docs: DataFrame) -> DataFrame:
     return both.withColumn("kept", ~F.col("base_failed") & (100 * left >= LEAST_LEFT * F.col("n_words")))
 
 
-def without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
+def without_lines(text: pa.Array, gone: pa.Array) -> pa.Array:
     """Texts without the lines whose hash is listed; null lists leave null."""
 
     def clean(raw, hashes):
         if raw is None or hashes is None:
             return None
-        bad = set(hashes.tolist())
+        bad = set(hashes)
         return "\n".join(x for x in raw.split("\n") if line_hash(x.encode())[0] not in bad)
 
-    return pd.Series([clean(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+    return pa.array([clean(t, g) for t, g in zip(text.to_pylist(), gone.to_pylist(), strict=True)], pa.string())
 
 
 def quality_documents(docs: DataFrame) -> DataFrame:
@@ -145,7 +144,7 @@ def quality_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.xxhash64("text").alias("__text_id"))
     kept = keyed.join(verdict, (F.col("__row.doc_id") == F.col("doc_id")) & (F.col("__text_id") == F.col("text_id")))
-    text = F.when(F.col("removed_lines").isNull(), F.col("__row.text")).otherwise(F.pandas_udf(without_lines, T.StringType())(F.when(F.col("removed_lines").isNotNull(), F.col("__row.text")), F.col("removed_lines")))
+    text = F.when(F.col("removed_lines").isNull(), F.col("__row.text")).otherwise(F.arrow_udf(without_lines, T.StringType())(F.when(F.col("removed_lines").isNotNull(), F.col("__row.text")), F.col("removed_lines")))
     cleaned = kept.withColumn("__text", text)
     new = {"text": F.col("__text"), "n_chars": F.when(F.col("removed_lines").isNull(), F.col("__row.n_chars")).otherwise(F.length("__text").cast("long"))} if "n_chars" in names else {"text": F.col("__text")}
     return cleaned.select(*[(new[c] if c in new else F.col("__row").getField(c)).alias(c) for c in names])
