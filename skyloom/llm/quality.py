@@ -153,3 +153,24 @@ def quality_documents(docs: DataFrame) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
+_LOW = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL = rf"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM dup, range(0, 8) AS t(j) GROUP BY 1),
+line AS (SELECT *, regexp_extract_all({_LOW.format(x="line")}, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM w)),
+l AS (SELECT doc_id, source, text, line, len(lw) AS n, regexp_replace(array_to_string(lw, ' '), '[0-9]+', '0', 'g') AS norm FROM line WHERE len(lw) > 0),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY 1),
+often AS (SELECT source, norm, count(DISTINCT text) AS docs FROM l GROUP BY 1, 2 HAVING count(DISTINCT text) > {LEAST_DOCS}),
+host AS (SELECT source, count(DISTINCT text) AS host_docs FROM w GROUP BY 1),
+above AS (SELECT o.source, norm FROM often o JOIN host h ON o.source IS NOT DISTINCT FROM h.source WHERE docs > host_docs * {HOST_SHARE}),
+gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM l JOIN above a ON l.norm = a.norm AND l.source IS NOT DISTINCT FROM a.source GROUP BY 1),
+f AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed_words
+  FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = w.doc_id),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND 100 * (n_words - removed_words) >= {LEAST_LEFT} * n_words AS kept FROM b
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_quality": quality.SQL,
+    "op6_neardup": neardup.SQL,
     "op9_warc": warc.SQL,
 }
