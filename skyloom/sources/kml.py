@@ -61,9 +61,9 @@ def clean_name(raw: Column, unescape=unescaped, keep=printable) -> Column:
 
 
 def polygon_blocks(files: DataFrame) -> DataFrame:
-    """(source, ordinal, block): placemarks that hold a polygon, in document order; a file without placemarks is one bare polygon."""
+    """(source, ordinal, block): placemarks that hold a polygon, in document order; a file whose polygon has no placemark is one bare polygon."""
     marks = F.filter(F.regexp_extract_all("kml", F.lit(PLACEMARK), 1), lambda b: b.contains("<Polygon"))
-    blocks = F.when(F.size(marks) > 0, marks).when(F.col("kml").contains("<coordinates"), F.array("kml")).otherwise(F.array().cast("array<string>"))
+    blocks = F.when(F.size(marks) > 0, marks).when(F.col("kml").contains("<Polygon"), F.array("kml")).otherwise(F.array().cast("array<string>"))
     return files.select("source", F.posexplode(blocks).alias("ordinal", "block"))
 
 
