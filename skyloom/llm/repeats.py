@@ -3,7 +3,9 @@
 Every start of a 400-byte string belongs to one anchor: the least 32-byte substring (by hash) within the string, so equal strings
 have equal anchors at equal places. The starts of one anchor occurrence are consecutive; the bytes they cover are
 its segment. Spark groups anchors. Segments that occur twice as a whole are repeated throughout, and one copy stands for them.
-Only anchors with different segments are looked at further: those segments, in blocks of bounded size, become one text
+Only anchors with different segments are looked at further. A string that two of their segments share reaches some way to
+the left and to the right of the anchor, LENGTH bytes in all, so both hold one of PARTS shorter strings around it (``keys``);
+segments that share no such key with another are dropped. The others, in blocks of bounded size, become one text
 with a separator after each, and breadth-first backward extension on its transform gives the common prefix lengths of
 neighbouring suffixes by increasing value. It stops at 400: what has no value by then is at least that long, so its
 suffixes start repeated strings. Anchors whose segments exceed a block (a passage in very many documents) are settled by
@@ -28,10 +30,12 @@ from skyloom.llm.common import U64, set_arrow_batches, span_hashes, stash
 LENGTH = 400
 GRAM = 32
 REACH = LENGTH - GRAM + 1
+#: Keys of a segment. Each is LENGTH - (LENGTH - GRAM) / PARTS bytes long.
+PARTS = 8
 #: Bytes of segments that one task transforms at a time.
 BLOCK_BYTES = 1 << 20
-OCCURRENCES = "doc_id long, text_id long, anchor long, seg long, start int, size int"
-SEGMENTS = "doc_id long, text_id long, anchor long, seg long, start int, body binary"
+OCCURRENCES = "doc_id long, text_id long, anchor long, seg long, start int, size int, mark int"
+SEGMENTS = "doc_id long, text_id long, anchor long, seg long, start int, size int, keys array<long>, body binary"
 SPANS = "doc_id long, text_id long, start int, stop int"
 
 
@@ -46,8 +50,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, segment hash, start and size for each anchor occurrence of a text of LENGTH bytes or more."""
+def segments(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchor hash, segment hash, start, size and the anchor's place in the segment for each anchor occurrence of a text of LENGTH bytes or more."""
     at = np.arange(len(data) - GRAM + 1)
     grams = span_hashes(data, at, at + GRAM)
     least = sliding_least((grams & U64(0xFFFFFFFF00000000)) | at.astype(U64), REACH)
@@ -55,19 +59,36 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     last = np.concatenate((first[1:] - 1, [len(anchor) - 1]))
     stop = last + LENGTH
-    return grams[anchor[first]], span_hashes(data, first, stop), first, stop - first
+    return grams[anchor[first]], span_hashes(data, first, stop), first, stop - first, anchor[first] - first
+
+
+def keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, mark: np.ndarray) -> list[list[int]]:
+    """For each segment, hashes of strings around its anchor, of which two segments with a common string of LENGTH bytes share one.
+
+    If the common string begins between ``near`` and ``far`` bytes before the anchor, it holds all from ``near`` bytes before it
+    to LENGTH - ``far`` bytes after its start.
+    """
+    out: list[list[int]] = [[] for _ in start]
+    anchor, stop = start + mark, start + size
+    for part in range(PARTS):
+        near, far = (LENGTH - GRAM) * part // PARTS, (LENGTH - GRAM) * (part + 1) // PARTS
+        a, b = anchor - near, anchor + LENGTH - far
+        held = np.flatnonzero((a >= start) & (b <= stop))
+        for k, h in zip(held.tolist(), (span_hashes(data, a[held], b[held]) + U64(part)).view(np.int64).tolist(), strict=True):
+            out[k].append(h)
+    return out
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "text_id", "anchor", "seg", "start", "size"]
+    names = ["doc_id", "text_id", "anchor", "seg", "start", "size", "mark"]
     for batch in batches:
         for doc_id, text_id, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_id", "raw")), strict=True):
             if raw is None or len(raw) < LENGTH:
                 continue
-            anchor, seg, start, size = segments(np.frombuffer(raw, np.uint8))
+            anchor, seg, start, size, mark = segments(np.frombuffer(raw, np.uint8))
             n = len(start)
             ids = pa.array([doc_id] * n, pa.int64()), pa.array([text_id] * n, pa.int64())
-            arrays = [*ids, pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
+            arrays = [*ids, pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (start, size, mark))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
@@ -177,11 +198,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    names = ["doc_id", "text_id", "anchor", "seg", "start", "body"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+    names = ["doc_id", "text_id", "anchor", "seg", "start", "size", "keys", "body"]
     for batch in batches:
         for r in batch.to_pylist():
-            rows = [(r["doc_id"], r["text_id"], w["anchor"], w["seg"], w["start"], r["raw"][w["start"] : w["start"] + w["size"]]) for w in r["wanted"]]
+            wanted = r["wanted"]
+            held = keys(np.frombuffer(r["raw"], np.uint8), *(np.array([w[c] for w in wanted], np.int64) for c in ("start", "size", "mark")))
+            rows = [(r["doc_id"], r["text_id"], w["anchor"], w["seg"], w["start"], w["size"], k, r["raw"][w["start"] : w["start"] + w["size"]]) for w, k in zip(wanted, held, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
@@ -198,17 +221,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     set_arrow_batches(spark, 128)
     occurrences = stash(keyed(docs).mapInArrow(_occurrences, OCCURRENCES), "repeats")
-    place = F.struct("doc_id", "text_id", "start", "size")
+    place = F.struct("doc_id", "text_id", "start", "size", "mark")
     classes = stash(occurrences.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("p")), "repeats-classes")
     whole = occurrences.join(classes.where("n > 1").select("anchor", "seg"), ["anchor", "seg"]).select("doc_id", "text_id", "start", (F.col("start") + F.col("size")).alias("stop"))
-    mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("p.size").cast("long").alias("bytes")).where("kinds > 1")
-    wanted = stash(classes.join(mixed, "anchor").select("anchor", "seg", "bytes", "p.*"), "repeats-mixed")
-    total = wanted.agg(F.sum("size")).first()[0] or 0
-    by_doc = wanted.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "seg", "start", "size")).alias("wanted"))
+    mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    wanted = classes.join(mixed, "anchor").select("anchor", "seg", "p.*")
+    by_doc = wanted.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("anchor", "seg", "start", "size", "mark")).alias("wanted"))
     texts = keyed(docs).alias("t").join(by_doc.alias("w"), same_document("t", "w")).select("t.doc_id", "t.text_id", "t.raw", "w.wanted")
-    bodies = texts.mapInArrow(_bodies, SEGMENTS).dropDuplicates(["anchor", "seg"])
-    sizes = wanted.select("anchor", "seg", "bytes")
-    bodies = stash(bodies.join(sizes, ["anchor", "seg"]), "repeats-segments")
+    held = stash(texts.mapInArrow(_bodies, SEGMENTS).dropDuplicates(["anchor", "seg"]), "repeats-segments")
+    rows = held.select("anchor", "seg", "size", F.explode("keys").alias("key"))
+    shared = rows.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "key")
+    live = stash(rows.join(shared, ["anchor", "key"]).select("anchor", "seg", "size").distinct(), "repeats-live")
+    total = live.agg(F.sum("size")).first()[0] or 0
+    sums = live.groupBy("anchor").agg(F.sum("size").alias("bytes"))
+    bodies = stash(held.drop("keys", "size").join(live.join(sums, "anchor").select("anchor", "seg", "bytes"), ["anchor", "seg"]), "repeats-bodies")
     blocks = max(1, total // BLOCK_BYTES)
     usual = bodies.where(F.col("bytes") <= BLOCK_BYTES).withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
     parts = usual.select("block", "doc_id", "text_id", "start", "body").groupBy("block").applyInArrow(_transform, SPANS)
