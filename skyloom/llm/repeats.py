@@ -69,13 +69,12 @@ def keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, mark: np.ndarray
     to LENGTH - ``far`` bytes after its start.
     """
     out: list[list[int]] = [[] for _ in start]
-    anchor, stop = start + mark, start + size
-    for part in range(PARTS):
-        near, far = (LENGTH - GRAM) * part // PARTS, (LENGTH - GRAM) * (part + 1) // PARTS
-        a, b = anchor - near, anchor + LENGTH - far
-        held = np.flatnonzero((a >= start) & (b <= stop))
-        for k, h in zip(held.tolist(), (span_hashes(data, a[held], b[held]) + U64(part)).view(np.int64).tolist(), strict=True):
-            out[k].append(h)
+    steps = (LENGTH - GRAM) * np.arange(PARTS + 1) // PARTS
+    a, b = ((start + mark)[:, None] - steps[:-1]), ((start + mark)[:, None] + LENGTH - steps[1:])
+    owner, part = np.nonzero((a >= start[:, None]) & (b <= (start + size)[:, None]))
+    hashes = span_hashes(data, a[owner, part], b[owner, part]) + part.astype(U64)
+    for k, h in zip(owner.tolist(), hashes.view(np.int64).tolist(), strict=True):
+        out[k].append(h)
     return out
 
 
@@ -95,10 +94,14 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first ``depth`` symbols, by prefix doubling; ties by place."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    bits = (int(text.max(initial=0)) + 1).bit_length()
+    width = max(1, 62 // bits)  # so many symbols fit in the first key
+    key = np.zeros(n, np.int64)
+    for k in range(min(width, n)):
+        key[: n - k] |= (text[k:] + 1) << (bits * (width - 1 - k))
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
     order = np.argsort(rank, kind="stable")
-    width = 1
-    while width < depth:
+    while width < depth and width < n:
         second = np.zeros(n, np.int64)
         second[: n - width] = rank[width:] + 1
         key = rank * (n + 1) + second
