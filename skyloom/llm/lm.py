@@ -1,17 +1,21 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped for scoring.
+"""Interpolated modified Kneser-Ney n-gram model of any order, counted in Spark and memory-mapped for scoring.
 
-Words and pairs are counted as sorted arrays of 64-bit hashes. A task counts its part of the corpus, cuts the sorted
+Words and n-grams are counted as sorted arrays of 64-bit hashes. A task counts its part of the corpus, cuts the sorted
 array at bucket borders and hands the packed pieces to Spark, which groups them by bucket; a bucket's pieces
-are merged and written to the shared folder as one sorted array of hashes and one of counts. A word's id is its
-place in the word arrays; a pair's hash is a bijective mix of its two ids, so ids come back from it. Pairs give
-discounts (from how many pairs occur once to four times), and per word the discount mass as a context and the
-number of different words before it. Workers map these arrays and look up a batch of texts at once.
-
-p(w | h) = (c(h w) - D(c)) / c(h) + mass(h) / c(h) * q(w);  q(w) = (n(w) - D'(n)) / n + mass' / n / (V + 1), where n(w) counts
-different words before w. An unknown context leaves q(w). Every text ends in an end token, which is scored.
-
-Limits: fewer than 2**32 different words. Null or empty text: the end token alone. Null doc_id: held out. Repeated rows
-count each. Empty table: no rows; no training texts: probabilities of an empty model. Other columns are not read.
+are merged and written to the shared folder as one sorted array of hashes and one of counts. The id of a word or n-gram is
+its place in the arrays of its order; an n-gram's hash is a bijective mix of the id of the n-gram before its last word and the
+last word's id, so both come back from it. From the highest order down, each order gives discounts (from how many of its
+n-grams have a count of one to four) and, for the order below, the total and discount mass per context and the number of
+different words before each n-gram. Workers map these arrays and look up a batch of texts at once.
+
+p(w | h) = (c(h w) - D(c)) / t(h) + mass(h) / t(h) * p(w | h without its first word), where c is the count at the highest order;
+below it, c is the number of different words before (h w), or the count where (h w) begins a text, and t(h) the sum of c over w.
+At the end, q(w) = (n(w) - D'(n)) / n + mass' / n / (V + 1), where n(w) counts different words before w. An unknown context
+leaves the lower order. Every text ends in an end token, which is scored; its first words have shorter contexts.
+
+Limits: fewer than 2**32 different words, and an n-gram's two ids must fit in 64 bits, which is tested. Null or empty text: the
+end token alone. Null doc_id: held out. Repeated rows count each. Empty table: no rows; no training texts: probabilities of an
+empty model. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +38,12 @@ START, FINISH = U64(0x9D39247E33776D41), U64(0x2AF7398005AAA5C7)
 #: Entries that a task holds before it merges them, and about how many tokens' pairs go to one bucket.
 HELD = 4_000_000
 BUCKET_TOKENS = 8_000_000
+#: N-grams of a bucket that are worked on at once.
+SLICE = 1 << 20
+#: The order of op3_lm.
+ORDER = 3
 PIECES = "bucket int, keys binary, counts binary"
+SIDES = "bucket int, side int, keys binary, counts binary"
 ADD = 0.1
 
 
@@ -162,25 +171,37 @@ def _merge(folder: str, name: str):
 SIZES = "bucket int, size long, total long, n1 long, n2 long, n3 long, n4 long"
 
 
-class Vocabulary:
-    """Word arrays of all buckets; ids are places in them, in bucket order."""
+class Grams:
+    """Arrays of all buckets of the n-grams of one order (words: 1); ids are places in them, in bucket order."""
 
-    def __init__(self, folder: str, sizes: list[int]):
-        self.folder, self.sizes = folder, sizes
-        self.first = np.concatenate(([0], np.cumsum(sizes)))
+    def __init__(self, folder: str, order: int, sizes: list[int]):
+        self.folder, self.name, self.sizes = folder, named(order), sizes
+        self.first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         self.borders = borders(len(sizes))
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Id (-1: unknown) and count of each hash."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), U64)
+    def find(self, hashes: np.ndarray, *arrays: tuple[str, str]) -> list[np.ndarray]:
+        """Id (-1: unknown) of each hash, and its values (0 for unknown ones) in the arrays of these names and kinds."""
         distinct, back = np.unique(hashes, return_inverse=True)
-        own_ids, own_counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), U64)
-        for k, a, b, at in located(self.folder, "word", self.sizes, self.borders, distinct):
+        ids, values = np.full(len(distinct), -1, np.int64), [np.zeros(len(distinct), kind) for _, kind in arrays]
+        for k, a, b, at in located(self.folder, self.name, self.sizes, self.borders, distinct):
             hit = at >= 0
-            own_ids[a:b][hit] = self.first[k] + at[hit]
-            own_counts[a:b][hit] = mapped(f"{self.folder}/word-{k}.counts", "u8")[at[hit]]
-        ids[:], counts[:] = own_ids[back], own_counts[back]
-        return ids, counts
+            ids[a:b][hit] = self.first[k] + at[hit]
+            for (name, kind), value in zip(arrays, values, strict=True):
+                value[a:b][hit] = mapped(f"{self.folder}/{self.name}-{k}.{name}", kind)[at[hit]]
+        return [x[back] for x in (ids, *values)]
+
+    def keys(self, ids: np.ndarray) -> np.ndarray:
+        """The hashes of known ids."""
+        out, order = np.zeros(len(ids), U64), np.argsort(ids)
+        cuts = np.searchsorted(ids[order], self.first)
+        for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
+            at = order[cuts[k] : cuts[k + 1]]
+            out[at] = mapped(f"{self.folder}/{self.name}-{k}.keys", "u8")[ids[at] - self.first[k]]
+        return out
+
+
+def named(order: int) -> str:
+    return "word" if order == 1 else f"gram{order}"
 
 
 def located(folder: str, name: str, sizes: list[int], starts: np.ndarray, ordered: np.ndarray) -> Iterator[tuple]:
@@ -195,23 +216,49 @@ def located(folder: str, name: str, sizes: list[int], starts: np.ndarray, ordere
             yield k, a, b, np.where(keys[at] == ordered[a:b], at, -1)
 
 
-def pair_hashes(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of neighbours whose ids are known, and the places of their second words; none reaches from one text to the next."""
-    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (hashes[1:] != START)) + 1
-    return mix64((ids[at - 1].astype(U64) << U64(32)) | ids[at].astype(U64)), at
+def gram_hash(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """A bijective hash of the id of an n-gram's context and that of its last word, which has ``bits`` bits."""
+    return mix64((context.astype(U64) << U64(bits)) | word.astype(U64))
+
+
+def gram_parts(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of ``gram_hash``."""
+    both = unmix64(hashes)
+    return (both >> U64(bits)).astype(np.int64), (both & U64((1 << bits) - 1)).astype(np.int64)
+
+
+def gram_hashes(context: np.ndarray, words: np.ndarray, hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of n-grams whose context and last word are known, and the places of these words; none reaches from one text to the next."""
+    at = np.flatnonzero((context[:-1] >= 0) & (words[1:] >= 0) & (hashes[1:] != START)) + 1
+    return gram_hash(context[at - 1], words[at], bits), at
+
 
+def _grams(levels: list[Grams], bits: int, buckets: int):
+    """Counts the n-grams one order above the last level."""
 
-def _pairs(folder: str, sizes: list[int], buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = Counter(), Vocabulary(folder, sizes)
+        own = Counter()
         for batch in batches:
             hashes = hashed(batch.column("raw").to_pylist())[0]
-            own.add(pair_hashes(known.find(hashes)[0], hashes)[0])
+            words = ids = levels[0].find(hashes)[0]
+            for level in levels[1:]:
+                keys, at = gram_hashes(ids, words, hashes, bits)
+                ids = np.full(len(hashes), -1, np.int64)
+                ids[at] = level.find(keys)[0]
+            own.add(gram_hashes(ids, words, hashes, bits)[0])
         yield from own.pieces(buckets)
 
     return count
 
 
+def shortened(levels: list[Grams], context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """Ids, at the last level, of the n-grams one order above it without their first word."""
+    if len(levels) == 1:
+        return word
+    rest = shortened(levels[:-1], *gram_parts(levels[-1].keys(context), bits), bits)
+    return levels[-1].find(gram_hash(rest, word, bits))[0]
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """D for counts of 0, 1, 2 and 3 or more."""
     if not (n1 and n2):
@@ -221,44 +268,47 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [0.0] + [min(max(d, 0.1), k + 1 - 0.01) for k, d in enumerate(found)]
 
 
-def _sides(folder: str, sizes: list[int], cut: list[float]):
-    """From each bucket of pairs: discount mass by first word, different neighbours by second word, in pieces by word bucket."""
-    first = np.concatenate(([0], np.cumsum(sizes)))
+def _sides(levels: list[Grams], own: Grams, counts: str, cut: list[float], bits: int, held: int):
+    """From each bucket of n-grams, in pieces by bucket of the order below: discount mass by context, different words before by the n-gram without its first word, total by context."""
+    below = levels[-1]
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column("bucket").to_pylist():
-                ids = unmix64(np.array(mapped(f"{folder}/pair-{k}.keys", "u8")))
-                small = np.minimum(np.array(mapped(f"{folder}/pair-{k}.counts", "u8")), U64(3)).astype(np.int64)
-                for side, part in ((0, (ids >> U64(32)).astype(np.int64)), (1, (ids & U64(0xFFFFFFFF)).astype(np.int64))):
-                    order = np.argsort(part, kind="stable")
-                    part, mass = part[order], np.asarray(cut)[small[order]] if side == 0 else np.ones(len(part))
-                    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1])))
-                    if not len(at):
-                        continue
-                    word, total = part[at], np.add.reduceat(mass, at)
-                    value = np.rint(total * 2**20).astype(U64) if side == 0 else total.astype(U64)  # mass in fixed point: sums don't depend on order
-                    cuts = np.searchsorted(word, first)
-                    for b in range(len(sizes)):
-                        a, z = cuts[b], cuts[b + 1]
-                        if z > a:
-                            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "side": pa.array([side], pa.int32()), "keys": [squeezed(np.diff((word[a:z] - first[b]).astype(U64), prepend=U64(0)))], "counts": [squeezed(value[a:z])]})
+                for start in range(0, own.sizes[k], held):
+                    context, word = gram_parts(np.array(mapped(f"{own.folder}/{own.name}-{k}.keys", "u8")[start : start + held]), bits)
+                    count = np.array(mapped(f"{own.folder}/{own.name}-{k}.{counts}", "u8")[start : start + held])
+                    mass = np.asarray(cut)[np.minimum(count, U64(3)).astype(np.int64)]
+                    for side, part, each in ((0, context, mass), (1, shortened(levels, context, word, bits), np.ones(len(word), U64)), (2, context, count)):
+                        order = np.argsort(part, kind="stable")
+                        part = part[order]
+                        at = np.flatnonzero(np.concatenate((np.ones(1, bool), part[1:] != part[:-1])))
+                        gram, total = part[at], np.add.reduceat(each[order], at)
+                        value = np.rint(total * 2**20).astype(U64) if side == 0 else total  # mass in fixed point: sums don't depend on order
+                        cuts = np.searchsorted(gram, below.first)
+                        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                            a, z = cuts[b], cuts[b + 1]
+                            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "side": pa.array([side], pa.int32()), "keys": [squeezed(np.diff((gram[a:z] - below.first[b]).astype(U64), prepend=U64(0)))], "counts": [squeezed(value[a:z])]})
 
     return sides
 
 
-def _gather(folder: str, sizes: list[int]):
-    """Writes discount mass and neighbour counts of a bucket of words; returns how many words have each small count of neighbours."""
+def _gather(below: Grams):
+    """Writes discount mass, total and adjusted counts of a bucket; returns how many n-grams have each small adjusted count."""
 
     def gather(key, table):
         bucket = key[0].as_py()
-        dense = [np.zeros(sizes[bucket], U64), np.zeros(sizes[bucket], U64)]
+        path = f"{below.folder}/{below.name}-{bucket}"
+        dense = [np.zeros(below.sizes[bucket], U64) for _ in range(3)]
         for side, keys, counts in zip(*(table.column(c).to_pylist() for c in ("side", "keys", "counts")), strict=True):
             dense[side][np.cumsum(spread(keys), dtype=U64).astype(np.int64)] += spread(counts)
-        write_array(f"{folder}/word-{bucket}.mass", dense[0] / 2**20)
-        write_array(f"{folder}/word-{bucket}.before", dense[1])
-        n = np.bincount(np.minimum(dense[1], U64(5)).astype(np.int64), minlength=6)
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "size": [int((dense[1] > 0).sum())], "total": [int(dense[1].sum())], **{f"n{i}": [int(n[i])] for i in range(1, 5)}})
+        mass, adjusted, total = dense
+        if below.name != named(1):  # no word stands before the start of a text: such n-grams keep their counts
+            adjusted = np.where(adjusted > 0, adjusted, np.array(mapped(f"{path}.counts", "u8")))
+        for name, values in (("mass", mass / 2**20), ("total", total), ("adjusted", adjusted)):
+            write_array(f"{path}.{name}", values)
+        n = np.bincount(np.minimum(adjusted, U64(5)).astype(np.int64), minlength=6)
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "size": [int((adjusted > 0).sum())], "total": [int(adjusted.sum())], **{f"n{i}": [int(n[i])] for i in range(1, 5)}})
 
     return gather
 
@@ -266,10 +316,9 @@ def _gather(folder: str, sizes: list[int]):
 class Model:
     """Where the arrays are, and the few numbers that go with them; small, and sent to every task."""
 
-    def __init__(self, folder, words, pairs, tokens, types, cut, low_cut, low_total, low_mass):
-        self.folder, self.words, self.pairs = folder, words, pairs
-        self.tokens, self.types = tokens, types
-        self.cut, self.low_cut, self.low_total, self.low_mass = cut, low_cut, low_total, low_mass
+    def __init__(self, levels, bits, tokens, types, cuts, low_cut, low_total, low_mass):
+        self.levels, self.bits, self.tokens, self.types = levels, bits, tokens, types
+        self.cuts, self.low_cut, self.low_total, self.low_mass = cuts, low_cut, low_total, low_mass
 
     def low(self, before: np.ndarray) -> np.ndarray:
         """q(w) from the numbers of different words before w."""
@@ -278,42 +327,25 @@ class Model:
             return np.full(len(before), uniform)
         return (before - np.asarray(self.low_cut)[np.minimum(before, 3)]) / self.low_total + self.low_mass / self.low_total * uniform
 
-    def lookup(self, name: str, kind: str, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Values of words by id; 0 for unknown ones."""
-        out = np.zeros(len(ids), kind)
-        bucket = np.searchsorted(first, ids, side="right") - 1
-        for k in np.unique(bucket[ids >= 0]):
-            at = np.flatnonzero((bucket == k) & (ids >= 0))
-            out[at] = mapped(f"{self.folder}/word-{k}.{name}", kind)[ids[at] - first[k]]
-        return out
-
     def scores(self, raw: list[bytes | None]) -> list[tuple[int, int, float, float]]:
         """n_tokens, n_known, base score and model score of each text."""
         if not raw:
             return []
         hashes, starts = hashed(raw)
-        known = Vocabulary(self.folder, self.words)
-        distinct, back = np.unique(hashes, return_inverse=True)
-        own_ids, own_counts = known.find(distinct)
-        own_low = self.low(self.lookup("before", "u8", own_ids, known.first).astype(np.int64))
-        own_mass = self.lookup("mass", "f8", own_ids, known.first)
-        ids, counts = own_ids[back], own_counts[back].astype(np.float64)
-        chance = own_low[back]
-        keys, at = pair_hashes(ids, hashes)
-        order = np.argsort(keys)
-        ordered, found = keys[order], np.zeros(len(keys))
-        for k, a, b, place in located(self.folder, "pair", self.pairs, borders(max(1, len(self.pairs))), ordered):
-            hit = place >= 0
-            found[order[a:b][hit]] = mapped(f"{self.folder}/pair-{k}.counts", "u8")[place[hit]]
-        context = np.zeros(len(hashes))
-        context[1:] = counts[:-1]
-        mass = np.zeros(len(hashes))
-        mass[1:] = own_mass[back][:-1]
-        seen = context > 0
-        chance[seen] *= mass[seen] / context[seen]
-        less = found - np.asarray(self.cut)[np.minimum(found, 3).astype(np.int64)]
-        chance[at] += np.where(context[at] > 0, less / np.maximum(context[at], 1), 0)
         token = hashes != START
+        context = (("mass", "f8"), ("total", "u8"))
+        words, counts, before, mass, total = self.levels[0].find(hashes, ("counts", "u8"), ("adjusted", "u8"), *context)
+        ids, counts, chance = words, counts.astype(np.float64), self.low(before.astype(np.int64))
+        for level, cut in zip(self.levels[1:], self.cuts, strict=True):
+            seen = np.flatnonzero((total[:-1] > 0) & token[1:]) + 1
+            chance[seen] *= mass[seen - 1] / total[seen - 1]
+            keys, at = gram_hashes(ids, words, hashes, self.bits)
+            top = level is self.levels[-1]
+            places, n, *rest = level.find(keys, ("counts" if top else "adjusted", "u8"), *(() if top else context))
+            chance[at] += (n - np.asarray(cut)[np.minimum(n, U64(3)).astype(np.int64)]) / np.maximum(total[at - 1], U64(1))
+            if not top:
+                ids, mass, total = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes)), np.zeros(len(hashes), U64)
+                ids[at], mass[at], total[at] = places, *rest
         with np.errstate(divide="ignore"):
             model = np.where(token, np.log10(chance), 0)
         base = np.where(token, np.log10((counts + ADD) / (self.tokens + ADD * (self.types + 1))), 0)
@@ -321,39 +353,60 @@ class Model:
         return list(zip(*(s.tolist() for s in sums), strict=True))
 
 
-def trained(texts: DataFrame) -> Model:
-    """A model of the column ``raw`` (UTF-8 bytes)."""
+def counted(tables: DataFrame, folder: str, order: int, buckets: int, tag: str) -> tuple[DataFrame, Grams, dict]:
+    """Merges counted pieces of an order: a row a bucket, the arrays, and the rows by bucket."""
+    rows = stash(tables.groupBy("bucket").applyInArrow(_merge(folder, named(order)), SIZES), tag)
+    found = {r["bucket"]: r for r in rows.collect()}
+    return rows, Grams(folder, order, [found[k]["size"] if k in found else 0 for k in range(buckets)]), found
+
+
+def small_counts(rows) -> list[int]:
+    return [sum(r[f"n{i}"] for r in rows) for i in range(1, 5)]
+
+
+def trained(texts: DataFrame, order: int = 2) -> Model:
+    """A model of the column ``raw`` (UTF-8 bytes) with ``order`` - 1 words of context."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = texts.sparkSession
     set_arrow_batches(spark)
     folder = shared_folder(spark, "lm")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = stash(texts.mapInArrow(_words(buckets), PIECES).groupBy("bucket").applyInArrow(_merge(folder, "word"), SIZES), "lm-words")
-    rows = {r["bucket"]: r for r in words.collect()}  # a row a bucket
-    sizes = [rows[k]["size"] if k in rows else 0 for k in range(buckets)]
-    documents = start_count(folder, sizes)
-    tokens, types = sum(r["total"] for r in rows.values()) - documents, sum(sizes) - (documents > 0)
-    if sum(sizes) >= 2**32:
+    _, words, rows = counted(texts.mapInArrow(_words(buckets), PIECES), folder, 1, buckets, "lm-words")
+    documents = start_count(words)
+    tokens, types = sum(r["total"] for r in rows.values()) - documents, sum(words.sizes) - (documents > 0)
+    if sum(words.sizes) >= 2**32:
         raise ValueError("more than 2**32 different words")
+    bits = max(1, sum(words.sizes).bit_length())
     if not documents:
-        return Model(folder, sizes, [], 0, 0, discounts(0, 0, 0, 0), discounts(0, 0, 0, 0), 0, 0.0)
+        return Model([words], bits, 0, 0, [], discounts(0, 0, 0, 0), 0, 0.0)
     many = tokens // BUCKET_TOKENS + 1
-    pairs = stash(texts.mapInArrow(_pairs(folder, sizes, many), PIECES).groupBy("bucket").applyInArrow(_merge(folder, "pair"), SIZES), "lm-pairs")
-    found = {r["bucket"]: r for r in pairs.collect()}
-    cut = discounts(*(sum(r[f"n{i}"] for r in found.values()) for i in range(1, 5)))
-    shape = "bucket int, side int, keys binary, counts binary"
-    dealt = pairs.select("bucket").repartition(many, "bucket")
-    low = dealt.mapInArrow(_sides(folder, sizes, cut), shape).groupBy("bucket").applyInArrow(_gather(folder, sizes), SIZES)
-    rows = stash(low, "lm-low").collect()
-    n = [sum(r[f"n{i}"] for r in rows) for i in range(1, 5)]
+    levels, tables = [words], []
+    for n in range(2, order + 1):
+        if sum(levels[-1].sizes) >= 2 ** (64 - bits):
+            raise ValueError(f"more different n-grams of order {n - 1} than ids")
+        table, level, rows = counted(texts.mapInArrow(_grams(levels[:], bits, many), PIECES), folder, n, many, f"lm-{named(n)}")
+        levels.append(level)
+        tables.append(table)
+    cuts, rows = [], list(rows.values())
+    for n in range(order, 1, -1):
+        cuts.insert(0, discounts(*small_counts(rows)))
+        below = levels[n - 2]
+        dealt = tables[n - 2].select("bucket").repartition(many, "bucket")
+        pieces = dealt.mapInArrow(_sides(levels[: n - 1], levels[n - 1], "counts" if n == order else "adjusted", cuts[0], bits, SLICE), SIDES)
+        none = squeezed(np.zeros(0, U64))  # every bucket is written, even if no n-gram of this order touches it
+        every = spark.createDataFrame([(k, 0, none, none) for k, size in enumerate(below.sizes) if size], SIDES)
+        rows = stash(pieces.union(every).groupBy("bucket").applyInArrow(_gather(below), SIZES), f"lm-low-{n}").collect()
+    n = small_counts(rows)
     low_cut, total = discounts(*n), sum(r["total"] for r in rows)
     three = sum(r["size"] for r in rows) - n[0] - n[1]
     low_mass = low_cut[1] * n[0] + low_cut[2] * n[1] + low_cut[3] * three
-    return Model(folder, sizes, [found[k]["size"] if k in found else 0 for k in range(many)], tokens, types, cut, low_cut, total, low_mass)
+    return Model(levels, bits, tokens, types, cuts, low_cut, total, low_mass)
 
 
-def start_count(folder: str, sizes: list[int]) -> int:
+def start_count(words: Grams) -> int:
     """How many texts were counted: the count of START, which begins each."""
-    return int(Vocabulary(folder, sizes).find(np.array([START], U64))[1][0])
+    return int(words.find(np.array([START], U64), ("counts", "u8"))[1][0])
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -370,11 +423,11 @@ def _scorer(model: Model):
     return score
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, order: int = 2) -> DataFrame:
     """Scores of all texts by a model of those not held out."""
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(0))
     read = docs.select("doc_id", (remainder == 0).alias("held_out"), F.col("text").cast("binary").alias("raw"))
-    model = trained(read.where(~F.col("held_out")).select("raw"))
+    model = trained(read.where(~F.col("held_out")).select("raw"), order)
     return read.mapInArrow(_scorer(model), SCORED)
 
 
@@ -384,4 +437,4 @@ def perplexity(scores: DataFrame) -> DataFrame:
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), ORDER)
