@@ -6,7 +6,8 @@ white space by one space. Its frequency is the number of different texts of the
 their frequency is above both limits: LEAST_DOCS texts and HOST_SHARE of the host's texts. A document
 is depleted, and rejected, if less than LEAST_LEFT percent of its words remain.
 
-Null or empty text: no words, so base_failed and not kept. Null source: a host of its own.
+Null or empty text: no words, so base_failed and not kept. Null source: a host of its own. Null doc_id: judged like any
+other. A text is judged per source, so a repeated (doc_id, text) may stay under one and go under another.
 Repeated rows get equal rows. Empty table: no rows. Other columns are not read.
 """
 
@@ -140,10 +141,12 @@ def without_lines(text: pa.Array, gone: pa.Array) -> pa.Array:
 
 def quality_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, without the lines above the limits; n_chars follows the text where there is such a column."""
-    verdict = judged(docs).where("kept").select("doc_id", "text_id", "removed_lines").dropDuplicates(["doc_id", "text_id"])
+    keys = ["doc_id", "text_id", "source"]
+    verdict = judged(docs).where("kept").select(*keys, "removed_lines").dropDuplicates(keys)
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.xxhash64("text").alias("__text_id"))
-    kept = keyed.join(verdict, (F.col("__row.doc_id") == F.col("doc_id")) & (F.col("__text_id") == F.col("text_id")))
+    own = {"doc_id": F.col("__row.doc_id"), "text_id": F.col("__text_id"), "source": F.col("__row.source")}
+    kept = keyed.join(verdict, [own[k].eqNullSafe(F.col(k)) for k in keys])
     text = F.when(F.col("removed_lines").isNull(), F.col("__row.text")).otherwise(F.arrow_udf(without_lines, T.StringType())(F.when(F.col("removed_lines").isNotNull(), F.col("__row.text")), F.col("removed_lines")))
     cleaned = kept.withColumn("__text", text)
     new = {"text": F.col("__text"), "n_chars": F.when(F.col("removed_lines").isNull(), F.col("__row.n_chars")).otherwise(F.length("__text").cast("long"))} if "n_chars" in names else {"text": F.col("__text")}

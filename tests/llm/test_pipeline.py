@@ -28,3 +28,16 @@ def test_stages(spark, tmp_path):
     assert abs(words(seen["mixing"]) - words(seen["pii"])) < 500
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in packed if r["piece"] == 0) == sorted(r["doc_id"] for r in seen["mixing"])
+
+
+def test_stages_keep_null_ids_and_judge_by_source(spark, tmp_path):
+    import corpus_pipeline
+
+    menu, own = " ".join(f"menu{k}x" for k in "abcdefghijklmnopqrst"), " ".join(f"{k}own" for k in "abcdefghijklmnopqrstuvwxy")
+    rows = [(i, menu + f"\nonly {i} here", "en", "host", 0) for i in range(30)]
+    rows += [(300, menu + "\nshort", "en", s, 0) for s in ("host", "elsewhere")] + [(None, own, "en", None, 0)]
+    at = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        assert sorted(((r["doc_id"], r["source"]) for r in at.collect()), key=str) == [(300, "elsewhere"), (None, None)]

@@ -45,3 +45,15 @@ def test_shared_lines_deplete_documents(spark):
     assert not any(out[i] for i in range(30)) and all(out[100 + i] for i in range(5)) and out[200]
     texts = {r["doc_id"]: r["text"] for r in quality.quality_documents(table(spark, rows)).collect()}
     assert shared not in texts[100] and shared in texts[200]
+
+
+def test_null_ids_stay_and_each_source_judges_its_own(spark):
+    shared = " ".join(f"menu{chr(97 + i)}" for i in range(20))
+    own = " ".join(f"t{chr(97 + k)}" for k in range(25))
+    rows = [(i, shared + "\n" + f"only {i} here", "host", "") for i in range(30)]
+    rows += [(300, own + "\n" + shared, s, "") for s in ("host", "elsewhere", None)] + [(301, shared + "\nshort", s, "") for s in ("host", "elsewhere")]
+    rows += [(None, own, s, "") for s in ("elsewhere", None, None)] + [(None, "too short", None, "")]
+    out = sorted(((r["doc_id"], r["source"], r["text"]) for r in quality.quality_documents(table(spark, rows)).collect()), key=str)
+    want = [(300, "host", own), (300, "elsewhere", own + "\n" + shared), (300, None, own + "\n" + shared), (301, "elsewhere", shared + "\nshort")]
+    want += [(None, "elsewhere", own), (None, None, own), (None, None, own)]
+    assert out == sorted(want, key=str)
