@@ -521,7 +521,7 @@ def _constellation(spark):
 
 
 def _areas(spark, d):
-    return V.ring(spark, d).where("site % 9 <> 0").select(F.col("site").cast("string").alias("aoi_id"), F.concat(F.lit("Site "), F.col("site")).alias("name"), "ring", "lon", "lat", "alt_km")
+    return V.ring(spark, d).select(F.col("site").cast("string").alias("aoi_id"), F.concat(F.lit("Site "), F.col("site")).alias("name"), "ring", "lon", "lat", "alt_km")
 
 
 _START_US = 1_704_153_600_000_000
@@ -542,11 +542,18 @@ def swath_coverage(spark, d):
     return p.groupBy("aoi_id").agg(F.count(F.lit(1)).alias("passes"), F.max("coverage_pct").alias("best_coverage"), F.count_if(F.col("coverage_pct") < 1).alias("partial"))
 
 
+def _scenes_at_sites(scenes, sites):
+    """Every scene at a site, dealt in turn over all sites in the order of their keys, which may have gaps."""
+    ranked = sites.select("site").orderBy("site").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF("site long, turn long")
+    n = sites.count()
+    return scenes.join(ranked, F.col("scene") % n == F.col("turn")).drop("turn").join(sites, "site") if n else scenes.join(sites, F.lit(False))
+
+
 @query()
 def scene_validation(spark, d):
     from skyloom.operators import validation
 
     sats = [s for p in ("landsat", "sentinel2") for s, _, _ in catalog.PROFILES[p].satellites]
     sets = _constellation(spark).withColumn("n", F.row_number().over(W.orderBy("satellite")) - 1).withColumn("satellite", F.get(F.array(*[F.lit(s) for s in sats]), F.col("n")))
-    s = V.scene(spark, d).join(V.site(spark, d), F.col("scene") % 90 == F.col("site"))
+    s = _scenes_at_sites(V.scene(spark, d), V.site(spark, d))
     return skill.residuals(validation.scene_matches(s, sets, max_age_days=40.0))

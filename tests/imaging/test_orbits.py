@@ -85,3 +85,18 @@ def test_push_broom_coverage_shrinks_across_track():
     assert coverage.covered(strip(-1, 1), [ring[0], ring[2], ring[1], ring[3]]) is None
     sea = [{"lon": x, "lat": y} for x, y in ((179.95, 0), (-179.95, 0), (-179.95, 0.1), (179.95, 0.1))]
     assert coverage.covered([{"lon": x, "lat": y} for x, y in ((179.9, -1), (180, -1), (180, 1), (179.9, 1))], sea) == 0.5
+
+
+def test_queries_use_all_areas_and_sites(spark, tmp_path):
+    from skyloom.plans import queries
+
+    spark.createDataFrame([(k,) for k in (1, 9, 18, 20)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    out = queries.predict_passes(spark, str(tmp_path)).select("aoi_id", "coverage_pct").collect()
+    assert {r["aoi_id"] for r in queries._areas(spark, str(tmp_path)).collect()} == {"1", "9", "18", "20"}
+    assert {"9", "18"} < {r["aoi_id"] for r in out}  # site 20 has no pass in these two days
+    assert all((r["coverage_pct"] is None) == (r["aoi_id"] in ("9", "18")) for r in out)
+    sites = spark.createDataFrame([(k, float(k)) for k in (1, 95, 120, 700)], "site long, lat double")
+    scenes = spark.createDataFrame([(k, "p") for k in range(1000, 1040)], "scene long, platform string")
+    found = queries._scenes_at_sites(scenes, sites).collect()
+    assert sorted(r["scene"] for r in found) == list(range(1000, 1040)) and {r["site"] for r in found} == {1, 95, 120, 700}
+    assert all(r["lat"] == r["site"] for r in found) and queries._scenes_at_sites(scenes, sites.limit(0)).count() == 0
