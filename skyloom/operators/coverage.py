@@ -42,15 +42,18 @@ def clipped(ring: np.ndarray, window: np.ndarray) -> np.ndarray:
 
 
 def crosses_itself(ring: np.ndarray) -> bool:
-    """Whether two edges that aren't neighbours cross."""
-    n = len(ring)
-    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
-    for i in range(n):
-        a, b = ring[i], ring[(i + 1) % n]
-        for j in range(i + 2, n - (i == 0)):
-            c, d = ring[j], ring[(j + 1) % n]
-            if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
-                return True
+    """Whether two edges that aren't neighbours cross; a sweep from west to east, each edge against those that begin within its span."""
+    n, after = len(ring), np.roll(ring, -1, axis=0)
+    side = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
+    west = np.minimum(ring[:, 0], after[:, 0])
+    order = np.argsort(west)
+    ends = np.searchsorted(west[order], np.maximum(ring[:, 0], after[:, 0])[order], side="right")
+    for k, i in enumerate(order):
+        j = order[k + 1 : ends[k]]
+        j = j[((j - i) % n != 1) & ((i - j) % n != 1)]
+        a, b, c, d = ring[i], after[i], ring[j], after[j]
+        if ((side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)).any():
+            return True
     return False
 
 
@@ -63,7 +66,7 @@ def covered(footprint: list | None, ring: list | None) -> float | None:
     own = local_plane(shape, origin)
     strip = local_plane(np.array([(v["lon"], v["lat"]) for v in footprint], float), origin)
     whole = abs(area(own))
-    if whole < 1e-12 or not np.isfinite(strip).all() or (len(own) <= 512 and crosses_itself(own)):
+    if whole < 1e-12 or not np.isfinite(strip).all() or crosses_itself(own):
         return None
     if area(strip) < 0:
         strip = strip[::-1]
