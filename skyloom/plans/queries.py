@@ -503,8 +503,8 @@ def json_contract(spark, d):
     from skyloom.sources.contract import pass_json
 
     p = V.passes(spark, d)
-    lists = p.select("run_id", "bucket", pass_json(p).alias("j")).groupBy("run_id", "bucket").agg(F.array_sort(F.collect_list("j")).alias("j"))
-    back = lists.select("run_id", "bucket", F.explode("j").alias("j")).select("run_id", "bucket", F.get_json_object("j", "$.tca_utc").alias("t"), F.get_json_object("j", "$.tca_us").cast("long").alias("us"))
+    text = p.select("run_id", "bucket", pass_json(p).alias("j"))
+    back = text.select("run_id", "bucket", F.get_json_object("j", "$.tca_utc").alias("t"), F.get_json_object("j", "$.tca_us").cast("long").alias("us"))
     return back.groupBy("run_id", "bucket").agg(F.count("t").alias("n"), F.min("us").alias("first_us"))
 
 
