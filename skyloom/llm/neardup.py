@@ -7,12 +7,16 @@ coordinates name buckets; 25 bands miss a pair of similarity 0.75 with a probabi
 
 Documents of equal sets are one class from the start. In each bucket, the member with most bucket neighbours is
 compared with all others, which joins most groups of copies at a comparison a member. Buckets whose members are then still in
-different components are compared in blocks of bounded size: a task counts the common shingles of all pairs of two blocks
-as a product of incidence matrices and returns at most a forest of links. So no pair of a bucket
-is left out, and none is ever a row. Links hold where 100 * common >= 75 * all, on full sets.
+different components go through an exact prefix filter: two sets of different components can be alike only if they
+share a shingle among the rarest of both, at places that leave enough others (``postings``). What passes is compared in blocks of
+bounded size: a task counts the common shingles of all pairs of two blocks as a product of incidence matrices and returns at
+most a forest of links. So no pair of a bucket is left out, and none is ever a row. Links hold where
+100 * common >= 75 * all, on full sets.
 
 Null, empty or blank text: an empty set, linked with nothing. Null doc_id: never linked, null
-component, kept. Repeated rows are copies of each other and get equal rows. Empty table: no rows.
+component, kept. Repeated rows are copies of each other and get equal rows. One doc_id with several texts is one node, linked
+where any of its texts is; its kept row is that of the text with the least hash. Very long texts: whole, their signature in pieces.
+Ties do not occur: a component's name is its least doc_id. Empty table: no rows. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -99,7 +103,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingle_set(raw or b"").tobytes() for raw in batch.column("raw").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["node", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(found, pa.binary())], names=["node", "node_text", "items"])
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +141,11 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(node, items): the sorted sets of the documents named by ``ids`` (node), a column of ``n`` rows."""
+    """(node, node_text, items): the sorted sets of the texts named by ``ids`` (node, node_text), a table of ``n`` rows."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.col("text").cast("binary").alias("raw"))
     wanted = F.broadcast(ids) if n <= BROADCAST_IDS else ids
     match = (F.col("doc_id") == F.col("node")) & (F.col("text_id") == F.col("node_text"))
-    return stash(texts.join(wanted, match, "left_semi").mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]), "neardup-sets")
+    return stash(texts.join(wanted, match, "left_semi").mapInArrow(_sets, "node long, node_text long, items binary").dropDuplicates(["node", "node_text"]), "neardup-sets")
 
 
 def links(pairs: DataFrame, sketch: DataFrame, items: DataFrame) -> DataFrame:
@@ -200,22 +204,64 @@ def incidence(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a shingle of each set."""
+    names = ["node", "node_text", "component", "n", "token"]
+    for batch in batches:
+        for node, text, component, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "node_text", "component", "items")), strict=True):
+            items = np.frombuffer(raw, U64)
+            n = len(items)
+            arrays = [*(pa.array(np.full(n, x, np.int64)) for x in (node, text, component, n)), pa.array(items.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def postings(live: DataFrame) -> DataFrame:
+    """(node, node_text, component, n, token, reach): rare shingles of each set, by which sets of different components can be alike.
+
+    ``live`` has node, node_text, component and items. Shingles have one order: those of a single component first, then by how many
+    sets hold them. If the first common shingle of two sets is at place i of one with n shingles, at most n - i are common, so the
+    other has at most ``reach`` shingles. Places where reach is less than the least size an alike set can have are left out.
+    """
+    tokens = live.select("node", "node_text", "component", "items").mapInArrow(_tokens, "node long, node_text long, component long, n long, token long")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "sets")
+    held = tokens.join(shared, "token").groupBy("node", "node_text").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("held"))
+    placed = held.select("node", "node_text", "component", "n", (F.col("n") - F.size("held")).alias("own"), F.posexplode("held").alias("at", "h"))
+    left = F.col("n") - F.col("own") - F.col("at")
+    reach = F.floor(left * (100 + PERCENT) / PERCENT).cast("long") - F.col("n")
+    return placed.select("node", "node_text", "component", "n", F.col("h.token").alias("token"), reach.alias("reach")).where(F.col("reach") * 100 >= F.col("n") * PERCENT)
+
+
+def fitting(rows: DataFrame) -> DataFrame:
+    """Postings without those that no posting of another component and a fitting size can meet."""
+    about = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("reach").alias("most"))
+    return rows.join(about.where("lo <> hi"), "token").where("reach >= least and n <= most").select(*rows.columns)
+
+
 def block_links(members: DataFrame, label: DataFrame, items: DataFrame) -> DataFrame:
     """Links (a, b) between components, from buckets whose members are not all in one component."""
-    live = members.join(label, "node")
-    mixed = live.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    live = stash(live.join(mixed, "bucket").select("bucket", "node", "component", "size", "n_shingles"), "neardup-live")
-    # A node's blocks are those of its largest bucket, so that the buckets of one group of copies share blocks.
-    home = live.groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("h"), F.first("component").alias("component"), F.first("n_shingles").alias("n")).select("node", "component", "n", F.col("h.bucket").alias("home"))
+    placed = members.join(label, "node")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    live = placed.join(mixed, "bucket").select("node", "component").distinct()
+    live = stash(live.join(items, "node").select("node", "node_text", "component", "items"), "neardup-live")
+    rows = stash(fitting(stash(postings(live), "neardup-postings")), "neardup-fitting")
+    rows = stash(fitting(rows), "neardup-rare")
+    sums = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("sets"))
+    sums = sums.groupBy("token").agg(F.sum("sets").alias("size"), F.max(F.struct("sets", "component")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("token", "size", F.col("m.component").alias("main"))
+    rows = stash(rows.join(sums, "token").select("node", "node_text", "component", "n", "token", "size", (F.col("component") != F.col("main")).cast("int").alias("minor")), "neardup-mixed")
+    # A set's block is in its token with most sets, apart for the sets outside the main component there: the main ones, all of one
+    # component, then meet only the others.
+    key = ["node", "node_text"]
+    home = rows.groupBy(*key).agg(F.max(F.struct("size", "token", "minor")).alias("h"), F.first("component").alias("component"), F.first("n").alias("n")).select(*key, "component", "n", F.col("h.token").alias("home"), F.col("h.minor").alias("minor"))
     parts = F.greatest(F.ceil(F.sum("n") * 8 / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS))
-    share = home.groupBy("home").agg(parts.alias("parts"))
-    placed = stash(home.join(share, "home").select("node", "component", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "neardup-blocks")
-    held = live.select("bucket", "node").join(placed, "node").groupBy("bucket", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    one, two = (held.select("bucket", F.col("block").alias(f"b{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k in (0, 1))
+    share = home.groupBy("home", "minor").agg(parts.alias("parts"))
+    block = F.xxhash64("home", "minor", F.pmod(F.xxhash64(*key), F.col("parts")))
+    placed = stash(home.join(share, ["home", "minor"]).select(*key, "component", block.alias("block")), "neardup-blocks")
+    held = rows.select("token", *key).join(placed, key).groupBy("token", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    one, two = (held.select("token", F.col("block").alias(f"b{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k in (0, 1))
     apart = "b0 <= b1 and not (lo0 = hi0 and lo1 = hi1 and lo0 = lo1)"
-    pairs = one.join(two, "bucket").where(apart).select("b0", "b1").distinct()
+    pairs = one.join(two, "token").where(apart).select("b0", "b1").distinct()
     sides = pairs.select("b0", "b1", F.col("b0").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where("b0 <> b1").select("b0", "b1", F.col("b1").alias("block"), F.lit(1).alias("side")))
-    full = placed.join(items, "node")
+    full = placed.join(live.select(*key, "items"), key)
     return sides.join(full, "block").select("b0", "b1", "side", "node", "component", "items").groupBy("b0", "b1").applyInArrow(compared, "a long, b long")
 
 
@@ -224,10 +270,10 @@ def linked(docs: DataFrame) -> DataFrame:
     found = sketches(docs)
     known = found.where("doc_id is not null and fp is not null")
     classes = stash(known.groupBy("fp").agg(F.min(F.struct("doc_id", "text_id")).alias("first")).select("fp", F.col("first.doc_id").alias("node"), F.col("first.text_id").alias("node_text")), "neardup-classes")
-    # A doc_id with two texts stands for the class of its first text only; others of that class go by their next document.
-    first = known.join(classes, (known.doc_id == classes.node) & (known.text_id == classes.node_text)).select("node", "node_text", "bands", "sketch", "n_shingles").dropDuplicates(["node"])
+    # A doc_id with several texts may name several classes; it is one node with a row for each of these texts.
+    first = known.join(classes, (known.doc_id == classes.node) & (known.text_id == classes.node_text)).select("node", "node_text", "bands", "sketch", "n_shingles").dropDuplicates(["node", "node_text"])
     sketch = stash(first, "neardup-first")
-    rows = sketch.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).select("node", "n_shingles", F.xxhash64("band", "key").alias("bucket"))
+    rows = sketch.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     size = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stash(rows.join(size, "bucket"), "neardup-members")
     neighbours = members.groupBy("node").agg(F.sum("size").alias("weight"))
@@ -240,7 +286,7 @@ def linked(docs: DataFrame) -> DataFrame:
         central = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot"))
         pairs = members.join(central, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         stars = components(links(pairs, sketch, items).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        label = stash(ids.select("node").join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "neardup-stars")
+        label = stash(ids.select("node").distinct().join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "neardup-stars")
         more = components(block_links(members, label, items).select(F.col("a").alias("u"), F.col("b").alias("v")))
         label = label.join(more.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left").select("node", F.coalesce("final", "component").alias("component"))
     if label is not None:
@@ -253,12 +299,15 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One document of each group, with the columns of ``docs``."""
-    kept = linked(docs).where("component_id is null or doc_id = component_id").select("doc_id", "text_id").distinct()
+    heads = linked(docs).where("component_id is null or doc_id = component_id").select("doc_id", "text_id")
+    kept = heads.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_id").alias("text_id")).unionByName(heads.where("doc_id is null").distinct())
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.xxhash64("text").alias("__text_id"))
     match = F.col("__row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("__text_id") == F.col("text_id"))
     joined = keyed.join(kept, match)
-    once = joined.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(joined.where("doc_id is null"))
+    # Rows of one id and text that differ in other columns: the least hash is kept, so that reruns agree.
+    one = joined.where("doc_id is not null").groupBy("doc_id").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    once = one.select("__row").unionByName(joined.where("doc_id is null").select("__row"))
     return once.select(*[F.col("__row").getField(c).alias(c) for c in names])
 
 

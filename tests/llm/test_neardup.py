@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from skyloom.llm import neardup
 
 
@@ -65,6 +67,31 @@ def test_components_match_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in out.items() if i == c)
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_one_large_group_of_near_copies(spark, monkeypatch, block):
+    """Copies of one text with few and many words replaced, often by the same words, so that some link only to some."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(220):
+        copy = list(base)
+        for _ in range(rng.randint(1, 9)):
+            copy[rng.randrange(100)] = f"other{rng.randrange(2)}"
+        rows.append((i, " ".join(copy[: rng.choice([100, 100, 85])])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.linked(docs).collect()} == brute(rows)
+
+
+def test_one_id_with_several_texts(spark):
+    """Such an id is one node, linked where any of its texts is."""
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "nothing like the others at all"), (2, a + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.linked(docs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert len({tuple(sorted((r["doc_id"], r["text"]) for r in neardup.distinct_documents(docs).collect())) for _ in range(2)}) == 1
+
+
 def test_edges(spark):
     rows = [(None, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "a b c d e f", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
