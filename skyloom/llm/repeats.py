@@ -11,7 +11,8 @@ neighbouring suffixes by increasing value. It stops at 400: what has no value by
 suffixes start repeated strings. Anchors whose segments exceed a block (a passage in very many documents) are settled by
 counting hashes of their windows instead, which needs no bounded group.
 
-Null text, or fewer than 400 bytes: nothing removed. Null doc_id: handled like any other. Repeated rows are copies of each
+Null text, or fewer than 400 bytes: nothing removed. Very long texts: whole, cut into segments like any other. Ties of the anchor's
+hash go to the first place in the string, alike in equal strings. Null doc_id: handled like any other. Repeated rows are copies of each
 other, so their texts of 400 bytes or more are removed whole. Empty table: no rows. Other columns are not read.
 """
 
@@ -32,8 +33,10 @@ GRAM = 32
 REACH = LENGTH - GRAM + 1
 #: Keys of a segment. Each is LENGTH - (LENGTH - GRAM) / PARTS bytes long.
 PARTS = 8
-#: Bytes of segments that one task transforms at a time.
+#: Bytes of an anchor's segments up to which they are transformed together.
 BLOCK_BYTES = 1 << 20
+#: About the bytes of segments, of several anchors, in one transform.
+DEALT_BYTES = 1 << 18
 OCCURRENCES = "doc_id long, text_id long, anchor long, seg long, start int, size int, mark int"
 SEGMENTS = "doc_id long, text_id long, anchor long, seg long, start int, size int, keys array<long>, body binary"
 SPANS = "doc_id long, text_id long, start int, stop int"
@@ -92,28 +95,53 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` symbols, by prefix doubling; ties by place."""
+    """Suffixes in order of their first ``depth`` symbols, by prefix doubling; ties in any order."""
     n = len(text)
     bits = (int(text.max(initial=0)) + 1).bit_length()
     width = max(1, 62 // bits)  # so many symbols fit in the first key
     key = np.zeros(n, np.int64)
     for k in range(min(width, n)):
         key[: n - k] |= (text[k:] + 1) << (bits * (width - 1 - k))
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    while width < depth and width < n:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+    while True:
+        order = np.argsort(key)
         ordered = key[order]
-        new = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+        if width >= depth or width >= n:
+            return order
+        place = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+        if place[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
-        rank[order] = new
+        rank[order] = place
+        key = rank * (n + 1)
+        key[: n - width] += rank[width:] + 1
         width *= 2
-        if new[-1] == n - 1:
-            break
-    return order
+
+
+class Occurrences:
+    """How often each symbol occurs before a place of the transform: counts at every STRIDE-th place, and what follows it."""
+
+    STRIDE = 64
+
+    def __init__(self, codes: np.ndarray, symbols: int):
+        n, self.symbols = len(codes), symbols
+        rows = n // self.STRIDE + 1
+        within = np.bincount(np.arange(n) // self.STRIDE * symbols + codes, minlength=rows * symbols)[: rows * symbols].reshape(rows, symbols)
+        self.before = np.zeros((rows + 1, symbols), np.int32)
+        np.cumsum(within, axis=0, out=self.before[1:])
+        self.codes = np.concatenate((codes, np.full(self.STRIDE, symbols)))
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """A row a place, a column a symbol."""
+        row, rest = np.divmod(places, self.STRIDE)
+        tail = self.codes[(row * self.STRIDE)[:, None] + np.arange(self.STRIDE)]
+        tail = np.where(np.arange(self.STRIDE) < rest[:, None], tail, self.symbols)
+        wide = self.symbols + 1
+        counts = np.bincount((np.arange(len(places))[:, None] * wide + tail).ravel(), minlength=len(places) * wide)
+        return self.before[row] + counts.reshape(-1, wide)[:, :-1]
+
+
+#: Intervals of more suffixes are extended by rank queries at their two ends, smaller ones by a look at each suffix: the same result.
+SCANNED = 512
 
 
 def bounded_prefixes(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndarray:
@@ -121,27 +149,45 @@ def bounded_prefixes(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndar
 
     An interval of suffixes that share a prefix is extended to the left by each symbol that the transform holds there. The
     border after an extended interval has the shared length as its value if it has none yet; only then is that interval
-    extended in turn. Intervals of equal prefix length are handled together, so values come in increasing order.
+    extended in turn. Intervals of equal prefix length are handled together, so values come in increasing order. Symbols from
+    256 on are separators, each used once; what they begin shares nothing with its neighbours.
     """
     n = len(text)
-    before = text[order - 1]
-    by_symbol = np.argsort(before, kind="stable")
+    kinds = np.minimum(text, 256)
+    counts = np.bincount(kinds, minlength=257)
+    wide = int((counts > 0).sum())
+    letters = wide - int(counts[256] > 0)  # separators have the last code
+    before = (np.cumsum(counts > 0) - 1)[kinds][order - 1]
+    first = np.concatenate(([0], np.cumsum(counts[counts > 0])))
+    by_symbol = np.argsort(before.astype(np.uint16), kind="stable")
     step = np.empty(n, np.int64)
     step[by_symbol] = np.arange(n)  # where a suffix goes when its preceding symbol is put before it
+    ranks = Occurrences(before, wide)
     value = np.full(n + 1, -1, np.int64)
-    value[0] = value[n] = 0
-    low, high = np.array([0]), np.array([n])
-    symbols = int(before.max()) + 1
-    for shared in range(bound):
+    value[0] = 0
+    value[first[1:]] = 0
+    value[first[letters] :] = 0
+    alone = np.arange(first[letters], n)  # the suffixes that a separator begins
+    low, high = np.concatenate((first[:letters], alone)), np.concatenate((first[1 : letters + 1], alone + 1))
+    for shared in range(1, bound):
         sizes = high - low
+        few = sizes <= SCANNED
+        large_low, large_high = low[~few], high[~few]
+        low, sizes = low[few], sizes[few]
         owner = np.repeat(np.arange(len(low)), sizes)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
-        key = owner * symbols + before[at]
+        key = owner * wide + before[at]  # what separators lead to has its value since the start, so they drop out below
         by = np.argsort(key, kind="stable")
         key, to = key[by], step[at[by]]
         edge = np.flatnonzero(key[1:] != key[:-1])
-        first, last = np.concatenate(([0], edge + 1)), np.concatenate((edge, [len(key) - 1]))
-        low, high = to[first], to[last] + 1
+        start = np.concatenate(([0], edge + 1)) if len(key) else edge
+        last = np.concatenate((edge, [len(key) - 1])) if len(key) else edge
+        low, high = to[start], to[last] + 1
+        if len(large_low):
+            a, b = ranks.at(large_low)[:, :letters], ranks.at(large_high)[:, :letters]
+            some = a < b
+            low = np.concatenate((low, (a + first[:letters])[some]))
+            high = np.concatenate((high, (b + first[:letters])[some]))
         new = value[high] < 0
         low, high = low[new], high[new]
         value[high] = shared
@@ -196,8 +242,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = np.frombuffer(r["body"], np.uint8)
             at = np.arange(len(data) - LENGTH + 1)
             n = len(at)
-            ids = [pa.array([r[c]] * n, pa.int64()) for c in ("doc_id", "text_id")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array((at + r["start"]).astype(np.int32)), pa.array(span_hashes(data, at, at + LENGTH).view(np.int64))], names=["doc_id", "text_id", "start", "hash"])
+            ids = [pa.array([r[c]] * n, pa.int64()) for c in ("anchor", "doc_id", "text_id")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array((at + r["start"]).astype(np.int32)), pa.array(span_hashes(data, at, at + LENGTH).view(np.int64))], names=["anchor", "doc_id", "text_id", "start", "hash"])
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +284,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = live.agg(F.sum("size")).first()[0] or 0
     sums = live.groupBy("anchor").agg(F.sum("size").alias("bytes"))
     bodies = stash(held.drop("keys", "size").join(live.join(sums, "anchor").select("anchor", "seg", "bytes"), ["anchor", "seg"]), "repeats-bodies")
-    blocks = max(1, total // BLOCK_BYTES)
+    blocks = max(1, total // DEALT_BYTES)
+    # An explicit number: blocks cost far more than their bytes say, which is what partitions are merged by.
+    tasks = min(blocks, max(blocks // 64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     usual = bodies.where(F.col("bytes") <= BLOCK_BYTES).withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
-    parts = usual.select("block", "doc_id", "text_id", "start", "body").groupBy("block").applyInArrow(_transform, SPANS)
-    windows = bodies.where(F.col("bytes") > BLOCK_BYTES).select("doc_id", "text_id", "start", "body").mapInArrow(_windows, "doc_id long, text_id long, start int, hash long")
-    twice = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    rest = windows.join(twice, "hash").select("doc_id", "text_id", "start", (F.col("start") + LENGTH).alias("stop"))
+    dealt = usual.select("block", "doc_id", "text_id", "start", "body").repartition(tasks, "block")
+    parts = dealt.groupBy("block").applyInArrow(_transform, SPANS)
+    windows = bodies.where(F.col("bytes") > BLOCK_BYTES).select("anchor", "doc_id", "text_id", "start", "body").mapInArrow(_windows, "anchor long, doc_id long, text_id long, start int, hash long")
+    # Equal strings have equal anchors: with both as the key, 128 bits would have to agree by chance.
+    twice = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "hash")
+    rest = windows.join(twice, ["anchor", "hash"]).select("doc_id", "text_id", "start", (F.col("start") + LENGTH).alias("stop"))
     return whole.unionByName(parts).unionByName(rest)
 
 
@@ -260,30 +310,31 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept) + raw[at:], count
 
 
-REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string"
 
 
 def _remover(with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
         for batch in batches:
             rows = []
             for doc_id, raw, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "raw", "spans")), strict=True):
                 raw = raw or b""
                 kept, count = without(raw, [(s["start"], s["stop"]) for s in spans or ()])
-                rows.append((doc_id, len(raw), len(raw) - len(kept), count, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((doc_id, len(raw), len(raw) - len(kept), count, hashlib.sha256(kept).hexdigest(), *((kept, kept.decode("utf-8", "replace")) if with_text else (None, None))))
+            columns = zip(*rows, strict=True) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text"])
 
     return remove
 
 
 def removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Figures of every document without its repeated strings, and what is left of it if asked for."""
+    """Figures of every document without its repeated strings, and what is left of it if asked for: its bytes (``kept``),
+    and as a text, in which a character that lost some of its bytes is U+FFFD."""
     spans = repeated_spans(docs).groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     joined = keyed(docs).alias("t").join(spans.alias("s"), same_document("t", "s"), "left").select("t.doc_id", "t.raw", "s.spans")
     return joined.mapInArrow(_remover(with_text), REMOVED)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=True).drop("kept")

@@ -47,8 +47,14 @@ def test_matches_counting(spark, monkeypatch, block):
 
 
 @settings(deadline=None, max_examples=60)
-@given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=8), st.integers(1, 12))
-def test_bounded_prefixes(bodies, bound):
+@given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=8), st.integers(1, 12), st.sampled_from([0, 3, 256]))
+def test_bounded_prefixes(bodies, bound, scanned):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(repeats, "SCANNED", scanned)
+        prefixes(bodies, bound)
+
+
+def prefixes(bodies, bound):
     text = np.concatenate([np.append(np.frombuffer(b, np.uint8).astype(np.int64), 256 + k) for k, b in enumerate(bodies)])
     order = repeats.suffix_array(text, 64)
     value = repeats.bounded_prefixes(text, order, bound)
