@@ -76,7 +76,8 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], rows: int, how
     if rows <= BROADCAST_ROWS:
         joined = big.join(F.broadcast(renamed), match, how)
     else:
-        salted = big.withColumn("__salt", F.floor(F.rand(11) * SALTS).cast("int"))
+        # A hash of the row, not a random number: a task run again deals its rows as before.
+        salted = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in big.dtypes if "map<" not in kind]), F.lit(SALTS)).cast("int"))
         copies = renamed.withColumn("__s", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         joined = salted.join(copies, [*match, F.col("__salt") == F.col("__s")], how).drop("__salt", "__s")
     return joined.drop(*[f"__k_{k}" for k in keys])

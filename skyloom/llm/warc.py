@@ -9,7 +9,9 @@ Reading: archives are dealt to tasks whole; a task loads the dictionary, decodes
 version, needed headers, Content-Length, block and payload digests. Pages never pass through the driver.
 
 Null payload: an empty one. Null id: written with an empty id, never refers to or is referred to by id.
-Repeated ids: each row is a record. Empty table: no archives, no records. Other columns are not read.
+Repeated ids: each row is a record, revisiting by its own payload; of equal payloads, all rows of the smallest id (ties) are responses.
+Very long payloads: a record each, held whole by the one task at work on it. Empty table: no archives, no records. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import file_system, set_arrow_batches, shared_folder, stash
+from skyloom.llm.common import file_system, join_small, set_arrow_batches, shared_folder, stash
 
 #: Fixed values of the two formats.
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
@@ -133,18 +135,20 @@ def _writer(folder: str):
 
 
 def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, refers_to) of the pages that only refer to another."""
-    sized = pages.where("page_id is not null").select("page_id", F.sha1(F.col("payload")).alias("sha"), F.length("payload").alias("n")).where(F.col("n") >= least)
-    sized = stash(sized, "warc-digests")
-    first = sized.groupBy("sha", "n").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return stash(sized.join(first, ["sha", "n"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct(), "warc-revisits")
+    """(page_id, sha, n, refers_to) of the pages that only refer to another, from page_id, sha and n."""
+    sized = stash(pages.where("page_id is not null").select("page_id", "sha", "n").where(F.col("n") >= least), "warc-digests")
+    copied = stash(sized.groupBy("sha", "n").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "warc-copied")
+    # One payload, such as the empty one, may be that of a large share of all pages.
+    found = join_small(sized, copied, ["sha", "n"], copied.count(), "inner")
+    return stash(found.where("page_id <> refers_to").select("page_id", "sha", "n", "refers_to").distinct(), "warc-revisits")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
     """Write (page_id, url, html) as archives below ``folder``; (archive, records) a file, from the shared folder."""
     set_arrow_batches(pages.sparkSession)
-    read = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    joined = read.join(revisits(read, least), "page_id", "left")
+    payload = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
+    read = payload.select("*", F.sha1("payload").alias("sha"), F.length("payload").cast("long").alias("n"))
+    joined = read.join(revisits(read, least), ["page_id", "sha", "n"], "left").select("page_id", "url", "payload", "refers_to")
     return stash(joined.mapInArrow(_writer(folder), ARCHIVES), "warc-archives")
 
 

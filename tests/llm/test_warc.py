@@ -35,6 +35,15 @@ def test_round_trip(spark):
         list(warc.frames(io.BytesIO(raw[:-3])))
 
 
+def test_repeated_ids_revisit_by_their_own_payload(spark):
+    rows = [(1, "A"), (2, "B"), (5, "A"), (5, "B"), (5, "C"), (7, ""), (6, None)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    out = warc.read_archives(warc.write_archives(pages, shared_folder(spark, "warc-test"))).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in out) == [
+        (1, 1, "response", 0), (2, 1, "response", 0), (5, 1, "response", 0), (5, 1, "revisit", 1), (5, 1, "revisit", 2), (6, 0, "response", 0), (7, 0, "revisit", 6)
+    ]
+
+
 def test_damage():
     good = warc.record(1, "u", b"body", None)
     assert warc.described(good)["payload_bytes"] == 4
