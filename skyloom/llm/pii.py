@@ -1,15 +1,19 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of identifiers they miss.
 
 Fixed patterns find e-mail addresses, IPv4 addresses, payment cards and phone numbers. Those spans, and
-long hexadecimal keys, are seed entities. Every mention that looks like an identifier (a token with a digit, SIZE characters or
-more) is described by two lexical patterns: the two words before it, and the word before and after it.
-Spark holds the graph of patterns and instances and scores it in rounds: a pattern's confidence for a kind is the
-mean score of its different instances (one more counts as a miss), an instance's score the noisy-or over its trusted patterns.
-Patterns with SUPPORT different instances and confidence TRUST then name unseen mentions in their places, as
-kinds ``like_email`` and so on; ``secret`` is the kind of the keys. Fixed spans always stay.
-
-Null or empty text: no spans. Null doc_id: handled like any other. Repeated rows get equal rows. Empty table: no rows.
-Other columns are not read.
+long hexadecimal keys, are seed entities. Mentions are what may be an identifier: pieces between white space and separators that
+hold a digit (neighbouring ones are one mention), and pieces that follow ``=`` or ``:``, with or without digits. Each mention is
+described by lexical patterns (``patterns``): the words and separators before it, and those around it.
+Spark holds the graph of patterns and instances and scores it in rounds until nothing changes: a pattern's confidence for a kind is the
+sum of its known instances' scores over all its different instances, those of other kinds counted whole, unknown ones by MISS, and
+one more as a miss; an instance's score is the noisy-or over its trusted patterns. Patterns with SUPPORT known instances and
+confidence TRUST are trusted. Unknown mentions and keys whose instance reaches TRUST are added wherever they stand, as
+``like_email`` and so on; ``secret`` is the kind of the keys. A key in no trusted pattern, such as a checksum in a
+list, is left alone. Fixed spans always stay.
+
+Null or empty text: no spans. Null doc_id: handled like any other. Very long texts: whole, in time linear in their length; of the
+words of a pattern, what lies within CONTEXT characters of the mention counts. Ties between kinds: the later in the list of kinds.
+Repeated rows get equal rows. Empty table: no rows. Other columns are not read, and pass through redaction.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from skyloom.llm.common import join_small, set_arrow_batches, stash
 KINDS = ("email", "ip", "card", "phone")
 FOUND = (*[f"like_{k}" for k in KINDS], "secret")
 SUPPORT = 3
-TRUST = 0.8
-ROUNDS = 3
+TRUST = 0.75
+MISS = 0.5
+#: Rounds end when nothing changes; trusted patterns only spread along the graph, so this is a guard.
+ROUNDS = 20
 SIZE = 6
 CONTEXT = 64
 
@@ -41,10 +47,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_RUN = re.compile(r"[^\x20\x09-\x0D]*")
-_EDGE = "\"'`()[]{}<>,;:.!?#*$%&|="
+_SEPARATORS = "=|,;:\"'`()[]{}<>!?*#$&%"
+_PIECE = re.compile(rf"[^\s{re.escape(_SEPARATORS)}]*")
+_BREAK = frozenset(_SEPARATORS + " \t\n\r\x0b\x0c")
+_SET = re.compile(r"[=:][\x20\t]{0,2}[\"'`(\[<]?(?=[^\W\d_])")
+_LEXEME = re.compile(rf"[^\s{re.escape(_SEPARATORS)}]+|[{re.escape(_SEPARATORS)}]")
 _KEY = re.compile(r"(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}")
-_BODY = re.compile(r"[A-Za-z0-9_./+@:-]+")
 
 
 def luhn(digits: str) -> bool:
@@ -84,44 +92,62 @@ def written(spans, names=KINDS) -> str:
     return ",".join(f"{names[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def _word(word: str) -> str:
-    return _DIGIT.sub("0", word).lower()
+def _lexemes(text: str) -> list[str]:
+    """Words and separators, digits as 0, in lower case."""
+    return [_DIGIT.sub("0", w).lower() for w in _LEXEME.findall(text)]
 
 
-def patterns(text: str, start: int, end: int) -> tuple[str, str]:
-    """The two lexical patterns of a mention: what stands before it, and what stands around it."""
-    before = text[max(0, start - CONTEXT) : start]
-    after = text[end : end + CONTEXT]
-    left = [_word(w) for w in before.split()]
-    right = _word(next(iter(after.split()), ""))
-    glued = bool(before) and not before[-1].isspace()
-    near = left[-3:] if glued else left[-2:]
-    joined = " ".join(near) + ("" if glued else " ")
-    last = " ".join(left[-2:] if glued else left[-1:]) + ("" if glued else " ")
-    tight = bool(after) and not after[0].isspace()
-    return f"L {joined}", f"B {last}_{'' if tight else ' '}{right}"
+def patterns(text: str, start: int, end: int) -> set[str]:
+    """The lexical patterns of a mention: two words before it with the separators after them; one word, if separators follow; one word and what follows the mention."""
+    before = _lexemes(text[max(0, start - CONTEXT) : start])
+    after = _lexemes(text[end : end + CONTEXT])[:1]
+    words = [k for k, w in enumerate(before) if w not in _BREAK]
+    if not words:
+        return set()
+    one, two = " ".join(before[words[-1] :]), " ".join(before[words[-2] :]) if len(words) > 1 else ""
+    return {p for p in (f"L {two}" * bool(two), f"S {one}" * (words[-1] < len(before) - 1), f"B {one} _ {' '.join(after)}") if p}
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of seeds and of tokens that look like identifiers; kind -1: unknown, 4: a key."""
-    out, taken = list(base), sorted((a, b) for _, a, b in base)
-    at, k = 0, 0
+    """(kind, start, end) of seeds and of what may be an identifier; kind -1: unknown, 4: a key."""
+    taken = sorted((a, b) for _, a, b in base)
+    out, at, k = [], 0, 0
     while found := _DIGIT.search(text, at):
         start = found.start()
-        while start > at and text[start - 1] not in " \t\n\r\x0b\x0c":
+        while start > at and text[start - 1] not in _BREAK:
             start -= 1
-        end = _RUN.match(text, found.start()).end()
-        at = end
+        end = _PIECE.match(text, found.start()).end()
         while k < len(taken) and taken[k][1] <= start:
             k += 1
         if k < len(taken) and taken[k][0] < end:
+            at = max(end, taken[k][1])
             continue
-        token = text[start:end]
-        core = token.strip(_EDGE)
-        if len(core) < SIZE or not _BODY.fullmatch(core):
-            continue
-        start += len(token) - len(token.lstrip(_EDGE))
-        out.append((4 if _KEY.fullmatch(core) else -1, start, start + len(core)))
+        key = _KEY.fullmatch(text, start, end)
+        limit = taken[k][0] if k < len(taken) else len(text)
+        while not key and end < limit - 1 and text[end] in " -" and (more := _PIECE.match(text, end + 1)).end() <= limit and _DIGIT.search(more[0]) and not _KEY.fullmatch(more[0]):
+            end = more.end()
+        at = end
+        while end > start and text[end - 1] in ".-/":
+            end -= 1
+        if end - start >= SIZE:
+            out.append((4 if key else -1, start, end))
+    for found in _SET.finditer(text):
+        start, end = found.end(), _PIECE.match(text, found.end()).end()
+        while end > start and text[end - 1] in ".-/":
+            end -= 1
+        if end - start >= SIZE and not _DIGIT.search(text, start, end):
+            out.append((-1, start, end))
+    return [*base, *_apart(out, taken)]
+
+
+def _apart(spans: list[tuple[int, int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that overlap none of the sorted ``taken``."""
+    out, k = [], 0
+    for span in sorted(spans, key=lambda s: s[1]):
+        while k < len(taken) and taken[k][1] <= span[1]:
+            k += 1
+        if k == len(taken) or taken[k][0] >= span[2]:
+            out.append(span)
     return out
 
 
@@ -157,43 +183,52 @@ def scanned(docs: DataFrame) -> DataFrame:
     return stash(docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(_scan, SCANNED), "pii")
 
 
-def trusted_patterns(found: DataFrame) -> tuple[DataFrame, int]:
-    """(pattern, kind, trust) of the patterns that hold after the last round, and their number."""
+def trusted_patterns(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, trust) of the patterns that hold after the last round, and (instance, kind) of the instances they name."""
     all_edges = found.select(F.explode("mentions").alias("m")).select("m.instance", "m.kind", F.explode("m.patterns").alias("pattern"))
     # Mentions of an instance agree on its kind: the fixed one if there is any.
-    edges = stash(all_edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
-    sizes = stash(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT), "pii-sizes")
-    scores = edges.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
-    trusted, n = None, 0
+    edges = all_edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+    edges, sizes = stash(edges, "pii-edges"), stash(sizes, "pii-sizes")
+    edges = stash(edges.join(sizes, "pattern"), "pii-graph")
+    seeds = edges.where("kind >= 0").select("pattern", "instance", "n", "kind", F.lit(1.0).alias("score"))
+    unknown = edges.where("kind < 0").select("pattern", "instance", "n")
+    known, before = seeds, None
     for _ in range(ROUNDS):
-        scored = edges.select("pattern", "instance").join(scores, "instance")
-        sums = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("known"))
-        rated = sums.where(F.col("known") >= SUPPORT).join(sizes, "pattern").withColumn("trust", F.col("score") / (F.col("n") + 1))
-        best = rated.where(F.col("trust") >= TRUST).groupBy("pattern").agg(F.max(F.struct("trust", "kind")).alias("b"))
+        sums = known.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("named"), F.first("n").alias("n"))
+        every = known.groupBy("pattern").agg(F.sum("score").alias("all"), F.countDistinct("instance").alias("known"))
+        rated = sums.where(F.col("named") >= SUPPORT).join(every, "pattern")
+        trust = F.col("score") / (F.col("all") + MISS * (F.col("n") - F.col("known")) + 1)
+        best = rated.withColumn("trust", F.round(trust, 9)).where(F.col("trust") >= TRUST).groupBy("pattern").agg(F.max(F.struct("trust", "kind")).alias("b"))
         trusted = stash(best.select("pattern", F.col("b.kind").alias("kind"), F.col("b.trust").alias("trust")), "pii-trusted")
-        if not (n := trusted.count()):
-            break
-        hits = join_small(edges.where("kind < 0").select("pattern", "instance"), trusted, ["pattern"], n, "inner")
+        state = trusted.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("pattern", "kind", "trust").cast("decimal(38,0)")).alias("h")).first()
+        hits = join_small(unknown, trusted, ["pattern"], state["n"], "inner")
         # One minus the product of the chances to be wrong; trust is below 1, so the logarithm is finite.
-        new = hits.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score"))
-        scores = stash(edges.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("score")).distinct().unionByName(new), "pii-scores")
-    return trusted, n
+        scores = hits.groupBy("instance", "kind").agg(F.round(1 - F.exp(F.sum(F.log1p(-F.col("trust")))), 9).alias("score"))
+        scores = stash(scores.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b")).select("instance", F.col("b.kind").alias("kind"), F.col("b.score").alias("score")), "pii-scores")
+        if not state["n"] or before == (state["n"], state["h"]):
+            break
+        before = (state["n"], state["h"])
+        known = seeds.unionByName(unknown.join(scores, "instance").select("pattern", "instance", "n", "kind", "score"))
+    keys = join_small(edges.where("kind = 4").select("pattern", "instance"), trusted.where("kind = 4"), ["pattern"], state["n"], "inner")
+    named = scores.where(F.col("score") >= TRUST).select("instance", "kind").unionByName(keys.select("instance", "kind").distinct())
+    return trusted, stash(named, "pii-named")
 
 
 def spotted(docs: DataFrame) -> DataFrame:
     """Counts, base spans, their digest and the added spans of every document."""
     found = scanned(docs)
-    trusted, n = trusted_patterns(found)
-    open_ = found.select("doc_id", "text_id", F.explode("mentions").alias("m")).select("doc_id", "text_id", "m.kind", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
-    keys = open_.where("kind = 4").select("doc_id", "text_id", "start", "end", F.lit(4).alias("kind"))
-    new = join_small(open_.where("kind < 0").drop("kind"), trusted, ["pattern"], n, "inner")
-    new = new.groupBy("doc_id", "text_id", "start", "end").agg(F.max(F.struct("trust", "kind")).alias("b")).select("doc_id", "text_id", "start", "end", F.col("b.kind").alias("kind"))
-    added = keys.unionByName(new).groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
+    named = trusted_patterns(found)[1].withColumnRenamed("kind", "as")
+    open_ = found.select("doc_id", "text_id", F.explode("mentions").alias("m")).select("doc_id", "text_id", "m.kind", "m.start", "m.end", "m.instance").where("kind < 0 or kind = 4")
+    new = join_small(open_, named, ["instance"], named.count(), "inner").select("doc_id", "text_id", F.col("as").alias("kind"), "start", "end")
+    added = new.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
     match = [F.col(f"f.{k}").eqNullSafe(F.col(f"x.{k}")) for k in ("doc_id", "text_id")]
     both = found.drop("mentions").alias("f").join(added.alias("x"), match, "left").select("f.*", "x.added")
     names = F.array(*[F.lit(k) for k in FOUND])
     extra = F.concat_ws(",", F.transform("added", lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))))
-    return both.withColumn("spans", F.concat_ws(",", F.nullif(F.col("base"), F.lit("")), F.nullif(extra, F.lit("")))).drop("added", "base")
+    spans = F.concat_ws(",", F.nullif(F.col("base"), F.lit("")), F.nullif(extra, F.lit("")))
+    total = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.greatest(F.size("added"), F.lit(0))
+    return both.withColumn("spans", spans).withColumn("n_spans", total.cast("long")).drop("added", "base")
 
 
 def redacted(text: str, spans: str) -> str:
@@ -215,11 +250,10 @@ def _redact(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced; n_chars follows the text where there is such a column."""
-    spans = spotted(docs).where("spans <> ''").select("doc_id", "text_id", "spans").distinct()
+    spans = stash(spotted(docs).where("spans <> ''").select(F.col("doc_id").alias("__doc_id"), F.col("text_id").alias("__text_id"), "spans").distinct(), "pii-spans")
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.xxhash64("text").alias("__text_id"))
-    match = F.col("__row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("__text_id") == F.col("text_id"))
-    both = keyed.join(spans, match, "left")
+    both = join_small(keyed.withColumn("__doc_id", F.col("__row.doc_id")), spans, ["__doc_id", "__text_id"], spans.count())
     clean = F.arrow_udf(_redact, T.StringType())(F.when(F.col("spans").isNotNull(), F.col("__row.text")), F.col("spans"))
     both = both.withColumn("__text", F.when(F.col("spans").isNull(), F.col("__row.text")).otherwise(clean))
     new = {"text": F.col("__text"), "n_chars": F.when(F.col("spans").isNull(), F.col("__row.n_chars")).otherwise(F.length("__text").cast("long"))} if "n_chars" in names else {"text": F.col("__text")}
@@ -228,4 +262,4 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return spotted(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return spotted(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")

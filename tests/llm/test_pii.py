@@ -1,5 +1,6 @@
 """Fixed spans against the patterns as written, and what contexts add."""
 
+import random
 import re
 
 from hypothesis import given, settings
@@ -44,9 +45,77 @@ def test_long_runs_are_linear():
         pii.base_spans(text)
 
 
+def test_mentions_stand_between_separators():
+    def said(text):
+        return [text[a:b] for _, a, b in pii.mentions(text, pii.base_spans(text))]
+
+    key = "0123456789abcdef" * 2
+    assert said(f'token="{key}"|{key},key={key} and id 123 45 6789.') == [key, key, key, "123 45 6789"]
+    assert said("pass: correcthorse or pass=longenough; note: no") == ["correcthorse", "longenough"]
+    assert said("a.b@c.org:55512345 x") == ["a.b@c.org", "55512345"]
+    assert pii.patterns("my API key: 9911", 12, 16) == {"L api key :", "S key :", "B key : _ "}
+
+
+def plain_named(edges):
+    """Pattern and instance scores as the docstring says, in plain Python: {instance: kind}; edges: {(pattern, instance): kind}."""
+    by = {}
+    for (p, i), k in edges.items():
+        by.setdefault(p, {})[i] = k
+    by = {p: v for p, v in by.items() if len(v) >= pii.SUPPORT}
+    scores, last = {}, None
+    while True:
+        trusted = {}
+        for p, held in by.items():
+            score = {i: (k, 1.0) if k >= 0 else scores.get(i) for i, k in held.items()}
+            known = [s for s in score.values() if s]
+            for kind in {k for k, _ in known}:
+                own = [x for k, x in known if k == kind]
+                trust = round(sum(own) / (sum(x for _, x in known) + pii.MISS * (len(held) - len(known)) + 1), 9)
+                if len(own) >= pii.SUPPORT and trust >= pii.TRUST:
+                    trusted[p] = max(trusted.get(p, (0, 0)), (trust, kind))
+        wrong = {}
+        for p, (trust, kind) in trusted.items():
+            for i, k in by[p].items():
+                if k < 0:
+                    wrong[i, kind] = wrong.get((i, kind), 1.0) * (1 - trust)
+        scores = {}
+        for (i, kind), w in wrong.items():
+            scores[i] = max(scores.get(i, (-1, 0.0))[::-1], (round(1 - w, 9), kind))[::-1]
+        if trusted == last:
+            break
+        last = trusted
+    keys = {i: 4 for p, (_, kind) in trusted.items() if kind == 4 for i, k in by[p].items() if k == 4}
+    return {i: k for i, (k, s) in scores.items() if s >= pii.TRUST} | keys
+
+
+def test_graph_scores_match_plain_ones(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(400):
+        slot = rng.choice(["mail to", "write to", "key:", "id =", "see", "call", "host"])
+        kind = {"mail to": "e", "write to": "ex", "key:": "kkkkx", "id =": "kxx", "see": "exk", "call": "pppx", "host": "i"}[slot]
+        n = rng.randint(1000, 1030)
+        value = {"e": f"a{n}@b.org", "x": f"Q-{n}-{n}", "k": f"{n:032x}ab", "p": f"+1 555 0{n}99", "i": f"10.0.0.{n % 200}"}[rng.choice(kind)]
+        rows.append((i, f"{rng.choice(['then', 'now'])} {slot} {value} {rng.choice(['soon', 'or'])} not"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    edges = {}
+    for _, text in rows:
+        for k, a, b in pii.mentions(text, pii.base_spans(text)):
+            for p in pii.patterns(text, a, b):
+                edges[p, text[a:b].lower()] = max(k, edges.get((p, text[a:b].lower()), -1))
+    want = plain_named(edges)
+    assert len(want) > 20 and {0, 4} <= set(want.values())
+    got = {}
+    for r in pii.spotted(docs).collect():
+        for kind, a, b in (x.split(":") for x in r["spans"].split(",") if x):
+            if kind in pii.FOUND:
+                got[rows[r["doc_id"]][1][int(a) : int(b)].lower()] = pii.FOUND.index(kind)
+    assert got == want
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rows = [(i, f"words here api key: {i:032x}deadbeef and so on {i}", "x") for i in range(1, 40)]
-    rows += [(100, "words here api key: ZZ-9911-QQ-77 and more", "x"), (101, "clean part number AB-12345 of a shelf", "x")]
+    rows += [(100, "words here api key: ZZ-9911-QQ-77 and more", "x"), (101, "clean part number AB-12345 of a shelf " + "ab12" * 9, "x")]
     rows += [(102, None, "x"), (103, "", None), (104, "mail a.b@c.org or 10.0.0.1", "x"), (104, "mail a.b@c.org or 10.0.0.1", "x"), (None, "q@r.st", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     out = {r["doc_id"]: r for r in pii.spotted(docs).collect()}
