@@ -51,3 +51,19 @@ def test_edges(spark):
     assert sorted(r["size"] for r in out) == [0, 0, 1, 2, 2]
     assert all(r["copies"] == 0 for r in out if not r["size"])
     assert mixing.mix(spark.createDataFrame([(1, None, "a")], shape)).first()["target"] == 0.0
+
+
+def test_null_and_repeated_ids_come_near_the_target(spark):
+    rows = [(None, f"w{i} " * 50, "null ids") for i in range(200)] + [(7, "one two three", "equal rows")] * 1000
+    rows += [(i, f"w{i} " * (60 * (i % 5 + 1)), "few") for i in range(20)] + [(i, "w " * 2000, "much") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(docs).collect()
+    for source in ("null ids", "equal rows", "few"):
+        own = [r for r in out if r["source"] == source]
+        taken, target = sum(r["size"] * r["copies"] for r in own), own[0]["target"]
+        assert abs(taken - target) <= max(60, 0.01 * target), (source, taken, target)
+        assert all(r["copies"] <= 3 for r in own)
+    again = mixing.mix(docs.repartition(3)).collect()
+    count = lambda rows: sorted((r["source"], str(r["doc_id"]), r["size"], r["copies"]) for r in rows)
+    assert count(again) == count(out)
+    assert mixing.mixed_documents(docs).count() == sum(r["copies"] for r in out)
