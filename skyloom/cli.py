@@ -65,8 +65,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if gone := [r["satellite"] for r in missing.collect()]:  # a roster's size at most
             print(f"error: no element set for {', '.join(gone)}", file=sys.stderr)
             return 3
-        found.append(passes.predict(aois, sets, profile, start, a.days, ellipsoid=a.nadir_ellipsoid, include_nonoperational=a.include_nonoperational, max_off=a.max_off_nadir, min_sun=a.min_sun))
-        said += [r["text"] for r in passes.warnings(passes.candidates(aois, sets, start, a.days).select("satellite", "bad_steps"), sets, start).orderBy("ord").collect()]
+        close = passes.candidates(aois, sets, start, a.days, ellipsoid=a.nadir_ellipsoid).cache()  # passes and warnings share it
+        found.append(passes.predict(aois, sets, profile, start, a.days, found=close, ellipsoid=a.nadir_ellipsoid, include_nonoperational=a.include_nonoperational, max_off=a.max_off_nadir, min_sun=a.min_sun))
+        said += [r["text"] for r in passes.warnings(close, sets, start).orderBy("ord").collect()]
         roster += profile.satellites
     out = campaign.merged(found).cache()
     notes = [("Window start (UTC)", a.start or "now"), ("Days", str(a.days)), ("Sensor", ", ".join(p.display for p in chosen)), ("Off-nadir limit", ", ".join(f"{a.max_off_nadir or p.max_off}°" for p in chosen)), ("Terrain altitude (m)", str(a.alt))]

@@ -73,7 +73,7 @@ def test_nonoperational_and_warnings(predicted):
     assert less.where("satellite = 'SYN4'").count() == 0
     found = passes.candidates(aois, elements, start + 4 * 86_400_000_000, 0.1)
     texts = [r["text"] for r in passes.warnings(found, elements, start + 4 * 86_400_000_000).orderBy("ord").collect()]
-    assert "5.0 days old" in texts[0] and len(texts) == 2
+    assert "by 5.0 days" in texts[0] and len(texts) == 2
     assert passes.predict(aois.limit(0), elements, PROFILES["landsat"], start, 1.0).count() == 0
 
 
@@ -100,3 +100,28 @@ def test_queries_use_all_areas_and_sites(spark, tmp_path):
     found = queries._scenes_at_sites(scenes, sites).collect()
     assert sorted(r["scene"] for r in found) == list(range(1000, 1040)) and {r["site"] for r in found} == {1, 95, 120, 700}
     assert all(r["lat"] == r["site"] for r in found) and queries._scenes_at_sites(scenes, sites.limit(0)).count() == 0
+
+
+def test_blocks_of_time_and_groups_of_areas_change_nothing(spark, monkeypatch):
+    from skyloom.plans import queries
+
+    areas = spark.createDataFrame([(f"a{i}", -60.0 + 11 * i, 15.0 * i % 360 - 180, 0.1) for i in range(11)], "aoi_id string, lat double, lon double, alt_km double")
+    sets = queries._constellation(spark)
+
+    def found():
+        rows = passes.candidates(areas, sets, queries._START_US, 1.5).collect()
+        return sorted((r["aoi_id"], r["satellite"], round(r["t_us"], -4), *(round(r[c], 2) for c in ("eta", "x", "y", "z"))) for r in rows)
+
+    whole = found()
+    assert len(whole) > 50 and len({r[:3] for r in whole}) == len(whole)
+    monkeypatch.setattr(passes, "BLOCK_STEPS", 37)
+    monkeypatch.setattr(passes, "GROUP_AREAS", 2)
+    assert found() == whole
+
+
+def test_work_is_spread(spark):
+    from skyloom.plans import queries
+
+    areas = spark.createDataFrame([(i, 0.3 * i, 0.7 * i, 0.0) for i in range(120)], "aoi_id long, lat double, lon double, alt_km double")
+    dealt = passes.candidates(areas, queries._constellation(spark), queries._START_US, 2.0)
+    assert dealt.rdd.getNumPartitions() >= 4
