@@ -40,6 +40,8 @@ HELD = 4_000_000
 BUCKET_TOKENS = 8_000_000
 #: N-grams of a bucket that are worked on at once.
 SLICE = 1 << 20
+#: Values of a packed array that have a code of a byte.
+FREQUENT = 255
 #: The order of op3_lm.
 ORDER = 3
 PIECES = "bucket int, keys binary, counts binary"
@@ -140,6 +142,44 @@ def write_array(uri: str, values: np.ndarray) -> None:
     system.move(spare, path)
 
 
+def write_packed(uri: str, values: np.ndarray) -> None:
+    """An array of 8-byte values as a byte each: its place among the FREQUENT most frequent values, which are kept with it; the others are listed."""
+    bits = np.ascontiguousarray(values).view(U64)
+    seen, code, count = np.unique(bits, return_inverse=True, return_counts=True)
+    usual = np.sort(np.argsort(-count, kind="stable")[:FREQUENT])
+    place = np.full(len(seen), FREQUENT, np.uint8)
+    place[usual] = np.arange(len(usual))
+    code = place[code]
+    rare = np.flatnonzero(code == FREQUENT)
+    write_array(f"{uri}.usual", seen[usual])
+    write_array(f"{uri}.rare", np.concatenate((rare.astype(U64), bits[rare])))
+    write_array(uri, code)
+
+
+class Packed:
+    """A memory-mapped array of ``write_packed``; places in it give values."""
+
+    def __init__(self, uri: str, kind: str):
+        self.code, self.usual, rare = mapped(uri, "u1"), mapped(f"{uri}.usual", "u8"), mapped(f"{uri}.rare", "u8")
+        self.kind, self.places, self.values = kind, rare[: len(rare) // 2], rare[len(rare) // 2 :]
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        code = np.asarray(self.code[places])
+        out = np.zeros(len(code), U64)
+        usual = code < FREQUENT
+        out[usual] = self.usual[code[usual]]
+        out[~usual] = self.values[np.searchsorted(self.places, places[~usual].astype(U64))]
+        return out.view(self.kind)
+
+    def part(self, start: int, stop: int) -> np.ndarray:
+        return self.at(np.arange(start, min(stop, len(self.code))))
+
+
+@lru_cache(maxsize=None)
+def packed(uri: str, kind: str = "u8") -> Packed:
+    return Packed(uri, kind)
+
+
 @lru_cache(maxsize=None)
 def mapped(uri: str, kind: str) -> np.ndarray:
     """A memory map of an array in the shared folder; from a remote store it is copied to the worker's folder first."""
@@ -161,7 +201,7 @@ def _merge(folder: str, name: str):
         hashes, counts = merged(keys, [spread(x) for x in table.column("counts").to_pylist()])
         bucket = key[0].as_py()
         write_array(f"{folder}/{name}-{bucket}.keys", hashes)
-        write_array(f"{folder}/{name}-{bucket}.counts", counts)
+        write_packed(f"{folder}/{name}-{bucket}.counts", counts)
         small = np.bincount(np.minimum(counts, U64(5)).astype(np.int64), minlength=6)[1:5]
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "size": [len(hashes)], "total": [int(counts.sum())], **{f"n{i + 1}": [int(x)] for i, x in enumerate(small)}})
 
@@ -187,7 +227,7 @@ class Grams:
             hit = at >= 0
             ids[a:b][hit] = self.first[k] + at[hit]
             for (name, kind), value in zip(arrays, values, strict=True):
-                value[a:b][hit] = mapped(f"{self.folder}/{self.name}-{k}.{name}", kind)[at[hit]]
+                value[a:b][hit] = packed(f"{self.folder}/{self.name}-{k}.{name}", kind).at(at[hit])
         return [x[back] for x in (ids, *values)]
 
     def keys(self, ids: np.ndarray) -> np.ndarray:
@@ -269,7 +309,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 
 def _sides(levels: list[Grams], own: Grams, counts: str, cut: list[float], bits: int, held: int):
-    """From each bucket of n-grams, in pieces by bucket of the order below: discount mass by context, different words before by the n-gram without its first word, total by context."""
+    """From each bucket of n-grams, in pieces by bucket of the order below: discount mass and total by context (side 0), different words before by the n-gram without its first word (side 1)."""
     below = levels[-1]
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,18 +317,18 @@ def _sides(levels: list[Grams], own: Grams, counts: str, cut: list[float], bits:
             for k in batch.column("bucket").to_pylist():
                 for start in range(0, own.sizes[k], held):
                     context, word = gram_parts(np.array(mapped(f"{own.folder}/{own.name}-{k}.keys", "u8")[start : start + held]), bits)
-                    count = np.array(mapped(f"{own.folder}/{own.name}-{k}.{counts}", "u8")[start : start + held])
+                    count = packed(f"{own.folder}/{own.name}-{k}.{counts}").part(start, start + held)
                     mass = np.asarray(cut)[np.minimum(count, U64(3)).astype(np.int64)]
-                    for side, part, each in ((0, context, mass), (1, shortened(levels, context, word, bits), np.ones(len(word), U64)), (2, context, count)):
+                    fixed = np.rint(mass * 2**20).astype(U64)  # in fixed point, sums don't depend on order
+                    for side, part, each in ((0, context, (fixed, count)), (1, shortened(levels, context, word, bits), (np.ones(len(word), U64),))):
                         order = np.argsort(part, kind="stable")
                         part = part[order]
                         at = np.flatnonzero(np.concatenate((np.ones(1, bool), part[1:] != part[:-1])))
-                        gram, total = part[at], np.add.reduceat(each[order], at)
-                        value = np.rint(total * 2**20).astype(U64) if side == 0 else total  # mass in fixed point: sums don't depend on order
+                        gram, sums = part[at], [np.add.reduceat(x[order], at) for x in each]
                         cuts = np.searchsorted(gram, below.first)
                         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                             a, z = cuts[b], cuts[b + 1]
-                            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "side": pa.array([side], pa.int32()), "keys": [squeezed(np.diff((gram[a:z] - below.first[b]).astype(U64), prepend=U64(0)))], "counts": [squeezed(value[a:z])]})
+                            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "side": pa.array([side], pa.int32()), "keys": [squeezed(np.diff((gram[a:z] - below.first[b]).astype(U64), prepend=U64(0)))], "counts": [squeezed(np.concatenate([x[a:z] for x in sums]))]})
 
     return sides
 
@@ -301,12 +341,14 @@ def _gather(below: Grams):
         path = f"{below.folder}/{below.name}-{bucket}"
         dense = [np.zeros(below.sizes[bucket], U64) for _ in range(3)]
         for side, keys, counts in zip(*(table.column(c).to_pylist() for c in ("side", "keys", "counts")), strict=True):
-            dense[side][np.cumsum(spread(keys), dtype=U64).astype(np.int64)] += spread(counts)
+            at = np.cumsum(spread(keys), dtype=U64).astype(np.int64)
+            for k, values in zip(((0, 2), (1,))[side], spread(counts).reshape(2 - side, -1), strict=True):
+                dense[k][at] += values
         mass, adjusted, total = dense
         if below.name != named(1):  # no word stands before the start of a text: such n-grams keep their counts
-            adjusted = np.where(adjusted > 0, adjusted, np.array(mapped(f"{path}.counts", "u8")))
+            adjusted = np.where(adjusted > 0, adjusted, packed(f"{path}.counts").part(0, len(adjusted)))
         for name, values in (("mass", mass / 2**20), ("total", total), ("adjusted", adjusted)):
-            write_array(f"{path}.{name}", values)
+            write_packed(f"{path}.{name}", values)
         n = np.bincount(np.minimum(adjusted, U64(5)).astype(np.int64), minlength=6)
         return pa.table({"bucket": pa.array([bucket], pa.int32()), "size": [int((adjusted > 0).sum())], "total": [int(adjusted.sum())], **{f"n{i}": [int(n[i])] for i in range(1, 5)}})
 
