@@ -2,13 +2,15 @@
 
 A page becomes a tree of elements (markup is mended as browsers do: paragraphs and list items end where the next
 block begins, unclosed elements at their parent's end). Scripts, styles, forms and other things that hold no
-prose are left out, as are elements whose name, role or class says menu, header, footer, sidebar, notice, advert
-or comment. Each paragraph gives points for its length and commas to its parent, and half to its grandparent; a
+prose are left out, as are elements whose name, role, class or id says menu, header, footer, sidebar, notice, advert
+or comment (``unwanted``). Each paragraph gives points for its length and commas to its parent, and half to its grandparent; a
 container's points are discounted by its link density. The best container is kept with those siblings that score near it or
-read like prose. Its blocks are the text: white space within a block becomes one space, blocks are joined by \\n.
+read like prose, and the prose between them. Its blocks are the text: white space within a block becomes one space, blocks
+are joined by \\n.
 
-Null or empty html, or no prose: an empty string. Any row of any size is handled alone, in memory of its own
-size. Repeated rows get equal rows; other columns are not read. Empty table: no rows.
+Null or empty html, or no prose: an empty string. Any row of any size is handled alone, in time and memory linear in its
+size. Ties of the best container: the first in the page. Repeated rows get equal rows; other columns, of any name, are not
+read. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -30,33 +32,56 @@ DROPPED = frozenset("script style textarea title noscript template iframe noembe
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption dt th caption summary address".split())
 FREE = frozenset("p h1 h2 h3 h4 h5 h6 br".split())
-NOT_MAIN = r"nav|navbar|menu|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommended|comments?|disqus|respond|replies|reply|pagination|pager|login|signup|search|toolbar|skip|disclaimer|gdpr|outbrain|taboola"
-MAY_BE_MAIN = r"article|main|content|body|post|entry|story|text|column|page"
+NOT_MAIN = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget widgets ad ads advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments commenting disqus respond replies reply pagination pager login signup search toolbar skip disclaimer gdpr outbrain taboola".split())
+NOT_SAID = frozenset("has with no non not without is are hide show".split())
 
-_NOT_MAIN = re.compile(rf"(?<![a-z])(?:{NOT_MAIN})(?![a-z])")
-_MAY_BE_MAIN = re.compile(rf"(?<![a-z])(?:{MAY_BE_MAIN})(?![a-z])")
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# An attribute whose quote never ends ends its tag there, so that every character is looked at once.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
-#: What a start tag closes: elements left open above it, up to a border.
-_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
+_WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+#: What a start tag closes: elements left open above it, up to a border; each family's elements know their next one above.
+_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}, 1), "dt": ({"dt", "dd"}, {"dl"}, 2), "dd": ({"dt", "dd"}, {"dl"}, 2), "tr": ({"tr", "td", "th"}, {"table"}, 3), "td": ({"td", "th"}, {"table", "tr"}, 3), "th": ({"td", "th"}, {"table", "tr"}, 3), "option": ({"option"}, {"select"}, 4)}
+_FAMILY = {name: family for closed, borders, family in _CLOSES.values() for name in closed | borders}
 _WHITE = re.compile(r"\s+")
 
 BASE_POINTS, PER_CHARS, MOST_FOR_LENGTH, LEAST_CHARS = 1, 100, 3, 25
 SIBLING_SHARE = 0.2
 PROSE_CHARS = 80
+LEAST_SCORE = 10
+MOST_LINKED = 0.25
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SENTENCE = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*\Z")
 
 
 class Node:
-    """An element with its children: nodes and strings."""
+    """An element with its children: nodes and strings. ``near``: the next block, and the next element of each family, at or above it."""
 
-    __slots__ = ("name", "parent", "children", "out", "score", "points")
+    __slots__ = ("name", "parent", "children", "out", "near", "chars", "linked", "commas", "points", "score")
 
     def __init__(self, name: str, parent: Node | None, out: bool):
         self.name, self.parent, self.out = name, parent, out
         self.children: list = []
+        self.chars = self.linked = self.commas = 0
         self.score = self.points = 0.0
+        near = parent.near if parent else (self,) * 5
+        family = _FAMILY.get(name, 0)
+        if name in BLOCKS or family:
+            near = tuple(self if k == family or k == 0 and name in BLOCKS else one for k, one in enumerate(near))
+        self.near = near
+
+
+def says_unwanted(names: str) -> bool:
+    """Whether one of the class names or ids has a word for what is no main text, as ``post-comments``, ``mainMenu`` and ``advert`` do and ``has-sidebar`` does not."""
+    for name in names.split():
+        last = ""
+        for word in _WORDS.findall(name):
+            word = word.lower()
+            if word in NOT_MAIN and last not in NOT_SAID:
+                return True
+            last = word
+    return False
 
 
 def unwanted(name: str, attributes: str) -> bool:
@@ -72,15 +97,22 @@ def unwanted(name: str, attributes: str) -> bool:
         return True
     if given.get("role", "").lower() in _ROLES:
         return True
-    said = f"{given.get('class', '')} {given.get('id', '')}".lower()
-    return bool(_NOT_MAIN.search(said)) and not (name != "div" and name not in BLOCKS) and not _MAY_BE_MAIN.search(said.replace("sidebar", ""))
+    return says_unwanted(f"{given.get('class', '')} {given.get('id', '')}")
 
 
 def tree(page: str) -> Node:
     """The element tree of a page."""
     root = Node("#root", None, False)
     at, place, size = root, 0, len(page)
-    low = None
+    open_: dict[str, int] = {}
+    body = False
+
+    def up(node: Node, to: Node) -> Node:
+        while node is not to:
+            open_[node.name] -= 1
+            node = node.parent
+        return to
+
     while place < size:
         found = _TOKEN.search(page, place)
         if not found:
@@ -96,32 +128,30 @@ def tree(page: str) -> Node:
             continue
         name = name.lower()
         if found[2]:
-            node = at
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                at = node.parent
+            if open_.get(name):
+                node = at
+                while node.name != name:
+                    node = node.parent
+                at = up(at, node.parent)
             elif name in ("p", "br"):
                 at.children.append(Node(name, at, at.out))
             continue
         if name in BLOCKS and name != "html" and name != "body":
-            node = at
-            while node is not root and node.name not in BLOCKS:
-                node = node.parent
+            node = at.near[0]
             if node.name == "p" or (node.name in FREE and name in FREE):
-                at = node.parent
+                at = up(at, node.parent)
         if name in _CLOSES:
-            closed, borders = _CLOSES[name]
-            node, last = at, None
+            closed, borders, family = _CLOSES[name]
+            node, last = at.near[family], None
             while node is not root and node.name not in borders:
                 if node.name in closed:
                     last = node
-                node = node.parent
+                node = node.parent.near[family]
             if last is not None:
-                at = last.parent
-        if name in ("html", "body") and low:
+                at = up(at, last.parent)
+        if name in ("html", "body") and body:
             continue
-        low = low or name == "body"
+        body = body or name == "body"
         node = Node(name, at, at.out or unwanted(name, found[4]))
         at.children.append(node)
         if name in RAW:
@@ -129,6 +159,7 @@ def tree(page: str) -> Node:
             place = end.end() if end else size
         elif name not in VOID and not found[4].endswith("/"):
             at = node
+            open_[name] = open_.get(name, 0) + 1
     return root
 
 
@@ -161,48 +192,78 @@ def density(text: str, links: int) -> float:
     return min(1.0, links / len(text)) if text else 1.0
 
 
+def measure(root: Node) -> None:
+    """Characters, linked characters and commas of every wanted element, from the leaves up."""
+    order = list(walk(root))
+    for node in order:
+        own = _WHITE.sub(" ", entities.unescape("".join(c for c in node.children if isinstance(c, str))))
+        node.chars, node.commas = len(own), own.count(",") + own.count("、") + own.count("，")
+        node.linked = len(own) if node.name == "a" else 0
+    for node in reversed(order):
+        if (up := node.parent) is not None:
+            up.chars += node.chars
+            up.commas += node.commas
+            up.linked += node.chars if up.name == "a" else node.linked
+
+
+def points_of(chars: int, commas: int, linked: int) -> float:
+    """The points of a paragraph, discounted by its link density."""
+    return 0.0 if chars < LEAST_CHARS else (BASE_POINTS + commas + min(chars / PER_CHARS, MOST_FOR_LENGTH)) * (1 - min(1.0, linked / chars))
+
+
 def score(root: Node) -> list[Node]:
     """Gives points to containers; returns them."""
+    measure(root)
     held: dict[int, Node] = {}
     for node in walk(root):
         if node.name in PARAGRAPHS:
-            text, links = prose(node)
+            target, points = node.parent, points_of(node.chars, node.commas, node.linked)
         else:
-            text = _WHITE.sub(" ", entities.unescape("".join(c for c in node.children if isinstance(c, str)))).strip()
-            links = 0
-        if len(text) < LEAST_CHARS:
-            continue
-        points = (BASE_POINTS + text.count(",") + text.count("、") + text.count("，") + min(len(text) / PER_CHARS, MOST_FOR_LENGTH)) * (1 - density(text, links))
-        target, share = (node.parent, 1.0) if node.name in PARAGRAPHS else (node, 1.0)
-        while target is not None and share >= 0.5:
-            if target.name != "#root" or target.parent is None:
-                target.points += points * share
-                held[id(target)] = target
+            own = _WHITE.sub(" ", entities.unescape("".join(c for c in node.children if isinstance(c, str)))).strip()
+            target, points = node, points_of(len(own), own.count(",") + own.count("、") + own.count("，"), 0)
+        share = 1.0
+        while points and target is not None and share >= 0.5:
+            target.points += points * share
+            held[id(target)] = target
             target, share = target.parent, share / 2
     for node in held.values():
         bonus = 1.25 if node.name in ("article", "main") else 1.0
-        node.score = node.points * bonus * (1 - density(*prose(node)))
+        node.score = node.points * bonus * (1 - min(1.0, node.linked / max(1, node.chars)))
     return list(held.values())
 
 
+def reads(text: str, links: int, heading: bool = False) -> bool:
+    """Whether a text reads like prose: not mostly links, and long, or a sentence, or a heading."""
+    return bool(text) and density(text, links) < MOST_LINKED and (heading or len(text) >= PROSE_CHARS or bool(_SENTENCE.search(text)))
+
+
 def main_nodes(root: Node) -> list[Node]:
-    """The best container, and those of its siblings that belong to the text."""
+    """The best container, and what beside it belongs to the text: siblings that score near it or read like prose, and loose prose between."""
     held = score(root)
     if not held:
         return [root]
     best = max(held, key=lambda n: n.score)
     if best.parent is None:
         return [best]
-    keep = []
+    keep, loose = [], []
+
+    def close() -> None:
+        if loose:
+            run = Node("div", None, False)
+            run.children = loose[:]
+            loose.clear()
+            text, links = prose(run)
+            if reads(text, links):
+                keep.append(run)
+
     for node in best.parent.children:
-        if node is best:
+        if isinstance(node, str) or node.name not in BLOCKS:
+            loose.append(node)
+            continue
+        close()
+        if node is best or not node.out and (node.score >= max(LEAST_SCORE, best.score * SIBLING_SHARE) or reads(*prose(node), node.name in HEADINGS)):
             keep.append(node)
-        elif isinstance(node, Node) and not node.out and node.name in BLOCKS:
-            text, links = prose(node)
-            near = node.score >= max(10, best.score * SIBLING_SHARE)
-            reads = node.name in PARAGRAPHS and len(text) >= PROSE_CHARS and density(text, links) < 0.25
-            if near or reads:
-                keep.append(node)
+    close()
     return keep
 
 

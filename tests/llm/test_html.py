@@ -1,8 +1,14 @@
 """Main text of small pages."""
 
+import re
+import time
+
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from skyloom.llm import html
 
 PROSE = "Long enough to count as prose, with commas, and some more words to be safe."
@@ -23,12 +29,71 @@ def test_without_article_the_best_container_wins_with_its_siblings():
     assert html.main_text(page).split("\n") == [PROSE, PROSE * 3, PROSE * 2]
 
 
+def test_nothing_that_is_no_main_text_stays():
+    for name in ("post-comments", "comment-content", "page-footer", "main-menu", "mainMenu", "content sidebar", "entry_share", "advert", "AdBanner"):
+        for tag in ("div", "span", "section"):
+            page = f"<body><article><p>{PROSE}</p><{tag} class='{name}'>leak, {PROSE}</{tag}><p>{PROSE}</p></article></body>"
+            assert html.main_text(page) == f"{PROSE}\n{PROSE}", name
+    for name in ("has-sidebar", "content no-comments", "roadside", "reads", "headers-of-state"):
+        assert html.main_text(f"<body><div class='{name}'><p>{PROSE}</p></div></body>") == PROSE, name
+
+
+def test_short_sections_and_loose_text_beside_the_best_stay():
+    page = f"<body><div id=a><section><p>{PROSE * 9}</p><p>{PROSE * 9}</p></section><h2>Next</h2><section><p>It is short.</p></section> loose words, <i>here too</i>. <ul><li><a href=x>link</a></li></ul></div></body>"
+    assert html.main_text(page).split("\n") == [PROSE * 9, PROSE * 9, "Next", "It is short.", "loose words, here too."]
+
+
+@pytest.mark.parametrize("page", ["<div>x y z, " * 90000, "<b>" * 180000 + "</i>" * 180000, "<a '" * 250000, "<ul><li><ul>" + "<div>" * 3000 + "<li>a</li>" * 90000, "<b>" * 20000 + "<p>x" * 200000, "<blockquote>word, " * 60000, '<p title="' * 100000, "<a href=x>" * 100000 + "t", "<td>" * 200000, "<!--" * 200000, "&amp" * 200000])
+def test_long_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 20 * len(page) / 1e6
+
+
+def plain_scores(node):
+    """Scores by their definition, each element's text gathered anew."""
+    def under(one, linked=False):
+        if isinstance(one, str):
+            text = re.sub(r"\s+", " ", one)
+            return [(len(text), text.count(","), linked)]
+        return [] if one.out else [x for c in one.children for x in under(c, linked or one.name == "a")]
+
+    wanted = list(html.walk(node))
+    points = {id(n): 0.0 for n in wanted}
+    for n in wanted:
+        got = under(n)
+        if n.name in html.PARAGRAPHS:
+            worth, to = html.points_of(sum(x[0] for x in got), sum(x[1] for x in got), sum(x[0] for x in got if x[2])), n.parent
+        else:
+            own = re.sub(r"\s+", " ", "".join(c for c in n.children if isinstance(c, str))).strip()
+            worth, to = html.points_of(len(own), own.count(","), 0), n
+        for share in (1, 0.5):
+            if to is not None:
+                points[id(to)] += worth * share
+                to = to.parent
+    out = {}
+    for n in wanted:
+        got = under(n)
+        size, linked = sum(x[0] for x in got), sum(x[0] for x in got if x[2])
+        out[id(n)] = points[id(n)] * (1.25 if n.name in ("article", "main") else 1) * (1 - min(1, linked / max(1, size)))
+    return out
+
+
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<li>", "<a href=x>", "</a>", "<b>", "</b>", "<div class=ad>", "some words, and more of them to count ", "tail, "]), max_size=40).map("".join))
+def test_scores_match_their_definition(page):
+    root = html.tree(page)
+    held = html.score(root)
+    want = plain_scores(root)
+    assert all(abs(n.score - want[id(n)]) < 1e-9 for n in held)
+    assert {id(n) for n in held} >= {k for k, v in want.items() if v > 0}
+
+
 def test_edges(spark):
     assert [html.main_text(x) for x in (None, "", "<p>", "<", "&amp;", "plain text")] == ["", "", "", "<", "&", "plain text"]
     deep = "<div>" * 3000 + f"<p>{PROSE}</p>"
     assert html.main_text(deep) == PROSE
     rows = [(1, "u", None, "x"), (2, None, f"<p>{PROSE}</p>", "y"), (2, None, f"<p>{PROSE}</p>", "y")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("clash"))
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extracted(pages).collect()) == [(1, "", 0), (2, PROSE, len(PROSE)), (2, PROSE, len(PROSE))]
     assert html.extracted(pages.limit(0)).count() == 0
 
