@@ -38,6 +38,8 @@ START, FINISH = U64(0x9D39247E33776D41), U64(0x2AF7398005AAA5C7)
 #: Entries that a task holds before it merges them, and about how many tokens' pairs go to one bucket.
 HELD = 4_000_000
 BUCKET_TOKENS = 8_000_000
+#: Bytes of text to a bucket of words.
+BUCKET_BYTES = 48_000_000
 #: N-grams of a bucket that are worked on at once.
 SLICE = 1 << 20
 #: Values of a packed array that have a code of a byte.
@@ -413,7 +415,9 @@ def trained(texts: DataFrame, order: int = 2) -> Model:
     spark = texts.sparkSession
     set_arrow_batches(spark)
     folder = shared_folder(spark, "lm")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Every task sends a piece to every bucket of words, so a bucket's input grows with the corpus: so does their number.
+    size = texts.agg(F.sum(F.length("raw"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     _, words, rows = counted(texts.mapInArrow(_words(buckets), PIECES), folder, 1, buckets, "lm-words")
     documents = start_count(words)
     tokens, types = sum(r["total"] for r in rows.values()) - documents, sum(words.sizes) - (documents > 0)
