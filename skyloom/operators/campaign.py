@@ -25,16 +25,21 @@ def windows(passes: DataFrame, by: list[str], span_us: int = WINDOW_US) -> DataF
             "mean_off": F.avg(F.abs("off_nadir_deg")).over(w),
             "mean_sun": F.avg("sun_elev_deg").over(w),
             "end_us": F.max("tca_us").over(w),
-            "satellites": F.array_sort(F.collect_set("satellite").over(w)),
         }
     )
 
 
 def best_window(passes: DataFrame, by: list[str], span_us: int = WINDOW_US) -> DataFrame:
-    """The window with most good passes; ties: lower mean off-nadir, higher mean sun, earlier. An aggregation, so no key is sorted."""
+    """The window with most good passes; ties: lower mean off-nadir, higher mean sun, earlier. An aggregation, so no key is sorted.
+
+    Satellites are gathered for the chosen window alone: there are at most a roster's.
+    """
     rank = F.struct(-F.col("n"), F.col("mean_off"), -F.col("mean_sun"), F.col("tca_us"))
-    value = F.struct("tca_us", "end_us", "n", "mean_off", "mean_sun", "satellites")
-    return windows(passes, by, span_us).groupBy(*by).agg(F.min_by(value, rank).alias("w")).select(*by, F.col("w.tca_us").alias("start_us"), "w.end_us", "w.n", "w.mean_off", "w.mean_sun", "w.satellites")
+    value = F.struct(F.col("tca_us").alias("start_us"), "end_us", "n", "mean_off", "mean_sun")
+    best = windows(passes, by, span_us).groupBy(*by).agg(F.min_by(value, rank).alias("w"))
+    good = passes.where("quality = 'good'").select(*by, "tca_us", "satellite")
+    inside = good.join(best, by).where("tca_us between w.start_us and w.end_us")
+    return inside.groupBy(*by).agg(F.first("w").alias("w"), F.array_sort(F.collect_set("satellite")).alias("satellites")).select(*by, "w.*", "satellites")
 
 
 def summary(passes: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:

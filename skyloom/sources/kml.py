@@ -38,8 +38,9 @@ def kml_text(data: bytes) -> str:
 
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """(source, kml) of files; the size limit is applied before any content reaches Python."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_BYTES)
+    """(source, kml) of files; a file beyond the size limit is refused, before any content reaches Python."""
+    said = F.format_string(f"%s has %d bytes; at most {MAX_BYTES} are allowed", "path", "length")
+    files = spark.read.format("binaryFile").load(path).withColumn("content", F.when(F.col("length") <= MAX_BYTES, F.col("content")).otherwise(F.raise_error(said).cast("binary")))
     unzip = F.pandas_udf(lambda s: s.map(kml_text), T.StringType())
     return files.select(F.col("path").alias("source"), unzip("content").alias("kml"))
 

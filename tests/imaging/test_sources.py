@@ -122,3 +122,12 @@ def test_streaming(spark, tmp_path):
     q.stop()
     out = sorted((r["norad"], r["epoch_us"]) for r in spark.sql("select * from changes").collect())
     assert out == [(1, 11), (1, 10 + sky.DAY_US)]
+
+
+def test_a_file_beyond_the_limit_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kml, "MAX_BYTES", 100)
+    (tmp_path / "a.kml").write_text("<kml/>")
+    assert kml.read_kml(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.kml").write_text("<kml>" + " " * 200)
+    with pytest.raises(Exception, match="at most 100 are allowed"):
+        kml.read_kml(spark, str(tmp_path)).collect()
