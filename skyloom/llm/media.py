@@ -32,6 +32,9 @@ WIDTH = 64
 LEVEL = 1
 SHARD_BYTES = 256 << 20
 BLOCK = 512
+#: Bytes of a shard that are read back together, and of all shards for one task.
+SPAN_BYTES = 4 << 20
+READ_BYTES = 32 << 20
 #: Fixed values of the format: its signature, and the length of all before the first data chunk.
 PNG = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
@@ -214,9 +217,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *arrays, *[batch.column(c) for c in kept]], names=["doc_id", "n_bytes", *names, *kept])
 
 
+def dealt(places: DataFrame) -> DataFrame:
+    """Places by spans of their shards, in file order. The table is small against the shards, so it is dealt by bytes to read, not by its own size."""
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, total // READ_BYTES)
+    return places.repartition(tasks, "shard", F.floor(F.col("offset") / SPAN_BYTES)).sortWithinPartitions("shard", "offset")
+
+
 def features(places: DataFrame) -> DataFrame:
     """Reads each stored payload back; equal payloads of a shard are read once."""
-    return with_headers(places).mapInArrow(_features, FEATURES)
+    return with_headers(dealt(places)).mapInArrow(_features, FEATURES)
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
