@@ -265,7 +265,8 @@ def packed(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     shares = stash(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "pack-shares")
     counts = {r["length"]: r["n"] for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # CAPACITY rows at most
     before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-    ranked = pieces.join(shares.select("length", "task", before.alias("before")), ["length", "task"])
+    # Shares grow with the number of tasks, so they are joined by an exchange of the pieces' few numbers, not broadcast.
+    ranked = pieces.join(shares.select("length", "task", before.alias("before")).hint("merge"), ["length", "task"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(_placer(planned(counts).slots), PLACED)
 
