@@ -74,5 +74,5 @@ def orbit_changes(history: DataFrame) -> DataFrame:
 
 
 def manoeuvre_warnings(changes: DataFrame) -> DataFrame:
-    text = F.format_string("%s: MANOEUVRE detected: semi-major axis rose %.0f m over %.2f d; the superseded set mispredicted by %.1f km (%.2f s along-track).", "satellite", F.col("da_km") * 1000, "gap_days", "pos_err_km", "along_track_s")
+    text = F.format_string("MANOEUVRE of %s between its last two element sets: its orbit grew by %.0f m in %.2f days, and the older set would place it %.1f km (%.2f s of flight) off.", "satellite", F.col("da_km") * 1000, "gap_days", "pos_err_km", "along_track_s")
     return changes.where("manoeuvred").select("satellite", text.alias("text"))

@@ -508,6 +508,188 @@ def json_contract(spark, d):
     return back.groupBy("run_id", "bucket").agg(F.count("t").alias("n"), F.min("us").alias("first_us"))
 
 
+# --- outlook and its files: series, catalogues and climatology as JSON, made from the tables and read back
+
+_REF_US = 1_704_067_200_000_000
+_AREA_HOUR = "area_hour AS (SELECT CAST(user_id % 7 AS INTEGER) AS run_id, epoch_us(ts) // 3600000000 AS idx, (epoch_us(ts) // 3600000000) * 3600000000 AS t_us, avg(floor(least(value, 100.0))) AS total FROM events GROUP BY 1, 2, 3)"
+_AREA_MEMBER = "area_member AS (SELECT run_id, idx, t_us, avg(1 / (1 + exp((pct - 30) / 8))) AS p, min(pct) AS lo, max(pct) AS hi FROM (SELECT CAST(user_id % 7 AS INTEGER) AS run_id, epoch_us(ts) // 3600000000 AS idx, (epoch_us(ts) // 3600000000) * 3600000000 AS t_us, user_id % 51 AS member, avg(floor(least(value, 100.0))) AS pct FROM events GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"
+_RATE = "rate AS (SELECT site, month, round(100.0 * count(*) FILTER (cloud_pct < 30) / count(*), 1) AS clear_pct FROM archive WHERE cloud_pct IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10)"
+_ASKED_CLOUD = "p AS (SELECT *, CASE WHEN lead < 5 THEN 1 WHEN lead < 15 THEN 2 ELSE 3 END AS asked FROM (SELECT event_id, run_id, tca_us, (tca_us - 1704067200000000) / 8.64e10 AS lead FROM obs))"
+
+
+def _near_area(name: str, samples: str, tier: int, value: str) -> str:
+    return f"{name} AS (SELECT event_id, arg_min(v, (gap, t_us)) AS s FROM (SELECT p.event_id, {value} AS v, h.t_us, abs(h.t_us - p.tca_us) AS gap FROM p JOIN {samples} h ON h.run_id = p.run_id AND h.t_us BETWEEN p.tca_us - {_TOL} AND p.tca_us + {_TOL} WHERE asked = {tier}) GROUP BY 1)"
+
+
+_OUTLOOK = with_(
+    V.OBS, _AREA_HOUR, _AREA_MEMBER, _ARCHIVE, _RATE, _ASKED_CLOUD,
+    _near_area("one", "area_hour", 1, "{'total': h.total, 'low': h.idx % 40, 'mid': h.idx % 30, 'high': h.idx % 70}"),
+    _near_area("two", "area_member", 2, "{'p': h.p, 'lo': h.lo, 'hi': h.hi}"),
+    "o AS (SELECT p.*, one.s AS a, two.s AS b, c.clear_pct AS clim, CASE WHEN asked = 3 THEN 3 WHEN asked = 1 AND one.s IS NOT NULL THEN 1 WHEN asked = 2 AND two.s IS NOT NULL THEN 2 ELSE 0 END AS tier, least(100.0, one.s.low + one.s.mid + 0.4 * one.s.high) AS ob FROM p LEFT JOIN one USING (event_id) LEFT JOIN two USING (event_id) LEFT JOIN rate c ON asked = 3 AND c.site = p.run_id AND c.month = 1)",
+)
+
+
+def _area_hours(spark, d, *more):
+    e = table(spark, d, "events")
+    hour = F.floor(sky.to_us(F.col("ts")) / sky.HOUR_US)
+    grouped = e.groupBy((F.col("user_id") % 7).cast("int").alias("run_id"), hour.alias("idx"), *more).agg(F.avg(F.floor(F.least(F.col("value"), F.lit(100.0)))).alias("total"))
+    return grouped.withColumn("t_us", F.col("idx") * sky.HOUR_US)
+
+
+def _rates(spark, d):
+    return skill.monthly_clear_rate(_archive(spark, d), ["site"], least=10).withColumn("name", F.concat(F.lit("Run "), F.col("site").cast("string")))
+
+
+def _outlook(spark, d):
+    from skyloom.operators import clouds
+    from skyloom.sources import weather
+
+    i = F.col("idx")
+    area = F.col("run_id").alias("aoi_id")
+    forecast = _area_hours(spark, d).select(area, "idx", "t_us", "total", *[(i % k).cast("double").alias(c) for c, k in (("low", 40), ("mid", 30), ("high", 70))])
+    ensemble = _area_hours(spark, d, (F.col("user_id") % 51).alias("member")).select(area, "idx", "t_us", "member", F.col("total").alias("pct"))
+    passes = V.obs(spark, d).select("event_id", area, "satellite", "tca_us", F.concat(F.lit("Run "), F.col("run_id").cast("string")).alias("name"))
+    return clouds.with_clouds(passes, forecast, ensemble, weather.climatology(weather.climatology_json(_rates(spark, d))), _REF_US)
+
+
+@query(
+    _OUTLOOK + "SELECT event_id, tier, ['n/a', 'forecast', 'ensemble', 'climatology'][1 + tier] AS label, "
+    + ", ".join(f"{sql_micro(x)} AS {k}" for k, x in {"total": "a.total", "band_low": "CASE WHEN tier = 1 THEN round(greatest(0, a.total - (10 + 3 * least(lead, 5)))) END", "band_high": "CASE WHEN tier = 1 THEN round(least(100, a.total + 10 + 3 * least(lead, 5))) END", "obstruction": "CASE WHEN tier = 1 THEN round(ob, 1) END", "p_clear": "round(b.p, 3)", "spread_low": "b.lo", "spread_high": "b.hi", "clim": "clim"}.items())
+    + ", coalesce(a.high > 20, false) AS cirrus, CASE WHEN tier = 1 THEN ob > 60 WHEN tier = 2 THEN b.p < 0.3 ELSE false END AS likely_cloudy FROM o"
+)
+def cloud_outlook(spark, d):
+    c = lambda k: F.col(f"cloud.{k}")
+    numbers = {"total": c("total_pct"), "band_low": F.get(c("total_band_pct"), 0), "band_high": F.get(c("total_band_pct"), 1), "obstruction": c("optical_obstruction_pct"), "p_clear": c("p_clear"), "spread_low": F.get(c("spread_pct"), 0), "spread_high": F.get(c("spread_pct"), 1), "clim": c("clim_clear_pct")}
+    return _outlook(spark, d).select("event_id", c("tier").alias("tier"), c("label").alias("label"), *[micro(x).alias(k) for k, x in numbers.items()], c("cirrus_flag").alias("cirrus"), c("likely_cloudy").alias("likely_cloudy"))
+
+
+@query(_OUTLOOK + "SELECT run_id AS aoi_id, count(*) FILTER (tier = 0) AS n FROM o GROUP BY 1")
+def beyond_horizon(spark, d):
+    from skyloom.operators import clouds
+
+    return clouds.beyond_horizon(_outlook(spark, d))
+
+
+def _series(spark, d):
+    """A capture an area and day, so at most 24 hours each."""
+    day = _area_hours(spark, d).groupBy("run_id", F.floor(F.col("idx") / 24).alias("day")).agg(F.array_sort(F.collect_list(F.struct("idx", "total"))).alias("h"))
+    each = lambda f: F.transform("h", f)
+    hourly = F.struct(
+        each(lambda h: F.date_format(F.timestamp_micros(h["idx"] * sky.HOUR_US), "yyyy-MM-dd'T'HH:mm")).alias("time"), each(lambda h: h["total"]).alias("cloud_cover"), each(lambda h: (h["idx"] % 40).cast("double")).alias("cloud_cover_low"),
+        each(lambda h: h["total"] + 1).alias("cloud_cover_member01"), each(lambda h: h["total"] + 2).alias("cloud_cover_previous_day3"),
+    )
+    return day.select(F.concat_ws("/", F.col("run_id").cast("string"), F.col("day").cast("string")).alias("aoi_id"), F.to_json(F.struct(hourly.alias("hourly"))).alias("json"))
+
+
+_CAPTURE = "run_id || '/' || (idx // 24) AS aoi_id, t_us"
+
+
+@query(with_(_AREA_HOUR) + f"SELECT {_CAPTURE}, {sql_micro('total')} AS total, {sql_micro('idx % 40')} AS low, false AS has_high FROM area_hour")
+def forecast_series(spark, d):
+    from skyloom.sources import weather
+
+    return weather.forecast(_series(spark, d)).select("aoi_id", "t_us", micro(F.col("total")).alias("total"), micro(F.col("low")).alias("low"), F.col("high").isNotNull().alias("has_high"))
+
+
+@query(with_(_AREA_HOUR) + f"SELECT {_CAPTURE}, member, {sql_micro('total + more')} AS pct FROM area_hour, (VALUES ('cloud_cover', 0), ('cloud_cover_member01', 1)) AS m(member, more)")
+def ensemble_series(spark, d):
+    from skyloom.sources import weather
+
+    return weather.ensemble(_series(spark, d)).select("aoi_id", "t_us", "member", micro(F.col("pct")).alias("pct"))
+
+
+@query(with_(_AREA_HOUR) + f"SELECT {_CAPTURE}, 3 AS lead_days, {sql_micro('total + 2')} AS forecast FROM area_hour")
+def hindcast_series(spark, d):
+    from skyloom.sources import weather
+
+    return weather.hindcast(_series(spark, d)).select("aoi_id", "t_us", "lead_days", micro(F.col("forecast")).alias("forecast"))
+
+
+@query(with_(V.OBS) + f"SELECT CAST(event_id AS VARCHAR) AS aoi_id, 'SAT' AS platform, event_type AS collection, tca_us AS t_us, {sql_micro('pct')} AS observed, {sql_micro('off_nadir_deg')} AS lat, {sql_micro('sun_elev_deg')} AS sun_elevation FROM obs WHERE event_id % 13 <> 0")
+def scene_catalogue(spark, d):
+    """Scenes without cloud cover are no samples and go, by the reader's rule."""
+    from skyloom.sources import weather
+
+    time = F.date_format(F.timestamp_micros("tca_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    centre = F.struct(F.col("off_nadir_deg").alias("lat"), F.col("sun_elev_deg").alias("lon"))
+    properties = F.struct(time.alias("datetime"), F.lit("SAT").alias("platform"), F.when(F.col("event_id") % 13 != 0, F.col("pct")).alias("eo:cloud_cover"), centre.alias("proj:centroid"), F.col("sun_elev_deg").alias("view:sun_elevation"))
+    pages = V.obs(spark, d).select(F.col("event_id").cast("string").alias("aoi_id"), F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("collection"), properties.alias("properties"))).alias("features"))).alias("json"))
+    s = weather.scenes(pages)
+    return s.select("aoi_id", "platform", "collection", "t_us", *[micro(F.col(c)).alias(c) for c in ("observed", "lat", "sun_elevation")])
+
+
+@query(with_(_ARCHIVE, _RATE) + f"SELECT 'Run ' || site AS name, ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][month] AS month, {sql_micro('clear_pct')} AS clear_pct FROM rate")
+def climatology_file(spark, d):
+    from skyloom.sources import weather
+
+    return weather.climatology(weather.climatology_json(_rates(spark, d))).select("name", "month", micro(F.col("clear_pct")).alias("clear_pct"))
+
+
+# --- times, directions, rosters and failures
+
+@query("SELECT event_id, start_us, strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 1704067200000000 ELSE (epoch_us(ts) // 1000000 - [0, 7200, -19800, 0][1 + CAST(event_id % 4 AS INTEGER)]) * 1000000 END AS start_us FROM events)")
+def start_window(spark, d):
+    from skyloom.sources.contract import iso_seconds
+
+    zone = F.get(F.array(*[F.lit(z) for z in ("Z", "+02:00", "-05:30", "")]), (F.col("event_id") % 4).cast("int"))
+    text = F.when(F.col("event_id") % 11 != 0, F.concat(F.date_format(F.timestamp_micros(sky.to_us(F.col("ts"))), "yyyy-MM-dd'T'HH:mm:ss"), zone))
+    return table(spark, d, "events").select("event_id", sky.start_us(text, _REF_US).alias("start_us")).withColumn("iso", iso_seconds(F.col("start_us")))
+
+
+_LINE_DAY = "(event_id % 365 + 1 + (event_id * 7919 % 100000) / 1e5)"
+
+
+@query(f"SELECT event_id, epoch_us(make_timestamp(CASE WHEN event_id % 100 >= 57 THEN 1900 ELSE 2000 END + event_id % 100, 1, 1, 0, 0, 0.0)) + CAST(round(({_LINE_DAY} - 1) * 8.64e10) AS BIGINT) AS epoch_us, {sql_micro('pow(398600.4418e0 / pow((14 + event_id % 2000 / 1e3) * 2 * pi() / 86400, 2), 1 / 3e0)')} AS a_km FROM events")
+def element_epoch(spark, d):
+    from skyloom.sources import elements
+
+    e = F.col("event_id")
+    line = F.format_string("1 %05dU 24001A   %02d%03d.%05d000", e % 100000, e % 100, e % 365 + 1, e * 7919 % 100000)
+    return table(spark, d, "events").select("event_id", elements.epoch_us(line).alias("epoch_us"), micro(elements.semi_major_km(14 + (e % 2000) / 1000)).alias("a_km"))
+
+
+@query(
+    with_(
+        V.SITE, _ECEF, f"b AS (SELECT *, {_A} * sqrt(1 - {_E2}) AS b, sqrt(x * x + y * y) AS p, site / 100.0e0 AS th FROM e)", f"t AS (SELECT *, atan2(z * {_A}, p * b) AS t FROM b)",
+        f"g AS (SELECT *, atan2(z + ({_A} * {_A} - b * b) / b * pow(sin(t), 3), p - {_E2} * {_A} * pow(cos(t), 3)) AS phi, atan2(y, x) AS lam FROM t)",
+        "u AS (SELECT site, th, sqrt(x * x + y * y + z * z) AS r, cos(th) * x - sin(th) * y AS tx, sin(th) * x + cos(th) * y AS ty, z AS tz, cos(phi) * cos(lam) AS ux, cos(phi) * sin(lam) AS uy, sin(phi) AS uz FROM g)",
+    )
+    + f"SELECT site, {sql_micro('ux')} AS up_x, {sql_micro('uz')} AS up_z, {sql_micro('-tx / r')} AS centre_x, {sql_micro('-tz / r')} AS centre_z, {sql_micro('-(cos(th) * ux - sin(th) * uy)')} AS normal_x, {sql_micro('-(sin(th) * ux + cos(th) * uy)')} AS normal_y, {sql_micro('-uz')} AS normal_z FROM u"
+)
+def nadir_directions(spark, d):
+    s = V.site(spark, d).withColumns({"th": F.col("site") / 100, "r": geo.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.col("alt_km"))}).withColumn("q", geo.ecef_to_teme(F.col("r"), F.col("th")))
+    s = s.withColumns({"g": geo.ecef_to_geodetic(F.col("r")), "centre": geo.nadir_unit(F.col("q"), F.col("th"), F.lit(False)), "normal": geo.nadir_unit(F.col("q"), F.col("th"), F.lit(True))})
+    s = s.withColumn("up", geo.geodetic_up(F.col("g.lat"), F.col("g.lon")))
+    return s.select("site", *[micro(F.col(f"{c}.{k}")).alias(f"{c}_{k}") for c, ks in (("up", "xz"), ("centre", "xz"), ("normal", "xyz")) for k in ks])
+
+
+_NORADS = [n for p in catalog.PROFILES.values() for _, n, _ in p.satellites][::2]
+
+
+@query(with_(_ROSTER_SQL, f"sets AS (SELECT {_NORADS}[1 + CAST(user_id % {len(_NORADS)} AS INTEGER)] AS norad FROM events)") + "SELECT satellite, count(sets.norad) AS n, count(sets.norad) = 0 AS missing FROM roster LEFT JOIN sets USING (norad) GROUP BY 1")
+def roster_elements(spark, d):
+    """Every other satellite of the catalogue has sets; the rest are reported as missing."""
+    from skyloom.sources import elements
+
+    sets = table(spark, d, "events").select(F.get(F.array(*[F.lit(n) for n in _NORADS]), (F.col("user_id") % len(_NORADS)).cast("int")).alias("norad"), "event_id")
+    found, missing = elements.for_roster(sets, catalog.roster_df(spark))
+    counted = found.groupBy("satellite").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("missing", F.lit(False)).unionByName(missing.select("satellite", F.lit(0).cast("long").alias("n"), F.lit(True).alias("missing")))
+
+
+@query(with_(V.OBS) + "SELECT satellite, CAST(sum(n) AS BIGINT) AS bad_steps FROM (SELECT satellite, run_id, max(event_id % 5) AS n FROM obs GROUP BY 1, 2) GROUP BY 1")
+def failed_steps(spark, d):
+    from skyloom.operators import passes
+
+    return passes.error_counts(V.obs(spark, d).select("satellite", F.col("run_id").alias("block"), (F.col("event_id") % 5).alias("bad_steps")))
+
+
+@query(with_(V.OBS, V.PASSES, _GOOD, _WIN) + "SELECT run_id, string_agg(DISTINCT satellite, ',' ORDER BY satellite) AS satellites FROM good JOIN (SELECT run_id, tca_us AS start_us, end_us FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, CAST(round(mo * 1e9) AS BIGINT), CAST(round(ms * 1e9) AS BIGINT) DESC, tca_us) AS r FROM win) WHERE r = 1) USING (run_id) WHERE tca_us BETWEEN start_us AND end_us GROUP BY 1")
+def window_satellites(spark, d):
+    ops = V.passes(spark, d).where("bucket <> 'nonoperational'")
+    return campaign.best_window(ops, ["run_id"]).select("run_id", F.concat_ws(",", "satellites").alias("satellites"))
+
+
 # --- orbits: no SQL form; tests hold them against published vectors and invariants
 
 def _constellation(spark):

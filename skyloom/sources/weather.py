@@ -68,9 +68,9 @@ def climatology(files: DataFrame) -> DataFrame:
 
 
 def climatology_json(rates: DataFrame) -> DataFrame:
-    """The sink for the above: a JSON object a site, months as keys."""
+    """The sink for the above, which reads it back: a JSON object a site, its name as key over those of its months."""
     entry = F.struct(F.date_format(F.make_date(F.lit(2000), F.col("month"), F.lit(1)), "MMM"), F.round("clear_pct", 1))
-    return rates.groupBy("name").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("json"))
+    return rates.groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("months")).select("name", F.to_json(F.create_map("name", "months")).alias("json"))
 
 
 def fetched(spark: SparkSession, urls: list[tuple[str, str]], get: Callable[[str], str]) -> DataFrame:
