@@ -16,10 +16,15 @@ def revisit_gaps(passes: DataFrame, by: list[str], order: list[str | Column]) ->
 
 
 def windows(passes: DataFrame, by: list[str], span_us: int = WINDOW_US) -> DataFrame:
-    """For each good pass, figures of the good passes from it to ``span_us`` later."""
-    w = W.partitionBy(*by).orderBy("tca_us").rangeBetween(0, span_us)
-    good = passes.where("quality = 'good'")
-    return good.withColumns(
+    """For each good pass, figures of the good passes from it to ``span_us`` later.
+
+    Time is cut into blocks of the span; a pass also goes to the block before its own, so a block holds all that its windows
+    reach and no run is sorted as a whole.
+    """
+    w = W.partitionBy(*by, "__block").orderBy("tca_us").rangeBetween(0, span_us)
+    own = F.floor(F.col("tca_us") / span_us)
+    good = passes.where("quality = 'good'").withColumn("__block", F.explode(F.array(own, own - 1)))
+    figures = good.withColumns(
         {
             "n": F.count(F.lit(1)).over(w),
             "mean_off": F.avg(F.abs("off_nadir_deg")).over(w),
@@ -27,6 +32,7 @@ def windows(passes: DataFrame, by: list[str], span_us: int = WINDOW_US) -> DataF
             "end_us": F.max("tca_us").over(w),
         }
     )
+    return figures.where(F.col("__block") == own).drop("__block")
 
 
 def best_window(passes: DataFrame, by: list[str], span_us: int = WINDOW_US) -> DataFrame:

@@ -300,11 +300,11 @@ def day_spine_join(spark, d):
 
 # --- climatology and validation
 
-_ARCHIVE = "archive AS (SELECT o_custkey % 7 AS site, CAST(month(o_orderdate) AS INTEGER) AS month, CASE WHEN o_orderkey % 19 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 101 END AS cloud_pct FROM orders)"
+_ARCHIVE = "archive AS (SELECT o_custkey % 7 AS site, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(floor(o_totalprice) AS BIGINT) % 101 AS cloud_pct FROM orders)"
 
 
 def _archive(spark, d):
-    return table(spark, d, "orders").select((F.col("o_custkey") % 7).alias("site"), F.month("o_orderdate").alias("month"), F.when(F.col("o_orderkey") % 19 != 0, F.floor("o_totalprice") % 101).alias("cloud_pct"))
+    return table(spark, d, "orders").select((F.col("o_custkey") % 7).alias("site"), F.month("o_orderdate").alias("month"), (F.floor("o_totalprice") % 101).alias("cloud_pct"))
 
 
 @query(with_(_ARCHIVE) + f"SELECT site, month, count(*) AS n, {sql_micro('100.0 * count(*) FILTER (cloud_pct < 30) / count(*)')} AS clear_pct FROM archive WHERE cloud_pct IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 180")
@@ -312,9 +312,9 @@ def monthly_clear_rate(spark, d):
     return skill.monthly_clear_rate(_archive(spark, d), ["site"], least=180).select("site", "month", "n", micro(F.col("clear_pct")).alias("clear_pct"))
 
 
-@query(with_(_ARCHIVE) + "SELECT s.site, CAST(m AS INTEGER) AS month, count(cloud_pct) AS n FROM (SELECT DISTINCT site FROM archive WHERE month < 7) s CROSS JOIN range(1, 13) AS r(m) LEFT JOIN (SELECT * FROM archive WHERE month < 7) a ON a.site = s.site AND a.month = m GROUP BY 1, 2")
+@query(with_(_ARCHIVE) + "SELECT s.site, CAST(m AS INTEGER) AS month, count(cloud_pct) AS n FROM (SELECT DISTINCT site FROM archive) s CROSS JOIN range(1, 13) AS r(m) LEFT JOIN archive a ON a.site = s.site AND a.month = m GROUP BY 1, 2")
 def monthly_counts_spine(spark, d):
-    return skill.monthly_counts(_archive(spark, d).where("month < 7"), ["site"])
+    return skill.monthly_counts(_archive(spark, d), ["site"])
 
 
 _PAIR = f"""pair AS (SELECT scene, platform, lead_days, observed, forecast FROM (SELECT s.scene, s.platform, h.lead_days, s.observed, arg_min(struct_pack(f := h.forecast), (abs(h.t_us - s.t_us), h.t_us, h.idx)).f AS forecast
@@ -441,17 +441,17 @@ def manoeuvre_lag(spark, d):
 # --- KML and element-set text, made from the tables
 
 def _kml(spark, d):
-    """A file a nation: a placemark a supplier's ring, and some without a polygon."""
-    r = V.ring(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("site"), "s_nationkey"), "site")
+    """A file twenty sites, so its size has a bound: a placemark a ring, and some without a polygon."""
+    r = V.ring(spark, d)
     token = lambda v: F.concat_ws(",", (F.floor(v["lon"] * 100) / 100).cast("string"), (F.floor(v["lat"] * 100) / 100).cast("string"), F.lit("0"))
     coords = F.concat_ws(" ", F.transform("ring", token), token(F.element_at("ring", 1)))
     shape = F.when(F.col("site") % 8 == 7, F.lit("<Point><coordinates>1,2</coordinates></Point>")).otherwise(F.concat(F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>"), coords, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon>")))
     mark = F.concat(F.lit("<Placemark><name><![CDATA[ <b>Site</b>  "), F.col("site").cast("string"), F.lit(" ]]></name>"), shape, F.lit("</Placemark>"))
-    files = r.groupBy(F.col("s_nationkey").cast("string").alias("source")).agg(F.array_sort(F.collect_list(F.struct("site", mark.alias("mark")))).alias("m"))
+    files = r.groupBy(F.floor(F.col("site") / 20).cast("string").alias("source")).agg(F.array_sort(F.collect_list(F.struct("site", mark.alias("mark")))).alias("m"))
     return files.select("source", F.concat(F.lit("<kml>"), F.concat_ws("\n", F.transform("m", lambda x: x["mark"])), F.lit("</kml>")).alias("kml"))
 
 
-_KML = "k AS (SELECT site, CAST(s_nationkey AS VARCHAR) AS source, row_number() OVER (PARTITION BY s_nationkey ORDER BY site) - 1 AS ordinal, [{'lon': floor(v.lon * 100) / 100, 'lat': floor(v.lat * 100) / 100} FOR v IN ring] AS ring FROM ring JOIN supplier ON s_suppkey = site WHERE site % 8 <> 7)"
+_KML = "k AS (SELECT site, CAST(site // 20 AS VARCHAR) AS source, row_number() OVER (PARTITION BY site // 20 ORDER BY site) - 1 AS ordinal, [{'lon': floor(v.lon * 100) / 100, 'lat': floor(v.lat * 100) / 100} FOR v IN ring] AS ring FROM ring WHERE site % 8 <> 7)"
 
 
 @query(with_(V.SITE, V.RING, _KML) + f"SELECT source, CAST(ordinal AS INTEGER) AS ordinal, 'Site ' || site AS name, CAST(len(ring) AS INTEGER) AS vertices, {sql_micro('ring[1].lon')} AS lon0, {sql_micro('ring[len(ring)].lat')} AS lat_last FROM k")
@@ -479,15 +479,16 @@ def kml_name_clean(spark, d):
     return table(spark, d, "pages").select("page_id", kml.clean_name(raw).alias("name"))
 
 
-@query("""WITH n AS (SELECT user_id % 5 AS source, event_id, 100 + user_id % 40 AS norad FROM events WHERE event_type = 'view' AND user_id % 3 <> 0)
+@query("""WITH n AS (SELECT event_id // 1000 AS source, event_id, 100 + user_id % 40 AS norad FROM events)
 SELECT CAST(source AS VARCHAR) AS source, CAST(norad AS INTEGER) AS norad, '2 ' || norad || ' ' || max(event_id) AS line2 FROM n GROUP BY source, norad""")
 def tle_lines(spark, d):
+    """A text a thousand events, so its size has a bound."""
     from skyloom.sources.elements import parse_3le
 
-    e = table(spark, d, "events").where("event_type = 'view'")
+    e = table(spark, d, "events")
     n = (100 + F.col("user_id") % 40).cast("string")
-    entry = F.concat(F.lit("NAME\n1 00"), n, F.lit("U\n"), F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("2 "), n, F.lit(" "), F.col("event_id").cast("string"))).otherwise("# gap"))
-    text = e.groupBy((F.col("user_id") % 5).cast("string").alias("source")).agg(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("x")))).alias("m"))
+    entry = F.concat(F.lit("NAME\n1 00"), n, F.lit("U\n"), F.lit("2 "), n, F.lit(" "), F.col("event_id").cast("string"))
+    text = e.groupBy(F.floor(F.col("event_id") / 1000).cast("string").alias("source")).agg(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("x")))).alias("m"))
     return parse_3le(text.select("source", F.concat_ws("\n", F.transform("m", lambda x: x["x"])).alias("value"))).select("source", "norad", "line2")
 
 
@@ -605,14 +606,13 @@ def hindcast_series(spark, d):
     return weather.hindcast(_series(spark, d)).select("aoi_id", "t_us", "lead_days", micro(F.col("forecast")).alias("forecast"))
 
 
-@query(with_(V.OBS) + f"SELECT CAST(event_id AS VARCHAR) AS aoi_id, 'SAT' AS platform, event_type AS collection, tca_us AS t_us, {sql_micro('pct')} AS observed, {sql_micro('off_nadir_deg')} AS lat, {sql_micro('sun_elev_deg')} AS sun_elevation FROM obs WHERE event_id % 13 <> 0")
+@query(with_(V.OBS) + f"SELECT CAST(event_id AS VARCHAR) AS aoi_id, 'SAT' AS platform, event_type AS collection, tca_us AS t_us, {sql_micro('pct')} AS observed, {sql_micro('off_nadir_deg')} AS lat, {sql_micro('sun_elev_deg')} AS sun_elevation FROM obs WHERE pct IS NOT NULL")
 def scene_catalogue(spark, d):
-    """Scenes without cloud cover are no samples and go, by the reader's rule."""
     from skyloom.sources import weather
 
     time = F.date_format(F.timestamp_micros("tca_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     centre = F.struct(F.col("off_nadir_deg").alias("lat"), F.col("sun_elev_deg").alias("lon"))
-    properties = F.struct(time.alias("datetime"), F.lit("SAT").alias("platform"), F.when(F.col("event_id") % 13 != 0, F.col("pct")).alias("eo:cloud_cover"), centre.alias("proj:centroid"), F.col("sun_elev_deg").alias("view:sun_elevation"))
+    properties = F.struct(time.alias("datetime"), F.lit("SAT").alias("platform"), F.col("pct").alias("eo:cloud_cover"), centre.alias("proj:centroid"), F.col("sun_elev_deg").alias("view:sun_elevation"))
     pages = V.obs(spark, d).select(F.col("event_id").cast("string").alias("aoi_id"), F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("collection"), properties.alias("properties"))).alias("features"))).alias("json"))
     s = weather.scenes(pages)
     return s.select("aoi_id", "platform", "collection", "t_us", *[micro(F.col(c)).alias(c) for c in ("observed", "lat", "sun_elevation")])

@@ -41,28 +41,27 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
     hour = F.floor(to_us(F.col("ts")) / 3_600_000_000)
     cut = F.floor(F.least(F.col("value"), F.lit(100.0)) * 1000)
     grouped = table(spark, d, "events").groupBy(hour.alias("idx")).agg((F.sum(cut) / F.count(F.lit(1)) / 1000).alias("total"))
-    return grouped.where(F.col("idx") % 5 != 0).select("idx", (F.col("idx") * 3_600_000_000).alias("t_us"), "total")
+    return grouped.select("idx", (F.col("idx") * 3_600_000_000).alias("t_us"), "total")
 
 
-HOURLY = "hourly AS (SELECT idx, idx * 3600000000 AS t_us, total FROM (SELECT epoch_us(ts) // 3600000000 AS idx, sum(floor(least(value, 100.0) * 1000)) / count(*) / 1000 AS total FROM events GROUP BY 1) WHERE idx % 5 <> 0)"
+HOURLY = "hourly AS (SELECT idx, idx * 3600000000 AS t_us, total FROM (SELECT epoch_us(ts) // 3600000000 AS idx, sum(floor(least(value, 100.0) * 1000)) / count(*) / 1000 AS total FROM events GROUP BY 1))"
 
 
 def hindcast(spark: SparkSession, d: str) -> DataFrame:
     """The hourly series again for leads of 0 to 7 days: that long before."""
     leads = hourly(spark, d).withColumn("lead_days", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return leads.select("lead_days", "idx", (F.col("t_us") + F.col("lead_days") * 86_400_000_000).alias("t_us"), F.when((F.col("idx") + F.col("lead_days")) % 11 != 0, F.col("total")).alias("forecast"))
+    return leads.select("lead_days", "idx", (F.col("t_us") + F.col("lead_days") * 86_400_000_000).alias("t_us"), F.col("total").alias("forecast"))
 
 
-HINDCAST = "hindcast AS (SELECT CAST(lead_days AS INTEGER) AS lead_days, idx, t_us + lead_days * 86400000000 AS t_us, CASE WHEN (idx + lead_days) % 11 <> 0 THEN total END AS forecast FROM hourly, range(0, 8) AS r(lead_days))"
+HINDCAST = "hindcast AS (SELECT CAST(lead_days AS INTEGER) AS lead_days, idx, t_us + lead_days * 86400000000 AS t_us, total AS forecast FROM hourly, range(0, 8) AS r(lead_days))"
 
 
 def scene(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in ("landsat-8", "landsat-9", "sentinel-2a", "sentinel-2b", "sentinel-2c", "other")])
-    cloud = F.when(F.col("event_id") % 13 != 0, F.col("pct"))
-    return obs(spark, d).where("event_type = 'purchase'").select(F.col("event_id").alias("scene"), F.get(names, (F.col("user_id") % 6).cast("int")).alias("platform"), F.col("tca_us").alias("t_us"), cloud.alias("observed")).where("observed is not null")
+    return obs(spark, d).where("event_type = 'purchase'").select(F.col("event_id").alias("scene"), F.get(names, (F.col("user_id") % 6).cast("int")).alias("platform"), F.col("tca_us").alias("t_us"), F.col("pct").alias("observed")).where("observed is not null")
 
 
-SCENE = "scene AS (SELECT event_id AS scene, ['landsat-8','landsat-9','sentinel-2a','sentinel-2b','sentinel-2c','other'][1 + CAST(user_id % 6 AS INTEGER)] AS platform, tca_us AS t_us, pct AS observed FROM obs WHERE event_type = 'purchase' AND event_id % 13 <> 0)"
+SCENE = "scene AS (SELECT event_id AS scene, ['landsat-8','landsat-9','sentinel-2a','sentinel-2b','sentinel-2c','other'][1 + CAST(user_id % 6 AS INTEGER)] AS platform, tca_us AS t_us, pct AS observed FROM obs WHERE event_type = 'purchase' AND pct IS NOT NULL)"
 
 
 def passes(spark: SparkSession, d: str) -> DataFrame:
