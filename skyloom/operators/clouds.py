@@ -10,35 +10,48 @@ from skyloom.operators.asof import nearest_join
 
 TOLERANCE_US = 5_400_000_000
 CIRRUS_PCT = 20
+#: What an outlook of tier 0 to 3 is called.
+LABELS = ("n/a", "forecast", "outlook (probabilistic)", "")
 
 
 def with_clouds(passes: DataFrame, forecast: DataFrame, ensemble: DataFrame, climatology: DataFrame, ref_us: int, threshold: float = 30.0) -> DataFrame:
     """Passes with struct ``cloud``. Tier 1: nearest forecast hour with an error band; tier 2: share of ensemble members that are likely clear;
-    tier 3: climatology of the month of the window's start. A pass without a sample within 1.5 h is of tier 0.
+    tier 3: no outlook but the climatology of the month of the window's start, which all tiers have. A pass without a sample within
+    1.5 h, or without any member's value, is of tier 0.
     """
     lead = (F.col("tca_us") - ref_us) / sky.DAY_US
-    asked = passes.withColumns({"lead": lead, "tier": grading.cloud_tier(lead), "pass_key": F.struct("aoi_id", "satellite", "tca_us")})
+    month = F.date_format(F.timestamp_micros(F.lit(ref_us)), "MMM")
+    usual = climatology.where(F.col("month") == month).select(F.col("name").alias("__name"), F.col("clear_pct").alias("clim"))
+    asked = passes.join(usual, F.col("name") == F.col("__name"), "left").drop("__name").withColumns({"lead": lead, "tier": grading.cloud_tier(lead), "pass_key": F.struct("aoi_id", "satellite", "tca_us")})
     near = nearest_join(asked.where("tier = 1"), forecast, ["aoi_id"], "tca_us", "t_us", TOLERANCE_US, "pass_key")
     ob = grading.obstruction(F.col("s.low"), F.col("s.mid"), F.col("s.high"))
     band = grading.total_band(F.col("s.total"), F.col("lead"))
-    one = near.withColumn("cloud", _cloud(F.when(F.col("s").isNull(), 0).otherwise(1), threshold, total=F.col("s.total"), low=F.col("s.low"), mid=F.col("s.mid"), high=F.col("s.high"), band=F.when(F.col("s.total").isNotNull(), F.array(F.round(band["low"]), F.round(band["high"]))), obstruction=ob)).drop("s")
+    one = near.withColumn("cloud", _cloud(F.when(F.col("s").isNull(), 0).otherwise(1), threshold, total=F.col("s.total"), low=F.col("s.low"), mid=F.col("s.mid"), high=F.col("s.high"), band=F.when(F.col("s.total").isNotNull(), F.array(F.bround(band["low"]), F.bround(band["high"]))), obstruction=ob)).drop("s")
     hours = ensemble.groupBy("aoi_id", "idx", "t_us").agg(F.avg(grading.soft_clear(F.col("pct"), threshold)).alias("p"), F.min("pct").alias("lo"), F.max("pct").alias("hi"))
     near = nearest_join(asked.where("tier = 2"), hours, ["aoi_id"], "tca_us", "t_us", TOLERANCE_US, "pass_key")
-    two = near.withColumn("cloud", _cloud(F.when(F.col("s").isNull(), 0).otherwise(2), threshold, p_clear=F.col("s.p"), spread=F.when(F.col("s.lo").isNotNull(), F.array("s.lo", "s.hi")))).drop("s")
-    month = F.date_format(F.timestamp_micros(F.lit(ref_us)), "MMM")
-    usual = climatology.withColumnRenamed("name", "__name")
-    three = asked.where("tier = 3").join(usual, (F.col("name") == F.col("__name")) & (F.col("month") == month), "left")
-    three = three.withColumn("cloud", _cloud(F.lit(3), threshold, clim=F.col("clear_pct"))).drop("__name", "month", "clear_pct")
-    return one.unionByName(two).unionByName(three).drop("lead", "tier", "pass_key")
+    two = near.withColumn("cloud", _cloud(F.when(F.col("s.p").isNull(), 0).otherwise(2), threshold, p_clear=F.col("s.p"), spread=F.when(F.col("s.lo").isNotNull(), F.array("s.lo", "s.hi")))).drop("s")
+    three = asked.where("tier = 3").withColumn("cloud", _cloud(F.lit(3), threshold))
+    return one.unionByName(two).unionByName(three).drop("lead", "tier", "pass_key", "clim")
+
+
+def tiers(passes: DataFrame, ref_us: int) -> set[int]:
+    """The tiers the passes need, at most three: a series is only read if one needs it."""
+    lead = (F.col("tca_us") - ref_us) / sky.DAY_US
+    return {r[0] for r in passes.select(grading.cloud_tier(lead)).distinct().collect()}
+
+
+def has_cloud(passes: DataFrame) -> bool:
+    """Whether any pass has an outlook."""
+    return "cloud" in passes.columns and bool(passes.agg(F.bool_or(F.col("cloud").isNotNull())).first()[0])
 
 
-def _cloud(tier, threshold: float, total=None, low=None, mid=None, high=None, p_clear=None, spread=None, band=None, obstruction=None, clim=None):
+def _cloud(tier, threshold: float, total=None, low=None, mid=None, high=None, p_clear=None, spread=None, band=None, obstruction=None):
     number = lambda c: (F.lit(None) if c is None else c).cast("double")
     pair = lambda c: (F.lit(None) if c is None else c).cast("array<double>")
-    label = F.element_at(F.array(*[F.lit(x) for x in ("n/a", "forecast", "ensemble", "climatology")]), tier + 1)
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), tier + 1)
     fields = {
         "tier": tier, "label": label, "total_pct": number(total), "low_pct": number(low), "mid_pct": number(mid), "high_pct": number(high), "p_clear": F.round(number(p_clear), 3), "threshold_pct": F.lit(float(threshold)),
-        "spread_pct": pair(spread), "clim_clear_pct": number(clim), "total_band_pct": pair(band), "optical_obstruction_pct": F.round(number(obstruction), 1), "cirrus_flag": F.coalesce(number(high) > CIRRUS_PCT, F.lit(False)),
+        "spread_pct": pair(spread), "clim_clear_pct": number(F.col("clim")), "total_band_pct": pair(band), "optical_obstruction_pct": F.round(number(obstruction), 1), "cirrus_flag": F.coalesce(number(high) > CIRRUS_PCT, F.lit(False)),
         "likely_cloudy": grading.likely_cloudy(tier, number(total), number(obstruction), number(p_clear)),
     }
     return F.struct(*[c.alias(k) for k, c in fields.items()])
@@ -50,6 +63,6 @@ def beyond_horizon(passes: DataFrame) -> DataFrame:
 
 
 def daily(forecast: DataFrame, ref_us: int) -> DataFrame:
-    """Mean total cloud of each area and UTC day within five days from the reference time."""
+    """Mean total cloud of each area and UTC day that has any, within five days from the reference time."""
     window = forecast.where(F.col("total").isNotNull() & F.col("t_us").between(ref_us, ref_us + 5 * sky.DAY_US))
     return window.groupBy("aoi_id", F.floor(F.col("t_us") / sky.DAY_US).alias("day")).agg(F.avg("total").alias("pct"))

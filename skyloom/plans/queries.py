@@ -499,14 +499,19 @@ def timeline_bars(spark, d):
     return bars(V.passes(spark, d)).select("event_id", "satellite", "left_us", "right_us", "band", "hatched")
 
 
-@query(with_(V.OBS, V.PASSES) + "SELECT run_id, bucket, count(*) AS n, min(tca_us) AS first_us FROM passes GROUP BY 1, 2")
+_KEYS = "satellite,tca_utc,off_nadir_deg,sun_elev_deg,category,operational,quality"
+
+
+@query(with_(V.OBS, V.PASSES) + f"SELECT run_id, bucket, count(*) AS n, min(tca_us) // 1000000 * 1000000 AS first_us, '{_KEYS}' AS keys, CAST(sum(CAST(operational AS INTEGER)) AS BIGINT) AS operational FROM passes GROUP BY 1, 2")
 def json_contract(spark, d):
+    """Each pass written as JSON and read back: its keys, its time (cut to seconds) and a flag."""
     from skyloom.sources.contract import pass_json
 
     p = V.passes(spark, d)
     text = p.select("run_id", "bucket", pass_json(p).alias("j"))
-    back = text.select("run_id", "bucket", F.get_json_object("j", "$.tca_utc").alias("t"), F.get_json_object("j", "$.tca_us").cast("long").alias("us"))
-    return back.groupBy("run_id", "bucket").agg(F.count("t").alias("n"), F.min("us").alias("first_us"))
+    value = lambda k: F.get_json_object("j", f"$.{k}")
+    back = text.select("run_id", "bucket", F.unix_micros(F.to_timestamp(value("tca_utc"))).alias("us"), F.concat_ws(",", F.json_object_keys("j")).alias("keys"), (value("operational") == "true").alias("op"))
+    return back.groupBy("run_id", "bucket").agg(F.count("us").alias("n"), F.min("us").alias("first_us"), F.min("keys").alias("keys"), F.count_if("op").alias("operational"))
 
 
 # --- outlook and its files: series, catalogues and climatology as JSON, made from the tables and read back
@@ -526,7 +531,7 @@ _OUTLOOK = with_(
     V.OBS, _AREA_HOUR, _AREA_MEMBER, _ARCHIVE, _RATE, _ASKED_CLOUD,
     _near_area("one", "area_hour", 1, "{'total': h.total, 'low': h.idx % 40, 'mid': h.idx % 30, 'high': h.idx % 70}"),
     _near_area("two", "area_member", 2, "{'p': h.p, 'lo': h.lo, 'hi': h.hi}"),
-    "o AS (SELECT p.*, one.s AS a, two.s AS b, c.clear_pct AS clim, CASE WHEN asked = 3 THEN 3 WHEN asked = 1 AND one.s IS NOT NULL THEN 1 WHEN asked = 2 AND two.s IS NOT NULL THEN 2 ELSE 0 END AS tier, least(100.0, one.s.low + one.s.mid + 0.4 * one.s.high) AS ob FROM p LEFT JOIN one USING (event_id) LEFT JOIN two USING (event_id) LEFT JOIN rate c ON asked = 3 AND c.site = p.run_id AND c.month = 1)",
+    "o AS (SELECT p.*, one.s AS a, two.s AS b, c.clear_pct AS clim, CASE WHEN asked = 3 THEN 3 WHEN asked = 1 AND one.s IS NOT NULL THEN 1 WHEN asked = 2 AND two.s IS NOT NULL THEN 2 ELSE 0 END AS tier, least(100.0, one.s.low + one.s.mid + 0.4 * one.s.high) AS ob FROM p LEFT JOIN one USING (event_id) LEFT JOIN two USING (event_id) LEFT JOIN rate c ON c.site = p.run_id AND c.month = 1)",
 )
 
 
@@ -554,8 +559,8 @@ def _outlook(spark, d):
 
 
 @query(
-    _OUTLOOK + "SELECT event_id, tier, ['n/a', 'forecast', 'ensemble', 'climatology'][1 + tier] AS label, "
-    + ", ".join(f"{sql_micro(x)} AS {k}" for k, x in {"total": "a.total", "band_low": "CASE WHEN tier = 1 THEN round(greatest(0, a.total - (10 + 3 * least(lead, 5)))) END", "band_high": "CASE WHEN tier = 1 THEN round(least(100, a.total + 10 + 3 * least(lead, 5))) END", "obstruction": "CASE WHEN tier = 1 THEN round(ob, 1) END", "p_clear": "round(b.p, 3)", "spread_low": "b.lo", "spread_high": "b.hi", "clim": "clim"}.items())
+    _OUTLOOK + "SELECT event_id, tier, ['n/a', 'forecast', 'outlook (probabilistic)', ''][1 + tier] AS label, "
+    + ", ".join(f"{sql_micro(x)} AS {k}" for k, x in {"total": "a.total", "band_low": "CASE WHEN tier = 1 THEN round_even(greatest(0, a.total - (10 + 3 * least(lead, 5))), 0) END", "band_high": "CASE WHEN tier = 1 THEN round_even(least(100, a.total + 10 + 3 * least(lead, 5)), 0) END", "obstruction": "CASE WHEN tier = 1 THEN round(ob, 1) END", "p_clear": "round(b.p, 3)", "spread_low": "b.lo", "spread_high": "b.hi", "clim": "clim"}.items())
     + ", coalesce(a.high > 20, false) AS cirrus, CASE WHEN tier = 1 THEN ob > 60 WHEN tier = 2 THEN b.p < 0.3 ELSE false END AS likely_cloudy FROM o"
 )
 def cloud_outlook(spark, d):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,15 @@ SERIES = "struct<hourly:struct<time:array<string>,cloud_cover:array<double>,clou
 LAYERS = ("low", "mid", "high")
 
 
+def captures(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(name, json) of the JSON files of a folder, each named by its area; None where there is no such folder."""
+    try:
+        files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    except AnalysisException:
+        return None
+    return files.select(F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_name", r"\+", "%2B")), r"\.json$", "").alias("name"), F.col("value").alias("json"))
+
+
 def _times(times: Column) -> Column:
     """Microseconds of naive ISO times, taken as UTC; needs a UTC session."""
     return F.transform(times, lambda t: F.unix_micros(F.try_to_timestamp(t)))

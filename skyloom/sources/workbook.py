@@ -6,12 +6,15 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators.clouds import has_cloud
+
 #: The sheets' column titles.
 HEADERS = ["Satellite", "Datetime (TCA, UTC)", "Local ({tz})", "Off Nadir Angle (°)", "Sun Angle of Elevation (°)", "Max Off Nadir across AOI (°)", "Slant Range (km)", "TLE Epoch (UTC)"]
 QUALITY = ["Quality", "AOI Coverage %", "Node", "Eff. GSD (m)", "View Zenith (°)", "Sun Glint (°)", "Glint Risk", "Sun Airmass", "TCA ± (s)"]
+CLOUD = ["Cloud % (total@TCA)", "Cloud low/mid/high %", "P(cloud<thr)", "Cloud spread (min–max %)", "Cloud label", "Hist. clear-sky rate (mon)"]
 SHEETS = {"passes": "Passes", "marginal": "Marginal - stretch", "nonoperational": "Non-operational"}
 _TYPES = '<?xml version="1.0" encoding="UTF-8"?>\n'
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -19,7 +22,19 @@ _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACK = "http://schemas.openxmlformats.org/package/2006"
 
 
-def sheet_rows(passes: DataFrame, tz: str, with_aoi: bool = False) -> DataFrame:
+def cloud_cells() -> list[Column]:
+    """Six cells of an outlook; n/a where it has no value."""
+    whole = lambda k: F.format_string("%.0f", F.bround(f"cloud.{k}"))
+    given = lambda test, text: F.when(F.col(test).isNotNull(), text).otherwise("n/a")
+    spread = F.concat(*[F.format_string("%.0f", F.bround(F.get("cloud.spread_pct", i))) if i < 2 else F.lit("–") for i in (0, 2, 1)])
+    layers = [F.coalesce(F.when(F.col(f"cloud.{k}_pct").isNotNull(), whole(f"{k}_pct")), F.lit("n/a")) for k in ("low", "mid", "high")]
+    return [
+        given("cloud.total_pct", whole("total_pct")), given("cloud.low_pct", F.concat_ws("/", *layers)), given("cloud.p_clear", F.format_string("%.2f", "cloud.p_clear")), given("cloud.spread_pct", spread),
+        given("cloud", F.col("cloud.label")), given("cloud.clim_clear_pct", F.concat(whole("clim_clear_pct"), F.lit("%"))),
+    ]
+
+
+def sheet_rows(passes: DataFrame, tz: str, with_aoi: bool = False, with_cloud: bool = False) -> DataFrame:
     """Passes as the cells of a sheet, with tca_us and bucket to order and split by."""
     utc = lambda us: F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     local = F.date_format(F.from_utc_timestamp(F.timestamp_micros(F.col("tca_us")), tz), "yyyy-MM-dd HH:mm")
@@ -30,6 +45,8 @@ def sheet_rows(passes: DataFrame, tz: str, with_aoi: bool = False) -> DataFrame:
         F.col("quality"), F.when(F.col("coverage_pct").isNull(), "n/a").otherwise(share), F.substring("node", 1, 3), g("effective_gsd_m", 2), g("view_zenith_deg", 1), g("sun_glint_deg", 1), F.col("geometry.glint_risk"), g("airmass_sun", 2), F.round("timing_sigma_s", 2),
     ]
     names = [h.format(tz=tz) for h in HEADERS] + QUALITY
+    if with_cloud:
+        cells, names = cells + cloud_cells(), names + CLOUD
     aoi = [F.col("name").alias("AOI")] if with_aoi else []
     return passes.select("bucket", "tca_us", *aoi, *[c.alias(n) for c, n in zip(cells, names, strict=True)])
 
@@ -73,10 +90,20 @@ def workbook(sheets: list[tuple[str, list[list]]]) -> bytes:
     return out.getvalue()
 
 
-def report(passes: DataFrame, satellites: list[str], tz: str, notes: list[tuple[str, str]]) -> bytes:
-    """The workbook of one report, of one area or several: a sheet a bucket, live counts a satellite of the active roster, and notes."""
-    with_aoi = passes.select("aoi_id").distinct().count() > 1
-    cells = sheet_rows(passes, tz, with_aoi).orderBy("tca_us")
+def position(lat: Column, lon: Column) -> Column:
+    """A place by degrees and hemisphere."""
+    side = lambda x, below, above: F.concat(F.format_string("%.5f ", F.abs(x)), F.when(x < 0, below).otherwise(above))
+    return F.concat(side(lat, "S", "N"), F.lit(", "), side(lon, "W", "E"))
+
+
+def report(passes: DataFrame, aois: list[str], satellites: list[str], tz: str, notes: list[tuple[str, str]], hints: dict[str, str] | None = None, lanes: list[list] | None = None) -> bytes:
+    """The workbook of one report: a sheet a bucket, live counts, notes, and the timeline's bars.
+
+    Counts are by satellite of the roster for one area, by area for several; their criterion is a cell, so that a name with
+    quotes can't break the formula. ``hints``: a line below a bucket's rows.
+    """
+    with_aoi = len(aois) > 1
+    cells = sheet_rows(passes, tz, with_aoi, has_cloud(passes)).orderBy("tca_us")
     names = cells.columns[2:]
     held: dict[str, list[list]] = {b: [] for b in SHEETS}
     for r in cells.collect():
@@ -87,9 +114,13 @@ def report(passes: DataFrame, satellites: list[str], tz: str, notes: list[tuple[
             continue
         rows = [names, *held[bucket]]
         if bucket == "passes":
-            col, last = column(int(with_aoi)), max(2, len(rows))
-            first = len(rows) + 2
-            rows += [[], *[[s, ("=", f'COUNTIF({col}2:{col}{last},"{s}")')] for s in satellites]]
-            rows.append(["Total", ("=", f"SUM(B{first}:B{first + len(satellites) - 1})")])
+            last, first = max(2, len(rows)), len(rows) + 4
+            counted = aois if with_aoi else sorted(satellites)
+            rows += [[], [], ["Passes per AOI" if with_aoi else "Passes per satellite"]]
+            rows += [[s, ("=", f"COUNTIF(A2:A{last},A{first + i})")] for i, s in enumerate(counted)]
+            rows.append(["Total", ("=", f"SUM(B{first}:B{first + len(counted) - 1})")])
+        elif hints and bucket in hints:
+            rows += [[], [hints[bucket]]]
         sheets.append((title, rows))
-    return workbook([*sheets, ("Method", [["Item", "Value"], *map(list, notes)])])
+    sheets.append(("Method", [["Item", "Value"], *map(list, notes)]))
+    return workbook([*sheets, ("Timeline", lanes)] if lanes else sheets)

@@ -10,7 +10,7 @@ import pytest
 from skyloom import catalog, cli
 from skyloom.functions import sky
 from skyloom.operators import clouds, validation
-from skyloom.sources import elements, kml, weather, workbook
+from skyloom.sources import elements, history, kml, weather, workbook
 from tests.imaging.test_orbits import element_set
 
 
@@ -71,6 +71,10 @@ def test_weather_and_clouds(spark):
     assert out[2]["tier"] == 1 and out[2]["total_pct"] is None
     assert out[3]["tier"] == 2 and out[3]["spread_pct"] == [20.0, 90.0] and abs(out[3]["p_clear"] - 0.426) < 0.001
     assert (out[4]["tier"], out[5]["clim_clear_pct"], out[6]["tier"]) == (0, 62.5, 0)
+    assert [out[k]["label"] for k in (1, 3, 4, 5)] == ["forecast", "outlook (probabilistic)", "n/a", ""] and out[1]["clim_clear_pct"] == 62.5
+    assert clouds.tiers(passes, ref) == {1, 2, 3} and not clouds.has_cloud(passes)
+    nobody = weather.ensemble(table({"hourly": {"time": ["2026-07-08T00:00"], "cloud_cover": [None]}}))
+    assert clouds.with_clouds(passes.where("k = 3"), f, nobody, clim, ref).first()["cloud"]["tier"] == 0
     assert [round(r["pct"], 3) for r in clouds.daily(f, ref).collect()] == [26.667]
     assert weather.fetched(spark, [("a", "u")], lambda url: (_ for _ in ()).throw(OSError())).count() == 0
     with pytest.raises(ValueError):
@@ -91,26 +95,96 @@ def test_scenes_and_manoeuvres(spark):
     assert "MANOEUVRE" in validation.manoeuvre_warnings(changes).first()["text"]
 
 
-def test_command_line(spark, tmp_path, capsys):
-    (tmp_path / "a.kmz").write_bytes(kmz(square("=HYPERLINK(1)", -20, 150)))
+#: The keys the contract promises.
+PASS_KEYS = set("satellite tca_utc off_nadir_deg sun_elev_deg max_off_nadir_aoi_deg slant_range_km tle_epoch_utc category operational node local_solar_time_h quality timing_sigma_s coverage_pct footprint_lonlat geometry".split())
+SINGLE_KEYS = set("schema_version sensor aoi window_utc passes marginal nonoperational cloud_daily cloud_horizon_utc summary warnings params".split())
+AOI_KEYS = set("name centroid_lat centroid_lon terrain_alt_m vertices_lonlat".split())
+CLOUD_KEYS = set("tier label total_pct low_pct mid_pct high_pct p_clear threshold_pct spread_pct clim_clear_pct total_band_pct optical_obstruction_pct cirrus_flag likely_cloudy".split())
+
+
+def command(tmp_path, *more, days="7"):
+    (tmp_path / "a.kmz").write_bytes(kmz(*more))
     lines = "\n".join("\n".join(element_set(n, 40.0 * i, 72.0 * i)) for i, (_, n, _) in enumerate(catalog.PROFILES["dragonette"].satellites))
     (tmp_path / "t.txt").write_text(lines)
-    args = [str(tmp_path / "a.kmz"), "--days", "2", "--start", "2026-07-01T00:00:00Z", "--tle-file", str(tmp_path / "t.txt"), "-o", str(tmp_path / "o.xlsx"), "--json", str(tmp_path / "o.json")]
+    return [str(tmp_path / "a.kmz"), "--days", days, "--start", "2026-07-01T00:00:00Z", "--tle-file", str(tmp_path / "t.txt"), "-o", str(tmp_path / "o.xlsx"), "--json", str(tmp_path / "o.json")]
+
+
+def sheet(box, k):
+    return "".join(ET.fromstring(box.read(f"xl/worksheets/sheet{k}.xml")).itertext())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    args = command(tmp_path, square("=HYPERLINK(1)", -20, 150))
     assert cli.main(args, spark) == 0
     body = json.loads((tmp_path / "o.json").read_text())
-    assert {"schema_version", "sensor", "aoi", "window_utc", "passes", "marginal", "nonoperational", "summary", "warnings", "params"} <= set(body)
-    assert body["schema_version"] == "2.1" and body["aoi"]["name"] == "=HYPERLINK(1)"
+    assert set(body) == SINGLE_KEYS and set(body["aoi"]) == AOI_KEYS
+    rows = body["passes"] + body["marginal"] + body["nonoperational"]
+    assert rows and all(set(r) == PASS_KEYS for r in rows)
+    assert all(round(r["geometry"]["view_zenith_deg"], 1) == r["geometry"]["view_zenith_deg"] for r in rows)
+    assert body["schema_version"] == "2.1" and body["aoi"]["name"] == "=HYPERLINK(1)" and body["cloud_daily"] == {} and body["cloud_horizon_utc"] is None
+    assert body["sensor"]["operational"]["DRAG05"] is False and body["params"]["max_off_nadir_deg"] == 20 and body["params"]["sensor"] == "dragonette"
+    assert body["summary"]["window_days"] == 7 and body["summary"]["total_opportunities"] == len(body["passes"] + body["marginal"])
     with zipfile.ZipFile(tmp_path / "o.xlsx") as box:
         names = [n for n in box.namelist() if n.startswith("xl/worksheets")]
         for n in names:
             ET.fromstring(box.read(n))
-        assert b"COUNTIF" in box.read("xl/worksheets/sheet1.xml")
-    assert cli.main([*args, "--days", "40"], spark) == 2
+        assert b"COUNTIF" in box.read("xl/worksheets/sheet1.xml") and "Cloud label" not in sheet(box, 1)
+        assert "20.00000 S, 150.00000 E" in sheet(box, len(names) - 1) and "From (UTC)" in sheet(box, len(names))
+    assert cli.main([*args, "--days", "40"], spark) == 2 and cli.main([*args, "--cloud-threshold", "101"], spark) == 2
     (tmp_path / "t.txt").write_text("nothing")
     assert cli.main(args, spark) == 3
     assert b"<f>" not in workbook.workbook([("s", [["=1+1"]])])
 
 
+def test_command_line_with_clouds(spark, tmp_path, capsys):
+    args = [*command(tmp_path, square("AOI 1", -20, 150), square("Two", 10, 20)), "--all-polygons", "--cloud"]
+    times = [f"2026-07-0{1 + h // 24}T{h % 24:02d}:00" for h in range(5 * 24)]
+    (tmp_path / "w" / "forecast").mkdir(parents=True)
+    (tmp_path / "w" / "forecast" / "AOI 1.json").write_text(json.dumps({"hourly": {"time": times, **{f"cloud_cover{k}": [20] * len(times) for k in ("", "_low", "_mid", "_high")}}}))
+    (tmp_path / "w" / "climatology.json").write_text(json.dumps({"AOI 1": {"Jul": 60.0}, "_note": "x"}))
+    assert cli.main([*args, "--cloud-files", str(tmp_path / "w")], spark) == 0
+    body = json.loads((tmp_path / "o.json").read_text())
+    one, two = sorted(body["aois"], key=lambda r: r["aoi"]["name"])
+    assert set(body) == {"schema_version", "aois"} and set(one) == SINGLE_KEYS - {"schema_version"}
+    assert one["cloud_daily"] == {f"2026-07-0{k}": 20.0 for k in range(1, 6)} and one["cloud_horizon_utc"] == "2026-07-06T00:00:00+00:00" and two["cloud_daily"] == {}
+    rows = one["passes"] + one["marginal"] + one["nonoperational"]
+    assert rows and all(set(r) == PASS_KEYS | {"cloud"} and set(r["cloud"]) == CLOUD_KEYS for r in rows)
+    near = [r["cloud"] for r in rows if r["tca_utc"] < "2026-07-05T23"]
+    assert near and all((c["tier"], c["total_pct"], c["optical_obstruction_pct"], c["clim_clear_pct"]) == (1, 20, 48, 60) for c in near)
+    assert any("ensemble" in t for t in one["warnings"])
+    with zipfile.ZipFile(tmp_path / "o.xlsx") as box:
+        text = "".join(sheet(box, k) for k in (1, 2))
+        assert "Cloud label" in text and "20/20/20" in text and "60%" in text and "Passes per AOI" in text
+
+
+def test_element_history(spark, tmp_path):
+    roster, path, now = catalog.roster_df(spark, ["landsat"]), str(tmp_path / "h"), 1_783_000_000_000_000
+    asked = []
+
+    def get(norad):
+        asked.append(norad)
+        return "\n".join(("NAME", *element_set(norad, 10, 20)))
+
+    def broken(norad):
+        raise OSError("down")
+
+    take = lambda minutes, way: history.acquire(spark, roster, path, now + minutes * 60_000_000, way)
+    with pytest.raises(RuntimeError):
+        take(0, broken)
+    sets, said = take(20, get)
+    assert sorted(asked) == [39084, 49260] and not said and sets.count() == 2
+    assert take(60, broken)[1] == [] and len(asked) == 2  # fresh: nobody is asked
+    sets, said = take(20 + 500, broken)
+    assert sets.count() == 2 and "could not be fetched (down)" in said[0]
+    assert "failed 5 min ago" in take(20 + 505, get)[1][0] and len(asked) == 2  # cooling
+    moved = lambda n: "\n".join(element_set(n, 10.985, 100, motion=15.19, epoch="26182.00000000"))
+    sets, said = take(20 + 520, moved)
+    assert sets.count() == 2 and len(said) == 2 and "MANOEUVRE" in said[0]
+    assert spark.read.parquet(f"{path}/sets").count() == 4
+    with pytest.raises(RuntimeError):
+        history.acquire(spark, catalog.roster_df(spark, ["sentinel2"]), path, now, lambda n: "nothing")
+
+
 def test_streaming(spark, tmp_path):
     from skyloom.streaming import updates
 
