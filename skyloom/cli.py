@@ -118,7 +118,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             return 3
         close = passes.candidates(aois, sets, start, a.days, ellipsoid=a.nadir_ellipsoid).cache()  # passes and warnings share it
         found.append(passes.predict(aois, sets, profile, start, a.days, found=close, ellipsoid=a.nadir_ellipsoid, include_nonoperational=a.include_nonoperational, max_off=a.max_off_nadir, min_sun=a.min_sun))
-        said += [r["text"] for r in passes.warnings(close, sets, start).orderBy("ord").collect()]
+        said += [r["text"] for r in passes.warnings(close, sets, start, passes.steps_of(a.days)).orderBy("ord").collect()]
         roster += profile.satellites
     out, daily = campaign.merged(found).cache(), None
     if a.cloud and out.head(1):

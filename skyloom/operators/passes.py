@@ -32,7 +32,7 @@ GROUP_AREAS = 64
 TASK_PAIRS = 2048
 #: Rows of a roster that may be sent to every task.
 MOST_SATELLITES = 100_000
-FOUND = "t_us long, eta double, x double, y double, z double, vx double, vy double, vz double, err int, bad_steps long, block int"
+FOUND = "t_us long, eta double, x double, y double, z double, vx double, vy double, vz double, err int, bad_steps long, codes long, block int"
 GMST_AT = 946_728_000_000_000  # 2000-01-01T12:00 UTC, in microseconds
 
 
@@ -85,7 +85,7 @@ def closest(line1: str, line2: str, site: np.ndarray, low: np.ndarray, high: np.
 
 def _scanner(start_us: int, steps: int, step_us: int, ellipsoid: bool):
     """For rows of a satellite, a block and an area: refined candidates, and the failed steps of the block."""
-    names = ["aoi_id", "satellite", "t_us", "eta", "x", "y", "z", "vx", "vy", "vz", "err", "bad_steps", "block"]
+    names = ["aoi_id", "satellite", "t_us", "eta", "x", "y", "z", "vx", "vy", "vz", "err", "bad_steps", "codes", "block"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,16 +106,18 @@ def _scanner(start_us: int, steps: int, step_us: int, ellipsoid: bool):
                 t = closest(line1, line2, sites[row], us[at - 1], us[at + 1], REFINE_STEPS, ellipsoid)
                 code, rr, vv = orbit(line1, line2).at(t)
                 best = off_nadir(rr, gmst(t), code, sites[row], ellipsoid)
-                bad = int((err[block * BLOCK_STEPS - first : (block + 1) * BLOCK_STEPS - first] != 0).sum())
+                own_err = err[block * BLOCK_STEPS - first : (block + 1) * BLOCK_STEPS - first]
+                bad = int((own_err != 0).sum())
+                codes = int(np.bitwise_or.reduce(np.left_shift(1, own_err[own_err != 0].astype(np.int64)), initial=0))
                 if bad and not len(t):  # a block without candidates still reports its failed steps
                     row, t, best, rr, vv, code = own[:1], np.array([-1]), np.array([180.0]), np.full((1, 3), np.nan), np.full((1, 3), np.nan), np.array([9])
                 rows.append(row)
-                parts.append((t, best, *rr.T, *vv.T, code, np.full(len(t), bad), np.full(len(t), block)))
+                parts.append((t, best, *rr.T, *vv.T, code, np.full(len(t), bad), np.full(len(t), codes), np.full(len(t), block)))
             if not rows:
                 continue
             took = pa.array(np.concatenate(rows).astype(np.int64))
             found = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            types = [pa.int64(), *[pa.float64()] * 7, pa.int32(), pa.int64(), pa.int32()]
+            types = [pa.int64(), *[pa.float64()] * 7, pa.int32(), pa.int64(), pa.int64(), pa.int32()]
             kept = [batch.column(c).take(took) for c in ("aoi_id", "satellite")]
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(v).cast(kind) for v, kind in zip(found, types, strict=True)]], names=names)
 
@@ -134,7 +136,7 @@ def candidates(aois: DataFrame, elements: DataFrame, start_us: int, days: float,
     and block serves a group; ``bad_steps`` counts the failed steps of a block.
     """
     spark = aois.sparkSession
-    steps = int(days * 86400 / step_s) + 1
+    steps = steps_of(days, step_s)
     blocks = -(-steps // BLOCK_STEPS)
     site = geo.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.col("alt_km"))
     areas = aois.select("aoi_id", site.alias("s"))
@@ -186,14 +188,26 @@ def predict(aois: DataFrame, elements: DataFrame, profile, start_us: int, days:
 
 
 def error_counts(found: DataFrame) -> DataFrame:
-    """(satellite, bad_steps): steps of the window whose propagation failed. Areas share a block's steps, so any area's count is that of all."""
-    return found.groupBy("satellite", "block").agg(F.max("bad_steps").alias("n")).groupBy("satellite").agg(F.sum("n").alias("bad_steps"))
+    """(satellite, bad_steps, codes): steps of the window whose propagation failed, and the sorted codes of the failures.
+
+    Areas share a block's steps, so any area's count is that of all. ``codes`` of a candidate has a bit a code.
+    """
+    by_block = found.groupBy("satellite", "block").agg(F.max("bad_steps").alias("n"), F.bit_or("codes").alias("bits"))
+    total = by_block.groupBy("satellite").agg(F.sum("n").alias("bad_steps"), F.bit_or("bits").alias("bits"))
+    return total.select("satellite", "bad_steps", F.filter(F.array(*[F.lit(k) for k in range(1, 10)]), lambda c: F.getbit("bits", c) == 1).alias("codes"))
+
+
+def steps_of(days: float, step_s: float = STEP_S) -> int:
+    return int(days * 86400 / step_s) + 1
 
 
-def warnings(found: DataFrame, elements: DataFrame, start_us: int) -> DataFrame:
-    """(ord, text): satellites whose propagation failed, then the age of the oldest element set, then the standing note."""
+def warnings(found: DataFrame, elements: DataFrame, start_us: int, steps: int | None = None) -> DataFrame:
+    """(ord, text): satellites whose propagation failed, at all of the window's ``steps`` or at some, then the age of the oldest element set, then the standing note."""
     failed = error_counts(found).where("bad_steps > 0")
-    failed = failed.select(F.lit(1).alias("ord"), F.format_string("%s: propagation failed at %d steps of the window.", "satellite", "bad_steps").alias("text"))
+    codes = F.concat_ws(", ", F.transform("codes", lambda c: c.cast("string")))
+    some = F.format_string("%s: propagation failed at %d steps of the window (codes %s), so its passes are incomplete.", "satellite", "bad_steps", codes)
+    none = F.format_string("%s: its element set can't be propagated at all (codes %s). It has no passes for that reason, not for want of opportunities.", "satellite", codes)
+    failed = failed.select(F.lit(1).alias("ord"), F.when(F.col("bad_steps") == F.lit(steps), none).otherwise(some).alias("text"))
     age = F.max((F.lit(start_us) - epoch_us(F.col("line1"))) / 8.64e10)
     old = F.format_string("The most outdated element set precedes the window by %.1f days; times along the track grow uncertain.", "age")
     oldest = elements.agg(age.alias("age")).where("age is null or age > 3").select(F.lit(2).alias("ord"), F.coalesce(old, F.lit("None of the satellites asked for has an element set, so there are no passes.")).alias("text"))

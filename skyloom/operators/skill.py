@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.grading import soft_clear
+from skyloom.operators.asof import nearest_join
 
 THRESHOLD = 30.0
 LEAST_SAMPLES = 20
+SNAP_US = 5_400_000_000
 
 
-def score(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Skill by lead of (lead_days, observed, forecast)."""
+def score(pairs: DataFrame, threshold: float = THRESHOLD, by: list[str] | None = None) -> DataFrame:
+    """Skill by lead of (lead_days, observed, forecast), and by ``by``."""
     error, clear = F.col("forecast") - F.col("observed"), (F.col("observed") < threshold).cast("double")
     p = soft_clear(F.col("forecast"), threshold)
-    out = pairs.groupBy("lead_days").agg(
+    out = pairs.groupBy(*(by or []), "lead_days").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(error).alias("bias"),
         F.avg(F.abs(error)).alias("mae"),
@@ -28,6 +30,23 @@ def score(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.withColumn("brier_skill_score", F.when(F.col("brier_climatology") > 0, 1 - F.try_divide("brier", "brier_climatology")))
 
 
+def pairs(scenes: DataFrame, hindcast: DataFrame) -> DataFrame:
+    """Scenes of (aoi_id, scene, platform, t_us, observed), each with the forecast of every lead of its area nearest in time; those without one go."""
+    leads = hindcast.select("aoi_id", "lead_days").distinct()
+    asked = scenes.join(leads, "aoi_id").withColumnRenamed("t_us", "s_us").withColumn("row", F.struct("aoi_id", "scene", "lead_days"))
+    found = nearest_join(asked, hindcast, ["aoi_id", "lead_days"], "s_us", "t_us", SNAP_US, "row")
+    return found.select("aoi_id", "scene", "platform", "lead_days", "observed", F.col("s.forecast").alias("forecast")).where("forecast is not null")
+
+
+def harness(scenes: DataFrame, hindcast: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Forecasts against what was seen, area by area: totals, scenes a platform, and skill by lead."""
+    matched = pairs(scenes, hindcast)
+    seen = scenes.groupBy("aoi_id").agg(F.count(F.lit(1)).alias("scenes"), F.round(F.avg("observed"), 2).alias("observed_cloud_mean"))
+    paired = matched.groupBy("aoi_id").agg(F.count(F.lit(1)).alias("pairings"))
+    totals = seen.join(paired, "aoi_id", "left").withColumn("pairings", F.coalesce("pairings", F.lit(0)))
+    return totals, scenes.groupBy("aoi_id", "platform").agg(F.count(F.lit(1)).alias("scenes")), score(matched, threshold, ["aoi_id"])
+
+
 def monthly_clear_rate(observations: DataFrame, by: list[str], threshold: float = THRESHOLD, least: int = LEAST_SAMPLES) -> DataFrame:
     """Percent of clear observations of (by, month, cloud_pct), months with enough of them only."""
     out = observations.where("cloud_pct is not null").groupBy(*by, "month").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cloud_pct") < threshold).alias("clear"))

@@ -6,15 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from skyloom import catalog
 from skyloom.catalog import PLATFORMS
 from skyloom.functions import geo, sky
 from skyloom.functions.sgp4 import orbit
+from skyloom.operators import skill
 from skyloom.operators.passes import closest, gmst, off_nadir
-from skyloom.sources.elements import MANOEUVRE_KM_PER_DAY, SPEED_KM_S, epoch_us
+from skyloom.sources import weather
+from skyloom.sources.elements import MANOEUVRE_KM_PER_DAY, SPEED_KM_S, epoch_us, for_roster, parse_3le
 
 SPAN_US, STEP_US, STEPS = 1_200_000_000, 10_000_000, 16
 MAX_AGE_DAYS = 2.0
@@ -48,6 +51,17 @@ def scene_matches(scenes: DataFrame, elements: DataFrame, max_age_days: float =
     return found.withColumn("dt_s", (F.col("predicted_us") - F.col("t_us")) / 1e6)
 
 
+def report(spark: SparkSession, scene_files: str, element_file: str, max_age_days: float = MAX_AGE_DAYS) -> DataFrame:
+    """Timing residuals by platform of stored catalogue pages against a stored file of element sets; ValueError where a satellite has no set."""
+    sets = parse_3le(spark.read.text(element_file, wholetext=True).select(F.lit("file").alias("source"), "value"))
+    roster = catalog.roster_df(spark).join(spark.createDataFrame([(s,) for s in PLATFORMS.values()], "satellite string"), "satellite")  # the few satellites with platforms
+    found, missing = for_roster(sets, roster)
+    if gone := [r["satellite"] for r in missing.orderBy("satellite").collect()]:
+        raise ValueError(f"no element set for {', '.join(gone)}")
+    pages = spark.read.text(scene_files, wholetext=True).select(F.lit("all").alias("aoi_id"), F.col("value").alias("json"))
+    return skill.residuals(scene_matches(weather.scenes(pages, need_cloud=False), found, max_age_days))
+
+
 def _drift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Position error of the older set at the newer one's epoch, and its share along the track in seconds."""
     for batch in batches:

@@ -682,11 +682,74 @@ def roster_elements(spark, d):
     return counted.withColumn("missing", F.lit(False)).unionByName(missing.select("satellite", F.lit(0).cast("long").alias("n"), F.lit(True).alias("missing")))
 
 
-@query(with_(V.OBS) + "SELECT satellite, CAST(sum(n) AS BIGINT) AS bad_steps FROM (SELECT satellite, run_id, max(event_id % 5) AS n FROM obs GROUP BY 1, 2) GROUP BY 1")
+@query(with_(V.OBS, "b AS (SELECT satellite, run_id, max(event_id % 5) AS n, bit_or(2 << (event_id % 6)) AS bits FROM obs GROUP BY 1, 2)", "t AS (SELECT satellite, CAST(sum(n) AS BIGINT) AS bad_steps, bit_or(bits) AS bits FROM b GROUP BY 1)") + "SELECT satellite, bad_steps, array_to_string([c FOR c IN range(1, 10) IF (bits >> c) & 1 = 1], ',') AS codes FROM t")
 def failed_steps(spark, d):
     from skyloom.operators import passes
 
-    return passes.error_counts(V.obs(spark, d).select("satellite", F.col("run_id").alias("block"), (F.col("event_id") % 5).alias("bad_steps")))
+    e = F.col("event_id")
+    bits = F.expr("shiftleft(2L, cast(event_id % 6 as int))")
+    found = passes.error_counts(V.obs(spark, d).select("satellite", F.col("run_id").alias("block"), (e % 5).alias("bad_steps"), bits.alias("codes")))
+    return found.select("satellite", "bad_steps", F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))).alias("codes"))
+
+
+_NOW_US = _REF_US + 30 * sky.DAY_US + 4 * sky.HOUR_US
+_STORED = [n for p in catalog.PROFILES.values() for _, n, _ in p.satellites][:-1]
+_HELD = f"held AS (SELECT sensor, count(*) FILTER (got_us IS NULL) AS missing, min(got_us) AS fetched_us FROM roster LEFT JOIN (SELECT {_STORED}[1 + CAST(user_id % {len(_STORED)} AS INTEGER)] AS norad, max(epoch_us(ts)) AS got_us FROM events GROUP BY 1) USING (norad) GROUP BY 1)"
+
+
+@query(with_(_ROSTER_SQL, _HELD, "failed AS (SELECT max(epoch_us(ts)) AS failed_us FROM events WHERE event_type = 'error')") + f"SELECT sensor, missing, fetched_us, CASE WHEN missing = 0 AND {_NOW_US} - fetched_us < 28800000000 THEN 'fresh' WHEN missing = 0 AND {_NOW_US} - failed_us < 900000000 THEN 'cooling' ELSE 'fetch' END AS action FROM held, failed")
+def element_refresh(spark, d):
+    """What a fetch would do for each sensor; events are fetches of all satellites of the catalogue but the last."""
+    from skyloom.sources import history
+
+    e = table(spark, d, "events")
+    roster = catalog.roster_df(spark)
+    norad = F.get(F.array(*[F.lit(n) for n in _STORED]), (F.col("user_id") % len(_STORED)).cast("int"))
+    sets = e.select(norad.alias("norad"), sky.to_us(F.col("ts")).alias("fetched_us")).join(F.broadcast(roster.select("satellite", "norad")), "norad")  # a row a satellite
+    failures = e.where("event_type = 'error'").select(sky.to_us(F.col("ts")).alias("failed_us"))
+    return history.plan(roster, sets, failures, _NOW_US).drop("failed_us")
+
+
+@query(_OUTLOOK + "SELECT event_id, coalesce(printf('%.0f', round_even(a.total, 0)), 'n/a') AS total, CASE WHEN a IS NULL THEN 'n/a' ELSE (a.low || '/' || a.mid || '/' || a.high) END AS layers, CASE WHEN b IS NULL THEN 'n/a' ELSE printf('%.0f', round_even(b.lo, 0)) || '–' || printf('%.0f', round_even(b.hi, 0)) END AS spread, ['n/a', 'forecast', 'outlook (probabilistic)', ''][1 + tier] AS label, coalesce(printf('%.0f', round_even(clim, 0)) || '%', 'n/a') AS usual FROM o")
+def cloud_cells(spark, d):
+    from skyloom.sources import workbook
+
+    total, layers, _, spread, label, usual = workbook.cloud_cells()
+    return _outlook(spark, d).select("event_id", total.alias("total"), layers.alias("layers"), spread.alias("spread"), label.alias("label"), usual.alias("usual"))
+
+
+@query(_OUTLOOK + "SELECT DISTINCT asked AS tier, (SELECT bool_or(tier > 0) FROM o) AS any_cloud FROM o")
+def tiers_needed(spark, d):
+    from skyloom.operators import clouds
+
+    out = _outlook(spark, d).select("tca_us", F.when(F.col("cloud.tier") > 0, F.col("cloud")).alias("cloud"))
+    return spark.createDataFrame([(t, clouds.has_cloud(out)) for t in sorted(clouds.tiers(out, _REF_US))], "tier int, any_cloud boolean")
+
+
+@query(with_(V.SITE) + "SELECT site, printf('%.5f ', abs(lat)) || CASE WHEN lat < 0 THEN 'S' ELSE 'N' END || ', ' || printf('%.5f ', abs(lon)) || CASE WHEN lon < 0 THEN 'W' ELSE 'E' END AS place FROM site")
+def area_position(spark, d):
+    from skyloom.sources import workbook
+
+    return V.site(spark, d).select("site", workbook.position(F.col("lat"), F.col("lon")).alias("place"))
+
+
+@query(_PAIR_WITH + f", seen AS (SELECT count(*) AS scenes, avg(observed) AS m FROM scene) SELECT 'all' AS aoi_id, scenes, CAST(floor(m * 100 + 0.5) AS BIGINT) AS observed_cloud_mean, (SELECT count(*) FROM pair) AS pairings FROM seen")
+def hindcast_totals(spark, d):
+    area = F.lit("all").alias("aoi_id")
+    totals, _, _ = skill.harness(V.scene(spark, d).select(area, "*"), V.hindcast(spark, d).select(area, "*"))
+    return totals.withColumn("observed_cloud_mean", F.round(F.col("observed_cloud_mean") * 100).cast("long"))
+
+
+@query(with_(_ARCHIVE, "counted AS (SELECT site, month, count(*) AS n, count(*) FILTER (cloud_pct < 30) AS clear FROM archive GROUP BY 1, 2)") + f"SELECT 'Run ' || s.site AS name, CAST(m AS INTEGER) AS month, coalesce(n, 0) AS n, CASE WHEN n >= 180 THEN {sql_micro('round(100.0 * clear / n, 1)')} END AS clear_pct FROM (SELECT DISTINCT site FROM archive) AS s CROSS JOIN range(1, 13) AS r(m) LEFT JOIN counted ON counted.site = s.site AND month = m")
+def climatology_counts(spark, d):
+    """The climatology built, written as JSON a site, and read back with its counts."""
+    from skyloom.sources import weather
+
+    seen = _archive(spark, d).select(F.concat(F.lit("Run "), F.col("site").cast("string")).alias("name"), "month", "cloud_pct")
+    files = weather.climatology_build(seen, 30.0, 180)
+    counts = F.from_json(F.get_json_object("json", "$._sample_counts"), "map<string,map<string,bigint>>")
+    held = files.select("name", F.explode(F.element_at(counts, F.col("name"))).alias("month", "n"))
+    return held.join(weather.climatology(files), ["name", "month"], "left").select("name", F.month(F.to_date(F.concat(F.lit("2000 "), "month"), "yyyy MMM")).alias("month"), "n", micro(F.col("clear_pct")).alias("clear_pct"))
 
 
 @query(with_(V.OBS, V.PASSES, _GOOD, _WIN) + "SELECT run_id, string_agg(DISTINCT satellite, ',' ORDER BY satellite) AS satellites FROM good JOIN (SELECT run_id, tca_us AS start_us, end_us FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, CAST(round(mo * 1e9) AS BIGINT), CAST(round(ms * 1e9) AS BIGINT) DESC, tca_us) AS r FROM win) WHERE r = 1) USING (run_id) WHERE tca_us BETWEEN start_us AND end_us GROUP BY 1")

@@ -6,12 +6,15 @@ columns aoi_id and json, so stored captures work as well.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.operators import skill
+
 SERIES = "struct<hourly:struct<time:array<string>,cloud_cover:array<double>,cloud_cover_low:array<double>,cloud_cover_mid:array<double>,cloud_cover_high:array<double>>>"
 LAYERS = ("low", "mid", "high")
 
@@ -77,10 +80,40 @@ def climatology(files: DataFrame) -> DataFrame:
     return rows.select("name", F.explode(F.from_json("v", "map<string,double>")).alias("month", "clear_pct"))
 
 
-def climatology_json(rates: DataFrame) -> DataFrame:
-    """The sink for the above, which reads it back: a JSON object a site, its name as key over those of its months."""
-    entry = F.struct(F.date_format(F.make_date(F.lit(2000), F.col("month"), F.lit(1)), "MMM"), F.round("clear_pct", 1))
-    return rates.groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("months")).select("name", F.to_json(F.create_map("name", "months")).alias("json"))
+def climatology_json(rates: DataFrame, counts: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
+    """The sink for the above, which reads it back: a JSON object a site, its name as key over those of its months.
+
+    ``counts`` (name, month, n) and the threshold go with it as notes; a site whose months all have too few samples has an empty object.
+    """
+    month = F.date_format(F.make_date(F.lit(2000), F.col("month"), F.lit(1)), "MMM")
+    by_site = lambda t, value: t.groupBy("name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(month, value)))).alias("m"))
+    out = by_site(rates, F.round("clear_pct", 1)).withColumnRenamed("m", "months")
+    object_ = lambda c: F.to_json(F.create_map("name", c))
+    if counts is None:
+        return out.select("name", object_("months").alias("json"))
+    both = by_site(counts, F.col("n")).join(out, "name", "left").withColumn("months", F.coalesce("months", F.create_map().cast("map<string,double>")))
+    notes = F.format_string(',"_threshold_pct":%s,"_sample_counts":%s}', F.lit(threshold).cast("string"), object_("m"))
+    return both.select("name", F.concat(F.regexp_replace(object_("months"), r"\}$", ""), notes).alias("json"))
+
+
+def archive(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
+    """(name, month, cloud_pct) of catalogue pages kept as ``name=.../year=.../*.json``; only folders of the years asked for are read."""
+    files = spark.read.text(folder, wholetext=True).where(F.col("year").between(first, last))
+    pages = files.select(F.col("name").cast("string").alias("aoi_id"), F.col("value").alias("json"))
+    return scenes(pages).select(F.col("aoi_id").alias("name"), F.month(F.timestamp_micros("t_us")).alias("month"), F.col("observed").alias("cloud_pct"))
+
+
+def climatology_build(observations: DataFrame, threshold: float, least: int) -> DataFrame:
+    """(name, json) of (name, month, cloud_pct): the rates of months with enough observations, and the counts of all twelve."""
+    rates = skill.monthly_clear_rate(observations, ["name"], threshold, least)
+    return climatology_json(rates, skill.monthly_counts(observations, ["name"]), threshold)
+
+
+def search_body(lat: float, lon: float, start: str, end: str, collections: list[str], limit: int = 100) -> str:
+    """A catalogue search for scenes over a place, as JSON; a page has at most 200 of them."""
+    if not 1 <= limit <= 200:
+        raise ValueError("a page has 1 to 200 scenes")
+    return json.dumps({"collections": collections, "intersects": {"type": "Point", "coordinates": [lon, lat]}, "datetime": f"{start}/{end}", "limit": limit})
 
 
 def fetched(spark: SparkSession, urls: list[tuple[str, str]], get: Callable[[str], str]) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 
 from skyloom import catalog, cli
 from skyloom.functions import sky
-from skyloom.operators import clouds, validation
+from skyloom.operators import clouds, passes, skill, validation
 from skyloom.sources import elements, history, kml, weather, workbook
 from tests.imaging.test_orbits import element_set
 
@@ -185,6 +185,52 @@ def test_element_history(spark, tmp_path):
         history.acquire(spark, catalog.roster_df(spark, ["sentinel2"]), path, now, lambda n: "nothing")
 
 
+def test_harness(spark):
+    """Two scenes of one area against leads of one and two days; a null forecast and one too far away are no pairs."""
+    at = lambda h: 1_783_000_000_000_000 // sky.HOUR_US * sky.HOUR_US + h * sky.HOUR_US
+    scenes = spark.createDataFrame([("a", 1, "x", at(0) + 60_000_000, 10.0), ("a", 2, "y", at(9), 80.0), ("b", 3, "x", at(0), 5.0)], "aoi_id string, scene int, platform string, t_us long, observed double")
+    series = spark.createDataFrame([("a", 0, at(0), 1, 20.0), ("a", 1, at(1), 1, 99.0), ("a", 0, at(0), 2, 40.0), ("a", 9, at(9), 1, None), ("a", 9, at(9), 2, 70.0)], "aoi_id string, idx int, t_us long, lead_days int, forecast double")
+    totals, platforms, skilled = skill.harness(scenes, series)
+    assert {r["aoi_id"]: (r["scenes"], r["pairings"], r["observed_cloud_mean"]) for r in totals.collect()} == {"a": (2, 3, 45.0), "b": (1, 0, 5.0)}
+    assert platforms.count() == 3
+    assert {r["lead_days"]: (r["n"], r["bias"], r["decision_accuracy"]) for r in skilled.collect()} == {1: (1, 10.0, 1.0), 2: (2, 10.0, 0.5)}
+
+
+def test_climatology_build(spark, tmp_path):
+    for year, n, cloud in ((2015, 5, 0), (2016, 15, 10), (2017, 15, 90)):
+        (tmp_path / "name=Site 1" / f"year={year}").mkdir(parents=True)
+        page = {"features": [{"collection": "c", "properties": {"datetime": f"{year}-07-{k + 1:02d}T00:00:00Z", "platform": "p", "eo:cloud_cover": cloud}} for k in range(n)]}
+        page["features"].append({"collection": "c", "properties": {"datetime": f"{year}-01-01T00:00:00Z", "eo:cloud_cover": 1}})
+        (tmp_path / "name=Site 1" / f"year={year}" / "1.json").write_text(json.dumps(page))
+    seen = weather.archive(spark, str(tmp_path), 2016, 2020)
+    assert seen.count() == 32 and "PartitionFilters: [isnotnull(year" in seen._jdf.queryExecution().toString()
+    built = json.loads(weather.climatology_build(seen, 30.0, 20).first()["json"])
+    assert built["Site 1"] == {"Jul": 50.0} and built["_threshold_pct"] == 30
+    assert built["_sample_counts"]["Site 1"]["Jul"] == 30 and built["_sample_counts"]["Site 1"]["Jan"] == 2 and len(built["_sample_counts"]["Site 1"]) == 12
+    assert json.loads(weather.search_body(1.5, 2.5, "a", "b", ["c"]))["intersects"]["coordinates"] == [2.5, 1.5]
+    with pytest.raises(ValueError):
+        weather.search_body(0, 0, "a", "b", [], 300)
+
+
+def test_validation_report(spark, tmp_path):
+    page = {"features": [{"collection": "c", "properties": {"datetime": f"2026-07-01T{h:02d}:00:00Z", "platform": "landsat-9", "proj:centroid": {"lat": -20, "lon": 150}}} for h in range(24)]}
+    (tmp_path / "s.json").write_text(json.dumps(page))
+    numbers = [n for p in ("landsat", "sentinel2") for _, n, _ in catalog.PROFILES[p].satellites]
+    (tmp_path / "t.txt").write_text("\n".join("\n".join(element_set(n, 10, 20)) for n in numbers))
+    out = {r["platform"]: r["n"] for r in validation.report(spark, str(tmp_path / "s.json"), str(tmp_path / "t.txt")).collect()}
+    assert set(out) == {"landsat-9", None} and out[None] == out["landsat-9"] > 0
+    (tmp_path / "t.txt").write_text("\n".join(element_set(numbers[0], 10, 20)))
+    with pytest.raises(ValueError, match="SENTINEL2C"):
+        validation.report(spark, str(tmp_path / "s.json"), str(tmp_path / "t.txt"))
+
+
+def test_failures_are_told_apart(spark):
+    found = spark.createDataFrame([("A", 0, 10, 2), ("A", 1, 10, 64), ("B", 0, 3, 64), ("B", 0, 3, 64), ("C", 0, 0, 0)], "satellite string, block int, bad_steps long, codes long")
+    none = spark.createDataFrame([("C", element_set(1, 1, 1)[0])], "satellite string, line1 string")
+    texts = sorted(r["text"] for r in passes.warnings(found, none, 1_782_777_600_000_000, 20).where("ord = 1").collect())
+    assert len(texts) == 2 and "at all (codes 1, 6)" in texts[0] and "3 steps of the window (codes 6)" in texts[1]
+
+
 def test_streaming(spark, tmp_path):
     from skyloom.streaming import updates
 
