@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyloom.llm import html, lm, media, mixing, neardup, packing, pii, quality, repeats, warc
+from skyloom.llm import html, lm, media, mixing, neardup, packing, pii, quality, repeats, trie, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
+    "op11_trie": trie.op11_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality": quality.SQL,
     "op6_neardup": neardup.SQL,
     "op9_warc": warc.SQL,
+    "op11_trie": trie.SQL,
 }
