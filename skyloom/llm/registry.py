@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyloom.llm import html, lm, media, mixing, neardup, packing, pii, quality, repeats, trie, warc
+from skyloom.llm import align, html, licenses, lm, media, mixing, neardup, packing, pii, quality, repeats, trie, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
     "op11_trie": trie.op11_trie,
+    "op12_align": align.op12_align,
+    "op13_licenses": licenses.op13_licenses,
 }
 
 ORACLES: dict[str, str] = {
