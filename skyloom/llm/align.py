@@ -237,7 +237,8 @@ def pair_counts(found: DataFrame, vocabulary: str | None = None, pieces: str | N
 def counts(found: DataFrame, vocabulary: str | None = None, pieces: str | None = None) -> Counts:
     """Shards of all pairs' counts in the shared folder. The driver gets a row a shard and numbers by id of A, as many as its vocabulary has."""
     spark = found.sparkSession
-    partial = pair_counts(found, vocabulary, pieces).repartitionByRange("key").sortWithinPartitions("key")
+    # Written first: the choice of ranges reads the rows once more than the sort does.
+    partial = stash(pair_counts(found, vocabulary, pieces), "align-pairs").repartitionByRange("key").sortWithinPartitions("key")
     rows = stash(partial.mapInArrow(_write(shared_folder(spark, "align-shards")), SHARD), "align-index").collect()
     most = np.zeros(len(pair(vocabulary or vocabulary_path(), pieces or piece_path()).bytes_a), np.int64)
     for r in rows:
