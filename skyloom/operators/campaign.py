@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from skyloom.operators.ordered import lagged, medians
+
 WINDOW_US = 3 * 86_400_000_000
+#: Time that one task orders at once for a run.
+BLOCK_US = 6 * 3_600_000_000
 
 
 def revisit_gaps(passes: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
-    """Good passes with the hours since the one before."""
-    w = W.partitionBy(*by).orderBy(*order)
-    return passes.where("quality = 'good'").withColumn("gap_h", (F.col("tca_us") - F.lag("tca_us").over(w)) / 3.6e9)
+    """Good passes with the hours since the one before; ``order`` begins with tca_us."""
+    good = lagged(passes.where("quality = 'good'"), by, "tca_us", order, ["tca_us"], BLOCK_US, "__before")
+    return good.withColumn("gap_h", (F.col("tca_us") - F.col("__before.tca_us")) / 3.6e9).drop("__before")
 
 
 def windows(passes: DataFrame, by: list[str], span_us: int = WINDOW_US) -> DataFrame:
@@ -52,8 +56,9 @@ def summary(passes: DataFrame, by: list[str], order: list[str | Column]) -> Data
     """Totals, median and greatest revisit gap, and the best window of each run; operational passes only."""
     ops = passes.where("bucket in ('passes', 'marginal')")
     totals = ops.groupBy(*by).agg(F.count(F.lit(1)).alias("total_opportunities"), F.count_if(F.col("quality") == "good").alias("good_quality"))
-    gaps = revisit_gaps(ops, by, order).groupBy(*by).agg(F.median("gap_h").alias("median_revisit_h"), F.max("gap_h").alias("max_gap_h"))
-    return totals.join(gaps, by, "left").join(best_window(ops, by), by, "left")
+    gaps = revisit_gaps(ops, by, order).select(*by, "gap_h")
+    widest = gaps.groupBy(*by).agg(F.max("gap_h").alias("max_gap_h"))
+    return totals.join(medians(gaps, by, "gap_h", "median_revisit_h"), by, "left").join(widest, by, "left").join(best_window(ops, by), by, "left")
 
 
 def merged(parts: list[DataFrame]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.grading import soft_clear
 from skyloom.operators.asof import nearest_join
+from skyloom.operators.ordered import medians, same
 
 THRESHOLD = 30.0
 LEAST_SAMPLES = 20
@@ -61,14 +62,18 @@ def monthly_counts(observations: DataFrame, by: list[str]) -> DataFrame:
 
 
 def residuals(matches: DataFrame) -> DataFrame:
-    """Timing residuals by platform, and overall (platform null), in one pass."""
-    return matches.groupingSets([[F.col("platform")], []], F.col("platform")).agg(
+    """Timing residuals by platform, and overall (platform null)."""
+    figures = matches.groupingSets([[F.col("platform")], []], F.col("platform")).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("dt_s").alias("mean_dt_s"),
-        F.median("dt_s").alias("median_dt_s"),
         F.stddev_pop("dt_s").alias("stdev_dt_s"),
         F.max(F.abs("dt_s")).alias("max_abs_dt_s"),
         F.avg("off_nadir_deg").alias("mean_off_nadir_deg"),
         F.max("off_nadir_deg").alias("max_off_nadir_deg"),
         F.max("tle_age_days").alias("max_tle_age_days"),
+        F.grouping("platform").alias("__all"),
     )
+    each = F.explode(F.array(F.struct(F.lit(0).cast("byte").alias("__all"), "platform"), F.struct(F.lit(1).cast("byte").alias("__all"), F.lit(None).cast("string").alias("platform"))))
+    middle = medians(matches.select("dt_s", each.alias("__k")).select("dt_s", "__k.*"), ["__all", "platform"], "dt_s", "median_dt_s")
+    out = same(figures, middle, ["__all", "platform"], "left")
+    return out.select("platform", "n", "mean_dt_s", "median_dt_s", "stdev_dt_s", "max_abs_dt_s", "mean_off_nadir_deg", "max_off_nadir_deg", "max_tle_age_days")

@@ -8,16 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from skyloom import catalog
 from skyloom.catalog import PLATFORMS
 from skyloom.functions import geo, sky
 from skyloom.functions.sgp4 import orbit
 from skyloom.operators import skill
+from skyloom.operators.ordered import lagged
 from skyloom.operators.passes import closest, gmst, off_nadir
 from skyloom.sources import weather
-from skyloom.sources.elements import MANOEUVRE_KM_PER_DAY, SPEED_KM_S, epoch_us, for_roster, parse_3le
+from skyloom.sources.elements import BLOCK_US, MANOEUVRE_KM_PER_DAY, SPEED_KM_S, epoch_us, for_roster, parse_3le
 
 SPAN_US, STEP_US, STEPS = 1_200_000_000, 10_000_000, 16
 MAX_AGE_DAYS = 2.0
@@ -80,9 +80,9 @@ def _drift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def orbit_changes(history: DataFrame) -> DataFrame:
     """From each element set of (satellite, line1, line2) to the next: gap, rise of the semi-major axis, position error, and whether that is thrust."""
-    w = W.partitionBy("satellite").orderBy("epoch_us")
     sets = history.withColumn("epoch_us", epoch_us(F.col("line1")))
-    both = sets.withColumns({"old1": F.lag("line1").over(w), "old2": F.lag("line2").over(w), "gap_days": (F.col("epoch_us") - F.lag("epoch_us").over(w)) / sky.DAY_US})
+    both = lagged(sets, ["satellite"], "epoch_us", ["epoch_us", "line1", "line2"], ["line1", "line2", "epoch_us"], BLOCK_US, "old")
+    both = both.withColumns({"old1": F.col("old.line1"), "old2": F.col("old.line2"), "gap_days": (F.col("epoch_us") - F.col("old.epoch_us")) / sky.DAY_US})
     moved = both.where("gap_days > 0").select("satellite", "line1", "line2", "old1", "old2", "gap_days").mapInArrow(_drift, "satellite string, gap_days double, da_km double, pos_err_km double, along_track_s double")
     return moved.withColumn("manoeuvred", F.col("da_km") / F.col("gap_days") > MANOEUVRE_KM_PER_DAY)
 

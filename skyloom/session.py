@@ -48,5 +48,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A small intermediate table computed once: a checkpoint in the shared folder where one is set, else persisted with a copy on disk."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skyloom.functions.geo import MU
+from skyloom.operators.ordered import lagged
 
 #: Rise of the semi-major axis a day (km) that drag can't explain, and the speed (km/s) that turns along-track error into time.
 MANOEUVRE_KM_PER_DAY = 0.03
 SPEED_KM_S = 7.5
+#: Time that one task orders at once for a satellite.
+BLOCK_US = 30 * 86_400_000_000
 
 
 def parse_3le(text: DataFrame) -> DataFrame:
@@ -46,7 +49,7 @@ def semi_major_km(mean_motion_rev_day: Column) -> Column:
 
 
 def changes(sets: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Change of the semi-major axis from each set to the next of its satellite; ``sets`` has epoch_us and a_km."""
-    w = W.partitionBy(*by).orderBy(*order)
-    both = sets.withColumns({"gap_days": (F.col("epoch_us") - F.lag("epoch_us").over(w)) / 8.64e10, "da_km": F.col("a_km") - F.lag("a_km").over(w)})
+    """Change of the semi-major axis from each set to the next of its satellite; ``sets`` has epoch_us and a_km, and ``order`` begins with epoch_us."""
+    both = lagged(sets, by, "epoch_us", order, ["epoch_us", "a_km"], BLOCK_US, "__before")
+    both = both.withColumns({"gap_days": (F.col("epoch_us") - F.col("__before.epoch_us")) / 8.64e10, "da_km": F.col("a_km") - F.col("__before.a_km")}).drop("__before")
     return both.where("gap_days > 0").withColumn("manoeuvred", F.col("da_km") / F.col("gap_days") > MANOEUVRE_KM_PER_DAY)
