@@ -116,7 +116,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if gone := [r["satellite"] for r in missing.collect()]:  # a roster's size at most
             print(f"error: no element set for {', '.join(gone)}", file=sys.stderr)
             return 3
-        close = passes.candidates(aois, sets, start, a.days, ellipsoid=a.nadir_ellipsoid).cache()  # passes and warnings share it
+        reach = max(profile.max_off if a.max_off_nadir is None else a.max_off_nadir, profile.marginal_off)
+        close = passes.candidates(aois, sets, start, a.days, ellipsoid=a.nadir_ellipsoid, reach_deg=min(reach, passes.CUTOFF_DEG)).cache()  # passes and warnings share it
         found.append(passes.predict(aois, sets, profile, start, a.days, found=close, ellipsoid=a.nadir_ellipsoid, include_nonoperational=a.include_nonoperational, max_off=a.max_off_nadir, min_sun=a.min_sun))
         said += [r["text"] for r in passes.warnings(close, sets, start, passes.steps_of(a.days)).orderBy("ord").collect()]
         roster += profile.satellites

@@ -692,6 +692,50 @@ def failed_steps(spark, d):
     return found.select("satellite", "bad_steps", F.concat_ws(",", F.transform("codes", lambda c: c.cast("string"))).alias("codes"))
 
 
+@query(with_(V.OBS) + "SELECT satellite, CAST(event_id % 6 + 1 AS INTEGER) AS code, CAST(sum(event_id % 5) AS BIGINT) AS n FROM obs GROUP BY 1, 2")
+def failed_step_codes(spark, d):
+    from skyloom.operators import passes
+
+    e = F.col("event_id")
+    failures = V.obs(spark, d).select("satellite", F.col("run_id").alias("block"), (e % 6 + 1).cast("int").alias("code"), (e % 5).alias("n"))
+    return passes.error_histogram(failures)
+
+
+_CLOSE = [
+    f"q AS (SELECT event_id, satellite, site, lat, lon, tca_us, x, y, z, 1.08e0 * x + (event_id * 31 % 601 - 300) AS px, 1.08e0 * y + (event_id * 17 % 601 - 300) AS py, 1.08e0 * z + (event_id * 13 % 401 - 200) AS pz FROM obs JOIN e ON site = user_id)",
+    "l AS (SELECT *, x - px AS lx, y - py AS ly, z - pz AS lz, -0.001 * py AS wx, 0.001 * px AS wy, 7e0 AS wz FROM q)",
+    "g AS (SELECT *, sqrt(lx * lx + ly * ly + lz * lz) AS slant, degrees(acos(greatest(-1, least(1, -(px * lx + py * ly + pz * lz) / sqrt(px * px + py * py + pz * pz) / sqrt(lx * lx + ly * ly + lz * lz))))) AS eta, lx * (py * wz - pz * wy) + ly * (pz * wx - px * wz) + lz * (px * wy - py * wx) AS side, -(lx * cos(radians(lat)) * cos(radians(lon)) + ly * cos(radians(lat)) * sin(radians(lon)) + lz * sin(radians(lat))) AS rise FROM l)",
+]
+_SUN_AT = _SUN.removeprefix("WITH ").replace(V.SITE + ",\n", "").replace(V.OBS + ",\n", "").rstrip()
+
+
+@query(
+    with_(V.SITE, V.OBS, _ECEF, *_CLOSE)[:-1] + ",\n" + _SUN_AT.replace("b AS (SELECT", "sb AS (SELECT").replace("FROM b)", "FROM sb)").replace("n AS (SELECT", "sn AS (SELECT", 1).replace("FROM n)", "FROM sn)")
+    + """, seen AS (SELECT g.*, degrees(asin(sin(phi) * sin(dec) + cos(phi) * cos(dec) * cos(h.h))) AS sun FROM g JOIN h USING (event_id) WHERE rise > 0),
+gated AS (SELECT *, CASE WHEN eta <= 20 AND sun >= 20 THEN 'standard' WHEN eta <= 30 AND sun >= 15 THEN 'marginal' END AS category FROM seen)
+SELECT CAST(site AS VARCHAR) AS aoi_id, satellite, tca_us, CAST(floor(CASE WHEN side < 0 THEN -eta ELSE eta END * 1e4 + 0.5) AS BIGINT) AS off, CAST(floor(slant * 1e3 + 0.5) AS BIGINT) AS slant, CAST(floor(sun * 1e4 + 0.5) AS BIGINT) AS sun, category,
+  CASE WHEN satellite = 'SAT9' THEN 'nonoperational' WHEN category = 'standard' THEN 'passes' ELSE 'marginal' END AS bucket, CASE WHEN sun < 15 THEN 'poor' WHEN eta <= 12 AND sun >= 20 THEN 'good' WHEN eta <= 20 AND sun >= 15 THEN 'marginal' ELSE 'poor' END AS quality,
+  CAST(floor((1 + 2 * greatest((tca_us - 1704067200000000) / 8.64e10, 0)) / 7.5 * 1e6 + 0.5) AS BIGINT) AS sigma FROM gated WHERE category IS NOT NULL"""
+)
+def pass_gates(spark, d):
+    """Gates and geometry of candidates made from the tables: a satellite somewhere above each event's site."""
+    from skyloom.functions.vectors import angle_deg, minus
+    from skyloom.operators import passes
+
+    e = F.col("event_id")
+    o = V.obs(spark, d).select("event_id", "satellite", "user_id", "tca_us").join(V.site(spark, d), F.col("user_id") == F.col("site"))
+    j = sky.julian(F.col("tca_us"))
+    o = o.withColumns({"s": geo.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.col("alt_km")), "th": geo.gmst_rad(j["jd"] + j["fr"])})
+    o = o.withColumn("p", vec(1.08 * F.col("s.x") + (e * 31 % 601 - 300), 1.08 * F.col("s.y") + (e * 17 % 601 - 300), 1.08 * F.col("s.z") + (e * 13 % 401 - 200)))
+    o = o.withColumns({"eta": angle_deg(vec(-F.col("p.x"), -F.col("p.y"), -F.col("p.z")), minus(F.col("s"), F.col("p"))), "r": geo.ecef_to_teme(F.col("p"), F.col("th")), "v": geo.ecef_to_teme(vec(-0.001 * F.col("p.y"), 0.001 * F.col("p.x"), F.lit(7.0)), F.col("th"))})
+    found = o.select(F.col("site").cast("string").alias("aoi_id"), "satellite", F.col("tca_us").alias("t_us"), "eta", *[F.col(f"r.{k}").alias(k) for k in "xyz"], *[F.col(f"v.{k}").alias(f"v{k}") for k in "xyz"], F.lit(0).alias("err"))
+    line = F.format_string("1 %05dU 24001A   24001.00000000  .00000000  00000-0  20000-4 0  9990", F.col("id"))
+    sets = spark.range(10).select(F.concat(F.lit("SAT"), "id").alias("satellite"), line.alias("line1"), F.lit("").alias("line2"), (F.col("id") != 9).alias("operational"))
+    p = passes.predict(_areas(spark, d), sets, catalog.PROFILES["dragonette"], _START_US, 2.0, found=found)
+    fixed = lambda c, k: F.floor(F.col(c) * k + 0.5).cast("long")
+    return p.select("aoi_id", "satellite", "tca_us", fixed("off_nadir_deg", 1e4).alias("off"), fixed("slant_range_km", 1e3).alias("slant"), fixed("sun_elev_deg", 1e4).alias("sun"), "category", "bucket", "quality", fixed("timing_sigma_s", 1e6).alias("sigma"))
+
+
 _NOW_US = _REF_US + 30 * sky.DAY_US + 4 * sky.HOUR_US
 _STORED = [n for p in catalog.PROFILES.values() for _, n, _ in p.satellites][:-1]
 _HELD = f"held AS (SELECT sensor, count(*) FILTER (got_us IS NULL) AS missing, min(got_us) AS fetched_us FROM roster LEFT JOIN (SELECT {_STORED}[1 + CAST(user_id % {len(_STORED)} AS INTEGER)] AS norad, max(epoch_us(ts)) AS got_us FROM events GROUP BY 1) USING (norad) GROUP BY 1)"
