@@ -132,21 +132,21 @@ def reach_rad(distance: np.ndarray, off_deg: float) -> np.ndarray:
     return np.where(sine < 1, np.arcsin(np.minimum(sine, 1)) - eta, np.arccos(np.minimum(LOWEST_KM / np.maximum(distance, LOWEST_KM), 1)))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], start_us: int, steps: int, step_us: int) -> Iterator[tuple]:
-    """(batch, row, block, its first step and number of steps, ephemeris with a step more at each end, where that starts) of every row."""
+def _blocks(batches: Iterator[pa.RecordBatch], start_us: int, steps: int, step_us: int, per: int) -> Iterator[tuple]:
+    """With ``per`` steps a block: (batch, row, block, its first step and number of steps, ephemeris with a step more at each end, where that starts) of every row."""
     for batch in batches:
         for k, (line1, line2, block) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("line1", "line2", "block")], strict=True)):
-            first, end = block * BLOCK_STEPS, min(steps, (block + 1) * BLOCK_STEPS)
+            first, end = block * per, min(steps, (block + 1) * per)
             before = max(0, first - 1)
             yield batch, k, block, first, end - first, ephemeris(line1, line2, start_us, before, min(steps, end + 1) - before, step_us), before
 
 
-def _marker(start_us: int, steps: int, step_us: int, off_deg: float):
+def _marker(start_us: int, steps: int, step_us: int, per: int, off_deg: float):
     """For rows of a satellite and a block: the cells within reach in each run."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, rim = cells(CELL_DEG)
-        for batch, k, _, first, count, (_, theta, err, r), before in _blocks(batches, start_us, steps, step_us):
+        for batch, k, _, first, count, (_, theta, err, r), before in _blocks(batches, start_us, steps, step_us, per):
             good = err == 0
             distance = np.where(good, np.linalg.norm(np.nan_to_num(r, nan=1.0), axis=1), 1.0)
             c, s = np.cos(theta), np.sin(theta)
@@ -174,11 +174,11 @@ def _marker(start_us: int, steps: int, step_us: int, off_deg: float):
     return mark
 
 
-def _failer(start_us: int, steps: int, step_us: int):
+def _failer(start_us: int, steps: int, step_us: int, per: int):
     """For rows of a satellite and a block: how many of its steps failed, by error code."""
 
     def fail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, k, block, first, count, (_, _, err, _), before in _blocks(batches, start_us, steps, step_us):
+        for batch, k, block, first, count, (_, _, err, _), before in _blocks(batches, start_us, steps, step_us, per):
             code, n = np.unique(err[first - before : first - before + count], return_counts=True)
             code, n = code[code != 0], n[code != 0]
             if len(code):
@@ -187,30 +187,36 @@ def _failer(start_us: int, steps: int, step_us: int):
     return fail
 
 
-def _scanner(start_us: int, steps: int, step_us: int, ellipsoid: bool):
+def _scanner(start_us: int, steps: int, step_us: int, per: int, ellipsoid: bool):
     """For rows of a satellite, a run and an area within reach: refined candidates."""
     names = ["aoi_id", "satellite", "t_us", "eta", "x", "y", "z", "vx", "vy", "vz", "err", "bad_steps", "codes", "block"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("line1", "line2", "first", "count")]
-            sites = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("sx", "sy", "sz")], axis=1)
+            lines = [batch.column(c).to_pylist() for c in ("line1", "line2")]
+            start, count, sx, sy, sz = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "count", "sx", "sy", "sz"))
+            sites, blocks = np.stack([sx, sy, sz], axis=1), start // per
             rows, parts = [], []
-            for (line1, line2, start, count), own in groupby(range(batch.num_rows), key=lambda k: tuple(c[k] for c in columns)):
+            for (line1, line2, block), own in groupby(range(batch.num_rows), key=lambda k: (lines[0][k], lines[1][k], blocks[k])):
                 own = np.array(list(own))
-                first = max(0, start - 1)
-                us, theta, err, r = ephemeris(line1, line2, start_us, first, min(steps, start + count + 1) - first, step_us)
-                eta = off_nadir_of_many(r, theta, err, sites[own])
-                area, at = np.nonzero((eta[:, 1:-1] < eta[:, :-2]) & (eta[:, 1:-1] <= eta[:, 2:]) & (eta[:, 1:-1] < CUTOFF_DEG))
-                if not len(at):
+                first = max(0, int(block) * per - 1)
+                us, theta, err, r = ephemeris(line1, line2, start_us, first, min(steps, (int(block) + 1) * per + 1) - first, step_us)
+                # A row's run with a step more at each end; steps beyond the window or the run count as no minimum.
+                step = start[own][:, None] + np.arange(-1, RUN_STEPS + 1)
+                there = (step >= 0) & (step < steps) & (step <= (start + count)[own][:, None])
+                at = np.clip(step - first, 0, len(us) - 1)
+                eta = off_nadir_of_runs(r, theta, err, at, sites[own])
+                low = (eta[:, 1:-1] < eta[:, :-2]) & (eta[:, 1:-1] <= eta[:, 2:]) & (eta[:, 1:-1] < CUTOFF_DEG)
+                area, k = np.nonzero(low & there[:, :-2] & there[:, 1:-1] & there[:, 2:])
+                if not len(k):
                     continue
-                # The brackets of all areas are refined together.
-                row, at = own[area], at + 1
-                t = closest(line1, line2, sites[row], us[at - 1], us[at + 1], REFINE_STEPS, ellipsoid)
+                # The brackets of all areas and runs are refined together.
+                row, k = own[area], at[area, k + 1]
+                t = closest(line1, line2, sites[row], us[k - 1], us[k + 1], REFINE_STEPS, ellipsoid)
                 code, rr, vv = orbit(line1, line2).at(t)
                 best = off_nadir(rr, gmst(t), code, sites[row], ellipsoid)
                 rows.append(row)
-                parts.append((t, best, *rr.T, *vv.T, code, np.zeros(len(t), np.int64), np.zeros(len(t), np.int64), np.full(len(t), start // BLOCK_STEPS)))
+                parts.append((t, best, *rr.T, *vv.T, code, np.zeros(len(t), np.int64), np.zeros(len(t), np.int64), np.full(len(t), block)))
             if not rows:
                 continue
             took = pa.array(np.concatenate(rows).astype(np.int64))
@@ -222,16 +228,16 @@ def _scanner(start_us: int, steps: int, step_us: int, ellipsoid: bool):
     return scan
 
 
-def off_nadir_of_many(r: np.ndarray, theta: np.ndarray, err: np.ndarray, sites: np.ndarray) -> np.ndarray:
-    """``off_nadir`` from the earth's centre for all sites (rows) at all steps (columns)."""
+def off_nadir_of_runs(r: np.ndarray, theta: np.ndarray, err: np.ndarray, at: np.ndarray, sites: np.ndarray) -> np.ndarray:
+    """``off_nadir`` from the earth's centre for sites (rows) at each one's own steps (columns)."""
     c, s = np.cos(theta), np.sin(theta)
     turned = np.stack([c * r[:, 0] + s * r[:, 1], c * r[:, 1] - s * r[:, 0], r[:, 2]], axis=1)
+    d2 = (turned * turned).sum(axis=1)
     with np.errstate(invalid="ignore"):
-        d2 = (turned * turned).sum(axis=1)
-        along = sites @ turned.T
-        slant = np.sqrt(np.maximum((sites * sites).sum(axis=1)[:, None] + d2 - 2 * along, 0))
-        cosine = (d2 - along) / (np.sqrt(d2) * slant)
-    return np.where(err == 0, np.degrees(np.arccos(np.clip(cosine, -1, 1))), 180.0)
+        along = (turned[at] * sites[:, None, :]).sum(axis=2)
+        slant = np.sqrt(np.maximum((sites * sites).sum(axis=1)[:, None] + d2[at] - 2 * along, 0))
+        cosine = (d2[at] - along) / (np.sqrt(d2[at]) * slant)
+    return np.where(err[at] == 0, np.degrees(np.arccos(np.clip(cosine, -1, 1))), 180.0)
 
 
 def sent(table: DataFrame, rows: int = MOST_SATELLITES) -> DataFrame:
@@ -254,7 +260,7 @@ def step_failures(elements: DataFrame, start_us: int, days: float, step_s: float
     """(satellite, block, code, n): how many steps of each block failed, by error code."""
     steps = steps_of(days, step_s)
     kind = dict(elements.dtypes)["satellite"]
-    return _dealt(elements, steps).mapInArrow(_failer(start_us, steps, int(step_s * 1e6)), f"satellite {kind}, block int, code int, n long")
+    return _dealt(elements, steps).mapInArrow(_failer(start_us, steps, int(step_s * 1e6), BLOCK_STEPS), f"satellite {kind}, block int, code int, n long")
 
 
 def reachable(aois: DataFrame, elements: DataFrame, start_us: int, days: float, step_s: float = STEP_S, reach_deg: float = CUTOFF_DEG) -> DataFrame:
@@ -263,7 +269,7 @@ def reachable(aois: DataFrame, elements: DataFrame, start_us: int, days: float,
     areas = aois.select("aoi_id", geo.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.col("alt_km")).alias("s"))
     areas = areas.select("aoi_id", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("s.z").alias("sz"), cell_of(F.col("s")).alias("cell"))
     kind = dict(elements.dtypes)["satellite"]
-    marks = _dealt(elements, steps).mapInArrow(_marker(start_us, steps, int(step_s * 1e6), reach_deg), f"satellite {kind}, line1 string, line2 string, first int, count int, cell int")
+    marks = _dealt(elements, steps).mapInArrow(_marker(start_us, steps, int(step_s * 1e6), BLOCK_STEPS, reach_deg), f"satellite {kind}, line1 string, line2 string, first int, count int, cell int")
     return marks.join(areas, "cell").drop("cell")
 
 
@@ -274,10 +280,11 @@ def candidates(aois: DataFrame, elements: DataFrame, start_us: int, days: float,
     """
     steps = steps_of(days, step_s)
     pairs = reachable(aois, elements, start_us, days, step_s, reach_deg)
+    # A task shares a block's ephemeris among the areas it has.
     share = F.pmod(F.xxhash64("aoi_id"), F.lit(GROUP_AREAS))
-    placed = pairs.repartition(_tasks(aois), "satellite", "first", share).sortWithinPartitions("satellite", "first")
+    placed = pairs.repartition(_tasks(aois), "satellite", F.floor(F.col("first") / BLOCK_STEPS), share).sortWithinPartitions("satellite", "first")
     schema = f"aoi_id {dict(aois.dtypes)['aoi_id']}, satellite {dict(elements.dtypes)['satellite']}, {FOUND}"
-    found = placed.mapInArrow(_scanner(start_us, steps, int(step_s * 1e6), ellipsoid), schema)
+    found = placed.mapInArrow(_scanner(start_us, steps, int(step_s * 1e6), BLOCK_STEPS, ellipsoid), schema)
     failed = step_failures(elements, start_us, days, step_s).groupBy("satellite", "block").agg(F.sum("n").alias("bad_steps"), F.bit_or(F.expr("shiftleft(1L, code)")).alias("codes"))
     none = {"t_us": F.lit(-1).cast("long"), "eta": F.lit(180.0), "err": F.lit(9), "bad_steps": F.col("bad_steps"), "codes": F.col("codes"), "block": F.col("block"), "satellite": F.col("satellite")}
     return found.unionByName(failed.select(*[none.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in found.schema]))
