@@ -89,23 +89,32 @@ class Pair:
     def ids(self, a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(a, self.kind_a).astype(np.int64), np.frombuffer(b, self.kind_b).astype(np.int64)
 
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each byte offset, whether a token of A, and one of B, ends there."""
+        at_a, at_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        marks = np.zeros((2, at_a[-1] + 1 if len(a) else 1), np.int8)
+        marks[0, at_a] = marks[1, at_b] = 1
+        return marks[0], marks[1]
+
     def links(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The key of every link, in order of the bytes."""
-        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        ends = np.union1d(ends_a, ends_b)
-        return (a[np.searchsorted(ends_a, ends)] << 32) | b[np.searchsorted(ends_b, ends)] if len(ends) else ends
+        in_a, in_b = self.ends(a, b)
+        end = np.flatnonzero(in_a | in_b)
+        nth_a, nth_b = (np.cumsum(x, dtype=np.int64)[end] - x[end] for x in (in_a, in_b))
+        return (a[nth_a] << 32) | b[nth_b]
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[int, str]:
         """Number of groups, and their ids as text."""
         if not len(a):
             return 0, ""
-        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        of_a, of_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        in_a, in_b = self.ends(a, b)
+        both = in_a & in_b
+        before = np.cumsum(both, dtype=np.int64) - both
+        of_a, of_b = before[np.flatnonzero(in_a)], before[np.flatnonzero(in_b)]
         last_a, last_b = (np.append(of[1:] != of[:-1], True) for of in (of_a, of_b))
         order = np.argsort(np.concatenate((2 * of_a, 2 * of_b + 1)), kind="stable")
         place = np.concatenate((2 * a + last_a, 2 * (len(self.bytes_a) + b) + last_b))[order]
-        return len(shared), "".join(map(self.digits.__getitem__, place.tolist()))[:-1]
+        return int(before[-1]) + 1, "".join(map(self.digits.__getitem__, place.tolist()))[:-1]
 
 
 @cache
