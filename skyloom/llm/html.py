@@ -1,9 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements (markup is mended as browsers do: paragraphs and list items end where the next
-block begins, unclosed elements at their parent's end). Scripts, styles, forms and other things that hold no
-prose are left out, as are elements whose name, role, class or id says menu, header, footer, sidebar, notice, advert
-or comment (``unwanted``). Each paragraph gives points for its length and commas to its parent, and half to its grandparent; a
+block begins, unclosed elements at their parent's end). Scripts, styles and other things that hold no prose are left out, by
+their names. A form, or an element whose role, class or id says menu, header, footer, sidebar, notice, advert or comment, is
+only suspected: it goes unless the page's prose is in it (``settle``), as with a wrapper named for its layout. Each paragraph gives points for its length and commas to its parent, and half to its grandparent; a
 container's points are discounted by its link density. The best container is kept with those siblings that score near it or
 read like prose, and the prose between them. Its blocks are the text: white space within a block becomes one space, blocks
 are joined by \\n.
@@ -15,6 +15,7 @@ read. Empty table: no rows.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import re
 from collections.abc import Iterator
@@ -28,12 +29,17 @@ from skyloom.llm.common import set_arrow_batches
 #: Element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
-DROPPED = frozenset("script style textarea title noscript template iframe noembed noframes head nav header footer aside form button select option input label fieldset dialog svg canvas object embed audio video map menu math".split())
+DROPPED = frozenset("script style textarea title noscript template iframe noembed noframes head nav header footer aside button select option input label fieldset dialog svg canvas object embed audio video map menu math".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption dt th caption summary address".split())
 FREE = frozenset("p h1 h2 h3 h4 h5 h6 br".split())
 NOT_MAIN = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget widgets ad ads advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments commenting disqus respond replies reply pagination pager login signup search toolbar skip disclaimer gdpr outbrain taboola".split())
 NOT_SAID = frozenset("has with no non not without is are hide show".split())
+COMMENTS = frozenset("comment comments commenting disqus respond replies reply".split())
+#: What an article's own header is called, which holds its title.
+OWN_HEADER = frozenset("entry post article story".split())
+#: How many times the points of all that is not suspected an element must have to hold the page's prose.
+HOLDS = 3
 
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 # An attribute whose quote never ends ends its tag there, so that every character is looked at once.
@@ -58,10 +64,10 @@ _SENTENCE = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*\Z")
 class Node:
     """An element with its children: nodes and strings. ``near``: the next block, and the next element of each family, at or above it."""
 
-    __slots__ = ("name", "parent", "children", "out", "near", "chars", "linked", "commas", "points", "score")
+    __slots__ = ("name", "parent", "children", "out", "suspect", "near", "chars", "linked", "commas", "points", "score")
 
-    def __init__(self, name: str, parent: Node | None, out: bool):
-        self.name, self.parent, self.out = name, parent, out
+    def __init__(self, name: str, parent: Node | None, out: bool, suspect: int = 0):
+        self.name, self.parent, self.out, self.suspect = name, parent, out, suspect
         self.children: list = []
         self.chars = self.linked = self.commas = 0
         self.score = self.points = 0.0
@@ -72,32 +78,33 @@ class Node:
         self.near = near
 
 
-def says_unwanted(names: str) -> bool:
-    """Whether one of the class names or ids has a word for what is no main text, as ``post-comments``, ``mainMenu`` and ``advert`` do and ``has-sidebar`` does not."""
+def says_unwanted(names: str) -> int:
+    """Whether one of the class names or ids has a word for what is no main text, as ``mainMenu`` and ``advert`` do and ``has-sidebar`` does not: 1, or 2 for readers' comments."""
+    found = 0
     for name in names.split():
         last = ""
         for word in _WORDS.findall(name):
             word = word.lower()
-            if word in NOT_MAIN and last not in NOT_SAID:
-                return True
+            if word in NOT_MAIN and last not in NOT_SAID and not (word == "header" and last in OWN_HEADER):
+                found = max(found, 2 if word in COMMENTS else 1)
             last = word
-    return False
+    return found
 
 
-def unwanted(name: str, attributes: str) -> bool:
-    """Whether an element holds no main text, by its name or by what its attributes say."""
+def unwanted(name: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element holds no main text by its name or as it is hidden, and whether it is suspected of that."""
     if name in DROPPED:
-        return True
+        return True, 0
+    suspect = int(name == "form")
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return False, suspect
     given = {}
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         given.setdefault(key.lower(), a or b or c)
     if "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")):
-        return True
-    if given.get("role", "").lower() in _ROLES:
-        return True
-    return says_unwanted(f"{given.get('class', '')} {given.get('id', '')}")
+        return True, 0
+    suspect = max(suspect, int(given.get("role", "").lower() in _ROLES))
+    return False, max(suspect, says_unwanted(f"{given.get('class', '')} {given.get('id', '')}"))
 
 
 def tree(page: str) -> Node:
@@ -105,7 +112,7 @@ def tree(page: str) -> Node:
     root = Node("#root", None, False)
     at, place, size = root, 0, len(page)
     open_: dict[str, int] = {}
-    body = False
+    body = any_suspect = False
 
     def up(node: Node, to: Node) -> Node:
         while node is not to:
@@ -152,7 +159,9 @@ def tree(page: str) -> Node:
         if name in ("html", "body") and body:
             continue
         body = body or name == "body"
-        node = Node(name, at, at.out or unwanted(name, found[4]))
+        out, suspect = unwanted(name, found[4])
+        any_suspect = any_suspect or bool(suspect)
+        node = Node(name, at, at.out or out, suspect)
         at.children.append(node)
         if name in RAW:
             end = _END[name].search(page, place)
@@ -160,9 +169,66 @@ def tree(page: str) -> Node:
         elif name not in VOID and not found[4].endswith("/"):
             at = node
             open_[name] = open_.get(name, 0) + 1
+    if any_suspect:
+        settle(root)
     return root
 
 
+def settle(root: Node) -> None:
+    """Leaves out the suspected elements, but for those that hold the page's prose.
+
+    Their paragraphs' points and text are weighed against those of all that is not suspected, the heaviest element first. One stays if
+    it has more than HOLDS times as much of both, or as many points and the page's only article or main element; readers' comments only
+    if nothing else has any text. Where an article or main element with text is outside, none without one stays. What is suspected within
+    one that stays is weighed in turn, so each is looked at once.
+    """
+    measure(root)
+    order = list(walk(root))
+    own = {id(n): worth(n) for n in order}
+    held = dict(own)
+    said = {id(n): 0 if n.name == "a" else sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n in order}
+    told = dict(said)
+    mains = {id(n) for n in order if n.name in ("article", "main")}
+    for node in reversed(order):
+        if node.parent is not None:
+            held[id(node.parent)] += held[id(node)]
+            told[id(node.parent)] += told[id(node)]
+            if id(node) in mains:
+                mains.add(id(node.parent))
+    points, text, has_main, heap, turn = 0.0, 0, False, [], 0
+
+    def open_up(top: Node) -> None:
+        nonlocal points, text, has_main, turn
+        stack = [top]
+        while stack:
+            node = stack.pop()
+            points += own[id(node)]
+            text += said[id(node)]
+            has_main = has_main or node.name in ("article", "main") and told[id(node)] > 0
+            for child in node.children:
+                if isinstance(child, Node) and not child.out:
+                    if child.suspect:
+                        turn += 1
+                        heapq.heappush(heap, (-held[id(child)], turn, child))
+                    else:
+                        stack.append(child)
+
+    open_up(root)
+    while heap:
+        weight, _, node = heapq.heappop(heap)
+        weight = -weight
+        if node.suspect == 2:
+            holds = text == 0
+        elif id(node) in mains and not has_main:
+            holds = weight >= points
+        else:
+            holds = weight > HOLDS * points and told[id(node)] > HOLDS * text and not has_main
+        if weight > 0 and holds:
+            open_up(node)
+        else:
+            node.out = True
+
+
 def walk(node: Node) -> Iterator[Node]:
     """The wanted elements below a node, in page order, without recursion."""
     stack = [node]
@@ -195,6 +261,8 @@ def density(text: str, links: int) -> float:
 def measure(root: Node) -> None:
     """Characters, linked characters and commas of every wanted element, from the leaves up."""
     order = list(walk(root))
+    for node in order:
+        node.linked = node.chars = node.commas = 0
     for node in order:
         own = _WHITE.sub(" ", entities.unescape("".join(c for c in node.children if isinstance(c, str))))
         node.chars, node.commas = len(own), own.count(",") + own.count("、") + own.count("，")
@@ -211,17 +279,20 @@ def points_of(chars: int, commas: int, linked: int) -> float:
     return 0.0 if chars < LEAST_CHARS else (BASE_POINTS + commas + min(chars / PER_CHARS, MOST_FOR_LENGTH)) * (1 - min(1.0, linked / chars))
 
 
+def worth(node: Node) -> float:
+    """The points that an element itself gives: as a paragraph, or for its loose text."""
+    if node.name in PARAGRAPHS:
+        return points_of(node.chars, node.commas, node.linked)
+    own = _WHITE.sub(" ", entities.unescape("".join(c for c in node.children if isinstance(c, str)))).strip()
+    return points_of(len(own), own.count(",") + own.count("、") + own.count("，"), 0)
+
+
 def score(root: Node) -> list[Node]:
     """Gives points to containers; returns them."""
     measure(root)
     held: dict[int, Node] = {}
     for node in walk(root):
-        if node.name in PARAGRAPHS:
-            target, points = node.parent, points_of(node.chars, node.commas, node.linked)
-        else:
-            own = _WHITE.sub(" ", entities.unescape("".join(c for c in node.children if isinstance(c, str)))).strip()
-            target, points = node, points_of(len(own), own.count(",") + own.count("、") + own.count("，"), 0)
-        share = 1.0
+        target, points, share = node.parent if node.name in PARAGRAPHS else node, worth(node), 1.0
         while points and target is not None and share >= 0.5:
             target.points += points * share
             held[id(target)] = target

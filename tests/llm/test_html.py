@@ -1,5 +1,6 @@
 """Main text of small pages."""
 
+import random
 import re
 import time
 
@@ -43,7 +44,36 @@ def test_short_sections_and_loose_text_beside_the_best_stay():
     assert html.main_text(page).split("\n") == [PROSE * 9, PROSE * 9, "Next", "It is short.", "loose words, here too."]
 
 
-@pytest.mark.parametrize("page", ["<div>x y z, " * 90000, "<b>" * 180000 + "</i>" * 180000, "<a '" * 250000, "<ul><li><ul>" + "<div>" * 3000 + "<li>a</li>" * 90000, "<b>" * 20000 + "<p>x" * 200000, "<blockquote>word, " * 60000, '<p title="' * 100000, "<a href=x>" * 100000 + "t", "<td>" * 200000, "<!--" * 200000, "&amp" * 200000])
+def test_layout_words_on_wrappers_empty_no_page():
+    body = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE * 2}</p>"
+    want = ["Title", PROSE, PROSE * 2]
+    for wrapper in ("div id=page class='site right-sidebar'", "div class='side-by-side'", "div class='widget-content'", "div class=notice", "form id=aspnet", "div role=dialog", "div class='comments-open'"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>", f"<article><div class='entry-header'><h1>Title</h1></div><p>{PROSE}</p><p>{PROSE * 2}</p></article>"):
+            page = f"<body><nav><p>{PROSE}</p></nav><{wrapper}><div class=menu><a href=x>one</a></div>{inner}<div class='post-comments'><p>reader, {PROSE}</p></div><div class=sidebar><p>aside, {PROSE}</p></div></{wrapper.split()[0]}></body>"
+            assert html.main_text(page).split("\n") == want, (wrapper, inner)
+    # Readers' comments, however long, and teasers in a sidebar don't hold the page's prose.
+    long = "".join(f"<article class=comment><p>{PROSE * 5}</p></article>" for _ in range(9))
+    for place in (f"<section class=comments>{long}</section>", f"<div class=sidebar><article><a href=x>{PROSE}</a></article></div>"):
+        assert html.main_text(f"<body><div>{body}</div>{place}</body>").split("\n") == want
+
+
+def test_made_pages_give_their_articles():
+    """A plain version by construction: what is put in as the article must come out, whatever is around it and whatever wraps it."""
+    rng = random.Random(11)
+    layout = ["", "", "class='site has-sidebar'", "class='right-sidebar wide'", "id=header-wrap", "class='widget area'", "class='social promo'", "id=main"]
+    around = [lambda: f"<div class='cookie-banner'><p>We use cookies, {PROSE}</p></div>", lambda: f"<aside><p>{PROSE}</p></aside>", lambda: "<nav><ul><li><a href=x>Home</a></li></ul></nav>", lambda: f"<div class=sidebar><p>{PROSE}</p></div>", lambda: f"<footer><p>{PROSE}</p></footer>", lambda: f"<form><p>{PROSE}</p><input></form>", lambda: f"<div id=comments><p>{PROSE}</p><p>{PROSE}</p></div>", lambda: f"<script>var x = '<p>{PROSE}</p>'</script>"]
+    for _ in range(200):
+        words = [f"Sentence {i} of the article, {' '.join(rng.choices('alpha beta gamma delta'.split(), k=rng.randint(12, 40)))}." for i in range(rng.randint(4, 9))]
+        tag = rng.choice(["article", "main", "div", "section"])
+        page = f"<{tag}>" + "".join(f"<p>{w}</p>" for w in words) + f"</{tag}>"
+        for _ in range(rng.randint(0, 3)):
+            parts = [rng.choice(around)() for _ in range(rng.randint(0, 2))] + [page] + [rng.choice(around)() for _ in range(rng.randint(0, 2))]
+            wrapper = rng.choice(["div", "div", "form", "section"])
+            page = f"<{wrapper} {rng.choice(layout)}>{''.join(parts)}</{wrapper}>"
+        assert html.main_text(f"<html><body>{page}</body></html>").split("\n") == words, page
+
+
+@pytest.mark.parametrize("page", ["<div class=ad>" * 90000 + "x, " * 50, "<div class=sidebar><p>some words, and more of them to count</p>" * 20000, "<div>x y z, " * 90000, "<b>" * 180000 + "</i>" * 180000, "<a '" * 250000, "<ul><li><ul>" + "<div>" * 3000 + "<li>a</li>" * 90000, "<b>" * 20000 + "<p>x" * 200000, "<blockquote>word, " * 60000, '<p title="' * 100000, "<a href=x>" * 100000 + "t", "<td>" * 200000, "<!--" * 200000, "&amp" * 200000])
 def test_long_hostile_pages_take_linear_time(page):
     began = time.process_time()
     html.main_text(page)
