@@ -21,7 +21,6 @@ empty model. Other columns are not read.
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import U64, file_system, mix64, set_arrow_batches, shared_folder, span_hashes, stash, word_spans
+from skyloom.llm.shards import KEPT, mapped
 
 #: Hashes that stand for the start and the end of a text.
 START, FINISH = U64(0x9D39247E33776D41), U64(0x2AF7398005AAA5C7)
@@ -177,24 +177,11 @@ class Packed:
         return self.at(np.arange(start, min(stop, len(self.code))))
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=KEPT)
 def packed(uri: str, kind: str = "u8") -> Packed:
     return Packed(uri, kind)
 
 
-@lru_cache(maxsize=None)
-def mapped(uri: str, kind: str) -> np.ndarray:
-    """A memory map of an array in the shared folder; from a remote store it is copied to the worker's folder first."""
-    from pyarrow import fs
-
-    system, path = file_system(uri)
-    if not isinstance(system, fs.LocalFileSystem):
-        local = os.path.join(tempfile.mkdtemp(prefix="lm-"), "array")
-        fs.copy_files(path, local, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-        path = local
-    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-
-
 def _merge(folder: str, name: str):
     """Merges a bucket's pieces and writes its arrays; a row with its size, total, and how many keys have each small count."""
 

@@ -1,10 +1,12 @@
 """Quality rules: base figures of each text, and lines that too many documents of a host share.
 
 A line's normal form is lower-cased (A-Z), has each run of digits replaced by 0 and runs of
-white space by one space. Its frequency is the number of different texts of the host (column
-``source``) that hold it, so exact copies of a document count once. Lines are removed if
-their frequency is above both limits: LEAST_DOCS texts and HOST_SHARE of the host's texts. A document
-is depleted, and rejected, if less than LEAST_LEFT percent of its words remain.
+white space by one space. Its frequency is the number of distinct documents (doc_id and text) of the host (column
+``source``) that hold it. A line is removed if its frequency is above LEAST_DOCS, and above HOST_SHARE of the host's
+documents or above MOST_DOCS, which no host is too large for; and if it stands in more than LEAST_DOCS different
+texts, as a line that only copies of a few documents share is a matter of duplicates and not of the host. A document
+is depleted, and rejected, if less than LEAST_LEFT percent of its words remain. Texts of any length are read whole; frequencies
+at a limit are not above it.
 
 Null or empty text: no words, so base_failed and not kept. Null source: a host of its own. Null doc_id: judged like any
 other. A text is judged per source, so a repeated (doc_id, text) may stay under one and go under another.
@@ -27,6 +29,7 @@ from skyloom.llm.common import join_small, set_arrow_batches, shingle_hashes, sp
 
 LEAST_DOCS = 10
 HOST_SHARE = 0.01
+MOST_DOCS = 1000
 LEAST_LEFT = 30
 MIN_WORDS = 20
 MAX_REPEATED = 30
@@ -104,12 +107,15 @@ def text_figures(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(found: DataFrame) -> tuple[DataFrame, int]:
-    """(source, h, docs): the lines above both limits, and their number."""
-    lines = found.select("source", "text_id", F.explode("lines.h").alias("h"))
-    often = lines.groupBy("source", "h").agg(F.countDistinct("text_id").alias("docs")).where(F.col("docs") > LEAST_DOCS)
-    hosts = found.groupBy("source").agg(F.countDistinct("text_id").alias("host_docs"))
+    """(source, h, docs): the lines above the limits, and their number."""
+    document, text = F.struct("doc_id", "text_id"), F.col("text_id")
+    # One row a line, text and document, then one a line and text: both counts from sums over rows that are combined before each shuffle.
+    lines = found.select("source", "doc_id", "text_id", F.explode("lines.h").alias("h"))
+    per_text = lines.groupBy("source", "h", "text_id").agg(F.countDistinct(document).alias("copies"))
+    often = per_text.groupBy("source", "h").agg(F.sum("copies").alias("docs"), F.count(text).alias("texts")).where((F.col("docs") > LEAST_DOCS) & (F.col("texts") > LEAST_DOCS))
+    hosts = found.groupBy("source").agg(F.countDistinct(document).alias("host_docs"))
     n_hosts = (hosts := stash(hosts, "quality-hosts")).count()
-    above = join_small(often, hosts, ["source"], n_hosts, "inner").where(F.col("docs") > F.col("host_docs") * HOST_SHARE)
+    above = join_small(often, hosts, ["source"], n_hosts, "inner").where((F.col("docs") > F.col("host_docs") * HOST_SHARE) | (F.col("docs") > MOST_DOCS))
     above = stash(above.select("source", "h", "docs"), "quality-lines")
     return above, above.count()
 
@@ -167,9 +173,9 @@ rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM dup, range(0, 8) AS t(j)
 line AS (SELECT *, regexp_extract_all({_LOW.format(x="line")}, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM w)),
 l AS (SELECT doc_id, source, text, line, len(lw) AS n, regexp_replace(array_to_string(lw, ' '), '[0-9]+', '0', 'g') AS norm FROM line WHERE len(lw) > 0),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY 1),
-often AS (SELECT source, norm, count(DISTINCT text) AS docs FROM l GROUP BY 1, 2 HAVING count(DISTINCT text) > {LEAST_DOCS}),
-host AS (SELECT source, count(DISTINCT text) AS host_docs FROM w GROUP BY 1),
-above AS (SELECT o.source, norm FROM often o JOIN host h ON o.source IS NOT DISTINCT FROM h.source WHERE docs > host_docs * {HOST_SHARE}),
+often AS (SELECT source, norm, count(DISTINCT (doc_id, text)) AS docs FROM l GROUP BY 1, 2 HAVING count(DISTINCT (doc_id, text)) > {LEAST_DOCS} AND count(DISTINCT text) > {LEAST_DOCS}),
+host AS (SELECT source, count(DISTINCT (doc_id, text)) AS host_docs FROM w GROUP BY 1),
+above AS (SELECT o.source, norm FROM often o JOIN host h ON o.source IS NOT DISTINCT FROM h.source WHERE docs > host_docs * {HOST_SHARE} OR docs > {MOST_DOCS}),
 gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM l JOIN above a ON l.norm = a.norm AND l.source IS NOT DISTINCT FROM a.source GROUP BY 1),
 f AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed_words

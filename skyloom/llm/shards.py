@@ -15,7 +15,7 @@ import numpy as np
 
 from skyloom.llm.common import file_system
 
-KEPT = 128
+KEPT = 512
 
 
 class Writer:

@@ -47,6 +47,20 @@ def test_shared_lines_deplete_documents(spark):
     assert shared not in texts[100] and shared in texts[200]
 
 
+def test_documents_are_counted_and_no_host_is_too_large(spark, monkeypatch):
+    own = lambda i: " ".join(f"t{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{chr(97 + k)}" for k in range(25))
+    menu, much, copied = (" ".join(f"{w}{chr(97 + i)}" for i in range(30)) for w in ("menu", "much", "copied"))
+    rows = [(i, own(i) + (f"\n{menu}" if i < 24 else ""), "host", "") for i in range(2400 - 60)]
+    # A line of twelve texts, one of which has 49 copies: 61 documents, and 60 copies of one text that share no line with others.
+    rows += [(3000 + i, own(3000 + min(i, 11)) + "\n" + much, "host", "") for i in range(61)]
+    rows += [(4000 + i, copied, "host", "") for i in range(60)] + [(5000, "word " * 5 + "x y z " * 60000, "host", "")]
+    out = {r["doc_id"]: r["removed_words"] for r in quality.judged(table(spark, rows)).collect()}
+    assert all(out[i] == 0 for i in range(24)) and all(out[3000 + i] == 30 for i in range(61)) and all(out[4000 + i] == 0 for i in range(60)) and out[5000] == 0
+    monkeypatch.setattr(quality, "MOST_DOCS", 20)
+    out = {r["doc_id"]: r["removed_words"] for r in quality.judged(table(spark, rows)).collect()}
+    assert all(out[i] == 30 for i in range(24)) and out[24] == 0 and out[4000] == 0
+
+
 def test_null_ids_stay_and_each_source_judges_its_own(spark):
     shared = " ".join(f"menu{chr(97 + i)}" for i in range(20))
     own = " ".join(f"t{chr(97 + k)}" for k in range(25))
