@@ -4,22 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+#: Tolerances that one block of time holds.
+BLOCK = 4
 
-def nearest_join(left: DataFrame, samples: DataFrame, by: list[str], left_us: str, sample_us: str, tolerance_us: int, left_id: str) -> DataFrame:
-    """Left rows with ``s``, the nearest sample of the same keys within the tolerance, or null.
 
-    Samples fall in bins as wide as the tolerance, so a match lies in a left row's bin or one beside it: an equi-join on keys and
-    bin, however many samples a key has. Of equally near ones the earlier counts, then the one of lower ``idx``. No row is ordered against all
-    others of its key, so hot keys spread over their bins. ``left_id`` names rows of ``left``.
+def nearest_join(left: DataFrame, samples: DataFrame, by: list[str], left_us: str, sample_us: str, tolerance_us: int) -> DataFrame:
+    """Left rows with ``s``, the nearest sample of the same keys (nulls equal) within the tolerance, or null.
+
+    One pass over each side: both are laid in one table, cut into blocks of time by key, and a row takes the last sample before and the first
+    after it within its block. Samples less than the tolerance from a block's border lie in both blocks, so nothing is carried over
+    and no key is ordered as a whole. Of equally near samples the earlier counts; of several at one time that of lowest ``idx``.
     """
-    cut = samples.where(F.col(sample_us).isNotNull()).withColumn("__bin", F.floor(F.col(sample_us) / tolerance_us))
+    block = lambda t: F.floor(t / (BLOCK * tolerance_us))
+    t = F.col(sample_us)
+    rest = [c for c in samples.columns if c not in (*by, "idx", sample_us)]
     # One sample a time and key suffices, that of lowest index.
-    cut = cut.groupBy(*by, "__bin", sample_us).agg(F.min(F.struct("idx", *[c for c in samples.columns if c not in (*by, "idx", sample_us)])).alias("__s"))
-    cut = cut.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__bin").alias("__sbin"), F.struct(F.col(sample_us).alias(sample_us), "__s.*").alias("__s"))
-    spread = left.select(*by, left_id, left_us, F.explode(F.array(*[F.floor(F.col(left_us) / tolerance_us) + k for k in (-1, 0, 1)])).alias("__bin"))
-    match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by] + [F.col("__bin") == F.col("__sbin")]
-    gap = F.abs(F.col(f"__s.{sample_us}") - F.col(left_us))
-    hits = spread.join(cut, match).where(gap <= tolerance_us)
-    best = hits.groupBy(left_id).agg(F.min(F.struct(gap.alias("gap"), F.col(f"__s.{sample_us}").alias("at"), F.col("__s.idx").alias("idx"), F.col("__s").alias("s"))).alias("__b"))
-    return left.join(best.select(left_id, F.col("__b.s").alias("s")), left_id, "left")
+    cut = samples.where(t.isNotNull()).groupBy(*by, sample_us).agg(F.min(F.struct("idx", *rest)).alias("__s"))
+    cut = cut.select(*by, F.explode(F.array_distinct(F.array(block(t - tolerance_us), block(t), block(t + tolerance_us)))).alias("__block"), t.alias("__t"), F.struct(t.alias(sample_us), "__s.*").alias("__s"))
+    rows = left.select(*by, block(F.col(left_us)).alias("__block"), F.col(left_us).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("__l"))
+    both = rows.unionByName(cut, allowMissingColumns=True)
+    w = W.partitionBy(*by, "__block")
+    # Samples come before rows of their own time in both directions.
+    last = lambda *order: F.last("__s", ignorenulls=True).over(w.orderBy(*order, F.col("__l").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    seen = both.withColumns({"__before": last(F.col("__t")), "__after": last(F.desc("__t"))}).where("__l is not null")
+    gap = lambda s: F.abs(F.col(f"{s}.{sample_us}") - F.col("__t"))
+    far = F.lit(tolerance_us + 1)
+    before, after = F.coalesce(gap("__before"), far), F.coalesce(gap("__after"), far)
+    nearest = F.when((before <= after) & (before <= tolerance_us), F.col("__before")).when((after < before) & (after <= tolerance_us), F.col("__after"))
+    return seen.select("__l.*", nearest.alias("s"))

@@ -22,16 +22,19 @@ def with_clouds(passes: DataFrame, forecast: DataFrame, ensemble: DataFrame, cli
     lead = (F.col("tca_us") - ref_us) / sky.DAY_US
     month = F.date_format(F.timestamp_micros(F.lit(ref_us)), "MMM")
     usual = climatology.where(F.col("month") == month).select(F.col("name").alias("__name"), F.col("clear_pct").alias("clim"))
-    asked = passes.join(usual, F.col("name") == F.col("__name"), "left").drop("__name").withColumns({"lead": lead, "tier": grading.cloud_tier(lead), "pass_key": F.struct("aoi_id", "satellite", "tca_us")})
-    near = nearest_join(asked.where("tier = 1"), forecast, ["aoi_id"], "tca_us", "t_us", TOLERANCE_US, "pass_key")
-    ob = grading.obstruction(F.col("s.low"), F.col("s.mid"), F.col("s.high"))
-    band = grading.total_band(F.col("s.total"), F.col("lead"))
-    one = near.withColumn("cloud", _cloud(F.when(F.col("s").isNull(), 0).otherwise(1), threshold, total=F.col("s.total"), low=F.col("s.low"), mid=F.col("s.mid"), high=F.col("s.high"), band=F.when(F.col("s.total").isNotNull(), F.array(F.bround(band["low"]), F.bround(band["high"]))), obstruction=ob)).drop("s")
+    asked = passes.join(usual, F.col("name") == F.col("__name"), "left").drop("__name").withColumns({"lead": lead, "tier": grading.cloud_tier(lead)})
+    # Samples of both tiers in one table: each pass looks among those of its own, in one pass over all.
     hours = ensemble.groupBy("aoi_id", "idx", "t_us").agg(F.avg(grading.soft_clear(F.col("pct"), threshold)).alias("p"), F.min("pct").alias("lo"), F.max("pct").alias("hi"))
-    near = nearest_join(asked.where("tier = 2"), hours, ["aoi_id"], "tca_us", "t_us", TOLERANCE_US, "pass_key")
-    two = near.withColumn("cloud", _cloud(F.when(F.col("s.p").isNull(), 0).otherwise(2), threshold, p_clear=F.col("s.p"), spread=F.when(F.col("s.lo").isNotNull(), F.array("s.lo", "s.hi")))).drop("s")
-    three = asked.where("tier = 3").withColumn("cloud", _cloud(F.lit(3), threshold))
-    return one.unionByName(two).unionByName(three).drop("lead", "tier", "pass_key", "clim")
+    samples = forecast.select("aoi_id", F.lit(1).alias("tier"), "idx", "t_us", "total", "low", "mid", "high").unionByName(hours.withColumn("tier", F.lit(2)), allowMissingColumns=True)
+    near = nearest_join(asked, samples, ["aoi_id", "tier"], "tca_us", "t_us", TOLERANCE_US)
+    s = lambda c: F.col(f"s.{c}")
+    found = F.when(F.col("tier") == 3, 3).when((F.col("tier") == 1) & F.col("s").isNotNull(), 1).when((F.col("tier") == 2) & s("p").isNotNull(), 2).otherwise(0)
+    band = grading.total_band(s("total"), F.col("lead"))
+    cloud = _cloud(
+        found, threshold, total=s("total"), low=s("low"), mid=s("mid"), high=s("high"), band=F.when(s("total").isNotNull(), F.array(F.bround(band["low"]), F.bround(band["high"]))),
+        obstruction=F.when(found == 1, grading.obstruction(s("low"), s("mid"), s("high"))), p_clear=s("p"), spread=F.when(s("lo").isNotNull(), F.array(s("lo"), s("hi"))),
+    )
+    return near.withColumn("cloud", cloud).drop("lead", "tier", "clim", "s")
 
 
 def tiers(passes: DataFrame, ref_us: int) -> set[int]:

@@ -34,8 +34,8 @@ def score(pairs: DataFrame, threshold: float = THRESHOLD, by: list[str] | None =
 def pairs(scenes: DataFrame, hindcast: DataFrame) -> DataFrame:
     """Scenes of (aoi_id, scene, platform, t_us, observed), each with the forecast of every lead of its area nearest in time; those without one go."""
     leads = hindcast.select("aoi_id", "lead_days").distinct()
-    asked = scenes.join(leads, "aoi_id").withColumnRenamed("t_us", "s_us").withColumn("row", F.struct("aoi_id", "scene", "lead_days"))
-    found = nearest_join(asked, hindcast, ["aoi_id", "lead_days"], "s_us", "t_us", SNAP_US, "row")
+    asked = scenes.join(leads, "aoi_id").withColumnRenamed("t_us", "s_us")
+    found = nearest_join(asked, hindcast, ["aoi_id", "lead_days"], "s_us", "t_us", SNAP_US)
     return found.select("aoi_id", "scene", "platform", "lead_days", "observed", F.col("s.forecast").alias("forecast")).where("forecast is not null")
 
 

@@ -248,7 +248,7 @@ _NEAR = f"near AS (SELECT event_id, arg_min(idx, (gap, t_us)) AS idx, arg_min(to
 @query(with_(V.OBS, V.HOURLY, _NEAR) + f"SELECT o.event_id, n.idx, {sql_micro('n.total')} AS total FROM obs o LEFT JOIN near n USING (event_id)")
 def nearest_hour_asof(spark, d):
     samples = V.hourly(spark, d).withColumn("aoi", F.lit(0))
-    out = asof.nearest_join(V.obs(spark, d).withColumn("aoi", F.lit(0)), samples, ["aoi"], "tca_us", "t_us", _TOL, "event_id")
+    out = asof.nearest_join(V.obs(spark, d).withColumn("aoi", F.lit(0)), samples, ["aoi"], "tca_us", "t_us", _TOL)
     return out.select("event_id", F.col("s.idx").alias("idx"), micro(F.col("s.total")).alias("total"))
 
 
@@ -323,8 +323,8 @@ _PAIR_WITH = with_(V.OBS, V.HOURLY, V.HINDCAST, V.SCENE, _PAIR)
 
 
 def _pairs(spark, d):
-    leads = V.scene(spark, d).withColumn("lead_days", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("row", F.struct("scene", "lead_days"))
-    out = asof.nearest_join(leads.withColumnRenamed("t_us", "s_us"), V.hindcast(spark, d), ["lead_days"], "s_us", "t_us", _TOL, "row")
+    leads = V.scene(spark, d).withColumn("lead_days", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    out = asof.nearest_join(leads.withColumnRenamed("t_us", "s_us"), V.hindcast(spark, d), ["lead_days"], "s_us", "t_us", _TOL)
     return out.select("scene", "platform", "lead_days", "observed", F.col("s.forecast").alias("forecast")).where("forecast is not null")
 
 
@@ -764,10 +764,12 @@ def cloud_cells(spark, d):
 
 @query(_OUTLOOK + "SELECT DISTINCT asked AS tier, (SELECT bool_or(tier > 0) FROM o) AS any_cloud FROM o")
 def tiers_needed(spark, d):
-    from skyloom.operators import clouds
+    """One aggregate over the outlook: each tier, and whether any pass has one."""
+    from skyloom.functions import grading
 
-    out = _outlook(spark, d).select("tca_us", F.when(F.col("cloud.tier") > 0, F.col("cloud")).alias("cloud"))
-    return spark.createDataFrame([(t, clouds.has_cloud(out)) for t in sorted(clouds.tiers(out, _REF_US))], "tier int, any_cloud boolean")
+    out = _outlook(spark, d).select(grading.cloud_tier((F.col("tca_us") - _REF_US) / sky.DAY_US).alias("tier"), (F.col("cloud.tier") > 0).alias("has"))
+    every = out.groupBy("tier").agg(F.bool_or("has").alias("has")).agg(F.collect_set("tier").alias("tiers"), F.bool_or("has").alias("any_cloud"))  # three tiers at most
+    return every.select(F.explode("tiers").alias("tier"), "any_cloud")
 
 
 @query(with_(V.SITE) + "SELECT site, printf('%.5f ', abs(lat)) || CASE WHEN lat < 0 THEN 'S' ELSE 'N' END || ', ' || printf('%.5f ', abs(lon)) || CASE WHEN lon < 0 THEN 'W' ELSE 'E' END AS place FROM site")
@@ -838,7 +840,12 @@ def swath_coverage(spark, d):
 
 def _scenes_at_sites(scenes, sites):
     """Every scene at a site, dealt in turn over all sites in the order of their keys, which may have gaps."""
-    ranked = sites.select("site").orderBy("site").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])).toDF("site long, turn long")
+    # Places in order by range: each range's first place is the number of sites in those before it.
+    span = 10_000
+    blocked = sites.select("site", F.floor(F.col("site") / span).alias("block"))
+    sizes = blocked.groupBy("block").count().groupBy().agg(F.array_sort(F.collect_list(F.struct("block", "count"))).alias("s"))
+    first = sizes.select(F.explode(F.transform("s", lambda x, i: F.struct(x["block"].alias("block"), F.aggregate(F.slice("s", 1, i), F.lit(0).cast("long"), lambda n, y: n + y["count"]).alias("first")))).alias("f")).select("f.*")
+    ranked = blocked.join(first, "block").select("site", (F.col("first") + F.row_number().over(W.partitionBy("block").orderBy("site")) - 1).alias("turn"))
     n = sites.count()
     return scenes.join(ranked, F.col("scene") % n == F.col("turn")).drop("turn").join(sites, "site") if n else scenes.join(sites, F.lit(False))
 
