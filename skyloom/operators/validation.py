@@ -21,23 +21,34 @@ from skyloom.sources.elements import BLOCK_US, MANOEUVRE_KM_PER_DAY, SPEED_KM_S,
 
 SPAN_US, STEP_US, STEPS = 1_200_000_000, 10_000_000, 16
 MAX_AGE_DAYS = 2.0
+#: Scenes of a satellite that are propagated as one array.
+TOGETHER = 256
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Closest approach within 20 minutes of each scene, where it isn't at the bracket's end."""
+    """Closest approach within 20 minutes of each scene, where it isn't at the bracket's end; scenes of a satellite are propagated together."""
+    span = np.arange(-SPAN_US, SPAN_US + 1, STEP_US)
     for batch in batches:
+        lines = list(zip(*[batch.column(c).to_pylist() for c in ("line1", "line2")], strict=True))
+        t, *xyz = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t_us", "sx", "sy", "sz"))
+        sites = np.stack(xyz, axis=1)
         keep, when, angle = [], [], []
-        for k, r in enumerate(batch.select(["line1", "line2", "sx", "sy", "sz", "t_us"]).to_pylist()):
-            us = np.arange(r["t_us"] - SPAN_US, r["t_us"] + SPAN_US + 1, STEP_US)
-            site = np.array([r["sx"], r["sy"], r["sz"]])
-            err, pos, _ = orbit(r["line1"], r["line2"]).at(us)
-            at = int(off_nadir(pos, gmst(us), err, site).argmin())
-            if 0 < at < len(us) - 1:
-                t = closest(r["line1"], r["line2"], site, us[at - 1 : at], us[at + 1 : at + 2], STEPS, False)
-                err, pos, _ = orbit(r["line1"], r["line2"]).at(t)
-                keep.append(k), when.append(int(t[0])), angle.append(float(off_nadir(pos, gmst(t), err, site)[0]))
-        kept = batch.select(["platform", "t_us", "tle_age_days"]).take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(when, pa.int64()), pa.array(angle, pa.float64())], names=["platform", "t_us", "tle_age_days", "predicted_us", "off_nadir_deg"])
+        for pair in sorted(set(lines)):
+            path, every = orbit(*pair), np.array([k for k, x in enumerate(lines) if x == pair])
+            for own in np.array_split(every, -(-len(every) // TOGETHER)):
+                us = t[own][:, None] + span
+                err, pos, _ = path.at(us.ravel())
+                off = off_nadir(pos, gmst(us.ravel()), err, np.repeat(sites[own], len(span), axis=0)).reshape(us.shape)
+                at = off.argmin(axis=1)
+                inside = np.flatnonzero((at > 0) & (at < len(span) - 1))
+                if len(inside):
+                    row, k = own[inside], at[inside]
+                    best = closest(*pair, sites[row], us[inside, k - 1], us[inside, k + 1], STEPS, False)
+                    err, pos, _ = path.at(best)
+                    keep.append(row), when.append(best), angle.append(off_nadir(pos, gmst(best), err, sites[row]))
+        row, best, off = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keep, np.int64), (when, np.int64), (angle, np.float64)))
+        kept = batch.select(["platform", "t_us", "tle_age_days"]).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(best), pa.array(off)], names=["platform", "t_us", "tle_age_days", "predicted_us", "off_nadir_deg"])
 
 
 def scene_matches(scenes: DataFrame, elements: DataFrame, max_age_days: float = MAX_AGE_DAYS) -> DataFrame:
@@ -47,7 +58,9 @@ def scene_matches(scenes: DataFrame, elements: DataFrame, max_age_days: float =
     rows = rows.withColumn("tle_age_days", F.abs(F.col("t_us") - epoch_us(F.col("line1"))) / sky.DAY_US).where(F.col("tle_age_days") <= max_age_days)
     site = rows.withColumn("s", geo.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.lit(0.0)))
     site = site.select("platform", "t_us", "tle_age_days", "line1", "line2", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("s.z").alias("sz"))
-    found = site.mapInArrow(_nearest, "platform string, t_us long, tle_age_days double, predicted_us long, off_nadir_deg double")
+    # Dealt by satellite and day, so that a platform with many scenes is many tasks' work.
+    dealt = site.repartition(4 * int(scenes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "line1", F.floor(F.col("t_us") / sky.DAY_US))
+    found = dealt.mapInArrow(_nearest, "platform string, t_us long, tle_age_days double, predicted_us long, off_nadir_deg double")
     return found.withColumn("dt_s", (F.col("predicted_us") - F.col("t_us")) / 1e6)
 
 
@@ -67,7 +80,10 @@ def _drift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            old, new = orbit(r["old1"], r["old2"]), orbit(r["line1"], r["line2"])
+            try:
+                old, new = orbit(r["old1"], r["old2"]), orbit(r["line1"], r["line2"])
+            except (ValueError, IndexError, ArithmeticError):
+                continue  # a malformed set tells nothing and stops nothing
             (e1, p1, _), (e2, p2, v2) = old.at(np.array([new.epoch_us])), new.at(np.array([new.epoch_us]))
             if e1[0] or e2[0]:
                 continue

@@ -630,6 +630,27 @@ def climatology_file(spark, d):
     return weather.climatology(weather.climatology_json(_rates(spark, d))).select("name", "month", micro(F.col("clear_pct")).alias("clear_pct"))
 
 
+_SCAN = "a AS (SELECT 'Run ' || (o_custkey % 7) AS name, CAST(year(o_orderdate) AS INTEGER) AS year, epoch_us(CAST(o_orderdate AS TIMESTAMP)) + o_orderkey % 86400 * 1000000 AS t_us, CAST(floor(o_totalprice) AS BIGINT) % 101 AS cloud FROM orders)"
+
+
+@query(with_(_SCAN) + "SELECT name, year, count(*) AS n, min(t_us) AS first_us, max(t_us) AS last_us, CAST(sum(cloud) AS BIGINT) AS cloud FROM a WHERE year >= 1994 AND name <> 'Run 3' GROUP BY 1, 2")
+def archive_scan(spark, d):
+    """Catalogue pages of at most 100 scenes, kept by place and year and read through the data source: filters on both choose its partitions."""
+    from skyloom.session import shared_folder
+    from skyloom.sources.catalogue import catalogue
+
+    o = table(spark, d, "orders").select(F.concat(F.lit("Run "), F.col("o_custkey") % 7).alias("name"), F.year("o_orderdate").alias("year"), F.to_date("o_orderdate").alias("day"), "o_orderkey", (F.floor("o_totalprice") % 101).alias("cloud"))
+    page = F.floor((F.row_number().over(W.partitionBy("name", "day").orderBy("o_orderkey")) - 1) / 100)  # a place's day is what one task orders
+    time = F.date_format(F.timestamp_micros(sky.to_us(F.col("day").cast("timestamp")) + F.col("o_orderkey") % 86400 * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    feature = F.struct(F.lit("c").alias("collection"), F.struct(time.alias("datetime"), F.lit("SAT").alias("platform"), F.col("cloud").alias("eo:cloud_cover")).alias("properties"))
+    pages = o.withColumn("page", page).groupBy("name", "year", "day", "page").agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value"))
+    folder = shared_folder(spark, "captures")
+    pages.select("name", "year", "value").repartition("name", "year").write.partitionBy("name", "year").text(folder)
+    names = [f"Run {k}" for k in range(7) if k != 3]
+    scenes = catalogue(spark, folder=folder, first=1990, last=2030).where(F.col("name").isin(*names) & (F.col("year") >= 1994))
+    return scenes.groupBy("name", "year").agg(F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.sum("observed").cast("long").alias("cloud"))
+
+
 # --- times, directions, rosters and failures
 
 @query("SELECT event_id, start_us, strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 1704067200000000 ELSE (epoch_us(ts) // 1000000 - [0, 7200, -19800, 0][1 + CAST(event_id % 4 AS INTEGER)]) * 1000000 END AS start_us FROM events)")

@@ -37,10 +37,10 @@ def for_roster(sets: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def epoch_us(line1: Column) -> Column:
-    """Epoch: two-digit years from 57 are of the last century; the day of the year has a fraction."""
-    year = F.substring(line1, 19, 2).cast("int")
+    """Epoch: two-digit years from 57 are of the last century; the day of the year has a fraction. Null where a line is malformed."""
+    year = F.substring(line1, 19, 2).try_cast("int")
     full = F.when(year >= 57, 1900 + year).otherwise(2000 + year)
-    return F.unix_micros(F.make_timestamp(full, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))) + F.round((F.substring(line1, 21, 12).cast("double") - 1) * 86_400_000_000).cast("long")
+    return F.unix_micros(F.make_timestamp(full, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))) + F.round((F.substring(line1, 21, 12).try_cast("double") - 1) * 86_400_000_000).cast("long")
 
 
 def semi_major_km(mean_motion_rev_day: Column) -> Column:

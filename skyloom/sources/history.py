@@ -25,9 +25,9 @@ COOL_US = HOUR_US // 4
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table of the history; one that can't be found is empty."""
+    """A table of the history; one that can't be found is empty, and a damaged file counts as missing."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
