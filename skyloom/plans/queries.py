@@ -647,7 +647,7 @@ def archive_scan(spark, d):
     folder = shared_folder(spark, "captures")
     pages.select("name", "year", "value").repartition("name", "year").write.partitionBy("name", "year").text(folder)
     names = [f"Run {k}" for k in range(7) if k != 3]
-    scenes = catalogue(spark, folder=folder, first=1990, last=2030).where(F.col("name").isin(*names) & (F.col("year") >= 1994))
+    scenes = catalogue(spark, folder=folder, first=1990, last=2010).where(F.col("name").isin(*names) & (F.col("year") >= 1994))
     return scenes.groupBy("name", "year").agg(F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.sum("observed").cast("long").alias("cloud"))
 
 
