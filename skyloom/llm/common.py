@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,12 +41,6 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def file_system(uri: str):
     """(pyarrow file system, path) for a URI of the shared folder."""
     from pyarrow import fs
@@ -155,17 +148,6 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(total)
 
 
-def text_bytes(text: str | None, lower: bool = False) -> np.ndarray:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return np.frombuffer(raw.lower() if lower else raw, np.uint8)
-
-
 def set_arrow_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the memory of a batch of texts in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def frames(batches: Iterator, *columns: str) -> Iterator[tuple]:
-    """Rows of Arrow batches, as tuples of Python values."""
-    for batch in batches:
-        yield from zip(*[batch.column(c).to_pylist() for c in columns], strict=True)

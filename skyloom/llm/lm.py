@@ -14,7 +14,7 @@ At the end, q(w) = (n(w) - D'(n)) / n + mass' / n / (V + 1), where n(w) counts d
 leaves the lower order. Every text ends in an end token, which is scored; its first words have shorter contexts.
 
 Limits: fewer than 2**32 different words, and an n-gram's two ids must fit in 64 bits, which is tested. Null or empty text: the
-end token alone. Null doc_id: held out. Repeated rows count each. Empty table: no rows; no training texts: probabilities of an
+end token alone. Null doc_id: held out. Repeated rows count each. Texts of any length are counted and scored whole, one at a time. Nothing is ranked, so there are no ties. Empty table: no rows; no training texts: probabilities of an
 empty model. Other columns are not read.
 """
 

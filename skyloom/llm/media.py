@@ -8,7 +8,8 @@ that other tasks store have equal bytes, and ``canonical`` gives one place for e
 Metadata columns are filled by reading only the first HEADER_BYTES of a member; payloads are read whole, one at a
 time, to check the stored form and compute features. Shards lie in the shared folder, so lost executors lose nothing.
 
-Null or empty text: 64 bytes of 0. Null doc_id: kept. Repeated rows share a place. Empty table: no shards, no rows.
+Null or empty text: 64 bytes of 0. Null doc_id: kept. Repeated rows share a place within a task. Payloads of any length are one member
+each, in memory one at a time. Nothing is ranked, so there are no ties. Empty table: no shards, no rows.
 Other columns are not read.
 """
 

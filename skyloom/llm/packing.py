@@ -12,7 +12,8 @@ driver plans with a bounded table whatever the number of documents:
 The plan is a list of slots (length, range of ranks) -> (sequence, offset). A piece's rank among those of its length is its
 rank within the task that made it plus the count of earlier tasks, so no length is ever gathered in one task.
 
-Null or empty text: the end id alone. Null doc_id: packed like any other. Repeated rows are packed each. Empty
+Null or empty text: the end id alone. Null doc_id: packed like any other. Repeated rows are packed each. Texts of any length are encoded
+whole and cut. Pieces of equal length are alike to the plan, so their order is that of tasks and rows. Empty
 table: no rows. Other columns are not read.
 """
 
