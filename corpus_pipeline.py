@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 of documents: rejected documents go and lines above the limits are cut; one document of each group of near copies stays;
 personal data is replaced by its kind; documents are repeated or left out as the mix says. The last returns the pieces of
 packed sequences.
+
+Every stage, by what its operator states: null text or no words: rejected by quality (a null doc_id alone rejects nothing, and a
+null source is a source of its own); texts of any length are worked on whole; repeated rows are judged each, and of copies near_dedup
+keeps the row with the smallest doc_id; ties in the mix go by doc_id, then text, rows in packing by their task's order; an
+empty table gives empty tables with the same columns; further columns, whatever their names, are carried through all but the last stage.
 """
 
 from __future__ import annotations
