@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import time
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
@@ -14,7 +15,7 @@ from skyloom.functions import sky
 from skyloom.operators import campaign, clouds, passes
 from skyloom.operators.skill import THRESHOLD
 from skyloom.session import session, ship
-from skyloom.sources import contract, elements, history, kml, timeline, weather, workbook
+from skyloom.sources import contract, elements, history, kml, report, timeline, weather, workbook
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -151,9 +152,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         params = F.struct(*[F.lit(v).alias(k) for k, v in chosen_values.items()])
         runs = aois.select(F.col("aoi_id").alias("run_id"), info.alias("aoi"), sensor.alias("sensor"), window.alias("window_utc"), params.alias("params"))
         texts = runs.select("run_id", F.posexplode(F.array(*[F.lit(t) for t in said])).alias("ord", "text"))
-        documents = contract.predictions_json(runs, named, texts, campaign.summary(named, ["run_id"], ["tca_us"]), a.days, daily).orderBy("run_id").collect()
-        with open(a.json_path, "w", encoding="utf-8") as f:
-            f.write(contract.root([r["json"] for r in documents]))
+        documents = contract.predictions_json(runs, named, texts, campaign.summary(named, ["run_id"], ["tca_us"]), a.days, daily)
+        report.write_report(documents, a.json_path if "://" in a.json_path else os.path.abspath(a.json_path))
     for r in out.groupBy("name", "bucket").count().orderBy("name", "bucket").collect():
         print(f"{r['name']}: {r['count']} {r['bucket']}")
     for r in out.where("bucket <> 'marginal'").orderBy("name", "bucket", "tca_us").select("satellite", "bucket", stamp("tca_us").alias("t"), "off_nadir_deg", "sun_elev_deg", "slant_range_km").collect():

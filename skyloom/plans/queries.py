@@ -514,6 +514,26 @@ def json_contract(spark, d):
     return back.groupBy("run_id", "bucket").agg(F.count("us").alias("n"), F.min("us").alias("first_us"), F.min("keys").alias("keys"), F.count_if("op").alias("operational"))
 
 
+_DAY_RUN = "r AS (SELECT *, user_id || '/' || (tca_us // 86400000000) AS run FROM passes)"
+
+
+@query(with_(V.OBS, V.PASSES, _DAY_RUN) + "SELECT run AS run_id, count(*) FILTER (bucket = 'passes') AS passes, count(*) FILTER (bucket = 'marginal') AS marginal, count(*) FILTER (bucket = 'nonoperational') AS nonoperational, count(*) FILTER (bucket <> 'nonoperational') AS total FROM r GROUP BY 1")
+def report_documents(spark, d):
+    """A document an area and day, written by tasks as parts of a report and read back."""
+    from skyloom.session import shared_folder
+    from skyloom.sources import contract, report
+
+    p = V.passes(spark, d).withColumn("run_id", F.concat_ws("/", F.col("user_id").cast("string"), F.floor(F.col("tca_us") / sky.DAY_US).cast("string")))
+    runs = p.select("run_id").distinct().select("run_id", F.struct(F.lit("k").alias("key")).alias("sensor"), F.struct(F.col("run_id").alias("name")).alias("aoi"), F.array(F.lit("2024-01-01T00:00:00+00:00")).alias("window_utc"), F.struct(F.lit(1).alias("days")).alias("params"))
+    texts = runs.select("run_id", F.lit(0).alias("ord"), F.lit("none").alias("text"))
+    folder = shared_folder(spark, "report")
+    report.write_report(contract.predictions_json(runs, p, texts, campaign.summary(p, ["run_id"], ["tca_us", "event_id"]), 1.0), folder, parts=True)
+    text = spark.read.option("pathGlobFilter", "part-*.json").text(folder)
+    size = lambda k: F.size(F.from_json(F.get_json_object("value", f"$.{k}"), "array<string>")).cast("long").alias(k)
+    total = F.get_json_object("value", "$.summary.total_opportunities").cast("long")
+    return text.select(F.get_json_object("value", "$.aoi.name").alias("run_id"), size("passes"), size("marginal"), size("nonoperational"), total.alias("total"))
+
+
 # --- outlook and its files: series, catalogues and climatology as JSON, made from the tables and read back
 
 _REF_US = 1_704_067_200_000_000
