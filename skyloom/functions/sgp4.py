@@ -1,8 +1,8 @@
-"""SGP4 for near-Earth orbits, over arrays of times.
+"""SGP4 over arrays of times; orbits of 225 minutes and more have the terms of ``deepspace``.
 
 After Hoots and Roehrich, "Models for Propagation of NORAD Element Sets" (1980), and Vallado et al., "Revisiting
-Spacetrack Report #3" (2006), with WGS-72 constants. Periods of 225 minutes and more are refused. Error codes are the
-paper's: 1 eccentricity, 2 mean motion, 4 semi-latus rectum, 6 decayed; 7 is this module's for refused elements.
+Spacetrack Report #3" (2006), with WGS-72 constants. Error codes are the paper's: 1 eccentricity, 2 mean motion,
+3 eccentricity with periodic terms, 4 semi-latus rectum, 6 decayed; 7 is this module's for elements that are no orbit.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from functools import lru_cache
 
 import numpy as np
 
-MU, RE = 398600.8, 6378.135
+from skyloom.functions.deepspace import MU, RE, TURN, XKE, DeepSpace
+
 J2, J3, J4 = 0.001082616, -0.00000253881, -0.00000165597
-XKE = 60.0 / np.sqrt(RE**3 / MU)
-TURN = 2 * np.pi
 DEEP_MINUTES = 225.0
 
 
@@ -27,6 +26,11 @@ def exponent_field(text: str) -> float:
     return sign * float("0." + body[:cut].strip()) * 10.0 ** int(body[cut:])
 
 
+def _long_period(c, s):
+    """Coefficients of the long-period terms from cosine and sine of the inclination."""
+    return -0.25 * (J3 / J2) * s * (3 + 5 * c) / np.where(np.abs(c + 1) > 1.5e-12, 1 + c, 1.5e-12), -0.5 * (J3 / J2) * s
+
+
 class Orbit:
     """Elements of one set, with everything that doesn't depend on time."""
 
@@ -55,7 +59,7 @@ class Orbit:
         a0 = a1 * (1 - d * d - d * (1 / 3 + 134 * d * d / 81))
         n = kozai / (1 + d1 / a0**2)
         a = (XKE / n) ** (2 / 3)
-        self.n, self.refused = n, TURN / n >= DEEP_MINUTES
+        self.n = n
         p2 = (a * beta2) ** 2
         low = a * (1 - e)
         self.simple = low < 220 / RE + 1
@@ -87,8 +91,7 @@ class Orbit:
         self.xmcof = -2 / 3 * k * bstar / ee if e > 1e-4 else 0.0
         self.nodecf = 3.5 * beta2 * -t1 * c * c1
         self.t2cof = 1.5 * c1
-        self.xlcof = -0.25 * (J3 / J2) * s * (3 + 5 * c) / (1 + c if abs(c + 1) > 1.5e-12 else 1.5e-12)
-        self.aycof = -0.5 * (J3 / J2) * s
+        self.xlcof, self.aycof = _long_period(c, s)
         self.delmo, self.sinmo = (1 + eta * np.cos(self.m)) ** 3, np.sin(self.m)
         self.c1, self.eta, self.con, self.inc2, self.c7 = c1, eta, con, inc2, 7 * c2 - 1
         d2 = 4 * a * xi * c1 * c1
@@ -97,6 +100,9 @@ class Orbit:
         d4 = 0.5 * t * a * xi * (221 * a + 31 * edge) * c1
         self.d = (d2, d3, d4)
         self.tcof = (d2 + 2 * c1 * c1, 0.25 * (3 * d3 + c1 * (12 * d2 + 10 * c1 * c1)), 0.2 * (3 * d4 + 12 * c1 * d3 + 6 * d2 * d2 + 15 * c1 * c1 * (2 * d2 + c1 * c1)))
+        self.deep = None
+        if TURN / n >= DEEP_MINUTES:
+            self.simple, self.deep = True, DeepSpace(self)
 
     def at(self, us: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Error codes, positions (km) and velocities (km/s) in TEME at microseconds since 1970."""
@@ -123,19 +129,31 @@ class Orbit:
             shrink = shrink - d2 * t**2 - d3 * t**3 - d4 * t**4
             less = less + self.bstar * self.c5 * (np.sin(m) - self.sinmo)
             along = along + k3 * t**3 + t**4 * (k4 + t * k5)
-        a = (XKE / self.n) ** (2 / 3) * shrink * shrink
+        n0, e, incl = self.n, self.e, self.i
+        if self.deep:
+            m, argp, node, de, di, n0 = self.deep.secular(t, m, argp, node)
+            e, incl = e + de, incl + di
+        a = (XKE / n0) ** (2 / 3) * shrink * shrink
         n = XKE / a**1.5
-        e = self.e - less
-        error = np.where((e >= 1) | (e < -0.001), 1, np.where(n <= 0, 2, 0))
+        e = e - less
+        error = np.where((e >= 1) | (e < -0.001), 1, np.where(~(n > 0), 2, 0))
         e = np.maximum(e, 1e-6)
         m = m + self.n * along
         long = m + argp + node
         node, argp, long = np.fmod(node, TURN), np.fmod(argp, TURN), np.fmod(long, TURN)
         m = np.fmod(long - argp - node, TURN)
+        con, inc2, c7, xlcof, aycof = self.con, self.inc2, self.c7, self.xlcof, self.aycof
+        if self.deep:
+            e, incl, argp, node, m = self.deep.periodic(t, e, incl, argp, node, m)
+            over = incl < 0
+            incl, node, argp = np.abs(incl), np.where(over, node + np.pi, node), np.where(over, argp - np.pi, argp)
+            error = np.where((error == 0) & ((e < 0) | (e > 1)), 3, error)
+            c, s = np.cos(incl), np.sin(incl)
+            con, inc2, c7, xlcof, aycof = 3 * c * c - 1, 1 - c * c, 7 * c * c - 1, *_long_period(c, s)
         ax = e * np.cos(argp)
         k = 1 / (a * (1 - e * e))
-        ay = e * np.sin(argp) + k * self.aycof
-        u = np.fmod(m + argp + k * self.xlcof * ax, TURN)
+        ay = e * np.sin(argp) + k * aycof
+        u = np.fmod(m + argp + k * xlcof * ax, TURN)
         eo = u.copy()
         for _ in range(10):
             so, co = np.sin(eo), np.cos(eo)
@@ -155,13 +173,13 @@ class Orbit:
         sin2, cos2 = 2 * cosu * sinu, 1 - 2 * sinu * sinu
         k1 = 0.5 * J2 / p
         k2 = k1 / p
-        ci, si = np.cos(self.i), np.sin(self.i)
-        rk = r * (1 - 1.5 * k2 * beta * self.con) + 0.5 * k1 * self.inc2 * cos2
-        su = su - 0.25 * k2 * self.c7 * sin2
+        ci, si = np.cos(incl), np.sin(incl)
+        rk = r * (1 - 1.5 * k2 * beta * con) + 0.5 * k1 * inc2 * cos2
+        su = su - 0.25 * k2 * c7 * sin2
         nk = node + 1.5 * k2 * ci * sin2
-        ik = self.i + 1.5 * k2 * ci * si * cos2
-        vr = rdot - n * k1 * self.inc2 * sin2 / XKE
-        vt = rvdot + n * k1 * (self.inc2 * cos2 + 1.5 * self.con) / XKE
+        ik = incl + 1.5 * k2 * ci * si * cos2
+        vr = rdot - n * k1 * inc2 * sin2 / XKE
+        vt = rvdot + n * k1 * (inc2 * cos2 + 1.5 * con) / XKE
         error = np.where((error == 0) & (rk < 1), 6, error)
         ss, cs, sn, cn, si, ci = np.sin(su), np.cos(su), np.sin(nk), np.cos(nk), np.sin(ik), np.cos(ik)
         mx, my = -sn * ci, cn * ci
