@@ -315,7 +315,7 @@ def predict(aois: DataFrame, elements: DataFrame, profile, start_us: int, days:
     kept = kept.withColumn("looks", F.transform("ring_teme", lambda p: minus(p, F.col("r")))).withColumn("max_off_nadir_aoi_deg", F.array_max(F.transform("looks", lambda p: angle_deg(F.col("down"), p))))
     kept = geo.with_footprint(geo.with_geometry(kept, profile.gsd_m), profile.swath_km, profile.agile, profile.max_off)
     age = (t - F.col("tle_epoch_us")) / 8.64e10
-    out = kept.withColumns({"coverage_pct": coverage(F.col("footprint"), F.col("ring")), "quality": grading.quality_badge(F.col("eta"), F.col("sun.elevation")), "timing_sigma_s": grading.timing_sigma_s(age), "bucket": grading.bucket(F.col("category"), F.col("operational"))})
+    out = kept.withColumns({"coverage_pct": coverage(F.col("footprint"), F.col("ring"), F.col("lon"), F.col("lat")), "quality": grading.quality_badge(F.col("eta"), F.col("sun.elevation")), "timing_sigma_s": grading.timing_sigma_s(age), "bucket": grading.bucket(F.col("category"), F.col("operational"))})
     pair = lambda v: F.array(F.round(v["lon"], 6), F.round(v["lat"], 6))
     return out.select(
         "aoi_id", "name", F.lit(profile.key).alias("sensor"), "satellite", t.alias("tca_us"), F.col("off").alias("off_nadir_deg"), F.col("sun.elevation").alias("sun_elev_deg"), "max_off_nadir_aoi_deg", "slant_range_km",
