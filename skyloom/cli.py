@@ -15,7 +15,7 @@ from skyloom.functions import sky
 from skyloom.operators import campaign, clouds, passes
 from skyloom.operators.skill import THRESHOLD
 from skyloom.session import session, ship
-from skyloom.sources import contract, elements, history, kml, report, timeline, weather, workbook
+from skyloom.sources import books, contract, elements, history, kml, report, weather, workbook
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -134,10 +134,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         "nonoperational": f"Not in service yet, for planning only and not counted: {', '.join(s for s, _, on in roster if not on)}.",
     }
     stamp = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm")
-    bars = timeline.bars(out).orderBy("satellite", "tca_us").select("satellite", "name", stamp("left_us"), stamp("right_us"), "label", "band", F.when(F.col("hatched"), "not operational")).collect()
-    lanes = [["Satellite", "AOI", "From (UTC)", "To (UTC)", "Off nadir (°)", "Band", "Note"], *map(list, bars)]
-    with open(a.out, "wb") as f:
-        f.write(workbook.report(out, list(dict.fromkeys(r["name"] for r in places)), [s for s, _, _ in roster], a.tz, method(a, chosen, places, start, said), hints, lanes))
+    whole = F.lit("all").alias("run_id")
+    several = len({r["name"] for r in places}) > 1
+    labels = list(dict.fromkeys(r["name"] for r in places)) if several else sorted(s for s, _, _ in roster)
+    counted = spark.createDataFrame(list(enumerate(labels)), "ord int, label string").select(whole, "ord", "label")
+    notes = spark.createDataFrame([(k, *n) for k, n in enumerate(method(a, chosen, places, start, said))], "ord int, item string, value string").select(whole, "ord", "item", "value")
+    target = lambda path: path if "://" in path else os.path.abspath(path)
+    books.write_books(books.workbook_rows(out.withColumn("run_id", whole), spark.range(1).select(whole), counted, notes, a.tz, hints, several), target(a.out), single=True)
     named = out.withColumn("run_id", F.col("aoi_id"))
     if a.json_path:
         ring = F.transform("ring", lambda v: F.array(F.round(v["lon"], 6), F.round(v["lat"], 6)))
@@ -153,7 +156,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         runs = aois.select(F.col("aoi_id").alias("run_id"), info.alias("aoi"), sensor.alias("sensor"), window.alias("window_utc"), params.alias("params"))
         texts = runs.select("run_id", F.posexplode(F.array(*[F.lit(t) for t in said])).alias("ord", "text"))
         documents = contract.predictions_json(runs, named, texts, campaign.summary(named, ["run_id"], ["tca_us"]), a.days, daily)
-        report.write_report(documents, a.json_path if "://" in a.json_path else os.path.abspath(a.json_path))
+        report.write_report(documents, target(a.json_path))
     for r in out.groupBy("name", "bucket").count().orderBy("name", "bucket").collect():
         print(f"{r['name']}: {r['count']} {r['bucket']}")
     for r in out.where("bucket <> 'marginal'").orderBy("name", "bucket", "tca_us").select("satellite", "bucket", stamp("tca_us").alias("t"), "off_nadir_deg", "sun_elev_deg", "slant_range_km").collect():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -534,6 +535,56 @@ def report_documents(spark, d):
     return text.select(F.get_json_object("value", "$.aoi.name").alias("run_id"), size("passes"), size("marginal"), size("nonoperational"), total.alias("total"))
 
 
+def sheet_passes(spark, d):
+    """Passes with all that a sheet shows, a run a user."""
+    e = F.col("event_id")
+    p = V.passes(spark, d).drop("run_id").withColumns({"run_id": F.col("user_id").cast("string"), "name": F.concat(F.lit("area "), "user_id"), "max_off_nadir_aoi_deg": F.abs("off_nadir_deg") + 1, "slant_range_km": (500 + e % 900).cast("double"), "tle_epoch_us": F.col("tca_us") - (e % 40) * sky.HOUR_US})
+    tenth = lambda k: (e % k / 10).cast("double")
+    geometry = F.struct(tenth(97).alias("effective_gsd_m"), tenth(89).alias("view_zenith_deg"), tenth(83).alias("sun_glint_deg"), F.lit("low").alias("glint_risk"), tenth(79).alias("airmass_sun"))
+    return p.withColumns({"node": F.when(e % 2 == 0, "ascending").otherwise("descending"), "coverage_pct": (e % 11 / 10).cast("double"), "timing_sigma_s": tenth(71), "geometry": geometry})
+
+
+_BOOK_ROW = r"(?s)<row r=\"(\d+)\">(.*?)</row>"
+
+
+@query(
+    with_(V.OBS, V.PASSES)
+    + "SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) FILTER (bucket = 'passes') AS passes, count(*) FILTER (bucket = 'marginal') AS marginal, count(*) FILTER (bucket = 'nonoperational') AS nonoperational, count(*) AS bars, "
+    "CAST(coalesce(sum(CAST(round(off_nadir_deg * 10) AS BIGINT)) FILTER (bucket = 'passes'), 0) AS BIGINT) AS off_tenths, "
+    "'SUM(B' || (count(*) FILTER (bucket = 'passes') + 5) || ':B' || (count(*) FILTER (bucket = 'passes') + 14) || ')' AS total, CASE WHEN count(*) FILTER (bucket = 'nonoperational') > 0 THEN 5 ELSE 4 END AS sheets FROM passes GROUP BY 1, user_id"
+)
+def report_workbooks(spark, d):
+    """A workbook an area, written by tasks and read back: rows by sheet, their off-nadir angles, and the formula of the total."""
+    import io
+    import re
+    import zipfile
+
+    from skyloom.session import shared_folder
+    from skyloom.sources import books
+
+    p = sheet_passes(spark, d)
+    runs = p.select("run_id").distinct()
+    counted = runs.select("run_id", F.posexplode(F.array(*[F.lit(f"SAT{k}") for k in range(10)])).alias("ord", "label"))
+    notes = runs.select("run_id", F.lit(0).alias("ord"), F.lit("Window (UTC)").alias("item"), F.lit("all").alias("value"))
+    folder = shared_folder(spark, "books")
+    books.write_books(books.workbook_rows(p, runs, counted, notes, "UTC"), folder)
+
+    def read(content: pd.Series) -> pd.DataFrame:
+        out = []
+        for data in content:
+            with zipfile.ZipFile(io.BytesIO(data)) as box:
+                titles = re.findall('<sheet name="([^"]*)"', box.read("xl/workbook.xml").decode())
+                rows = {t: re.findall(_BOOK_ROW, box.read(f"xl/worksheets/sheet{k + 1}.xml").decode()) for k, t in enumerate(titles)}
+            own = {t: [x for _, x in r[1:] if x.count("<c ") > 8] for t, r in rows.items()}
+            off = sum(round(float(re.search('<c r="D[0-9]+"><v>([^<]*)', x)[1]) * 10) for x in own["Passes"])
+            out.append((len(own["Passes"]), len(own["Marginal - stretch"]), len(own.get("Non-operational", [])), len(rows["Timeline"]) - 1, off, re.search("<f>(SUM[^<]*)", rows["Passes"][-1][1])[1], len(titles)))
+        return pd.DataFrame(out, columns=["passes", "marginal", "nonoperational", "bars", "off_tenths", "total", "sheets"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(folder)
+    found = F.pandas_udf(read, "passes long, marginal long, nonoperational long, bars long, off_tenths long, total string, sheets int")
+    return files.select(F.regexp_extract("path", r"([^/]+)\.xlsx$", 1).alias("run_id"), found("content").alias("b")).select("run_id", "b.*")
+
+
 # --- outlook and its files: series, catalogues and climatology as JSON, made from the tables and read back
 
 _REF_US = 1_704_067_200_000_000

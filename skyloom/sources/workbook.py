@@ -1,4 +1,6 @@
-"""Workbook sink: Office Open XML written with the standard library; one report's passes are tens of rows."""
+"""Workbooks as Office Open XML, with the standard library: what their sheets hold, and a small one in memory.
+
+``sources/books.py`` writes them from tasks."""
 
 from __future__ import annotations
 
@@ -34,8 +36,8 @@ def cloud_cells() -> list[Column]:
     ]
 
 
-def sheet_rows(passes: DataFrame, tz: str, with_aoi: bool = False, with_cloud: bool = False) -> DataFrame:
-    """Passes as the cells of a sheet, with tca_us and bucket to order and split by."""
+def sheet_rows(passes: DataFrame, tz: str, with_aoi: bool = False, with_cloud: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Passes as the cells of a sheet, with ``keys``, bucket and tca_us to split and order by."""
     utc = lambda us: F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     local = F.date_format(F.from_utc_timestamp(F.timestamp_micros(F.col("tca_us")), tz), "yyyy-MM-dd HH:mm")
     g = lambda k, n: F.round(f"geometry.{k}", n)
@@ -48,7 +50,7 @@ def sheet_rows(passes: DataFrame, tz: str, with_aoi: bool = False, with_cloud: b
     if with_cloud:
         cells, names = cells + cloud_cells(), names + CLOUD
     aoi = [F.col("name").alias("AOI")] if with_aoi else []
-    return passes.select("bucket", "tca_us", *aoi, *[c.alias(n) for c, n in zip(cells, names, strict=True)])
+    return passes.select(*keys, "bucket", "tca_us", *aoi, *[c.alias(n) for c, n in zip(cells, names, strict=True)])
 
 
 def column(k: int) -> str:
@@ -70,21 +72,37 @@ def cell(row: int, k: int, value, bold: bool = False) -> str:
     return f'<c r="{at}"{style} t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
 
 
+def row_xml(at: int, values: list, bold: bool = False) -> str:
+    return f'<row r="{at}">' + "".join(cell(at, k, v, bold) for k, v in enumerate(values)) + "</row>"
+
+
+SHEET_HEAD = f'{_TYPES}<worksheet xmlns="{_MAIN}"><cols><col min="1" max="40" width="24" customWidth="1"/></cols><sheetData>'
+SHEET_TAIL = "</sheetData></worksheet>"
+
+
 def sheet_xml(rows: list[list], bold_rows: frozenset[int] = frozenset({0})) -> str:
-    body = "".join(f'<row r="{i + 1}">' + "".join(cell(i + 1, k, v, i in bold_rows) for k, v in enumerate(r)) + "</row>" for i, r in enumerate(rows))
-    return f'{_TYPES}<worksheet xmlns="{_MAIN}"><cols><col min="1" max="40" width="24" customWidth="1"/></cols><sheetData>{body}</sheetData></worksheet>'
+    return SHEET_HEAD + "".join(row_xml(i + 1, r, i in bold_rows) for i, r in enumerate(rows)) + SHEET_TAIL
+
+
+def frame(titles: list[str]) -> dict[str, str]:
+    """The members of an .xlsx beside its sheets, by name."""
+    n = range(1, len(titles) + 1)
+    parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in n)
+    return {
+        "[Content_Types].xml": f'{_TYPES}<Types xmlns="{_PACK}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{parts}</Types>',
+        "_rels/.rels": f'{_TYPES}<Relationships xmlns="{_PACK}/relationships"><Relationship Id="r1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'{_TYPES}<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>' + "".join(f'<sheet name="{escape(t)}" sheetId="{i}" r:id="r{i}"/>' for i, t in zip(n, titles, strict=True)) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": f'{_TYPES}<Relationships xmlns="{_PACK}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{_REL}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n) + f'<Relationship Id="rs" Type="{_REL}/styles" Target="styles.xml"/></Relationships>',
+        "xl/styles.xml": f'{_TYPES}<styleSheet xmlns="{_MAIN}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
+    }
 
 
 def workbook(sheets: list[tuple[str, list[list]]]) -> bytes:
     """An .xlsx of named sheets of rows."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as box:
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(len(sheets)))
-        box.writestr("[Content_Types].xml", f'{_TYPES}<Types xmlns="{_PACK}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{parts}</Types>')
-        box.writestr("_rels/.rels", f'{_TYPES}<Relationships xmlns="{_PACK}/relationships"><Relationship Id="r1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        box.writestr("xl/workbook.xml", f'{_TYPES}<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i + 1}" r:id="r{i + 1}"/>' for i, (n, _) in enumerate(sheets)) + "</sheets></workbook>")
-        box.writestr("xl/_rels/workbook.xml.rels", f'{_TYPES}<Relationships xmlns="{_PACK}/relationships">' + "".join(f'<Relationship Id="r{i + 1}" Type="{_REL}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets))) + f'<Relationship Id="rs" Type="{_REL}/styles" Target="styles.xml"/></Relationships>')
-        box.writestr("xl/styles.xml", f'{_TYPES}<styleSheet xmlns="{_MAIN}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
+        for name, text in frame([t for t, _ in sheets]).items():
+            box.writestr(name, text)
         for i, (_, rows) in enumerate(sheets):
             box.writestr(f"xl/worksheets/sheet{i + 1}.xml", sheet_xml(rows))
     return out.getvalue()
