@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from skyloom import catalog
 from skyloom.operators.ordered import lagged, medians
 
 WINDOW_US = 3 * 86_400_000_000
@@ -69,6 +70,13 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def rosters(asked: DataFrame) -> DataFrame:
+    """``asked`` with the satellites of the sensor in ``wanted``, or of every sensor for ``all``; null or unknown sensors bring none."""
+    every = merged([catalog.roster_df(asked.sparkSession, [s]) for s in catalog.PROFILES])
+    sensors = F.when(F.col("wanted") == "all", F.array(*[F.lit(s) for s in catalog.PROFILES])).otherwise(F.array("wanted"))
+    return asked.withColumn("sensor", F.explode(sensors)).drop("wanted").join(F.broadcast(every), "sensor")  # a row a satellite of the catalogue
+
+
 def distinct_warnings(warnings: DataFrame) -> DataFrame:
     """Texts once each, in the order of their first appearance."""
     return warnings.groupBy("run_id", "text").agg(F.min("ord").alias("ord"))

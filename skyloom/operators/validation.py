@@ -51,11 +51,16 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(best), pa.array(off)], names=["platform", "t_us", "tle_age_days", "predicted_us", "off_nadir_deg"])
 
 
+def fresh(rows: DataFrame, max_age_days: float = MAX_AGE_DAYS) -> DataFrame:
+    """Rows of (t_us, line1) with ``tle_age_days``, the time between the two to either side, where that is at most so long."""
+    return rows.withColumn("tle_age_days", F.abs(F.col("t_us") - epoch_us(F.col("line1"))) / sky.DAY_US).where(F.col("tle_age_days") <= max_age_days)
+
+
 def scene_matches(scenes: DataFrame, elements: DataFrame, max_age_days: float = MAX_AGE_DAYS) -> DataFrame:
     """(platform, t_us, tle_age_days, predicted_us, off_nadir_deg, dt_s) of scenes with a known platform and a fresh element set."""
     known = scenes.sparkSession.createDataFrame(list(PLATFORMS.items()), "platform string, satellite string")
     rows = scenes.where("lat is not null").join(F.broadcast(known), "platform").join(elements.select("satellite", "line1", "line2"), "satellite")
-    rows = rows.withColumn("tle_age_days", F.abs(F.col("t_us") - epoch_us(F.col("line1"))) / sky.DAY_US).where(F.col("tle_age_days") <= max_age_days)
+    rows = fresh(rows, max_age_days)
     site = rows.withColumn("s", geo.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.lit(0.0)))
     site = site.select("platform", "t_us", "tle_age_days", "line1", "line2", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("s.z").alias("sz"))
     # Dealt by satellite and day, so that a platform with many scenes is many tasks' work.

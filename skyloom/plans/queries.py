@@ -50,9 +50,12 @@ def profile_lookup(spark, d):
     return joined.select("nation", "sensor", micro(F.coalesce("given", "max_off")).alias("max_off"), micro(F.col("min_sun")).alias("min_sun"), "agile")
 
 
-@query(with_(_ROSTER_SQL) + "SELECT sensor, ordinal, satellite, norad, operational FROM roster")
+@query(with_(_ROSTER_SQL, "asked AS (SELECT n_nationkey AS nation, ['dragonette', 'landsat', 'sentinel2', 'all'][1 + n_nationkey % 4] AS wanted FROM nation)") + "SELECT nation, sensor, ordinal, satellite, norad, operational FROM asked JOIN roster ON wanted IN (sensor, 'all')")
 def roster_union(spark, d):
-    return campaign.merged([catalog.roster_df(spark, [s]) for s in catalog.PROFILES])
+    """The satellites that each nation's choice of sensors brings: one sensor's, or those of all."""
+    wanted = F.get(F.array(*[F.lit(s) for s in (*catalog.PROFILES, "all")]), (F.col("n_nationkey") % 4).cast("int"))
+    asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), wanted.alias("wanted"))
+    return campaign.rosters(asked)
 
 
 @query(with_(_ROSTER_SQL, V.OBS) + "SELECT event_id, s.satellite, coalesce(operational, true) AS operational FROM (SELECT event_id, ['DRAG01','DRAG05','LANDSAT9','EXTRA'][1 + CAST(user_id % 4 AS INTEGER)] AS satellite FROM obs) s LEFT JOIN roster r USING (satellite)")
@@ -360,6 +363,21 @@ def residual_stats_rollup(spark, d):
     return r.select("platform", "n", *[micro(F.col(c)).alias(c) for c in r.columns[2:]])
 
 
+_EPOCH_DAYS = {p: 5 * (k + 1) for k, p in enumerate(catalog.PLATFORMS)}
+_EPOCHS = "sets AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {day})" for p, day in _EPOCH_DAYS.items()) + ") AS t(platform, day))"
+
+
+@query(with_(V.OBS, V.SCENE, _EPOCHS, "a AS (SELECT scene, platform, abs(t_us - (1704067200000000 + (day - 1) * 86400000000)) / 8.64e10 AS age FROM scene JOIN sets USING (platform))") + f"SELECT scene, platform, {sql_micro('age')} AS age FROM a WHERE age <= 2")
+def fresh_scenes(spark, d):
+    """Scenes of known platforms within two days of their satellite's element set, to either side."""
+    from skyloom.operators import validation
+
+    lines = [(p, f"1 {40000 + day:05d}U 24001A   24{day:03d}.00000000  .00000000  00000-0  20000-4 0  9990") for p, day in _EPOCH_DAYS.items()]
+    sets = F.broadcast(spark.createDataFrame(lines, "platform string, line1 string"))  # a row a platform
+    found = validation.fresh(V.scene(spark, d).join(sets, "platform"))
+    return found.select("scene", "platform", micro(F.col("tle_age_days")).alias("age"))
+
+
 # --- campaign
 
 _GOOD = "good AS (SELECT * FROM passes WHERE quality = 'good' AND bucket <> 'nonoperational')"

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 import io
+import re
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from skyloom.functions import geo
 
 #: Fixed limits on untrusted files.
 MAX_BYTES, MAX_MEMBERS, MAX_INNER, MAX_RATIO, MAX_NAME = 10 << 20, 64, 50 << 20, 200, 120
+TAG, BRACKET = re.compile(r"<[^>]*>"), re.compile(r"[<>]")
 PLACEMARK = r"(?s)(<Placemark\b.*?</Placemark>)"
 
 
@@ -45,19 +47,20 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("source"), unzip("content").alias("kml"))
 
 
-def unescaped(text: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda x: html.unescape(x) if x is not None else None), T.StringType())(text)
+def _readable(text: pa.Array) -> pa.Array:
+    bare = (None if x is None else BRACKET.sub("", TAG.sub("", html.unescape(x))) for x in text.to_pylist())
+    return pa.array([None if x is None else "".join(c for c in x if c.isprintable()) for x in bare], pa.string())
 
 
-def printable(text: Column) -> Column:
-    return F.pandas_udf(lambda s: pd.Series([None if x is None else "".join(c for c in x if c.isprintable()) for x in s], dtype=object), T.StringType())(text)
+def readable(text: Column) -> Column:
+    """Entities resolved, then markup and characters that don't print dropped; null stays null."""
+    return F.arrow_udf(_readable, T.StringType())(text)
 
 
-def clean_name(raw: Column, unescape=unescaped, keep=printable) -> Column:
-    """A safe display name: CDATA unwrapped, entities resolved, markup and control characters dropped, white space collapsed, cut to MAX_NAME."""
+def clean_name(raw: Column) -> Column:
+    """A safe display name: CDATA unwrapped, made readable, white space collapsed, cut to MAX_NAME."""
     bare = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"(?s)^<!\[CDATA\[(.*?)\]\]>$", "$1")
-    plain = F.regexp_replace(F.regexp_replace(unescape(bare), r"<[^>]*>", ""), r"[<>]", "")
-    spaced = F.regexp_replace(keep(plain), r"[\s ]+", " ")
+    spaced = F.regexp_replace(readable(bare), r"[\s ]+", " ")
     return F.coalesce(F.nullif(F.substring(F.trim(spaced), 1, MAX_NAME), F.lit("")), F.lit("AOI"))
 
 
