@@ -864,6 +864,39 @@ def element_refresh(spark, d):
     return history.plan(roster, sets, failures, _NOW_US).drop("failed_us")
 
 
+_DELIVERIES, _DELIVERY_US, _FOLLOWED = 3, 10 * sky.DAY_US, 60
+_TOLD = [
+    f"dated AS (SELECT event_type = 'error' AS f, user_id % {_FOLLOWED} AS sat, epoch_us(ts) AS us, event_id, least(greatest((epoch_us(ts) - {_REF_US}) // {_DELIVERY_US}, 0), {_DELIVERIES - 1}) AS part FROM events)",
+    "roster AS (SELECT DISTINCT 'S' || (sat // 2) AS sensor, sat FROM dated)",
+    f"told AS (SELECT sensor, r.sat AS satellite, CASE WHEN f THEN us END AS failed_us, CASE WHEN NOT f THEN us - event_id * 7919 % 7200 * 1000000 END AS fetched_us, part, {_REF_US} + part * {_DELIVERY_US} + 9 * 86400000000 + (us - {_REF_US} - part * {_DELIVERY_US}) // 10 AS seen_us FROM dated d JOIN roster r ON f OR d.sat = r.sat)",
+    "parts AS (SELECT sensor, part, min(seen_us) AS first_us, max(seen_us) AS last_us, max(failed_us) AS failed FROM told GROUP BY 1, 2)",
+    "newest AS (SELECT p.sensor, p.part, satellite, max(fetched_us) AS us FROM parts p JOIN told t ON t.sensor = p.sensor AND t.part <= p.part WHERE fetched_us IS NOT NULL GROUP BY ALL)",
+    "sized AS (SELECT sensor, count(*) AS known FROM roster GROUP BY 1)",
+    "state AS (SELECT sensor, part, max(last_us) OVER w AS begin_us, max(failed) OVER w AS failed_us, coalesce(lead(first_us) OVER w, (SELECT max(seen_us) // 1000 * 1000 FROM told)) AS end_us, known - coalesce(n, 0) AS missing, fetched_us FROM parts JOIN sized USING (sensor) LEFT JOIN (SELECT sensor, part, count(*) AS n, min(us) AS fetched_us FROM newest GROUP BY 1, 2) USING (sensor, part) WINDOW w AS (PARTITION BY sensor ORDER BY part))",
+    "due AS (SELECT *, begin_us AS as_of_us FROM state UNION ALL SELECT *, fetched_us + 28800000000 FROM state WHERE fetched_us + 28800000000 > begin_us AND fetched_us + 28800000000 <= end_us UNION SELECT *, failed_us + 900000000 FROM state WHERE failed_us + 900000000 > begin_us AND failed_us + 900000000 <= end_us)",
+    "said AS (SELECT *, CASE WHEN missing = 0 AND as_of_us - fetched_us < 28800000000 THEN 'fresh' WHEN missing = 0 AND as_of_us - failed_us < 900000000 THEN 'cooling' ELSE 'fetch' END AS action FROM due)",
+]
+
+
+@query(with_(*_TOLD) + "SELECT sensor, as_of_us, missing, fetched_us, failed_us, action FROM (SELECT *, lag(action) OVER (PARTITION BY sensor ORDER BY as_of_us, part) AS before FROM said) WHERE before IS DISTINCT FROM action")
+def element_status(spark, d):
+    """How the stored sets of pairs of satellites turn fresh, cooling and stale. Events are fetches, told of out of order, and failures; the
+    rows of ten days come as one delivery, on the last of them, so that limits run out in the quiet days between.
+    """
+    from skyloom.streaming import refresh
+
+    failed, us = F.col("event_type") == "error", sky.to_us(F.col("ts"))
+    part = F.least(F.greatest(F.floor((us - _REF_US) / _DELIVERY_US), F.lit(0)), F.lit(_DELIVERIES - 1))
+    base = _REF_US + F.col("part") * _DELIVERY_US
+    dated = table(spark, d, "events").select(failed.alias("failed"), (F.col("user_id") % _FOLLOWED).alias("sat"), us.alias("us"), "event_id", part.alias("part"))
+    told = dated.select(
+        F.timestamp_micros(base + 9 * sky.DAY_US + F.floor((F.col("us") - base) / 10)).alias("seen"), F.when(~F.col("failed"), F.col("sat").cast("string")).alias("satellite"),
+        F.when(~F.col("failed"), F.col("us") - F.col("event_id") * 7919 % 7200 * 1_000_000).alias("fetched_us"), F.when(F.col("failed"), F.col("us")).alias("failed_us"), "part",
+    )
+    roster = dated.select("sat").distinct().select(F.concat(F.lit("S"), F.floor(F.col("sat") / 2)).alias("sensor"), F.col("sat").cast("string").alias("satellite"))
+    return refresh.followed([told.where(F.col("part") == k) for k in range(_DELIVERIES)], roster)
+
+
 @query(_OUTLOOK + "SELECT event_id, coalesce(printf('%.0f', round_even(a.total, 0)), 'n/a') AS total, CASE WHEN a IS NULL THEN 'n/a' ELSE (a.low || '/' || a.mid || '/' || a.high) END AS layers, CASE WHEN b IS NULL THEN 'n/a' ELSE printf('%.0f', round_even(b.lo, 0)) || '–' || printf('%.0f', round_even(b.hi, 0)) END AS spread, ['n/a', 'forecast', 'outlook (probabilistic)', ''][1 + tier] AS label, coalesce(printf('%.0f', round_even(clim, 0)) || '%', 'n/a') AS usual FROM o")
 def cloud_cells(spark, d):
     from skyloom.sources import workbook
