@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skyloom import catalog
-from skyloom.operators.ordered import lagged, medians
+from skyloom.operators.ordered import lagged, medians, ranked
 
 WINDOW_US = 3 * 86_400_000_000
 #: Time that one task orders at once for a run.
@@ -70,6 +70,20 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def combined(runs: DataFrame, passes: DataFrame, warnings: DataFrame, order: list[str | Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Several sensors' predictions of a run as one, whose sensor is ``all``. ``ordinal`` is a sensor's place in the request.
+
+    ``runs`` (run_id, ordinal, start_us, end_us, params) give the whole window and the first sensor's parameters; ``passes`` (run_id, ordinal,
+    bucket, tca_us, ...) get their position in time in their bucket, ties by ordinal, then ``order``; of ``warnings`` (run_id, ordinal, ord,
+    text) each text stays once, at its first place. A run without passes or warnings has none; nulls come first.
+    """
+    first = F.min_by("params", "ordinal").alias("params")
+    whole = runs.groupBy("run_id").agg(F.lit("all").alias("sensor"), F.count_distinct("ordinal").alias("sensors"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), first)
+    placed = ranked(passes, ["run_id", "bucket"], "tca_us", ["tca_us", "ordinal", *order], BLOCK_US)
+    texts = warnings.groupBy("run_id", "text").agg(F.min(F.struct("ordinal", "ord")).alias("at")).select("run_id", "text", "at.*")
+    return whole, placed, texts
+
+
 def rosters(asked: DataFrame) -> DataFrame:
     """``asked`` with the satellites of the sensor in ``wanted``, or of every sensor for ``all``; null or unknown sensors bring none."""
     every = merged([catalog.roster_df(asked.sparkSession, [s]) for s in catalog.PROFILES])

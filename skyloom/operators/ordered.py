@@ -1,6 +1,6 @@
-"""Order within a key without a sort of the key as a whole: the row before, and the exact median.
+"""Order within a key without a sort of the key as a whole: the row before, a row's position, and the exact median.
 
-Both keep what a task holds bounded when a key has a third of all rows.
+All keep what a task holds bounded when a key has a third of all rows.
 """
 
 from __future__ import annotations
@@ -43,6 +43,19 @@ def lagged(rows: DataFrame, by: list[str], at: str, order: list[str | Column], c
     return joined.withColumn(name, F.when(F.col("__first"), F.col("__carried")).otherwise(F.col("__own"))).drop("__block", "__own", "__first", "__carried")
 
 
+def ranked(rows: DataFrame, by: list[str], at: str, order: list[str | Column], span: int, name: str = "position") -> DataFrame:
+    """Rows with their ``name``, from 1, in ``order`` among those of equal ``by``; it begins with the number ``at``, of which nulls come first.
+
+    A window numbers the rows of a key's block of ``span``, and what the key's blocks before it have is added from a table of one
+    row a key and block.
+    """
+    blocked = rows.withColumn("__block", F.floor(F.col(at) / span))
+    within = blocked.withColumn("__own", F.row_number().over(W.partitionBy(*by, "__block").orderBy(*order)))
+    sizes = blocked.groupBy(*by, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.withColumn("__before", F.sum("__n").over(W.partitionBy(*by).orderBy("__block")) - F.col("__n"))  # a row a block
+    return same(within, sizes.drop("__n"), [*by, "__block"], "left").withColumn(name, F.col("__before") + F.col("__own")).drop("__block", "__own", "__before")
+
+
 def medians(rows: DataFrame, by: list[str], value: str, name: str = "median", limit: int = LIMIT, cuts: int = CUTS) -> DataFrame:
     """(by, name): the exact median of the non-null values of each group.
 

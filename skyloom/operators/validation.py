@@ -56,11 +56,16 @@ def fresh(rows: DataFrame, max_age_days: float = MAX_AGE_DAYS) -> DataFrame:
     return rows.withColumn("tle_age_days", F.abs(F.col("t_us") - epoch_us(F.col("line1"))) / sky.DAY_US).where(F.col("tle_age_days") <= max_age_days)
 
 
-def scene_matches(scenes: DataFrame, elements: DataFrame, max_age_days: float = MAX_AGE_DAYS) -> DataFrame:
-    """(platform, t_us, tle_age_days, predicted_us, off_nadir_deg, dt_s) of scenes with a known platform and a fresh element set."""
+def matched(scenes: DataFrame, elements: DataFrame, max_age_days: float = MAX_AGE_DAYS) -> DataFrame:
+    """Scenes with a centre, a known platform and a fresh element set of its satellite, with that set."""
     known = scenes.sparkSession.createDataFrame(list(PLATFORMS.items()), "platform string, satellite string")
     rows = scenes.where("lat is not null").join(F.broadcast(known), "platform").join(elements.select("satellite", "line1", "line2"), "satellite")
-    rows = fresh(rows, max_age_days)
+    return fresh(rows, max_age_days)
+
+
+def scene_matches(scenes: DataFrame, elements: DataFrame, max_age_days: float = MAX_AGE_DAYS) -> DataFrame:
+    """(platform, t_us, tle_age_days, predicted_us, off_nadir_deg, dt_s) of scenes with a known platform and a fresh element set."""
+    rows = matched(scenes, elements, max_age_days)
     site = rows.withColumn("s", geo.geodetic_to_ecef(F.col("lat"), F.col("lon"), F.lit(0.0)))
     site = site.select("platform", "t_us", "tle_age_days", "line1", "line2", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("s.z").alias("sz"))
     # Dealt by satellite and day, so that a platform with many scenes is many tasks' work.
@@ -69,15 +74,21 @@ def scene_matches(scenes: DataFrame, elements: DataFrame, max_age_days: float =
     return found.withColumn("dt_s", (F.col("predicted_us") - F.col("t_us")) / 1e6)
 
 
-def report(spark: SparkSession, scene_files: str, element_file: str, max_age_days: float = MAX_AGE_DAYS) -> DataFrame:
-    """Timing residuals by platform of stored catalogue pages against a stored file of element sets; ValueError where a satellite has no set."""
+def loaded(spark: SparkSession, scene_files: str, element_file: str, page_a_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Scenes of stored catalogue pages, a file or a line each, and the element sets of the satellites with platforms from a stored file; ValueError where one has no set."""
     sets = parse_3le(spark.read.text(element_file, wholetext=True).select(F.lit("file").alias("source"), "value"))
     roster = catalog.roster_df(spark).join(spark.createDataFrame([(s,) for s in PLATFORMS.values()], "satellite string"), "satellite")  # the few satellites with platforms
     found, missing = for_roster(sets, roster)
     if gone := [r["satellite"] for r in missing.orderBy("satellite").collect()]:
         raise ValueError(f"no element set for {', '.join(gone)}")
-    pages = spark.read.text(scene_files, wholetext=True).select(F.lit("all").alias("aoi_id"), F.col("value").alias("json"))
-    return skill.residuals(scene_matches(weather.scenes(pages, need_cloud=False), found, max_age_days))
+    pages = spark.read.text(scene_files, wholetext=not page_a_line).select(F.lit("all").alias("aoi_id"), F.col("value").alias("json"))
+    return weather.scenes(pages, need_cloud=False), found
+
+
+def report(spark: SparkSession, scene_files: str, element_file: str, max_age_days: float = MAX_AGE_DAYS) -> DataFrame:
+    """Timing residuals by platform of stored catalogue pages against a stored file of element sets; ValueError where a satellite has no set."""
+    scenes, sets = loaded(spark, scene_files, element_file)
+    return skill.residuals(scene_matches(scenes, sets, max_age_days))
 
 
 def _drift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

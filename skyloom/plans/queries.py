@@ -412,6 +412,30 @@ def merge_sensors(spark, d):
     return campaign.merged(parts).agg(F.count(F.lit(1)).alias("n"), F.min("tca_us").alias("first_us"), F.max("tca_us").alias("last_us")).select(F.lit("all").alias("sensor"), "n", "first_us", "last_us")
 
 
+def _combined(spark, d):
+    """Three sensors' predictions of each run, as one."""
+    ordinal = (F.col("user_id") % 3).cast("int").alias("ordinal")
+    every = V.obs(spark, d).select("run_id", ordinal, "tca_us", F.concat_ws(" ", "event_type", (F.col("user_id") % 5).cast("string")).alias("text"), F.col("event_id").alias("ord"))
+    params = F.struct((20.0 + F.col("ordinal")).alias("max_off"), F.concat(F.lit("S"), "ordinal").alias("first"))
+    runs = every.groupBy("run_id", "ordinal").agg(F.min("tca_us").alias("start_us"), F.max("tca_us").alias("end_us")).withColumn("params", params)
+    return campaign.combined(runs, V.passes(spark, d).withColumn("ordinal", ordinal), every.select("run_id", "ordinal", "ord", "text"), ["event_id"])
+
+
+@query(with_(V.OBS) + "SELECT run_id, 'all' AS sensor, count(DISTINCT user_id % 3) AS sensors, min(tca_us) AS start_us, max(tca_us) AS end_us, 20.0 + min(user_id % 3) AS max_off, 'S' || min(user_id % 3) AS first FROM obs GROUP BY 1")
+def combined_runs(spark, d):
+    return _combined(spark, d)[0].select("run_id", "sensor", "sensors", "start_us", "end_us", "params.*")
+
+
+@query(with_(V.OBS, V.PASSES) + "SELECT event_id, run_id, bucket, row_number() OVER (PARTITION BY run_id, bucket ORDER BY tca_us, user_id % 3, event_id) AS position FROM passes")
+def combined_passes(spark, d):
+    return _combined(spark, d)[1].select("event_id", "run_id", "bucket", "position")
+
+
+@query(with_(V.OBS) + "SELECT run_id, text, ordinal, ord FROM (SELECT run_id, event_type || ' ' || (user_id % 5) AS text, CAST(user_id % 3 AS INTEGER) AS ordinal, event_id AS ord, row_number() OVER (PARTITION BY run_id, event_type, user_id % 5 ORDER BY user_id % 3, event_id) AS r FROM obs) WHERE r = 1")
+def combined_warnings(spark, d):
+    return _combined(spark, d)[2].select("run_id", "text", "ordinal", "ord")
+
+
 @query("SELECT CAST(user_id % 7 AS INTEGER) AS run_id, event_type || ' ' || (user_id % 5) AS text, min(event_id) AS ord FROM events GROUP BY 1, 2")
 def dedup_warnings(spark, d):
     w = table(spark, d, "events").select((F.col("user_id") % 7).cast("int").alias("run_id"), F.concat_ws(" ", "event_type", (F.col("user_id") % 5).cast("string")).alias("text"), F.col("event_id").alias("ord"))
@@ -740,6 +764,29 @@ def archive_scan(spark, d):
     return scenes.groupBy("name", "year").agg(F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.sum("observed").cast("long").alias("cloud"))
 
 
+@query(with_(V.SITE, V.OBS, V.SCENE, _EPOCHS, f"seen AS (SELECT s.platform, s.t_us, lat, lon, abs(s.t_us - (1704067200000000 + (day - 1) * 86400000000)) / 8.64e10 AS age FROM scene s JOIN obs ON event_id = scene JOIN site ON site = user_id JOIN sets ON sets.platform = s.platform)") + f"SELECT platform, t_us, {sql_micro('lat')} AS lat, {sql_micro('lon')} AS lon, {sql_micro('age')} AS age FROM seen WHERE age <= 2")
+def stored_scenes(spark, d):
+    """Scenes written as catalogue pages, and element sets as a file, both read back: those with a centre, a known platform and a fresh set.
+
+    Events are scenes at the site of their user; users without a site give scenes without a centre.
+    """
+    from skyloom.operators import validation
+    from skyloom.session import shared_folder
+
+    at = V.obs(spark, d).select(F.col("event_id").alias("scene"), "user_id").join(V.site(spark, d), F.col("user_id") == F.col("site"), "left").select("scene", "lat", "lon")
+    time = F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    centre = F.when(F.col("lat").isNotNull(), F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))
+    feature = F.struct(F.lit("c").alias("collection"), F.struct(time.alias("datetime"), "platform", centre.alias("proj:centroid")).alias("properties"))
+    pages = V.scene(spark, d).join(at, "scene").groupBy(F.floor(F.col("scene") / 100)).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value"))  # at most 100 scenes
+    number = {s: n for p in catalog.PROFILES.values() for s, n, _ in p.satellites}
+    lines = [line for p, day in _EPOCH_DAYS.items() if (n := number[catalog.PLATFORMS[p]]) for line in (p, f"1 {n:05d}U 24001A   24{day:03d}.00000000  .00000000  00000-0  20000-4 0  9990", f"2 {n:05d}  97.4400   0.0000 0008000  90.0000   0.0000 15.2000000000000")]
+    folder = shared_folder(spark, "stored-scenes")
+    pages.select("value").write.text(f"{folder}/pages")
+    spark.createDataFrame([("\n".join(lines),)], "value string").write.text(f"{folder}/sets")
+    scenes, sets = validation.loaded(spark, f"{folder}/pages", f"{folder}/sets", page_a_line=True)
+    return validation.matched(scenes, sets).select("platform", "t_us", micro(F.col("lat")).alias("lat"), micro(F.col("lon")).alias("lon"), micro(F.col("tle_age_days")).alias("age"))
+
+
 # --- times, directions, rosters and failures
 
 @query("SELECT event_id, start_us, strftime(make_timestamp(start_us), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 1704067200000000 ELSE (epoch_us(ts) // 1000000 - [0, 7200, -19800, 0][1 + CAST(event_id % 4 AS INTEGER)]) * 1000000 END AS start_us FROM events)")

@@ -24,6 +24,29 @@ def test_lag_crosses_blocks(spark):
     assert "windowspecdefinition(k#" in plan and all("__block" in line for line in plan.splitlines() if "windowspecdefinition" in line)
 
 
+def test_positions_cross_blocks(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", None]), rng.choice([None, rng.randrange(-(10**6), 10**6)]), i) for i in range(200)] + [("hot", 5 * i // 7, 1000 + i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, t long, id long").repartition(5)
+    got = {r["id"]: r["position"] for r in ordered.ranked(df, ["k"], "t", ["t", "id"], 100).collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {r[2]: n for n, r in enumerate(own, 1)}
+    assert got == want
+    assert ordered.ranked(df.limit(0), ["k"], "t", ["t", "id"], 100).count() == 0
+
+
+def test_predictions_of_several_sensors_are_one(spark):
+    runs = spark.createDataFrame([("r", 1, 5, 50, "second"), ("r", 0, 10, 40, "first"), (None, 2, 1, 2, "other")], "run_id string, ordinal int, start_us long, end_us long, params string")
+    passes = spark.createDataFrame([("r", 1, "passes", 20, "B"), ("r", 0, "passes", 20, "A"), ("r", 0, "marginal", 30, "A"), ("r", 1, "passes", 11, "B")], "run_id string, ordinal int, bucket string, tca_us long, satellite string")
+    texts = spark.createDataFrame([("r", 1, 0, "x"), ("r", 0, 1, "x"), ("r", 0, 0, "y"), ("r", 0, 1, "x"), ("r", 2, 0, None)], "run_id string, ordinal int, ord int, text string")
+    whole, placed, said = campaign.combined(runs, passes, texts, ["satellite"])
+    assert {tuple(r) for r in whole.collect()} == {("r", "all", 2, 5, 50, "first"), (None, "all", 1, 1, 2, "other")}
+    assert {(r["bucket"], r["tca_us"], r["ordinal"], r["position"]) for r in placed.collect()} == {("passes", 11, 1, 1), ("passes", 20, 0, 2), ("passes", 20, 1, 3), ("marginal", 30, 0, 1)}
+    assert {tuple(r) for r in said.collect()} == {("r", "y", 0, 0), ("r", "x", 0, 1), ("r", None, 2, 0)}
+
+
 def test_median_narrows_to_the_middle(spark):
     rng = random.Random(4)
     groups = {
