@@ -6,6 +6,7 @@ import html
 import io
 import re
 import zipfile
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,10 +58,17 @@ def readable(text: Column) -> Column:
     return F.arrow_udf(_readable, T.StringType())(text)
 
 
-def clean_name(raw: Column) -> Column:
-    """A safe display name: CDATA unwrapped, made readable, white space collapsed, cut to MAX_NAME."""
-    bare = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"(?s)^<!\[CDATA\[(.*?)\]\]>$", "$1")
-    spaced = F.regexp_replace(readable(bare), r"[\s ]+", " ")
+def bare(text: Column) -> Column:
+    """&lt;, &gt; and &amp; resolved, then markup dropped; other entities and characters stay."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return F.regexp_replace(text, r"<[^>]*>|[<>]", "")
+
+
+def clean_name(raw: Column, resolved: Callable[[Column], Column] = readable) -> Column:
+    """A safe display name: CDATA unwrapped, made ``resolved``, white space collapsed, cut to MAX_NAME."""
+    inner = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"(?s)^<!\[CDATA\[(.*?)\]\]>$", "$1")
+    spaced = F.regexp_replace(resolved(inner), r"[ \t\n\f\r]+", " ")
     return F.coalesce(F.nullif(F.substring(F.trim(spaced), 1, MAX_NAME), F.lit("")), F.lit("AOI"))
 
 
