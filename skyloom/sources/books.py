@@ -3,12 +3,13 @@
     write_books(workbook_rows(passes, runs, ...), path)
 
 A row of the table is a row of a sheet: run_id (a workbook each), sheet (its place) and title, block and ord (its place in the sheet) and
-cells. Rows are sorted within their task, so a workbook is streamed: a task holds one row at a time, however large a sheet is. A task
+its XML, made by column expressions, in which <#> stands for its number. Rows are sorted within their task and come in Arrow batches, so a
+workbook is streamed: a task holds one batch at a time, however large a sheet is. A task
 writes into a folder of its own; the commit writes the manifest of the folders that count and drops those of failed or repeated attempts. With
 option ``single`` the one workbook is put at ``path`` itself.
 
-Blocks of a sheet: 0 its header, 1 its body, 2 lines below it, 3 counted names, 4 their total. Formulas may name rows by {last} (of the
-body, at least 2), {top} (the first of block 3), {here} and {above}. A null run_id is a workbook named ``null``.
+Blocks of a sheet: 0 its header, 1 its body, 2 lines below it, 3 counted names, 4 their total. Formulas may name rows by <last> (of the
+body, at least 2), <top> (the first of block 3), <#> and <above>; no text holds these, as its < are escaped. A null run_id is a workbook named ``null``.
 """
 
 from __future__ import annotations
@@ -24,16 +25,19 @@ from functools import reduce
 from itertools import groupby
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from skyloom.operators.clouds import has_cloud
 from skyloom.sources import timeline
 from skyloom.sources.catalogue import located
-from skyloom.sources.workbook import SHEET_HEAD, SHEET_TAIL, SHEETS, frame, row_xml, sheet_rows
+from skyloom.sources.workbook import SHEET_HEAD, SHEET_TAIL, SHEETS, cell, column, frame, row_xml, sheet_rows
 
 LONGEST_NAME = 150
+#: Rows that are compressed at once, and how hard: sheets repeat themselves, so the least effort is enough.
+TOGETHER, EFFORT = 256, 1
 LANES = ["Satellite", "AOI", "From (UTC)", "To (UTC)", "Off nadir (°)", "Band", "Note"]
 
 
@@ -68,52 +72,45 @@ def file_name(run_id: str | None) -> str:
     return f"{name}.xlsx"
 
 
-def _values(cells: list, rows: dict[str, int]) -> list:
-    out = []
-    for c in cells:
-        if c["f"] is not None:
-            text = c["f"]
-            for k, v in rows.items():
-                text = text.replace(f"{{{k}}}", str(v))
-            out.append(("=", text))
-        else:
-            out.append(c["s"] if c["n"] is None else c["n"])
-    return out
-
-
-def write_book(out, rows: Iterator[Row]) -> None:
-    """One workbook from its rows in order."""
+def write_book(out, rows: Iterator[tuple]) -> None:
+    """One workbook from its rows (run_id, sheet, title, block, xml) in order."""
     titles = []
-    with zipfile.ZipFile(_Out(out), "w", zipfile.ZIP_DEFLATED) as box:
-        for _, own in groupby(rows, key=lambda r: r["sheet"]):
-            at, last, top = 0, 2, 0
+    with zipfile.ZipFile(_Out(out), "w", zipfile.ZIP_DEFLATED, compresslevel=EFFORT) as box:
+        for _, own in groupby(rows, key=lambda r: r[1]):
+            at, last, top, held = 0, 2, 0, []
             with box.open(f"xl/worksheets/sheet{len(titles) + 1}.xml", "w") as sheet:
                 sheet.write(SHEET_HEAD.encode())
-                for r in own:
+                for _, _, title, block, xml in own:
                     if not at:
-                        titles.append(r["title"])
+                        titles.append(title)
                     at += 1
-                    last = max(last, at) if r["block"] <= 1 else last
-                    top = at if r["block"] == 3 and not top else top
-                    values = _values(r["cells"], {"last": last, "top": top, "here": at, "above": at - 1})
-                    sheet.write(row_xml(at, values, at == 1).encode())
-                sheet.write(SHEET_TAIL.encode())
+                    if block <= 1:
+                        last = max(last, at)
+                    elif block >= 3:
+                        top = top or at
+                        xml = xml.replace("<last>", str(last)).replace("<top>", str(top)).replace("<above>", str(at - 1))
+                    held.append(xml.replace("<#>", str(at)))
+                    if len(held) == TOGETHER:
+                        sheet.write("".join(held).encode())
+                        held = []
+                sheet.write(("".join(held) + SHEET_TAIL).encode())
         for name, text in frame(titles).items():
             box.writestr(name, text)
 
 
-class BookWriter(DataSourceWriter):
+class BookWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.target, self.single = options["path"], options.get("single", "false").lower() == "true"
         self.folder = f"{self.target}.parts-{uuid.uuid4().hex}" if self.single else self.target
 
-    def write(self, rows: Iterator[Row]) -> Books:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Books:
         from pyspark import TaskContext
 
+        rows = (r for batch in batches for r in zip(*[batch.column(c).to_pylist() for c in ("run_id", "sheet", "title", "block", "xml")], strict=True))
         system, folder = located(self.folder)
         place, n = TaskContext.get().partitionId(), 0
         own = f"part-{place:06d}-{os.urandom(4).hex()}"
-        for run_id, book in groupby(rows, key=lambda r: r["run_id"]):
+        for run_id, book in groupby(rows, key=lambda r: r[0]):
             if not n:
                 system.create_dir(f"{folder}/{own}", recursive=True)
             with system.open_output_stream(f"{folder}/{own}/{file_name(run_id)}") as out:
@@ -160,18 +157,43 @@ class BookReport(DataSource):
         return BookWriter(dict(self.options))
 
 
-def _cell(s: Column | None = None, n: Column | None = None, f: str | None = None) -> Column:
-    none = lambda kind: F.lit(None).cast(kind)
-    return F.struct((none("string") if s is None else s.cast("string")).alias("s"), (none("double") if n is None else n.cast("double")).alias("n"), F.lit(f).cast("string").alias("f"))
+def _text(k: int, x: Column) -> Column:
+    """Cell ``k`` of a row, as text; none for null. As ``workbook.cell`` writes it."""
+    safe = x.cast("string")
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(sign), F.lit(entity))
+    before, after = cell("<#>", k, "\0").split("\0")
+    return F.coalesce(F.concat(F.lit(before), safe, F.lit(after)), F.lit(""))
+
+
+def _number(k: int, x: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(f'<c r="{column(k)}<#>"><v>'), x.cast("double").cast("string"), F.lit("</v></c>")), F.lit(""))
+
+
+def _formula(text: str) -> tuple[str, str]:
+    return ("=", text)
 
 
-def _line(*texts: str) -> Column:
-    return F.array(*[_cell(F.lit(t)) for t in texts]) if texts else F.slice(F.array(_cell()), 1, 0)
+def _line(*values, bold: bool = False) -> str:
+    """A row of fixed texts and formulas, whose places <last>, <top>, <#> and <above> stay as they are."""
+    xml = row_xml("<#>", list(values), bold)
+    for name in ("last", "top", "above", "#"):
+        xml = xml.replace(f"&lt;{name}&gt;", f"<{name}>") if any(isinstance(v, tuple) for v in values) else xml
+    return xml
 
 
-def _rows(df: DataFrame, sheet: int | Column, title: str | Column, block: int, order: Column, cells: Column) -> DataFrame:
+def _row(*cells: Column) -> Column:
+    return F.concat(F.lit('<row r="<#>">'), *cells, F.lit("</row>"))
+
+
+def _part(sheet: int | Column, title: str | Column, block: int, order: int | Column, xml: str | Column) -> Column:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select(F.col("run_id").cast("string").alias("run_id"), as_column(sheet).cast("int").alias("sheet"), as_column(title).alias("title"), F.lit(block).alias("block"), order.cast("long").alias("ord"), cells.alias("cells"))
+    return F.struct(as_column(sheet).cast("int").alias("sheet"), as_column(title).alias("title"), F.lit(block).alias("block"), as_column(order).cast("long").alias("ord"), as_column(xml).alias("xml"))
+
+
+def _rows(df: DataFrame, *parts: Column) -> DataFrame:
+    """All parts of each row, which is read once."""
+    return df.select(F.col("run_id").cast("string").alias("run_id"), F.inline(F.array(*parts)))
 
 
 def workbook_rows(passes: DataFrame, runs: DataFrame, counted: DataFrame, notes: DataFrame, tz: str, hints: dict[str, str] | None = None, with_aoi: bool = False) -> DataFrame:
@@ -181,34 +203,39 @@ def workbook_rows(passes: DataFrame, runs: DataFrame, counted: DataFrame, notes:
     quotes in a name break no formula. ``notes``: (run_id, ord, item, value). ``hints``: a line below a bucket's rows. A run without passes has
     its headers; the sheet of satellites out of service is there only if it has rows.
     """
-    data = sheet_rows(passes, tz, with_aoi, has_cloud(passes), keys=("run_id",))
-    names = data.columns[3:]
+    bars = timeline.bars(passes)
+    shown = ["satellite", "name", "left_us", "right_us", "label", "band", "hatched"]
+    data = sheet_rows(bars.withColumn("__bar", F.struct(*shown)), tz, with_aoi, has_cloud(passes), keys=("run_id", "__bar"))
+    names = data.columns[4:]
     kinds = dict(data.dtypes)
-    body = F.array(*[_cell(n=F.col(f"`{c}`")) if kinds[c] in ("double", "float", "int", "bigint") or kinds[c].startswith("decimal") else _cell(F.col(f"`{c}`")) for c in names])
+    numeric = lambda c: kinds[c] in ("double", "float", "int", "bigint") or kinds[c].startswith("decimal")
+    body = _row(*[(_number if numeric(c) else _text)(k, F.col(f"`{c}`")) for k, c in enumerate(names)])
     buckets = list(SHEETS)
     sheet = F.array_position(F.array(*[F.lit(b) for b in buckets]), F.col("bucket")) - 1
     title = F.get(F.array(*[F.lit(t) for t in SHEETS.values()]), sheet.cast("int"))
-    idle = passes.where("bucket = 'nonoperational'").select("run_id").distinct()
-    held = [runs.select("run_id"), runs.select("run_id"), idle]
-    parts = [_rows(data, sheet, title, 1, F.col("tca_us"), body)]
+    bar = {c: F.col(f"__bar.{c}") for c in shown}
+    stamp = lambda c: F.date_format(F.timestamp_micros(bar[c]), "yyyy-MM-dd HH:mm")
+    texts = [bar["satellite"], bar["name"], stamp("left_us"), stamp("right_us"), bar["label"]]
+    lane = _row(*[_text(k, c) for k, c in enumerate(texts)], _number(5, bar["band"]), _text(6, F.when(bar["hatched"], "not operational")))
+    parts = [_rows(data, _part(sheet, title, 1, F.col("tca_us"), body), _part(4, "Timeline", 1, F.col("tca_us"), lane))]
+    fixed: dict[str, list[Column]] = {b: [] for b in buckets}
     for k, bucket in enumerate(buckets):
-        parts.append(_rows(held[k], k, SHEETS[bucket], 0, F.lit(0), _line(*names)))
+        fixed[bucket].append(_part(k, SHEETS[bucket], 0, 0, _line(*names, bold=True)))
         if k and hints and bucket in hints:
-            parts += [_rows(held[k], k, SHEETS[bucket], 2, F.lit(n), line) for n, line in enumerate((_line(), _line(hints[bucket])))]
+            fixed[bucket] += [_part(k, SHEETS[bucket], 2, n, line) for n, line in enumerate((_line(), _line(hints[bucket])))]
     below = (_line(), _line(), _line("Passes per AOI" if with_aoi else "Passes per satellite"))
-    parts += [_rows(runs, 0, SHEETS["passes"], 2, F.lit(n), line) for n, line in enumerate(below)]
-    parts.append(_rows(counted, 0, SHEETS["passes"], 3, F.col("ord"), F.array(_cell(F.col("label")), _cell(f="COUNTIF(A2:A{last},A{here})"))))
-    parts.append(_rows(runs, 0, SHEETS["passes"], 4, F.lit(0), F.array(_cell(F.lit("Total")), _cell(f="SUM(B{top}:B{above})"))))
-    parts += [_rows(runs, 3, "Method", 0, F.lit(0), _line("Item", "Value")), _rows(notes, 3, "Method", 1, F.col("ord"), F.array(_cell(F.col("item")), _cell(F.col("value"))))]
-    stamp = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm")
-    bars = timeline.bars(passes)
-    lane = F.array(*[_cell(c) for c in (F.col("satellite"), F.col("name"), stamp("left_us"), stamp("right_us"), F.col("label"))], _cell(n=F.col("band")), _cell(F.when(F.col("hatched"), "not operational")))
-    parts += [_rows(runs, 4, "Timeline", 0, F.lit(0), _line(*LANES)), _rows(bars, 4, "Timeline", 1, F.col("tca_us"), lane)]
+    always = fixed["passes"] + fixed["marginal"] + [_part(0, SHEETS["passes"], 2, n, line) for n, line in enumerate(below)]
+    always.append(_part(0, SHEETS["passes"], 4, 0, _line("Total", _formula("SUM(B<top>:B<above>)"))))
+    always += [_part(3, "Method", 0, 0, _line("Item", "Value", bold=True)), _part(4, "Timeline", 0, 0, _line(*LANES, bold=True))]
+    parts += [_rows(runs, *always), _rows(passes.where("bucket = 'nonoperational'").select("run_id").distinct(), *fixed["nonoperational"])]
+    count = _line(None, _formula("COUNTIF(A2:A<last>,A<#>)")).removeprefix('<row r="<#>">').removesuffix("</row>")
+    parts.append(_rows(counted, _part(0, SHEETS["passes"], 3, F.col("ord"), _row(_text(0, F.col("label")), F.lit(count)))))
+    parts.append(_rows(notes, _part(3, "Method", 1, F.col("ord"), _row(_text(0, F.col("item")), _text(1, F.col("value"))))))
     return reduce(DataFrame.unionByName, parts)
 
 
 def write_books(rows: DataFrame, path: str, single: bool = False) -> None:
-    """A workbook a run in a folder of parts, or the only run's at ``path``. Ties of a time are put in order of their cells."""
+    """A workbook a run in a folder of parts, or the only run's at ``path``. Ties of a time are put in order of their text."""
     rows.sparkSession.dataSource.register(BookReport)
-    ordered = rows.repartition("run_id").sortWithinPartitions("run_id", "sheet", "block", "ord", "cells")
+    ordered = rows.repartition("run_id").sortWithinPartitions("run_id", "sheet", "block", "ord", "xml")
     ordered.write.format("workbook_report").option("single", str(single).lower()).mode("overwrite").save(path)

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import re
 import zipfile
 
 import pytest
@@ -71,3 +72,26 @@ def test_names_of_files():
     assert books.file_name(None) == "null.xlsx" and books.file_name("a/b c") == "a%2Fb%20c.xlsx"
     long = ["x" * 400, "x" * 399 + "y"]
     assert len({books.file_name(n) for n in long}) == 2 and all(len(books.file_name(n)) < 200 for n in long)
+
+
+def test_marks_in_texts_stay_and_the_table_is_read_a_few_times(spark, tmp_path):
+    names = ["<#> & <last>", "&lt;#&gt;{here}", None]
+    at = lambda c: F.get(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % 3).cast("int")).alias(c)
+    events = spark.range(700).select(F.col("id").alias("event_id"), F.lit(7).alias("user_id"), F.timestamp_micros(F.col("id") * 1_000_000).alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    passes = queries.sheet_passes(spark, str(tmp_path)).withColumns({"name": at("name"), "slant_range_km": F.col("event_id") * 1e6}).withColumn("run_id", F.lit("r"))
+    runs = spark.createDataFrame([("r",)], "run_id string")
+    counted = runs.select("run_id", F.lit(0).alias("ord"), F.lit("<#>{last}").alias("label"))
+    rows = books.workbook_rows(passes, runs, counted, runs.select("run_id", F.lit(0).alias("ord"), F.lit("<top>").alias("item"), F.lit(None).cast("string").alias("value")), "UTC", HINTS, with_aoi=True)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 3
+    books.write_books(rows, str(tmp_path / "one.xlsx"), single=True)
+    with open(tmp_path / "one.xlsx", "rb") as f:
+        got = sheets(f.read())
+    want = sheets(workbook.report(passes, ["<#>{last}", "b"], [], "UTC", [("<top>", None)], HINTS, [books.LANES]))
+    shape = lambda x: [re.sub("(?<=<v>)[^<]+", lambda m: repr(float(m[0])), r) for r in x.split("</row>")]
+    for n in ("xl/worksheets/sheet2.xml", "xl/worksheets/sheet3.xml"):
+        assert shape(got[n]) == shape(want[n])
+    one, other = shape(got["xl/worksheets/sheet1.xml"]), shape(want["xl/worksheets/sheet1.xml"])
+    assert one[:-3] == other[: len(one) - 3] and len(one) > 100 and "&lt;#&gt;{last}" in one[-3]
+    lanes = [re.search('r="B[0-9]+".*?preserve">(.*?)</t>', r) for r in got["xl/worksheets/sheet4.xml"].split("</row>")[1:-1]]
+    assert {m and m[1] for m in lanes} == {"&lt;#&gt; &amp; &lt;last&gt;", "&amp;lt;#&amp;gt;{here}", None}
