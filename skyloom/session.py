@@ -66,5 +66,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """An intermediate table of any size computed once: written to the shared folder and read back."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
