@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skyloom.llm import repeats
 
@@ -63,3 +64,28 @@ def prefixes(bodies, bound):
         n = min(len(a), len(b))
         same = int(np.argmin(np.append(a[:n] == b[:n], False)))
         assert value[k] == (same if same < bound else -1)
+
+
+@pytest.mark.parametrize("often", [0, 2])
+def test_common_keys(spark, monkeypatch, often):
+    monkeypatch.setattr(repeats, "OFTEN", often)
+    monkeypatch.setattr(repeats, "SPREAD", 1 << 40)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 4000)
+    rows = sample()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.removed(docs).collect()), key=repr)
+    assert out == brute(rows, 400)
+
+
+def test_copies_are_dealt(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(400))
+    docs = spark.range(4000, numPartitions=4).select(F.col("id").alias("doc_id"), F.lit(passage).alias("text"))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # or Spark broadcasts so small a table on its own
+    try:
+        held = [r["count"] for r in repeats.repeated_spans(docs).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert sum(held) == 4000
+    assert max(held) <= 2000  # not all of a passage's places in one task
